@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import decontam, exact_dedup, mixing, near_dedup, quality, toxicity
+from voxloom.llm import chat, decontam, exact_dedup, mixing, near_dedup, quality, token_files, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,24 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_report(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.preference_pairs(table(spark, sf_dir, "conversations"))
+    spans = lambda c: F.array_join(F.transform(F.col(c), lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return rows.withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix_counts(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -40,7 +54,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_exact_dedup, op5_source_mix, op7_decontamination, op8_near_dedup, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_exact_dedup, op4_preference_chat, op5_source_mix, op7_decontamination, op8_near_dedup, op9_quality, op10_url_filter)}
 
 ORACLES: dict[str, str] = {}
 
@@ -126,3 +140,28 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.d
 FROM near_words d JOIN near_parts ON id = d.doc_id LEFT JOIN near_sizes s ON s.doc_id = d.doc_id
 """
 )
+
+ORACLES["op4_preference_chat"] = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+convs AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
+opened AS (SELECT *, turns[1].role AS r, turns[1].text AS x, len(list_filter(turns, lambda s: s.role = 'assistant')) AS k FROM convs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r, x ORDER BY k DESC, conv_id) AS n FROM opened),
+pairs AS (
+  SELECT c.conv_id AS chosen_id, c.turns AS chosen, j.conv_id AS rejected_id, j.turns AS rejected,
+         coalesce(list_min(list_filter(range(1, least(len(c.turns), len(j.turns)) + 1), lambda i: c.turns[i].role <> j.turns[i].role OR c.turns[i].text <> j.turns[i].text)) - 1,
+                  least(len(c.turns), len(j.turns))) AS p
+  FROM ranked c JOIN ranked j ON c.n = 1 AND j.n > 1 AND c.r = j.r AND c.x = j.x),
+split AS (SELECT *, chosen[1 : p] AS head, chosen[p + 1 :] AS a, rejected[p + 1 :] AS b FROM pairs)
+SELECT chosen_id, rejected_id, CAST(p AS INT) AS n_prompt_turns,
+       coalesce(array_to_string(list_transform(head, lambda s: '<|' || s.role || '|>' || chr(10) || s.text || '<|end|>' || chr(10)), ''), '') AS prompt,
+       coalesce(array_to_string(list_transform(a, lambda s: '<|' || s.role || '|>' || chr(10) || s.text || '<|end|>' || chr(10)), ''), '') AS chosen_completion,
+       coalesce(array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: a[i].role = 'assistant'), lambda i:
+         CAST(coalesce(list_sum(list_transform(a[1 : i - 1], lambda s: length(s.role) + length(s.text) + 13)), 0)::BIGINT + length(a[i].role) + 5 AS VARCHAR) || '-' ||
+         CAST(list_sum(list_transform(a[1 : i], lambda s: length(s.role) + length(s.text) + 13))::BIGINT AS VARCHAR)), ','), '') AS chosen_mask,
+       coalesce(array_to_string(list_transform(b, lambda s: '<|' || s.role || '|>' || chr(10) || s.text || '<|end|>' || chr(10)), ''), '') AS rejected_completion,
+       coalesce(array_to_string(list_transform(list_filter(range(1, len(b) + 1), lambda i: b[i].role = 'assistant'), lambda i:
+         CAST(coalesce(list_sum(list_transform(b[1 : i - 1], lambda s: length(s.role) + length(s.text) + 13)), 0)::BIGINT + length(b[i].role) + 5 AS VARCHAR) || '-' ||
+         CAST(list_sum(list_transform(b[1 : i], lambda s: length(s.role) + length(s.text) + 13))::BIGINT AS VARCHAR)), ','), '') AS rejected_mask,
+       len(a) + len(b) > 0 AS distinct_pair
+FROM split
+"""
