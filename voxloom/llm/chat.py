@@ -50,7 +50,7 @@ def trained_spans(turns: Column) -> Column:
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:
-    """prompt, completions and masks of rows (chosen_id, chosen, rejected_id, rejected).
+    """prompt, completions and masks of rows (pairing, chosen_id, chosen, rejected_id, rejected).
 
     If one conversation is a prefix of the other, or both are the same, the shorter completion is
     empty and has no spans; ``distinct_pair`` says whether the two differ at all.
@@ -59,7 +59,7 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     out = pairs.withColumn("n_prompt_turns", common_prefix(F.col("chosen"), F.col("rejected")))
     out = out.withColumn("chosen_rest", rest("chosen")).withColumn("rejected_rest", rest("rejected"))
     return out.select(
-        "chosen_id", "rejected_id", "n_prompt_turns", render(F.slice(F.col("chosen"), F.lit(1), F.col("n_prompt_turns"))).alias("prompt"),
+        "pairing", "chosen_id", "rejected_id", "n_prompt_turns", render(F.slice(F.col("chosen"), F.lit(1), F.col("n_prompt_turns"))).alias("prompt"),
         render(F.col("chosen_rest")).alias("chosen_completion"), trained_spans(F.col("chosen_rest")).alias("chosen_mask"),
         render(F.col("rejected_rest")).alias("rejected_completion"), trained_spans(F.col("rejected_rest")).alias("rejected_mask"),
         ((F.size("chosen_rest") + F.size("rejected_rest")) > 0).alias("distinct_pair"),
@@ -79,5 +79,24 @@ def pairs_by_first_turn(turns: DataFrame) -> DataFrame:
     return met.where(~F.col("conv_id").eqNullSafe(F.col("chosen_id"))).select("chosen_id", "chosen", F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected"))
 
 
+def pairs_by_swap(turns: DataFrame) -> DataFrame:
+    """Each conversation is chosen over itself with another's answer: its last trained turn gets the text of
+    the last trained turn of conversation conv_id + 1, and what follows is left out.
+
+    Without such a conversation, the turn is left out too. Conversations without a trained turn make no pair.
+    """
+    convs = conversations(turns.select("conv_id", "turn", "role", "text"))
+    last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), TRAINED_ROLE) + 1
+    convs = convs.where(F.exists("turns", lambda t: t["role"] == TRAINED_ROLE)).withColumn("last", last.cast("int"))
+    answer = convs.select((F.col("conv_id") - 1).alias("conv_id"), F.element_at("turns", F.col("last"))["text"].alias("answer"))
+    own = F.element_at("turns", F.col("last"))
+    swapped = F.array(F.struct(own["turn"].alias("turn"), own["role"].alias("role"), F.col("answer").alias("text")))
+    head = F.slice("turns", F.lit(1), F.col("last") - 1)
+    rejected = F.when(F.col("answer").isNull(), head).otherwise(F.concat(head, swapped))
+    return convs.join(answer, "conv_id", "left").select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen"), F.col("conv_id").alias("rejected_id"), rejected.alias("rejected"))
+
+
 def preference_pairs(turns: DataFrame) -> DataFrame:
-    return format_pairs(pairs_by_first_turn(turns))
+    """Formatted pairs of both kinds; ``pairing`` is ``opening`` or ``swap``."""
+    opening = pairs_by_first_turn(turns).withColumn("pairing", F.lit("opening"))
+    return format_pairs(opening.unionByName(pairs_by_swap(turns).withColumn("pairing", F.lit("swap"))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import chat, decontam, exact_dedup, mixing, near_dedup, quality, token_files, toxicity, url_rules
+from voxloom.llm import chat, decontam, exact_dedup, mixing, near_dedup, quality, substring, token_files, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +58,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_exact_dedup, op4_preference_chat, op5_source_mix, op7_decontamination, op8_near_dedup, op9_quality, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_exact_dedup, op4_preference_chat, op5_source_mix, op6_substring_dedup, op7_decontamination, op8_near_dedup, op9_quality, op10_url_filter)}
 
 ORACLES: dict[str, str] = {}
 
@@ -146,13 +150,19 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 convs AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
 opened AS (SELECT *, turns[1].role AS r, turns[1].text AS x, len(list_filter(turns, lambda s: s.role = 'assistant')) AS k FROM convs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY r, x ORDER BY k DESC, conv_id) AS n FROM opened),
+lasts AS (SELECT conv_id, turns, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS e FROM convs WHERE len(list_filter(turns, lambda s: s.role = 'assistant')) > 0),
+joined AS (
+  SELECT 'opening' AS pairing, c.conv_id AS chosen_id, c.turns AS chosen, j.conv_id AS rejected_id, j.turns AS rejected
+  FROM ranked c JOIN ranked j ON c.n = 1 AND j.n > 1 AND c.r = j.r AND c.x = j.x
+  UNION ALL
+  SELECT 'swap', c.conv_id, c.turns, c.conv_id, CASE WHEN d.conv_id IS NULL THEN c.turns[1 : c.e - 1]
+         ELSE list_append(c.turns[1 : c.e - 1], {'turn': c.turns[c.e].turn, 'role': c.turns[c.e].role, 'text': d.turns[d.e].text}) END
+  FROM lasts c LEFT JOIN lasts d ON d.conv_id = c.conv_id + 1),
 pairs AS (
-  SELECT c.conv_id AS chosen_id, c.turns AS chosen, j.conv_id AS rejected_id, j.turns AS rejected,
-         coalesce(list_min(list_filter(range(1, least(len(c.turns), len(j.turns)) + 1), lambda i: c.turns[i].role <> j.turns[i].role OR c.turns[i].text <> j.turns[i].text)) - 1,
-                  least(len(c.turns), len(j.turns))) AS p
-  FROM ranked c JOIN ranked j ON c.n = 1 AND j.n > 1 AND c.r = j.r AND c.x = j.x),
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(chosen), len(rejected)) + 1), lambda i: chosen[i].role <> rejected[i].role OR chosen[i].text <> rejected[i].text)) - 1,
+                  least(len(chosen), len(rejected))) AS p FROM joined),
 split AS (SELECT *, chosen[1 : p] AS head, chosen[p + 1 :] AS a, rejected[p + 1 :] AS b FROM pairs)
-SELECT chosen_id, rejected_id, CAST(p AS INT) AS n_prompt_turns,
+SELECT pairing, chosen_id, rejected_id, CAST(p AS INT) AS n_prompt_turns,
        coalesce(array_to_string(list_transform(head, lambda s: '<|' || s.role || '|>' || chr(10) || s.text || '<|end|>' || chr(10)), ''), '') AS prompt,
        coalesce(array_to_string(list_transform(a, lambda s: '<|' || s.role || '|>' || chr(10) || s.text || '<|end|>' || chr(10)), ''), '') AS chosen_completion,
        coalesce(array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: a[i].role = 'assistant'), lambda i:
