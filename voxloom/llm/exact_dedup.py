@@ -36,8 +36,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         groups = cut.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("largest")).where("n > 1")
         groups = saved(groups.withColumn("next_gid", F.monotonically_increasing_id()), "radix-groups")
         ended = F.octet_length("digit") < width
-        # The group side has one row a key, so AQE can split a hot group of the other side.
-        split = cut.join(groups, ["gid", "digit"], "left").select(
+        # The group side has one row a key, so AQE can split a hot group of the other side. It grows with
+        # the input, so it isn't broadcast when it happens to be small.
+        split = cut.join(groups.hint("merge"), ["gid", "digit"], "left").select(
             "id", "text_sha256", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("largest")).alias("keep_id"),
             F.coalesce("next_gid", F.lit(0).cast("long")).alias("gid"), F.when(F.col("n").isNotNull() & ~ended, F.col("rest")).alias("rest"),
         )
