@@ -7,9 +7,10 @@ longer lists are skipped; what is left of the count is read from the two signatu
 are confirmed on the full shingle sets.
 
 Components need no list of all pairs. Documents with equal sets are one class. In every list
-each member is first compared with one leader, the member whose signature is commonest; then only
-pairs whose members are still in different components are compared. So a family of n near copies
-costs n comparisons, and no link between two components is lost.
+each member is first compared with one leader, the member whose signature is commonest, then, if it
+is still apart, with some more leaders. Last, every pair whose members are still in different
+components is looked at. So a family of n near copies costs about n comparisons, and no link
+between two components is lost.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ class Similarity:
     seed: int = 1
 
 
+#: Leaders of a list in the second round.
+SHARES = 8
 #: The similarity of the contract of the query: three words, 85 %.
 CONTRACT = Similarity(width=3, percent=85, least=17)
 
@@ -134,27 +137,46 @@ def class_links(source: DataFrame, reps: DataFrame, s: Similarity) -> DataFrame:
     postings = lists.select("id", "score", F.explode("found").alias("x")).select("id", "score", F.col("x.token").alias("token"))
     postings = saved(postings, "near-postings")
 
-    leaders = postings.groupBy("token").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("leader"))
-    star = postings.join(leaders, "token").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    found = confirmed(source, reps, star, s)
-
-    parts = connected_components(found)
-    placed = postings.join(parts, "id", "left").select("token", "id", F.coalesce("component", "id").alias("part"))
-    heads = leaders.join(parts, F.col("leader") == F.col("id"), "left").select("token", "leader", F.coalesce("component", "leader").alias("head"))
-    outside = placed.join(heads, "token").where("part <> head and id <> leader").select("token", F.col("id").alias("x"), F.col("part").alias("px"))
-    others = placed.join(heads, "token").where("id <> leader").select("token", F.col("id").alias("y"), F.col("part").alias("py"))
-    # The leader has been compared already. Two outsiders meet twice and are kept once.
-    rest = outside.join(others, "token").where("px <> py").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # First one leader a list, then, where parts of a list are still apart, one in each of some shares of it.
+    found = confirmed(source, reps, star(postings.withColumn("part", F.col("id")), F.lit(0)), s)
+    placed = split_lists(postings, found)
+    found = saved(found.union(confirmed(source, reps, star(placed, F.pmod(F.hash("id"), F.lit(SHARES))), s)), "near-links")
+    # Last, all pairs that are still apart and agree in enough coordinates. A pair is met in its first common list alone.
+    placed = split_lists(postings, found)
+    marks = lists.select("id", F.transform("found", lambda x: F.hash(x["token"])).alias("prefix")).join(reps.select("id", F.transform("signature", lambda x: F.hash(x)).alias("sig")), "id")
+    size = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("part", F.struct("n", "part")).alias("head"))
+    rows = saved(placed.join(size, "token").join(marks, "id"), "near-apart")
+    side = lambda x: [F.col("id").alias(x), F.col("part").alias(f"p{x}"), F.col("sig").alias(f"s{x}"), F.col("prefix").alias(f"f{x}")]
+    outside = rows.where("part <> head").select("token", "head", *side("x"))
+    again = (F.col("py") == F.col("head")) | (F.col("x") < F.col("y"))
+    first = F.hash("token") == F.array_min(F.array_intersect("fx", "fy"))
+    near = outside.join(rows.select("token", *side("y")), "token").where((F.col("px") != F.col("py")) & again & (agreements(F.col("sx"), F.col("sy")) >= s.least) & first)
+    rest = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return found.union(confirmed(source, reps, rest, s))
 
 
+def star(placed: DataFrame, share: Column) -> DataFrame:
+    """(a, b): each member of a list and, of each share of the list, the member whose signature is commonest, if they are in different parts."""
+    rows = placed.withColumn("share", share)
+    leaders = rows.groupBy("token", "share").agg(F.max_by(F.struct("id", "part"), F.struct("score", -F.col("id"))).alias("l")).select("token", F.col("l.id").alias("leader"), F.col("l.part").alias("head"))
+    met = placed.join(leaders, "token").where("part <> head")
+    return met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+
+def split_lists(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """Postings with their component, of the lists that hold more than one."""
+    placed = postings.join(connected_components(links), "id", "left").select("token", "id", "score", F.coalesce("component", "id").alias("part"))
+    apart = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
+    return saved(placed.join(apart, "token"), "near-placed")
+
+
 def confirmed(source: DataFrame, reps: DataFrame, pairs: DataFrame, s: Similarity) -> DataFrame:
     """Those of the pairs (a, b) that agree in enough coordinates and reach the similarity on their full sets."""
     side = lambda x: reps.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where(agreements(F.col("sa"), F.col("sb")) >= s.least).select("a", "b")
     likely = saved(likely, "near-candidates")
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    texts = source.join(wanted, "id", "left_semi")
+    texts = source.join(wanted.hint("merge"), "id", "left_semi")  # neither side is small at scale
     sets = saved(sets_of(texts, s.width, "text").select("id", "shingles").dropDuplicates(["id"]), "near-sets")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
     inter = F.size(F.array_intersect("sa", "sb"))
