@@ -58,7 +58,6 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def sums(batches):
         index, total = index_vectors(), np.zeros((size, DIM), np.int64)
-        pairs = [(np.flatnonzero(index[:, d]), d) for d in range(DIM)]
         for batch in batches:
             for _, _, data, off in A.slices(batch.column(0)):
                 doc, b = tokens(data, off)
@@ -72,7 +71,6 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     if len(a):
                         at = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
                         total[a[at]] += np.add.reduceat(index[c] * m[:, None], at, axis=0)
-        del pairs
         on = np.flatnonzero(total.any(axis=1))
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, DIM * len(on) + 1, DIM, dtype=np.int32)), pa.array(total[on].reshape(-1)))
         yield pa.RecordBatch.from_arrays([pa.array(on), flat], names=["bucket", "v"])
