@@ -479,10 +479,11 @@ def a6_track_offsets(spark, d):
 
 
 @query("""+ q AS (SELECT session_id AS tid, track_id AS track, seq, n, seq * 480 + CASE WHEN seq > 20 THEN 1 ELSE 0 END AS start, coalesce(sum(480) OVER (PARTITION BY session_id, track_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS due FROM v_blocks)
-  SELECT tid, track, count(*) * 480 AS n, min(seq) FILTER (WHERE start <> due) AS first_gap FROM q GROUP BY tid, track""", "v_blocks")
+  SELECT tid, track, count(*) * 480 AS n, coalesce(min(seq) FILTER (WHERE start <> due), -1) AS first_gap FROM q GROUP BY tid, track""", "v_blocks")
 def a10_assemble_contiguous(spark, d):
     b = view(spark, d, "v_blocks")
-    return audio.assemble_contiguous(b.select(F.col("session_id").alias("tid"), F.col("track_id").alias("track"), "seq", F.lit(480).cast("long").alias("n"), (F.col("seq") * 480 + F.when(F.col("seq") > 20, 1).otherwise(0)).alias("start")))
+    found = audio.assemble_contiguous(b.select(F.col("session_id").alias("tid"), F.col("track_id").alias("track"), "seq", F.lit(480).cast("long").alias("n"), (F.col("seq") * 480 + F.when(F.col("seq") > 20, 1).otherwise(0)).alias("start")))
+    return found.withColumn("first_gap", F.coalesce("first_gap", F.lit(-1)).cast("long"))
 
 
 # --- speakers --------------------------------------------------------------------------------
