@@ -8,9 +8,9 @@ are confirmed on the full shingle sets.
 
 Components need no list of all pairs. Documents with equal sets are one class. In every list
 each member is first compared with one leader, the member whose signature is commonest, then, if it
-is still apart, with some more leaders. Last, every pair whose members are still in different
-components is looked at. So a family of n near copies costs about n comparisons, and no link
-between two components is lost.
+is still apart, with some more leaders. Last, of the lists whose members are still in different
+components, the full sets are joined by their rarest shingles. So a family of n near copies costs
+about n comparisons, and no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -141,18 +141,36 @@ def class_links(source: DataFrame, reps: DataFrame, s: Similarity) -> DataFrame:
     found = confirmed(source, reps, star(postings.withColumn("part", F.col("id")), F.lit(0)), s)
     placed = split_lists(postings, found)
     found = saved(found.union(confirmed(source, reps, star(placed, F.pmod(F.hash("id"), F.lit(SHARES))), s)), "near-links")
-    # Last, all pairs that are still apart and agree in enough coordinates. A pair is met in its first common list alone.
-    placed = split_lists(postings, found)
-    marks = lists.select("id", F.transform("found", lambda x: F.hash(x["token"])).alias("prefix")).join(reps.select("id", F.transform("signature", lambda x: F.hash(x)).alias("sig")), "id")
-    size = placed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("part", F.struct("n", "part")).alias("head"))
-    rows = saved(placed.join(size, "token").join(marks, "id"), "near-apart")
-    side = lambda x: [F.col("id").alias(x), F.col("part").alias(f"p{x}"), F.col("sig").alias(f"s{x}"), F.col("prefix").alias(f"f{x}")]
-    outside = rows.where("part <> head").select("token", "head", *side("x"))
-    again = (F.col("py") == F.col("head")) | (F.col("x") < F.col("y"))
-    first = F.hash("token") == F.array_min(F.array_intersect("fx", "fy"))
-    near = outside.join(rows.select("token", *side("y")), "token").where((F.col("px") != F.col("py")) & again & (agreements(F.col("sx"), F.col("sy")) >= s.least) & first)
-    rest = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return found.union(confirmed(source, reps, rest, s))
+    # Last, the documents of the lists that are still split.
+    return found.union(confirmed(source, reps, apart_pairs(source, split_lists(postings, found), s), s))
+
+
+def apart_pairs(source: DataFrame, placed: DataFrame, s: Similarity) -> DataFrame:
+    """(a, b): pairs of documents of ``placed`` in different components that may reach the similarity.
+
+    The sets are put in one order, rare shingles first. A pair that reaches the similarity shares a
+    shingle among the first of both, and behind their first shared one enough must be left of either.
+    So a document with many shingles of its own meets nobody, however large its family is.
+    """
+    parts = placed.select("id", "part").distinct()
+    texts = source.join(parts.hint("merge"), "id")
+    sets = saved(sets_of(texts, s.width, "text").select("id", "part", "shingles").dropDuplicates(["id"]), "near-apart")
+    each = sets.select("id", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # The shingles of one document, so no more than its text.
+    held = each.join(shared.hint("merge"), "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
+    ranked = sets.select("id", "part", F.size("shingles").alias("n")).join(held.hint("merge"), "id").withColumn("own", F.col("n") - F.size("held"))
+    reach = F.col("n") + 1 - F.floor((F.col("n").cast("long") * s.percent + 99) / 100).cast("int") - F.col("own")
+    first = F.slice("held", F.lit(1), F.greatest(reach, F.lit(0)))
+    rows = ranked.select("id", "part", "n", "own", F.posexplode(first).alias("pos", "x"))
+    rows = saved(rows.select("id", "part", "n", (F.col("n") - F.col("own") - F.col("pos")).alias("left"), F.col("x.shingle").alias("shingle")), "near-prefixes")
+    size = rows.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("shingle").agg(F.max_by("part", F.struct("m", "part")).alias("head"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "part", "n", "left")]
+    outside = rows.join(size.hint("merge"), "shingle").where("part <> head").select("shingle", "head", *side("x"))
+    once = (F.col("part_y") == F.col("head")) | (F.col("id_x") < F.col("id_y"))
+    enough = F.least("left_x", "left_y").cast("long") * (100 + s.percent) >= s.percent * (F.col("n_x") + F.col("n_y"))
+    near = outside.join(rows.select("shingle", *side("y")).hint("merge"), "shingle").where((F.col("part_x") != F.col("part_y")) & once & enough)
+    return near.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def star(placed: DataFrame, share: Column) -> DataFrame:
