@@ -84,6 +84,24 @@ def test_near_dedup_equals_brute_force(spark):
     assert [got[i][0] for i in range(60)] == part
 
 
+def test_rare_shingles_lose_no_pair(spark):
+    """Every pair at the threshold is among those of the last step, and few others are."""
+    r = random.Random(4)
+    base, texts = words(90, 6).split(), []
+    for _ in range(50):
+        t = base[: r.randrange(80, 91)]
+        for _ in range(r.randrange(8)):
+            t[r.randrange(len(t))] = "".join(r.choice("xyz") for _ in range(6))
+        texts.append(" ".join(t))
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    linked = {(a, b) for b in range(50) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    source = docs(spark, *texts).select(F.col("doc_id").alias("id"), "text")
+    placed = source.select("id", F.col("id").alias("part"))
+    got = [(x["a"], x["b"]) for x in near_dedup.apart_pairs(source, placed, near_dedup.CONTRACT).collect()]
+    assert len(got) == len(set(got)) and linked and linked <= set(got)
+    assert len(got) < 50 * 49 // 2
+
+
 def test_decontamination(spark):
     item = words(30, 2)
     bench = spark.createDataFrame([(7, item), (8, "Short one"), (9, None), (10, "")], "item_id long, text string")
