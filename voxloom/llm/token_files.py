@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm import range_coder as R
 from voxloom.llm.scratch import new_path
-from voxloom.llm.tokenizing import PieceTokenizer
+from voxloom.llm.tokenizing import worker_tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -67,7 +67,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, pieces = TaskContext.get().partitionId(), PieceTokenizer(tokenizer)
+        part, pieces = TaskContext.get().partitionId(), worker_tokenizer(tokenizer)
         waiting: list[tuple[list, np.ndarray, np.ndarray]] = []  # doc ids, counts, ids of frames to code
         state = {"frame": 0, "start": 0}
 

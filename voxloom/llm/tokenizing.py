@@ -7,6 +7,8 @@ many in one call. Texts with Unicode white space go to the library whole.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -99,6 +101,12 @@ class PieceTokenizer:
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
+@cache
+def worker_tokenizer(path: str) -> PieceTokenizer:
+    """The tokenizer of this Python worker. Spark reuses workers, so later tasks find the pieces of earlier ones."""
+    return PieceTokenizer(path)
+
+
 def unicode_space(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Whether each text may hold white space beyond ASCII (some other characters of the same rows count too)."""
     a, b = data[:-1], data[1:]
