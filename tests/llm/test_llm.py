@@ -215,6 +215,18 @@ def test_passages(spark):
     assert substring.repeated_passages(d.limit(0)).count() == 0
 
 
+def test_passages_behind_a_document_without_them(spark):
+    p = words(50, 9).split()
+    # Documents 0 and 1 have the keys of the passage, not the passage; 2 and 3 have it.
+    parts = [p[:42] + words(8, 10).split(), words(8, 11).split() + p[8:], p, p]
+    texts = [" ".join([words(60, 20 + i), *x, words(60, 30 + i)]) for i, x in enumerate(parts)]
+    sets = [[set(zip(*(t.split()[k:] for k in range(5)))) for t in (" ".join(t.split()[s : s + 50]) for s in range(121))] for t in texts]
+    best = lambda a, b: max(len(x & y) / len(x | y) for x in sets[a] for y in sets[b])
+    want = {(b, a) for b in range(4) for a in range(b) if best(a, b) >= 0.8}
+    assert want == {(3, 2)}
+    assert {(r["doc_id"], r["source_id"]) for r in substring.repeated_passages(docs(spark, *texts)).collect()} == want
+
+
 def test_sliding_minimum():
     x = A.mix(np.arange(500, dtype=A.U64))
     for w in (1, 2, 46):

@@ -5,9 +5,9 @@ start has one smallest shingle (the root of its Cartesian tree); neighbouring st
 one are a compact window. Compact windows of two functions are intersected, and the starts in such
 an intersection share two signatures: they are one row with one key. Rows of different documents
 with the same key are possible passages. Each document is compared with the smallest document of
-its keys, aligned by the places of the shared shingle, and a passage counts if ``min_words`` words
-reach the similarity. What isn't confirmed is compared with the next smallest document, until a
-round confirms nothing more.
+its keys, aligned by the places of all shared shingles, and a passage counts if ``min_words`` words
+reach the similarity. Rows outside of confirmed passages are compared with the next smallest document;
+after some rounds, the rows still open are compared with every earlier document of their key.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ class Passages:
 
 #: Ids up to which a list of documents is broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
+#: Rounds against the smallest document of a key, before all pairs of what is still open.
+ROUNDS = 3
 #: Positions that are searched at once.
 STRETCH = 1 << 22
 _PLACE_BITS = 23
@@ -98,7 +100,7 @@ def windows(source: DataFrame, p: Passages) -> DataFrame:
     return source.mapInArrow(run, "key long, id long, at int")
 
 
-def repeats(a: np.ndarray, b: np.ndarray, spots: list[tuple[int, int]], p: Passages) -> list[tuple[int, int, int]]:
+def repeats(a: np.ndarray, b: np.ndarray, spots: np.ndarray, p: Passages) -> list[tuple[int, int, int]]:
     """(first word in a, end word in a, first word in b) of the passages of a that b holds.
 
     a and b are shingles in order; spots are places of shared shingles in both.
@@ -106,7 +108,6 @@ def repeats(a: np.ndarray, b: np.ndarray, spots: list[tuple[int, int]], p: Passa
     w = p.shingles
     need = int(np.ceil(w * 2 * p.similarity / (1 + p.similarity)))
     good: list[tuple[int, int, int]] = []
-    spots = np.array(spots, np.int64).reshape(-1, 2)
     lines = spots[:, 0] - spots[:, 1]
     open_spots = []
     for d in np.unique(lines):
@@ -155,8 +156,17 @@ def repeats(a: np.ndarray, b: np.ndarray, spots: list[tuple[int, int]], p: Passa
     return out
 
 
+def shared_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(place in a, place in b) of every shingle in both, in order."""
+    order = np.argsort(b, kind="stable")
+    low, high = (np.searchsorted(b, a, side, sorter=order) for side in ("left", "right"))
+    n = high - low
+    x = np.repeat(np.arange(len(a)), n)
+    return np.stack([x, order[np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + low[x]]], axis=1)
+
+
 def verify(pairs: DataFrame, source: DataFrame, p: Passages, source_is_unique: bool = False) -> DataFrame:
-    """(id, other, start_word, end_word, other_start) of pairs (id, other, spots)."""
+    """(id, other, start_word, end_word, other_start) of pairs (id, other)."""
     wanted = pairs.select("id").union(pairs.select("other")).distinct()
     wanted = saved(wanted, "passage-wanted")
     # A list of ids that is proven small is broadcast; else both sides are shuffled.
@@ -171,16 +181,15 @@ def verify(pairs: DataFrame, source: DataFrame, p: Passages, source_is_unique: b
             out = []
             column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
             for i in range(len(batch)):
-                (a, b), spots = (column("text")[i].as_buffer(), column("other_text")[i].as_buffer()), column("spots")[i].values
+                a, b = column("text")[i].as_buffer(), column("other_text")[i].as_buffer()
                 data = np.concatenate([np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)])
                 docs, _, h = positional(A.Words(data, np.array([0, a.size, a.size + b.size]), A.NON_SPACE), p.width)
                 k = int(np.searchsorted(docs, 1))
-                at = list(zip(spots.field("at").to_pylist(), spots.field("other_at").to_pylist()))
-                out += [(column("id")[i].as_py(), column("other")[i].as_py(), *x) for x in repeats(h[:k], h[k:], at, p)]
+                out += [(column("id")[i].as_py(), column("other")[i].as_py(), *x) for x in repeats(h[:k], h[k:], shared_places(h[:k], h[k:]), p)]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "other", "start_word", "end_word", "other_start"])
 
-    rows = both.select("id", "other", "spots", "text", "other_text")
+    rows = both.select("id", "other", "text", "other_text")
     return rows.mapInArrow(run, "id long, other long, start_word long, end_word long, other_start long")
 
 
@@ -195,20 +204,31 @@ def repeated_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "
     rows = windows(source, p)
     keys = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     rows = saved(rows.join(keys.hint("merge"), "key").distinct(), "passage-windows")
-    found = []
+    rows = rows.withColumn("open", F.lit(True))
+    found, met_before = [], []
     unique = source.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    while True:
-        anchors = rows.groupBy("key").agg(F.min(F.struct("id", "at")).alias("a"), F.max("id").alias("high")).where("a.id < high")
-        met = rows.join(anchors.select("key", F.col("a.id").alias("other"), F.col("a.at").alias("other_at")), "key")
-        pairs = met.where("id > other").groupBy("id", "other").agg(F.collect_set(F.struct("at", "other_at")).alias("spots"))
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            anchors = rows.groupBy("key").agg(F.min("id").alias("other"), F.max(F.when(F.col("open"), F.col("id"))).alias("high")).where("other < high")
+            rows = rows.join(anchors.select("key", "other").hint("merge"), "key").where("id > other")
+            pairs = rows.where("open").select("id", "other").distinct()
+        else:
+            others = rows.select("key", F.col("id").alias("other")).distinct()
+            pairs = rows.where("open").select("key", "id").distinct().join(others.hint("merge"), "key").where("id > other").select("id", "other").distinct()
+        # A pair is compared as a whole, so once.
+        for earlier in met_before:
+            pairs = pairs.join(earlier.hint("merge"), ["id", "other"], "left_anti")
         pairs = saved(pairs, "passage-pairs")
+        met_before.append(pairs)
         new = saved(verify(pairs, source, p, unique), "passages")
         found.append(new)
-        if new.isEmpty():
+        if turn == ROUNDS:
             break
-        # Go on with the rows that lie in no confirmed passage, without the documents just compared with.
+        # Rows in a confirmed passage are closed, but later documents are still compared with them.
         spans = new.groupBy("id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-        left = met.where("id > other").drop("other", "other_at").join(spans, "id", "left")
-        rows = saved(left.where("spans is null or not exists(spans, s -> s.start_word <= at and at < s.end_word)").select("key", "id", "at"), "passage-windows")
+        still = F.col("open") & F.expr("spans is null or not exists(spans, s -> s.start_word <= at and at < s.end_word)")
+        rows = saved(rows.drop("other").join(spans, "id", "left").select("key", "id", "at", still.alias("open")), "passage-windows")
+        if rows.where("open").isEmpty():
+            break
     out = reduce(DataFrame.unionAll, found)
     return out.select(F.col("id").alias(id_col), "start_word", "end_word", F.col("other").alias("source_id"), F.col("other_start").alias("source_start"))
