@@ -227,6 +227,29 @@ def test_passages_behind_a_document_without_them(spark):
     assert {(r["doc_id"], r["source_id"]) for r in substring.repeated_passages(docs(spark, *texts)).collect()} == want
 
 
+@pytest.mark.parametrize("n", [50, 53, 57])
+def test_passages_with_a_shifted_line_equal_brute_force(n, monkeypatch):
+    monkeypatch.setattr(substring, "PLACES", 100)
+    p, r, found = substring.Passages(), random.Random(n), 0
+    number = lambda t: [zlib.crc32(" ".join(t[k : k + 5]).encode()) for k in range(len(t) - 4)]
+    for seed in range(6):
+        passage = words(n, seed).split()
+        edited = list(passage)
+        if seed % 3 == 2:  # words that repeat, and blocks in another order
+            passage, edited = passage[:20] * 2 + passage[20:], passage[:20] + passage[20:] + passage[:20]
+        else:
+            place = r.randrange(5, n - 5)
+            edited[place : place + seed % 3] = ["extra"] if seed % 3 == 0 else []
+        a, b = (number(words(30, 50 + seed).split() + x + words(40, tail + seed).split()) for x, tail in ((passage, 60), (edited, 70)))
+        sets = [[set(h[s : s + p.shingles]) for s in range(len(h) - p.shingles + 1)] for h in (a, b)]
+        want = [s for s, x in enumerate(sets[0]) if any(len(x & y) >= 0.8 * len(x | y) for y in sets[1])]
+        got = substring.repeats(np.array(a, np.uint64), np.array(b, np.uint64), p)
+        starts = {s for x, y, _ in got for s in range(x, y - p.min_words + 1)}
+        assert {*want} <= starts and {x for x, _, _ in got} <= {*want} and {y - p.min_words for _, y, _ in got} <= {*want}
+        found += bool(want)
+    assert found >= 4
+
+
 def test_sliding_minimum():
     x = A.mix(np.arange(500, dtype=A.U64))
     for w in (1, 2, 46):

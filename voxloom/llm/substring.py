@@ -44,6 +44,8 @@ BROADCAST_IDS = 500_000
 ROUNDS = 3
 #: Positions that are searched at once.
 STRETCH = 1 << 22
+#: Shared places of a pair that are held at once.
+PLACES = 1 << 20
 _PLACE_BITS = 23
 
 
@@ -100,71 +102,89 @@ def windows(source: DataFrame, p: Passages) -> DataFrame:
     return source.mapInArrow(run, "key long, id long, at int")
 
 
-def repeats(a: np.ndarray, b: np.ndarray, spots: np.ndarray, p: Passages) -> list[tuple[int, int, int]]:
+def distinct(x: np.ndarray, w: int) -> np.ndarray:
+    """Count of distinct values of every run of ``w``."""
+    order = np.argsort(x, kind="stable")
+    again = np.flatnonzero(x[order][1:] == x[order][:-1])
+    before, at = order[again], order[again + 1]
+    # A value counts for nothing in the runs that hold the one before it too.
+    first, last = np.maximum(at - w + 1, 0), np.minimum(before, len(x) - w)
+    use = first <= last
+    lost = np.zeros(len(x) - w + 2, np.int64)
+    np.add.at(lost, first[use], 1)
+    np.add.at(lost, last[use] + 1, -1)
+    return w - np.cumsum(lost)[:-1]
+
+
+def aligned(spots: np.ndarray, n: int, m: int, w: int, need: int) -> np.ndarray:
+    """(start in a, start in b) of the runs of ``w`` with ``need`` equal shingles at equal places."""
+    d = spots[:, 0] - spots[:, 1]
+    order = np.lexsort((spots[:, 0], d))
+    x, d = spots[order, 0], d[order]
+    i = np.arange(max(0, len(x) - need + 1))
+    i = i[(d[i] == d[i + need - 1]) & (x[i + need - 1] - x[i] < w)]
+    low = np.maximum(np.maximum(x[i + need - 1] - w + 1, 0), d[i])
+    count = np.maximum(np.minimum(np.minimum(x[i], n - w), m - w + d[i]) - low + 1, 0)
+    start = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return np.unique(np.stack([start, start - np.repeat(d[i], count)], axis=1), axis=0)
+
+
+def shifted(a: np.ndarray, b: np.ndarray, places: list[np.ndarray], s: int, sizes: tuple[int, np.ndarray], w: int, similarity: float) -> int | None:
+    """Start of the run of b most similar to that of a at ``s``, if it reaches the similarity; ``places`` are those in b of the run's shingles."""
+    own, others = sizes
+    y = np.sort(np.concatenate(places))
+    share = similarity / (1 + similarity)
+    most = np.searchsorted(y, y + w) - np.arange(len(y))
+    y0 = np.unique(y[most >= share * (own + max(int(others.min()), similarity * own)) - 1e-9])
+    t = np.unique(np.clip((y0[:, None] - np.arange(w)).reshape(-1), 0, len(b) - w))
+    n, other = np.searchsorted(y, t + w) - np.searchsorted(y, t), others[t]
+    likely = (n >= share * (own + other) - 1e-9) & (np.minimum(own, other) >= similarity * np.maximum(own, other) - 1e-9)
+    best = (0.0, 0)
+    for k, same, other in zip(t[likely].tolist(), n[likely].tolist(), other[likely].tolist()):
+        if own < w or other < w:  # a shingle that repeats has more places than it counts for
+            same = len(np.intersect1d(a[s : s + w], b[k : k + w]))
+        best = max(best, (same / (own + other - same), -k))
+    return -best[1] if best[0] >= similarity - 1e-9 else None
+
+
+def repeats(a: np.ndarray, b: np.ndarray, p: Passages) -> list[tuple[int, int, int]]:
     """(first word in a, end word in a, first word in b) of the passages of a that b holds.
 
-    a and b are shingles in order; spots are places of shared shingles in both.
+    a and b are shingles in order. Every run of a is tried; first against b along lines of shared
+    shingles, then, as words put in or left out shift the line, against every run of b around them.
     """
-    w = p.shingles
-    need = int(np.ceil(w * 2 * p.similarity / (1 + p.similarity)))
-    good: list[tuple[int, int, int]] = []
-    lines = spots[:, 0] - spots[:, 1]
-    open_spots = []
-    for d in np.unique(lines):
-        low, high = max(0, int(d)), min(len(a), len(b) + int(d))
-        if high - low < w:
-            open_spots += spots[lines == d].tolist()
-            continue
-        sums = np.concatenate([[0], np.cumsum(a[low:high] == b[low - d : high - d])])
-        starts = np.flatnonzero(sums[w:] - sums[:-w] >= need) + low
-        near = np.sort(spots[lines == d, 0])
-        # starts whose window holds a spot
-        holds = np.searchsorted(near, starts, "left") < np.searchsorted(near, starts + w, "left")
-        starts = starts[holds]
-        if len(starts):
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(starts) > 1]))
-            ends = np.concatenate([cut[1:], [len(starts)]]) - 1
-            good += [(int(starts[s]), int(starts[e]) + p.min_words, int(starts[s] - d)) for s, e in zip(cut, ends)]
-        covered = np.zeros(len(a) + 1, bool)
-        for s, e, _ in good:
-            covered[s:e] = True
-        open_spots += [x for x in spots[lines == d].tolist() if not covered[x[0]]]
-    # Words put in or left out shift the line; compare sets around what is left, if enough of them is there.
-    for x, y in open_spots:
-        if any(s <= x < e for s, e, _ in good) or len(a) < w or len(b) < w:
-            continue
-        low = max(0, x - w + 1)
-        there = np.isin(a[low : x + w], b[max(0, y - w - 8) : y + w + 8])
-        sums = np.concatenate([[0], np.cumsum(there)])
-        if len(there) < w or (sums[w:] - sums[:-w]).max() < need:
-            continue
-        best = (0.0, 0, 0)
-        for s in {max(0, min(x - k, len(a) - w)) for k in (0, w // 4, w // 2, 3 * w // 4, w - 1)}:
-            own = np.unique(a[s : s + w])
-            for t in {max(0, min(y - (x - s) + k, len(b) - w)) for k in range(-8, 9, 2)}:
-                other = np.unique(b[t : t + w])
-                same = len(np.intersect1d(own, other, assume_unique=True))
-                best = max(best, (same / (len(own) + len(other) - same), s, t))
-        if best[0] >= p.similarity:
-            good.append((best[1], best[1] + p.min_words, best[2]))
+    w, n, m = p.shingles, len(a), len(b)
+    if n < w or m < w:
+        return []
+    need = int(np.ceil(w * 2 * p.similarity / (1 + p.similarity) - 1e-9))
+    order = np.argsort(b, kind="stable")
+    low, high = (np.searchsorted(b, a, side, sorter=order) for side in ("left", "right"))
+    at = np.concatenate([[0], np.cumsum(high - low)])
+    other = np.full(n - w + 1, -1, np.int64)
+    begin = 0
+    while begin < n - w + 1:  # stretches of a, so that few places are held at once
+        end = min(n - w + 1, max(begin + 1, int(np.searchsorted(at, at[begin] + PLACES)) - w))
+        x = np.repeat(np.arange(begin, end + w - 1), (high - low)[begin : end + w - 1])
+        y = order[np.arange(len(x)) + at[begin] - at[x] + low[x]]
+        found = aligned(np.stack([x, y], axis=1), n, m, w, need)[::-1]
+        found = found[(found[:, 0] >= begin) & (found[:, 0] < end)]
+        other[found[:, 0]] = found[:, 1]
+        begin = end
+    own, others = distinct(a, w), distinct(b, w)
+    there = np.concatenate([[0], np.cumsum(high > low)])
+    least = p.similarity / (1 + p.similarity) * (own + np.maximum(others.min(), p.similarity * own))
+    for s in np.flatnonzero((other < 0) & (there[w:] - there[:-w] >= least - 1e-9)).tolist():
+        t = shifted(a, b, [order[i:j] for i, j in zip(low[s : s + w], high[s : s + w])], s, (int(own[s]), others), w, p.similarity)
+        other[s] = -1 if t is None else t
     out: list[tuple[int, int, int]] = []
-    for s, e, t in sorted(good):
+    for s in np.flatnonzero(other >= 0).tolist():
         if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e), out[-1][2])
+            out[-1] = (out[-1][0], s + p.min_words, out[-1][2])
         else:
-            out.append((s, e, t))
+            out.append((s, s + p.min_words, int(other[s])))
     return out
 
 
-def shared_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(place in a, place in b) of every shingle in both, in order."""
-    order = np.argsort(b, kind="stable")
-    low, high = (np.searchsorted(b, a, side, sorter=order) for side in ("left", "right"))
-    n = high - low
-    x = np.repeat(np.arange(len(a)), n)
-    return np.stack([x, order[np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + low[x]]], axis=1)
-
-
 def verify(pairs: DataFrame, source: DataFrame, p: Passages, source_is_unique: bool = False) -> DataFrame:
     """(id, other, start_word, end_word, other_start) of pairs (id, other)."""
     wanted = pairs.select("id").union(pairs.select("other")).distinct()
@@ -185,7 +205,7 @@ def verify(pairs: DataFrame, source: DataFrame, p: Passages, source_is_unique: b
                 data = np.concatenate([np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)])
                 docs, _, h = positional(A.Words(data, np.array([0, a.size, a.size + b.size]), A.NON_SPACE), p.width)
                 k = int(np.searchsorted(docs, 1))
-                out += [(column("id")[i].as_py(), column("other")[i].as_py(), *x) for x in repeats(h[:k], h[k:], shared_places(h[:k], h[k:]), p)]
+                out += [(column("id")[i].as_py(), column("other")[i].as_py(), *x) for x in repeats(h[:k], h[k:], p)]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "other", "start_word", "end_word", "other_start"])
 
