@@ -250,6 +250,19 @@ def test_passages_with_a_shifted_line_equal_brute_force(n, monkeypatch):
     assert found >= 4
 
 
+def test_every_near_copy_is_a_candidate():
+    p, lost = substring.Passages(), 0
+    for seed in range(300):
+        passage = words(50, seed).split()
+        edited, place = list(passage), random.Random(seed).randrange(50)
+        edited[place : place + seed % 2] = ["extra"]  # a word put in or another in its place
+        text = [" ".join([words(60, 1000 + seed), *passage, words(60, 2000 + seed)]).encode(), " ".join([words(60, 3000 + seed), *edited, words(60, 4000 + seed)]).encode()]
+        w = A.Words(np.frombuffer(b"".join(text), np.uint8), np.array([0, len(text[0]), len(text[0]) + len(text[1])]), A.NON_SPACE)
+        keys, owner, _ = substring.compact_windows(*substring.positional(w, p.width), p)
+        lost += not {*keys[owner == 0].tolist()} & {*keys[owner == 1].tolist()}
+    assert lost == 0
+
+
 def test_sliding_minimum():
     x = A.mix(np.arange(500, dtype=A.U64))
     for w in (1, 2, 46):

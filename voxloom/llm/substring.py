@@ -1,10 +1,11 @@
 """Substring dedup with compact windows.
 
-Tokens are five-word shingles. Under a hash function, the window of ``min_words`` words at every
-start has one smallest shingle (the root of its Cartesian tree); neighbouring starts with the same
-one are a compact window. Compact windows of two functions are intersected, and the starts in such
-an intersection share two signatures: they are one row with one key. Rows of different documents
-with the same key are possible passages. Each document is compared with the smallest document of
+Tokens are five-word shingles. A passage of ``min_words`` words at the similarity misses so few of
+them that they are in one or two unbroken runs, so the longer run has a known length. Under a hash
+function, the window of that length at every start has one smallest gram of some shingles (the root
+of its Cartesian tree); neighbouring starts with the same one are a compact window, which is one row
+with one key. The same run has the same gram in every document, so rows of different documents with
+the same key are all possible passages. Each document is compared with the smallest document of
 its keys, aligned by the places of all shared shingles, and a passage counts if ``min_words`` words
 reach the similarity. Rows outside of confirmed passages are compared with the next smallest document;
 after some rounds, the rows still open are compared with every earlier document of their key.
@@ -26,17 +27,32 @@ from voxloom.llm.scratch import saved
 
 @dataclass(frozen=True)
 class Passages:
-    """Words of the shortest passage, words of a shingle, Jaccard similarity, pairs of hash functions."""
+    """Words of the shortest passage, words of a shingle, Jaccard similarity."""
 
     min_words: int = 50
     width: int = 5
     similarity: float = 0.8
-    functions: tuple[tuple[int, int], ...] = ((1, 2), (3, 4))
 
     @property
     def shingles(self) -> int:
         return self.min_words - self.width + 1
 
+    @property
+    def need(self) -> int:
+        """Least shingles in common of two runs that reach the similarity."""
+        return int(np.ceil(self.shingles * 2 * self.similarity / (1 + self.similarity) - 1e-9))
+
+    @property
+    def run(self) -> int:
+        """Shingles of the longest run in common, at least: a break costs width - 1 shingles or more."""
+        breaks = (self.shingles - self.need) // max(1, self.width - 1)
+        return -(-self.need // (breaks + 1))
+
+    @property
+    def gram(self) -> int:
+        """Shingles of a key: long ones are rarely shared by chance, short ones make fewer rows."""
+        return max(1, self.run // 2 - 1)
+
 
 #: Ids up to which a list of documents is broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
@@ -69,21 +85,24 @@ def positional(words: A.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def compact_windows(docs: np.ndarray, place: np.ndarray, h: np.ndarray, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, place of the first function's smallest shingle) of every compact window."""
-    w, keys, owners, at = p.shingles, [], [], []
-    for a in range(0, max(0, len(h) - w + 1), STRETCH):
-        part = slice(a, min(len(h), a + STRETCH + w - 1))
+    """(key, text, place of the smallest gram) of every compact window of texts that can hold a passage."""
+    run, w, keys, owners, at = p.run, p.run - p.gram + 1, [], [], []
+    long = np.bincount(docs, minlength=1) >= p.shingles
+    for a in range(0, max(0, len(h) - run + 1), STRETCH):
+        part = slice(a, min(len(h), a + STRETCH + run - 1))
         d, x, g = docs[part], place[part], h[part]
-        whole = d[: len(d) - w + 1] == d[w - 1 :]
-        for f1, f2 in p.functions:
-            m1, m2 = (smallest(A.mix(g * A.U64(2 * f + 1)), w) for f in (f1, f2))
-            new = whole.copy()
-            new[1:] &= (m1[1:] != m1[:-1]) | (m2[1:] != m2[:-1]) | ~whole[:-1]
-            s = np.flatnonzero(new)
-            c1, c2 = m1[s], m2[s]
-            keys.append(A.mix(g[c1] * A.U64(0xD6E8FEB86659FD93) + g[c2] + A.U64(f1)))
-            owners.append(d[s])
-            at.append(x[c1])
+        n = len(g) - p.gram + 1
+        grams = g[:n]
+        for k in range(1, p.gram):
+            grams = A.mix(grams * A.U64(0xD6E8FEB86659FD93) + g[k : k + n])
+        low = smallest(grams, w)
+        whole = (d[: len(low)] == d[run - 1 :]) & long[d[: len(low)]]
+        new = whole.copy()
+        new[1:] &= (low[1:] != low[:-1]) | ~whole[:-1]
+        c = low[new]
+        keys.append(grams[c])
+        owners.append(d[c])
+        at.append(x[c])
     if not keys:
         return np.zeros(0, A.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(at)
@@ -102,49 +121,32 @@ def windows(source: DataFrame, p: Passages) -> DataFrame:
     return source.mapInArrow(run, "key long, id long, at int")
 
 
-def distinct(x: np.ndarray, w: int) -> np.ndarray:
-    """Count of distinct values of every run of ``w``."""
+def before(x: np.ndarray) -> np.ndarray:
+    """Last place before of the same value, or -1."""
     order = np.argsort(x, kind="stable")
     again = np.flatnonzero(x[order][1:] == x[order][:-1])
-    before, at = order[again], order[again + 1]
-    # A value counts for nothing in the runs that hold the one before it too.
-    first, last = np.maximum(at - w + 1, 0), np.minimum(before, len(x) - w)
-    use = first <= last
-    lost = np.zeros(len(x) - w + 2, np.int64)
-    np.add.at(lost, first[use], 1)
-    np.add.at(lost, last[use] + 1, -1)
-    return w - np.cumsum(lost)[:-1]
+    out = np.full(len(x), -1, np.int64)
+    out[order[again + 1]] = order[again]
+    return out
+
+
+def holding(places: np.ndarray, earlier: np.ndarray, n: int, w: int) -> np.ndarray:
+    """Count of distinct values of every run of ``w`` of n values, of those at ``places``; ``earlier`` is the same value's place before."""
+    first = np.maximum(np.maximum(places - w + 1, earlier + 1), 0)
+    return np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(places + 1, minlength=n + 1))[: n - w + 1]
 
 
-def aligned(spots: np.ndarray, n: int, m: int, w: int, need: int) -> np.ndarray:
+def aligned(x: np.ndarray, y: np.ndarray, n: int, m: int, w: int, need: int) -> tuple[np.ndarray, np.ndarray]:
     """(start in a, start in b) of the runs of ``w`` with ``need`` equal shingles at equal places."""
-    d = spots[:, 0] - spots[:, 1]
-    order = np.lexsort((spots[:, 0], d))
-    x, d = spots[order, 0], d[order]
+    d = x - y
+    order = np.lexsort((x, d))
+    x, d = x[order], d[order]
     i = np.arange(max(0, len(x) - need + 1))
     i = i[(d[i] == d[i + need - 1]) & (x[i + need - 1] - x[i] < w)]
     low = np.maximum(np.maximum(x[i + need - 1] - w + 1, 0), d[i])
     count = np.maximum(np.minimum(np.minimum(x[i], n - w), m - w + d[i]) - low + 1, 0)
     start = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-    return np.unique(np.stack([start, start - np.repeat(d[i], count)], axis=1), axis=0)
-
-
-def shifted(a: np.ndarray, b: np.ndarray, places: list[np.ndarray], s: int, sizes: tuple[int, np.ndarray], w: int, similarity: float) -> int | None:
-    """Start of the run of b most similar to that of a at ``s``, if it reaches the similarity; ``places`` are those in b of the run's shingles."""
-    own, others = sizes
-    y = np.sort(np.concatenate(places))
-    share = similarity / (1 + similarity)
-    most = np.searchsorted(y, y + w) - np.arange(len(y))
-    y0 = np.unique(y[most >= share * (own + max(int(others.min()), similarity * own)) - 1e-9])
-    t = np.unique(np.clip((y0[:, None] - np.arange(w)).reshape(-1), 0, len(b) - w))
-    n, other = np.searchsorted(y, t + w) - np.searchsorted(y, t), others[t]
-    likely = (n >= share * (own + other) - 1e-9) & (np.minimum(own, other) >= similarity * np.maximum(own, other) - 1e-9)
-    best = (0.0, 0)
-    for k, same, other in zip(t[likely].tolist(), n[likely].tolist(), other[likely].tolist()):
-        if own < w or other < w:  # a shingle that repeats has more places than it counts for
-            same = len(np.intersect1d(a[s : s + w], b[k : k + w]))
-        best = max(best, (same / (own + other - same), -k))
-    return -best[1] if best[0] >= similarity - 1e-9 else None
+    return start, start - np.repeat(d[i], count)
 
 
 def repeats(a: np.ndarray, b: np.ndarray, p: Passages) -> list[tuple[int, int, int]]:
@@ -156,7 +158,6 @@ def repeats(a: np.ndarray, b: np.ndarray, p: Passages) -> list[tuple[int, int, i
     w, n, m = p.shingles, len(a), len(b)
     if n < w or m < w:
         return []
-    need = int(np.ceil(w * 2 * p.similarity / (1 + p.similarity) - 1e-9))
     order = np.argsort(b, kind="stable")
     low, high = (np.searchsorted(b, a, side, sorter=order) for side in ("left", "right"))
     at = np.concatenate([[0], np.cumsum(high - low)])
@@ -166,16 +167,22 @@ def repeats(a: np.ndarray, b: np.ndarray, p: Passages) -> list[tuple[int, int, i
         end = min(n - w + 1, max(begin + 1, int(np.searchsorted(at, at[begin] + PLACES)) - w))
         x = np.repeat(np.arange(begin, end + w - 1), (high - low)[begin : end + w - 1])
         y = order[np.arange(len(x)) + at[begin] - at[x] + low[x]]
-        found = aligned(np.stack([x, y], axis=1), n, m, w, need)[::-1]
-        found = found[(found[:, 0] >= begin) & (found[:, 0] < end)]
-        other[found[:, 0]] = found[:, 1]
+        start, t = aligned(x, y, n, m, w, p.need)
+        inside = (start >= begin) & (start < end)
+        other[start[inside]] = t[inside]
         begin = end
-    own, others = distinct(a, w), distinct(b, w)
+    before_a, before_b = before(a), before(b)
+    own, others = holding(np.arange(n), before_a, n, w), holding(np.arange(m), before_b, m, w)
     there = np.concatenate([[0], np.cumsum(high > low)])
     least = p.similarity / (1 + p.similarity) * (own + np.maximum(others.min(), p.similarity * own))
     for s in np.flatnonzero((other < 0) & (there[w:] - there[:-w] >= least - 1e-9)).tolist():
-        t = shifted(a, b, [order[i:j] for i, j in zip(low[s : s + w], high[s : s + w])], s, (int(own[s]), others), w, p.similarity)
-        other[s] = -1 if t is None else t
+        once = np.flatnonzero((before_a[s : s + w] < s) & (high > low)[s : s + w]) + s
+        y = np.concatenate([order[low[x] : high[x]] for x in once])
+        same = holding(y, before_b[y], m, w)
+        share = same / (own[s] + others - same)
+        t = int(np.argmax(share))
+        if share[t] >= p.similarity - 1e-9:
+            other[s] = t
     out: list[tuple[int, int, int]] = []
     for s in np.flatnonzero(other >= 0).tolist():
         if out and s <= out[-1][1]:
