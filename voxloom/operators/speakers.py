@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 AUTO_SIMILARITY, TWO_SIMILARITY, TWO_MARGIN = 0.58, 0.5, 0.13
-MOST_WINDOWS = 4_000
+#: Rows of a product of vectors that are held at once.
+ROWS = 256
 
 
 def segment_windows(segments: DataFrame, rate: int, seconds: int = 3) -> DataFrame:
@@ -44,30 +45,49 @@ def embed(windows: DataFrame, model: Callable[[], Callable[[np.ndarray], np.ndar
 
 
 def average_linkage(x: np.ndarray, least: float = AUTO_SIMILARITY) -> list[int]:
-    """Labels by average-linkage cosine clustering; lone vectors then join their closest larger cluster."""
+    """Labels by average-linkage cosine clustering; lone vectors then join their closest larger cluster.
+
+    The best pair merges, the first of equals. The mean similarity of two clusters is that of their sum
+    vectors, so besides those only each cluster's best later one is kept, for recordings of any length.
+    """
     n = len(x)
     members = [[i] for i in range(n)]
-    sims = x @ x.T
-    sums = sims.copy()
-    size = np.ones(n)
-    alive = np.ones(n, bool)
-    while alive.sum() > 1:
-        mean = np.where(np.triu(np.outer(alive, alive), 1), sums / np.outer(size, size), -np.inf)
-        i, j = np.unravel_index(int(np.argmax(mean)), mean.shape)
-        if mean[i, j] < least:
+    sums, size, alive = x.astype(np.float64).copy(), np.ones(n), np.ones(n, bool)
+    best, mate = np.full(n, -np.inf), np.zeros(n, np.int64)
+
+    def look(rows: np.ndarray) -> None:
+        for a in range(0, len(rows), ROWS):
+            part = rows[a : a + ROWS]
+            mean = sums[part] @ sums.T / np.outer(size[part], size)
+            mean[~alive[None, :] | (np.arange(n)[None, :] <= part[:, None])] = -np.inf
+            mate[part] = mean.argmax(axis=1)
+            best[part] = mean[np.arange(len(part)), mate[part]]
+
+    look(np.arange(n))
+    while n > 1:
+        i = int(np.argmax(best))
+        if best[i] < least:
             break
+        j = int(mate[i])
         members[i] += members[j]
         sums[i] += sums[j]
-        sums[:, i] += sums[:, j]
         size[i] += size[j]
-        alive[j] = False
+        alive[j], best[j] = False, -np.inf
+        stale = alive & np.isin(mate, (i, j))
+        stale[i] = True
+        # A merged cluster is no closer to another than the closer of its parts; equal ones go by place.
+        mean = sums[:i] @ sums[i] / (size[:i] * size[i])
+        closer = alive[:i] & ((mean > best[:i]) | ((mean == best[:i]) & (i < mate[:i])))
+        best[:i][closer], mate[:i][closer] = mean[closer], i
+        look(np.flatnonzero(stale))
     groups = [members[i] for i in range(n) if alive[i]]
     large = [g for g in groups if len(g) > 1]
     if large:
         whole = [list(g) for g in large]
+        centres = np.stack([x[g].sum(axis=0) / len(g) for g in large])
         for g in groups:
             if len(g) == 1:
-                whole[int(np.argmax([sims[g[0], h].mean() for h in large]))].append(g[0])
+                whole[int(np.argmax(centres @ x[g[0]]))].append(g[0])
         groups = whole
     return _labels(groups, n)
 
@@ -109,9 +129,8 @@ def two_speakers(x: np.ndarray) -> list[int] | None:
     """Two clusters from the least similar pair, or None if they aren't apart."""
     if len(x) < 4:
         return None
-    sims = x @ x.T
-    i, j = np.unravel_index(int(np.argmin(sims)), sims.shape)
-    centres = x[[i, j]]
+    lows = [(float(part.min()), a + int(part.argmin()) // len(x), int(part.argmin()) % len(x)) for a in range(0, len(x), ROWS) for part in (x[a : a + ROWS] @ x.T,)]
+    centres = x[list(min(lows)[1:])]
     for _ in range(20):
         label = _last_max(x @ centres.T)
         if min((label == 0).sum(), (label == 1).sum()) < 2:
@@ -126,19 +145,17 @@ def two_speakers(x: np.ndarray) -> list[int] | None:
     return [first.setdefault(c, len(first)) for c in label.tolist()]
 
 
-def cluster(vectors: DataFrame, method: str = "auto", k: int = 2, most: int = MOST_WINDOWS) -> DataFrame:
+def cluster(vectors: DataFrame, method: str = "auto", k: int = 2) -> DataFrame:
     """(tid, window_id, speaker, status) of (tid, window_id, embedding): one recording is one group.
 
-    Recordings of more than ``most`` windows are reported as too large, not cut. Status tells what went wrong.
+    Memory grows with the windows of a recording, time with their square or more. Status tells what went wrong.
     """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("window_id")
         labels: list[int] | None = None
         status = "ok"
-        if len(p) > most:
-            status = "too large"
-        elif p["embedding"].map(len).nunique() > 1:
+        if p["embedding"].map(len).nunique() > 1:
             status = "ragged"
         else:
             x = np.stack([np.asarray(e, np.float64) for e in p["embedding"]])
