@@ -261,6 +261,33 @@ def test_cer(spark):
     assert rows(quality.cer(a, a.withColumn("text", F.lit("привет мор"))), "distance", "length") == [(1, 9)]
 
 
+def test_cer_of_whole_transcripts(spark, tmp_path):
+    from voxloom.plans import registry
+
+    turns = [(c, k, ("user", "assistant")[k % 2], f"Turn {k}, of {c}: É{'x' * (k + c)}") for c in range(3) for k in range(8)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plain = lambda t: "".join(x for x in t.lower() if x.isalnum())
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    lengths, edits = {}, {}
+    for c in range(3):
+        mine = sorted([(4000 * k + 100 * (c % 5) + 100 * echo, 2 * k + echo, plain(t)) for x, k, role, t in turns for echo in (0, 1) if x == c and (not echo or (role == "assistant" and (c + k) % 3 == 0))])
+        ref = "".join(t for _, _, t in mine)
+        hyp = "".join(t for _, i, t in mine if i % 2 == 0)
+        lengths[f"c{c}"] = (len(ref) - len(hyp), len(ref))
+        edits[f"c{c}"] = (distance(ref, "".join(t for _, i, t in mine if i % 7 != 6)), len(ref))
+    assert {r["tid"]: (r["fewer"], r["length"]) for r in registry.QUERIES["e1_cer_whole_lengths"](spark, str(tmp_path)).collect()} == lengths
+    got = {r["tid"]: r.asDict() for r in registry.QUERIES["e1_cer"](spark, str(tmp_path)).collect()}
+    assert {t: x["cer"] for t, x in got.items()} == pytest.approx({t: a / n for t, (a, n) in edits.items()})
+
+
 def test_wav(spark, tmp_path):
     x = np.sin(np.arange(40_000) * 0.05)[:, None].repeat(2, axis=1) * 0.5
     (tmp_path / "a.wav").write_bytes(readers.wav_bytes(x, 16_000))

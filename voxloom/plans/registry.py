@@ -357,13 +357,27 @@ def o9_place_first(spark, d):
     "v_segments",
 )
 def e1_cer_lengths(spark, d):
-    s = _segments(spark, d).where("segment_index < 6")
+    return _lengths(_segments(spark, d).where("segment_index < 6"))
+
+
+def _lengths(s: DataFrame) -> DataFrame:
     hyp = s.where("segment_index % 2 = 0").withColumn("text", F.lower("text"))
     both = quality.joined_text(s, "r").join(quality.joined_text(hyp, "h"), "tid", "full")
     n = lambda c: F.char_length(C.normalized_text(F.coalesce(c, F.lit(""))))
     return both.select("tid", (n("r") - n("h")).alias("fewer"), F.greatest(n("r"), F.lit(1)).alias("length"))
 
 
+@query(
+    r"""+ a AS (SELECT tid, string_agg(text, ' ' ORDER BY start_ms, segment_index) AS ref FROM v_segments GROUP BY tid),
+    b AS (SELECT tid, string_agg(lower(text), ' ' ORDER BY start_ms, segment_index) AS hyp FROM v_segments WHERE segment_index % 2 = 0 GROUP BY tid),
+    c AS (SELECT coalesce(a.tid, b.tid) AS tid, regexp_replace(lower(coalesce(ref, '')), '[^\p{L}\p{M}\p{N}]+', '', 'g') AS r, regexp_replace(coalesce(hyp, ''), '[^\p{L}\p{M}\p{N}]+', '', 'g') AS h FROM a FULL JOIN b ON a.tid = b.tid)
+    SELECT tid, CAST(length(r) - length(h) AS INT) AS fewer, CAST(greatest(length(r), 1) AS INT) AS length FROM c""",
+    "v_segments",
+)
+def e1_cer_whole_lengths(spark, d):
+    return _lengths(_segments(spark, d))
+
+
 @query()
 def e1_cer(spark, d):
     s = _segments(spark, d)
