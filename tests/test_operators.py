@@ -99,6 +99,37 @@ def test_regions_follow_the_sequential_rule(spark):
         assert rows(vad.speech_regions(f, n), "start", "end") == want
 
 
+def test_every_order_is_a_recording(spark, tmp_path):
+    from voxloom.plans import registry
+
+    keys = range(1, 12)
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    want, chunks = set(), set()
+    for k in keys:
+        probs = [(k * 31 + f // 12 * 17) % 100 for f in range(200)]
+        length, start, quiet, found = 200 * 512 - k % 512, None, None, []
+        for f, p in enumerate(probs):
+            if p >= 50:
+                start, quiet = (f * 512 if start is None else start), None
+            elif p < 35 and start is not None:
+                quiet = f * 512 if quiet is None else quiet
+                if f * 512 - quiet >= 1600:
+                    found.append((start, quiet))
+                    start = quiet = None
+        found += [(start, length)] if start is not None else []
+        found = [x for x in found if x[1] - x[0] >= 3200]
+        want |= {(f"o{k}", *x) for x in found}
+        padded = []
+        for s, e in ((max(s - 1920, 0), min(e + 1920, length)) for s, e in found):
+            if padded and s <= padded[-1][1]:
+                padded[-1] = (padded[-1][0], max(e, padded[-1][1]))
+            else:
+                padded.append((s, e))
+        chunks |= {(f"o{k}", *x) for x in vad.repair_short_chunks(vad.chunks_of(padded))}
+    assert {tuple(r) for r in registry.QUERIES["v2_all_speech_regions"](spark, str(tmp_path)).collect()} == want and len({x[0] for x in want}) == 11
+    assert {(r["tid"], r["start"], r["end"]) for r in registry.QUERIES["v4_all_chunks"](spark, str(tmp_path)).collect()} == chunks
+
+
 def test_chunks():
     s = 16_000
     assert vad.chunks_of([(0, 16 * s), (17 * s, 20 * s)]) == [(0, 16 * s), (17 * s, 20 * s)]

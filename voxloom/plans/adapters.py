@@ -41,6 +41,11 @@ SELECT concat('o', o_orderkey) AS tid, 200*512 - CAST(o_orderkey % 512 AS INT) A
 FROM orders WHERE o_orderkey % 10 = 0
 """
 
+# The same for all orders.
+_EVERY = " WHERE o_orderkey % 10 = 0"
+VIEWS["v_all_frames"] = VIEWS["v_frames"].replace(_EVERY, "")
+VIEWS["v_all_vad_len"] = VIEWS["v_vad_len"].replace(_EVERY[1:], "")
+
 VIEWS["v_vectors"] = """
 SELECT concat('r', vec_id % 20) AS tid, vec_id AS window_id, vec_id % 7 AS segment_index, embedding, label
 FROM embeddings
@@ -83,9 +88,10 @@ FROM (SELECT o_custkey, o_orderkey,
 
 #: What differs in DuckDB.
 DUCK = VIEWS | {"v_frames": _FRAMES.format(div="//", grid=", (SELECT unnest(range(200)) AS f) g")}
+DUCK["v_all_frames"] = DUCK["v_frames"].replace(_EVERY, "")
 
 TABLES = {
-    "v_segments": ["conversations"], "v_jobs": ["orders"], "v_frames": ["orders"], "v_vad_len": ["orders"], "v_vectors": ["embeddings"],
+    "v_segments": ["conversations"], "v_jobs": ["orders"], "v_frames": ["orders"], "v_vad_len": ["orders"], "v_all_frames": ["orders"], "v_all_vad_len": ["orders"], "v_vectors": ["embeddings"],
     "v_nodes": ["region", "nation", "supplier", "customer"], "v_changes": ["events"], "v_blocks": ["events"], "v_snapshots": ["orders"],
 }
 

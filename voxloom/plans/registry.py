@@ -453,9 +453,16 @@ r AS (SELECT i.tid, min(s) AS start, coalesce(max(CASE WHEN closed THEN sil END)
 regions AS (SELECT tid, start, CAST("end" AS BIGINT) AS "end" FROM r WHERE "end" - start >= 3200)"""
 
 
-def _frames(spark, d):
-    frames = view(spark, d, "v_frames").select("tid", F.lit("file").alias("track"), "frame", (F.col("p100") / 100).alias("prob"))
-    return frames, view(spark, d, "v_vad_len").select("tid", F.lit("file").alias("track"), F.col("audio_len").cast("long").alias("audio_len"))
+ALL_REGIONS = REGIONS.replace("v_frames", "v_all_frames").replace("v_vad_len", "v_all_vad_len")
+PADDED = """, p AS (SELECT g.tid, greatest(start - 1920, 0) AS s, least("end" + 1920, audio_len) AS e FROM regions g JOIN v_all_vad_len l ON l.tid = g.tid),
+  b AS (SELECT *, max(e) OVER (PARTITION BY tid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM p),
+  n AS (SELECT *, sum(CASE WHEN s <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY tid ORDER BY s, e) AS k FROM b)
+  SELECT tid, min(s) AS start, max(e) AS "end" FROM n GROUP BY tid, k"""
+
+
+def _frames(spark, d, every: str = "v"):
+    frames = view(spark, d, f"{every}_frames").select("tid", F.lit("file").alias("track"), "frame", (F.col("p100") / 100).alias("prob"))
+    return frames, view(spark, d, f"{every}_vad_len").select("tid", F.lit("file").alias("track"), F.col("audio_len").cast("long").alias("audio_len"))
 
 
 @query(REGIONS + 'SELECT tid, start, "end" FROM regions', "v_frames", "v_vad_len")
@@ -478,6 +485,23 @@ def v4_chunks(spark, d):
     return vad.chunk_regions(vad.pad_and_merge_regions(vad.speech_regions(frames, lengths), lengths))
 
 
+@query(ALL_REGIONS + 'SELECT tid, start, "end" FROM regions', "v_all_frames", "v_all_vad_len")
+def v2_all_speech_regions(spark, d):
+    return vad.speech_regions(*_frames(spark, d, "v_all")).select("tid", "start", "end")
+
+
+@query(ALL_REGIONS + PADDED, "v_all_frames", "v_all_vad_len")
+def v3_all_padded_regions(spark, d):
+    frames, lengths = _frames(spark, d, "v_all")
+    return vad.pad_and_merge_regions(vad.speech_regions(frames, lengths), lengths).select("tid", "start", "end")
+
+
+@query()
+def v4_all_chunks(spark, d):
+    frames, lengths = _frames(spark, d, "v_all")
+    return vad.chunk_regions(vad.pad_and_merge_regions(vad.speech_regions(frames, lengths), lengths))
+
+
 PACKETS = "+ p AS (SELECT session_id AS session, track_id AS track, arrival, n, coalesce(sum(n) OVER (PARTITION BY session_id, track_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS due FROM v_blocks)"
 
 
