@@ -1,14 +1,18 @@
 """Substring dedup with compact windows.
 
-Tokens are five-word shingles. A passage of ``min_words`` words at the similarity misses so few of
-them that they are in one or two unbroken runs, so the longer run has a known length. Under a hash
-function, the window of that length at every start has one smallest gram of some shingles (the root
-of its Cartesian tree); neighbouring starts with the same one are a compact window, which is one row
-with one key. The same run has the same gram in every document, so rows of different documents with
-the same key are all possible passages. Each document is compared with the smallest document of
-its keys, aligned by the places of all shared shingles, and a passage counts if ``min_words`` words
-reach the similarity. Rows outside of confirmed passages are compared with the next smallest document;
-after some rounds, the rows still open are compared with every earlier document of their key.
+Tokens are five-word shingles. A passage is a run of ``min_words`` words; longer ones are unions of
+runs, as one at the similarity always holds a run at it. Under each of some hash functions, the
+Cartesian tree of a text's tokens has a node for every smallest token; the subsequences that a
+node is the smallest of share that part of their signature. A node over at least a run's tokens is
+a compact window: one row with one key for all its subsequences. Rows whose key one document only
+holds are dropped; an interval join of the rest, within each document, keeps the runs that lie in
+the windows of enough functions. Rows of different documents with the same key are possible
+passages. Their spans, not their texts, are compared:
+
+1. each with one span of the smallest document of its keys, which settles groups of copies;
+2. for rows outside of confirmed passages, runs with too many tokens that no other span holds are
+   dropped, and spans that share one of the rarest tokens of a run are compared, so that documents
+   with a common line don't meet as pairs.
 """
 
 from __future__ import annotations
@@ -27,11 +31,16 @@ from voxloom.llm.scratch import saved
 
 @dataclass(frozen=True)
 class Passages:
-    """Words of the shortest passage, words of a shingle, Jaccard similarity."""
+    """Words of the shortest passage, words of a shingle, Jaccard similarity, hash functions, how many must agree.
+
+    Two runs at the similarity agree in a function with that probability: of six, three agree with 0.983.
+    """
 
     min_words: int = 50
     width: int = 5
     similarity: float = 0.8
+    functions: int = 6
+    agree: int = 3
 
     @property
     def shingles(self) -> int:
@@ -42,27 +51,14 @@ class Passages:
         """Least shingles in common of two runs that reach the similarity."""
         return int(np.ceil(self.shingles * 2 * self.similarity / (1 + self.similarity) - 1e-9))
 
-    @property
-    def run(self) -> int:
-        """Shingles of the longest run in common, at least: a break costs width - 1 shingles or more."""
-        breaks = (self.shingles - self.need) // max(1, self.width - 1)
-        return -(-self.need // (breaks + 1))
 
-    @property
-    def gram(self) -> int:
-        """Shingles of a key: long ones are rarely shared by chance, short ones make fewer rows."""
-        return max(1, self.run // 2 - 1)
-
-
-#: Ids up to which a list of documents is broadcast (8 bytes each).
-BROADCAST_IDS = 500_000
-#: Rounds against the smallest document of a key, before all pairs of what is still open.
-ROUNDS = 3
 #: Positions that are searched at once.
 STRETCH = 1 << 22
 #: Shared places of a pair that are held at once.
 PLACES = 1 << 20
 _PLACE_BITS = 23
+#: Low bits of a key that name its hash function.
+_FUNCTION_BITS = 4
 
 
 def smallest(values: np.ndarray, w: int) -> np.ndarray:
@@ -84,49 +80,130 @@ def positional(words: A.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return docs, np.arange(len(docs)) - first[docs], h
 
 
+def nearest_smaller(v: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value to the left, or -1, by jumps from one to the next."""
+    left = np.arange(-1, len(v) - 1)
+    todo = np.flatnonzero(left >= 0)
+    todo = todo[v[left[todo]] > v[todo]]
+    while len(todo):
+        left[todo] = left[left[todo]]
+        todo = todo[left[todo] >= 0]
+        todo = todo[v[left[todo]] > v[todo]]
+    return left
+
+
 def compact_windows(docs: np.ndarray, place: np.ndarray, h: np.ndarray, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, place of the smallest gram) of every compact window of texts that can hold a passage."""
-    run, w, keys, owners, at = p.run, p.run - p.gram + 1, [], [], []
-    long = np.bincount(docs, minlength=1) >= p.shingles
-    for a in range(0, max(0, len(h) - run + 1), STRETCH):
-        part = slice(a, min(len(h), a + STRETCH + run - 1))
-        d, x, g = docs[part], place[part], h[part]
-        n = len(g) - p.gram + 1
-        grams = g[:n]
-        for k in range(1, p.gram):
-            grams = A.mix(grams * A.U64(0xD6E8FEB86659FD93) + g[k : k + n])
-        low = smallest(grams, w)
-        whole = (d[: len(low)] == d[run - 1 :]) & long[d[: len(low)]]
-        new = whole.copy()
-        new[1:] &= (low[1:] != low[:-1]) | ~whole[:-1]
-        c = low[new]
-        keys.append(grams[c])
-        owners.append(d[c])
-        at.append(x[c])
+    """(key, text, (first, last, at)): the windows [l, r] of the nodes of the Cartesian trees over at least a run.
+
+    ``at`` is the node's place; the runs that it is the smallest token of start at ``first`` to
+    ``last``, which are all starts from l to ``at`` that leave room for a run up to r.
+    """
+    w, keys, owners, spans = p.shingles, [], [], []
+    for f in range(p.functions):
+        values, nodes = A.mix(h ^ A.mix(np.array([f + 1], A.U64) * A.U64(0x9FB21C651E98DF25))), []
+        for a in range(0, max(0, len(h) - w + 1), STRETCH):
+            low = smallest(values[a : a + STRETCH + w - 1], w) + a
+            start = np.arange(a, a + len(low))
+            low = low[docs[start] == docs[start + w - 1]]
+            nodes.append(low[np.concatenate([[True], low[1:] != low[:-1]])[: len(low)]])
+        c = np.unique(np.concatenate(nodes)) if nodes else np.zeros(0, np.int64)
+        if not len(c):
+            continue
+        # Every ancestor of a node has a larger window, so the nodes know their bounds from each other.
+        value = (values[c] >> A.U64(_PLACE_BITS) << A.U64(_PLACE_BITS)) | (c % (1 << _PLACE_BITS)).astype(A.U64)
+        edge = np.flatnonzero(np.concatenate([[True], docs[c][1:] != docs[c][:-1]]))
+        v, at = np.insert(value, edge, 0), np.insert(c, edge, -1)  # a text's nodes stand between zeros
+        n = len(v)
+        left = nearest_smaller(v)
+        right = n - 1 - nearest_smaller(v[::-1])[::-1]
+        real = np.flatnonzero(at >= 0)
+        d, x = docs[c], place[c]
+        size = np.bincount(docs, minlength=int(docs[-1]) + 1)
+        l = np.where(at[left[real]] >= 0, place[at[left[real]]] + 1, 0)
+        after = np.where(right[real] < n, right[real], 0)
+        r = np.where((right[real] < n) & (at[after] >= 0), place[at[after]] - 1, size[d] - 1)
+        keys.append(values[c] >> A.U64(_FUNCTION_BITS) << A.U64(_FUNCTION_BITS) | A.U64(f))
+        owners.append(d)
+        spans.append(np.stack([np.maximum(l, x - w + 1), np.minimum(x, r - w + 1), x], 1).astype(np.int32))
     if not keys:
-        return np.zeros(0, A.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners), np.concatenate(at)
+        return np.zeros(0, A.U64), np.zeros(0, np.int64), np.zeros((0, 3), np.int32)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(spans)
 
 
 def windows(source: DataFrame, p: Passages) -> DataFrame:
-    """(key, id, at) rows of all texts."""
+    """(key, id, first, last, at) rows of all texts."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, off in A.slices(batch.column(1)):
-                keys, owner, at = compact_windows(*positional(A.Words(data, off, A.NON_SPACE), p.width), p)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids.slice(i, j - i).take(pa.array(owner)), pa.array(at.astype(np.int32))], names=["key", "id", "at"])
+                keys, owner, spans = compact_windows(*positional(A.Words(data, off, A.NON_SPACE), p.width), p)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids.slice(i, j - i).take(pa.array(owner)), *(pa.array(spans[:, k].copy()) for k in range(3))], names=["key", "id", "first", "last", "at"])
 
-    return source.mapInArrow(run, "key long, id long, at int")
+    return source.mapInArrow(run, "key long, id long, first int, last int, at int")
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """Keys that more than one document holds."""
+    keys = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    return saved(keys, "passage-keys")
 
 
-def before(x: np.ndarray) -> np.ndarray:
-    """Last place before of the same value, or -1."""
-    order = np.argsort(x, kind="stable")
-    again = np.flatnonzero(x[order][1:] == x[order][:-1])
-    out = np.full(len(x), -1, np.int64)
-    out[order[again + 1]] = order[again]
+def runs_of_enough_windows(first: np.ndarray, last: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the maximal stretches of starts that lie in ``agree`` of the intervals [first, last]."""
+    at = np.concatenate([first, last + 1])
+    order = np.argsort(at, kind="stable")
+    at, depth = at[order], np.cumsum(np.repeat([1, -1], len(first))[order])
+    whole = np.concatenate([at[1:] != at[:-1], [True]])[: len(at)]
+    at, enough = at[whole], depth[whole] >= agree
+    change = np.flatnonzero(enough != np.concatenate([[False], enough])[: len(enough)])
+    return at[change[::2]], at[change[1::2]]
+
+
+def agreeing(rows: DataFrame, p: Passages) -> DataFrame:
+    """Of each document, the rows with a run in the windows of enough functions, cut to such runs.
+
+    ``span`` is the first run of the stretch of neighbouring rows that a row belongs to, ``span_end``
+    the end of its last run. A document's rows come together; they are fewer than its words.
+    """
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            owner, flat = pa.compute.list_parent_indices(lists).to_numpy(), lists.flatten()
+            key, first, last, at = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            # One line for all documents of the batch; a gap of two keeps them apart.
+            length = np.zeros(len(lists), np.int64)
+            np.maximum.at(length, owner, last + 3)
+            base = np.cumsum(length) - length
+            first, last = first + base[owner], last + base[owner]
+            low, high = runs_of_enough_windows(first, last, p.agree)
+            a, b = np.searchsorted(high, first, "right"), np.searchsorted(low, last, "right") - 1
+            on = np.flatnonzero(a <= b)
+            owner, key, at = owner[on], key[on], at[on]
+            first, last = np.maximum(first[on], low[a[on]]), np.minimum(last[on], high[b[on]] - 1)
+            begin, end = runs_of_enough_windows(first, last, 1)
+            k = np.searchsorted(begin, first, "right") - 1
+            off = base[owner]
+            cols = [pa.array(key), batch.column(0).take(pa.array(owner)), *(pa.array((x - off).astype(np.int32)) for x in (first, last))]
+            cols += [pa.array(at), *(pa.array((x - off).astype(np.int32)) for x in (begin[k], end[k] - 1 + p.shingles))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "id", "first", "last", "at", "span", "span_end"])
+
+    lists = rows.groupBy("id").agg(F.collect_list(F.struct("key", "first", "last", "at")).alias("rows"))
+    return lists.mapInArrow(run, "key long, id long, first int, last int, at int, span int, span_end int")
+
+
+def in_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of 32 bits sorted, and the place of each; equal ones by place."""
+    keys = np.sort((x.astype(A.U64) << A.U64(32)) | np.arange(len(x), dtype=A.U64))
+    return keys >> A.U64(32), (keys & A.U64(0xFFFFFFFF)).astype(np.int64)
+
+
+def before(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Last place before of the same value, or -1, from values in order."""
+    again = np.flatnonzero(values[1:] == values[:-1])
+    out = np.full(len(values), -1, np.int64)
+    out[places[again + 1]] = places[again]
     return out
 
 
@@ -138,9 +215,8 @@ def holding(places: np.ndarray, earlier: np.ndarray, n: int, w: int) -> np.ndarr
 
 def aligned(x: np.ndarray, y: np.ndarray, n: int, m: int, w: int, need: int) -> tuple[np.ndarray, np.ndarray]:
     """(start in a, start in b) of the runs of ``w`` with ``need`` equal shingles at equal places."""
-    d = x - y
-    order = np.lexsort((x, d))
-    x, d = x[order], d[order]
+    keys = np.sort(((x - y + m) << 32) | x)
+    x, d = keys & 0xFFFFFFFF, (keys >> 32) - m
     i = np.arange(max(0, len(x) - need + 1))
     i = i[(d[i] == d[i + need - 1]) & (x[i + need - 1] - x[i] < w)]
     low = np.maximum(np.maximum(x[i + need - 1] - w + 1, 0), d[i])
@@ -152,14 +228,24 @@ def aligned(x: np.ndarray, y: np.ndarray, n: int, m: int, w: int, need: int) ->
 def repeats(a: np.ndarray, b: np.ndarray, p: Passages) -> list[tuple[int, int, int]]:
     """(first word in a, end word in a, first word in b) of the passages of a that b holds.
 
-    a and b are shingles in order. Every run of a is tried; first against b along lines of shared
-    shingles, then, as words put in or left out shift the line, against every run of b around them.
+    a and b are shingles in order, as numbers of 32 bits. Every run of a is tried; first against b
+    along lines of shared shingles, then, as words put in or left out shift the line, against every
+    run of b.
     """
     w, n, m = p.shingles, len(a), len(b)
     if n < w or m < w:
         return []
-    order = np.argsort(b, kind="stable")
-    low, high = (np.searchsorted(b, a, side, sorter=order) for side in ("left", "right"))
+    (a_values, a_places), (b_values, order) = in_order(a), in_order(b)
+    low, high = np.empty(n, np.int64), np.empty(n, np.int64)
+    low[a_places], high[a_places] = (np.searchsorted(b_values, a_values, side) for side in ("left", "right"))
+    there = np.concatenate([[0], np.cumsum(high > low)])
+    there = there[w:] - there[:-w]
+    before_a = before(a_values, a_places)
+    own = holding(np.arange(n), before_a, n, w)
+    if not (there >= p.similarity * own - 1e-9).any():
+        return []
+    before_b = before(b_values, order)
+    others = holding(np.arange(m), before_b, m, w)
     at = np.concatenate([[0], np.cumsum(high - low)])
     other = np.full(n - w + 1, -1, np.int64)
     begin = 0
@@ -169,93 +255,225 @@ def repeats(a: np.ndarray, b: np.ndarray, p: Passages) -> list[tuple[int, int, i
         y = order[np.arange(len(x)) + at[begin] - at[x] + low[x]]
         start, t = aligned(x, y, n, m, w, p.need)
         inside = (start >= begin) & (start < end)
-        other[start[inside]] = t[inside]
+        start, t = start[inside], t[inside]
+        sure = (own[start] == w) & (others[t] == w)  # with repeated shingles, equal places say less
+        other[start[sure]] = t[sure]
         begin = end
-    before_a, before_b = before(a), before(b)
-    own, others = holding(np.arange(n), before_a, n, w), holding(np.arange(m), before_b, m, w)
-    there = np.concatenate([[0], np.cumsum(high > low)])
     least = p.similarity / (1 + p.similarity) * (own + np.maximum(others.min(), p.similarity * own))
-    for s in np.flatnonzero((other < 0) & (there[w:] - there[:-w] >= least - 1e-9)).tolist():
-        once = np.flatnonzero((before_a[s : s + w] < s) & (high > low)[s : s + w]) + s
-        y = np.concatenate([order[low[x] : high[x]] for x in once])
-        same = holding(y, before_b[y], m, w)
-        share = same / (own[s] + others - same)
-        t = int(np.argmax(share))
-        if share[t] >= p.similarity - 1e-9:
-            other[s] = t
-    out: list[tuple[int, int, int]] = []
-    for s in np.flatnonzero(other >= 0).tolist():
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], s + p.min_words, out[-1][2])
-        else:
-            out.append((s, s + p.min_words, int(other[s])))
-    return out
+    rest, step = np.flatnonzero((other < 0) & (there >= least - 1e-9)), max(1, PLACES // (m + w))
+    for part in np.split(rest, range(step, len(rest), step)):
+        if not len(part):
+            continue
+        x = part[:, None] + np.arange(w)
+        row, k = np.nonzero((before_a[x] < part[:, None]) & (high > low)[x])  # each shingle of a run once
+        x = x[row, k]
+        count = (high - low)[x]
+        row, y = np.repeat(row, count), order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - low[x], count)]
+        # A place of b counts in the runs that it is in and its value's place before isn't.
+        first = np.maximum(np.maximum(y - w + 1, before_b[y] + 1), 0)
+        size = len(part) * (m + 1)
+        same = np.bincount(row * (m + 1) + first, minlength=size) - np.bincount(row * (m + 1) + y + 1, minlength=size)
+        same = np.cumsum(same.reshape(len(part), m + 1), axis=1)[:, : m - w + 1]
+        share = same / (own[part][:, None] + others - same)
+        t = share.argmax(axis=1)
+        good = share[np.arange(len(part)), t] >= p.similarity - 1e-9
+        other[part[good]] = t[good]
+    found = np.flatnonzero(other >= 0)
+    if not len(found):
+        return []
+    new = np.flatnonzero(np.diff(found, prepend=-p.min_words - 1) > p.min_words)
+    last = found[np.append(new[1:], len(found)) - 1]
+    return list(zip(found[new].tolist(), (last + p.min_words).tolist(), other[found[new]].tolist()))
 
 
-def verify(pairs: DataFrame, source: DataFrame, p: Passages, source_is_unique: bool = False) -> DataFrame:
-    """(id, other, start_word, end_word, other_start) of pairs (id, other)."""
-    wanted = pairs.select("id").union(pairs.select("other")).distinct()
-    wanted = saved(wanted, "passage-wanted")
-    # A list of ids that is proven small is broadcast; else both sides are shuffled.
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = saved(source.join(F.broadcast(wanted) if few else wanted.hint("merge"), "id", "left_semi"), "passage-texts")
-    if not source_is_unique:
-        texts = texts.dropDuplicates(["id"])
-    both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("text").alias("other_text")), "other")
+def span_tokens(rows: DataFrame, source: DataFrame, p: Passages) -> DataFrame:
+    """(id, span, tokens): the shingles of each span, 32 bits of each hash, as bytes."""
+    spans = rows.groupBy("id", "span").agg(F.max("span_end").alias("end")).groupBy("id").agg(F.collect_list(F.struct("span", "end")).alias("spans"))
+
+    def run(batches):
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(2)
+            owner, flat = pa.compute.list_parent_indices(lists).to_numpy(), lists.flatten()
+            begin, end = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for i, j, data, off in A.slices(batch.column(1)):
+                docs, _, h = positional(A.Words(data, off, A.NON_SPACE), p.width)
+                first, h = np.searchsorted(docs, np.arange(j - i)), (h >> A.U64(32)).astype(np.uint32)
+                a, b = np.searchsorted(owner, [i, j])
+                low = first[owner[a:b] - i]
+                out = [h[x + s : x + e].tobytes() for x, s, e in zip(low.tolist(), begin[a:b].tolist(), end[a:b].tolist())]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[a:b])), pa.array(begin[a:b].astype(np.int32)), pa.array(out, pa.binary())], names=["id", "span", "tokens"])
+
+    return source.join(spans.hint("merge"), "id").select("id", "text", "spans").mapInArrow(run, "id long, span int, tokens binary")
+
+
+def verify(pairs: DataFrame, tokens: DataFrame, p: Passages) -> DataFrame:
+    """(id, other, start_word, end_word, other_start) of pairs of spans (id, span, other, other_span)."""
+    theirs = tokens.select(F.col("id").alias("other"), F.col("span").alias("other_span"), F.col("tokens").alias("others"))
+    both = pairs.join(tokens.hint("merge"), ["id", "span"]).join(theirs.hint("merge"), ["other", "other_span"])
 
     def run(batches):
         for batch in batches:
             out = []
-            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-            for i in range(len(batch)):
-                a, b = column("text")[i].as_buffer(), column("other_text")[i].as_buffer()
-                data = np.concatenate([np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)])
-                docs, _, h = positional(A.Words(data, np.array([0, a.size, a.size + b.size]), A.NON_SPACE), p.width)
-                k = int(np.searchsorted(docs, 1))
-                out += [(column("id")[i].as_py(), column("other")[i].as_py(), *x) for x in repeats(h[:k], h[k:], p)]
+            ids, span, other, other_span = (batch.column(k).to_pylist() for k in range(4))
+            for k in range(len(batch)):
+                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint32) for c in (4, 5))
+                out += [(ids[k], other[k], span[k] + x, span[k] + y, other_span[k] + z) for x, y, z in repeats(a, b, p)]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "other", "start_word", "end_word", "other_start"])
 
-    rows = both.select("id", "other", "text", "other_text")
+    rows = both.select("id", "span", "other", "other_span", "tokens", "others")
     return rows.mapInArrow(run, "id long, other long, start_word long, end_word long, other_start long")
 
 
+def outside(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (id, at) whose place is in no passage of ``found``."""
+    spans = found.groupBy("id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("passages"))
+    free = rows.join(spans.hint("merge"), "id", "left").where("passages is null or not exists(passages, s -> s.start_word <= at and at < s.end_word)")
+    return free.drop("passages")
+
+
+def distinct_tokens(tokens: DataFrame, p: Passages) -> DataFrame:
+    """(token, plain, id, span) of every span's distinct tokens; ``plain`` if none repeats within a run."""
+
+    def run(batches):
+        for batch in batches:
+            values, plain = [], []
+            for x in batch.column(2):
+                h = np.frombuffer(x.as_buffer(), np.uint32)
+                order, places = in_order(h)
+                plain.append(not ((order[1:] == order[:-1]) & (places[1:] - places[:-1] < p.shingles)).any())
+                values.append(order[np.concatenate([[True], order[1:] != order[:-1]])[: len(order)]].astype(np.int64))
+            owner = np.repeat(np.arange(len(values)), [len(x) for x in values])
+            flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+            owner_column = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.array(plain, bool)[owner]), batch.column(0).take(owner_column), batch.column(1).take(owner_column)], names=["token", "plain", "id", "span"])
+
+    return tokens.select("id", "span", "tokens").mapInArrow(run, "token long, plain boolean, id long, span int")
+
+
+def placed_tokens(tokens: DataFrame, p: Passages) -> DataFrame:
+    """(token, id, span, at) of the places of the runs that start in ``runs``."""
+
+    def run(batches):
+        for batch in batches:
+            spans, cols = batch.column(1).to_pylist(), ([], [], [])
+            for k, runs in enumerate(batch.column(3).to_pylist()):
+                h = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint32)
+                on = np.zeros(len(h) + 1, np.int64)
+                for x in runs:
+                    on[x["first"] - spans[k]] += 1
+                    on[x["last"] - spans[k] + p.shingles] -= 1
+                at = np.flatnonzero(np.cumsum(on)[:-1] > 0)
+                for col, x in zip(cols, (h[at].astype(np.int64), np.full(len(at), k), (at + spans[k]).astype(np.int32))):
+                    col.append(x)
+            flat, owner, at = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(at)], names=["token", "id", "span", "at"])
+
+    return tokens.select("id", "span", "tokens", "runs").mapInArrow(run, "token long, id long, span int, at int")
+
+
+def rarest(at: np.ndarray, token: np.ndarray, count: np.ndarray, starts: np.ndarray, plain: bool, p: Passages) -> np.ndarray:
+    """Indexes of the places whose tokens are among the rarest of a run, of those that another span holds.
+
+    ``at`` ascends; ``count`` is the number of other spans that hold the token. A run of d distinct
+    tokens needs a share of them in common with any run at the similarity, and more if that one's tokens
+    are all distinct (``plain``). Of one more than it may lack, the rarest, one is in common. If
+    nobody else holds these, the run has no match.
+    """
+    order = np.lexsort((token, count))
+    rank = np.empty(len(at), np.int64)
+    rank[order] = np.arange(len(at))
+    same = before(*in_order(token))
+    earlier = np.where(same >= 0, at[same], -1)
+    picked = np.zeros(len(at), bool)
+    step = max(1, PLACES // p.shingles)
+    for part in np.split(starts, range(step, len(starts), step)):
+        x = np.searchsorted(at, part)[:, None] + np.arange(p.shingles)
+        once = earlier[x] < part[:, None]
+        own = once.sum(axis=1)
+        need = p.similarity / (1 + p.similarity) * (own + p.shingles) if plain else p.similarity * own
+        spare = own - np.ceil(need - 1e-9).astype(np.int64)
+        ranks = np.sort(np.where(once, rank[x], len(at)), axis=1)
+        most = np.where(spare >= 0, ranks[np.arange(len(part)), np.maximum(spare, 0)], -1)
+        picked[x[once & (rank[x] <= most[:, None])]] = True
+    return np.flatnonzero(picked & (count > 0))
+
+
+def rare_tokens(spans: DataFrame, p: Passages) -> DataFrame:
+    """(id, span, token, plain, at) of the rarest tokens of the runs (``runs``), among plain spans and among the others."""
+
+    def run(batches):
+        for batch in batches:
+            cols, lists = [[] for _ in range(5)], batch.column(3)
+            ids, span = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k, runs in enumerate(batch.column(2).to_pylist()):
+                at, token, *counts = (lists[k].values.field(c).to_numpy(zero_copy_only=False) for c in range(4))
+                order = np.argsort(at)
+                starts = np.unique(np.concatenate([np.arange(x["first"], x["last"] + 1) for x in runs]))
+                for plain, count in zip((True, False), counts):
+                    i = order[rarest(at[order], token[order], count[order], starts, plain, p)]
+                    for col, x in zip(cols, (np.full(len(i), ids[k]), np.full(len(i), span[k], np.int32), token[i], np.full(len(i), plain), at[i])):
+                        col.append(x)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, kinds)], names=["id", "span", "token", "plain", "at"])
+
+    return spans.select("id", "span", "runs", "held").mapInArrow(run, "id long, span int, token long, plain boolean, at int")
+
+
+def apart(still: DataFrame, rows: DataFrame, tokens: DataFrame, compared: DataFrame, p: Passages) -> list[DataFrame]:
+    """Passages of the rows ``still`` open, against every earlier span that may hold one."""
+    keys = saved(still.select("key").distinct(), "passage-open-keys")
+    met = saved(rows.join(keys.hint("merge"), "key").select("id", "span").distinct(), "passage-met")
+    met_tokens = saved(tokens.join(met.hint("merge"), ["id", "span"]), "passage-met-tokens")
+    each = saved(distinct_tokens(met_tokens, p), "passage-each")
+    count = lambda c: F.count(F.when(c, 1))
+    lowest = lambda c: F.min(F.when(c, F.struct("id", "span")))
+    held = each.groupBy("token").agg(count(F.col("plain")).alias("n_plain"), count(~F.col("plain")).alias("n_other"), lowest(F.col("plain")).alias("low_plain"), lowest(~F.col("plain")).alias("low_other"))
+    held = saved(held.where("n_plain + n_other > 1"), "passage-held")
+    runs = still.groupBy("id", "span").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    runs = saved(runs, "passage-runs")
+    own = placed_tokens(met_tokens.join(runs.hint("merge"), ["id", "span"]), p)
+    # Without what the span itself adds; a token that only it holds isn't in ``held``.
+    mine = each.select("id", "span", "plain").distinct()
+    own = own.join(held.select("token", "n_plain", "n_other").hint("merge"), "token", "left").join(mine.hint("merge"), ["id", "span"])
+    n = [F.coalesce(F.col(c) - is_own.cast("int"), F.lit(0)).cast("long") for c, is_own in (("n_plain", F.col("plain")), ("n_other", ~F.col("plain")))]
+    own = own.groupBy("id", "span").agg(F.collect_list(F.struct("at", "token", n[0].alias("n_plain"), n[1].alias("n_other"))).alias("held"))
+    rare = saved(rare_tokens(runs.join(own.hint("merge"), ["id", "span"]), p), "passage-rare")
+    pair, found = ["id", "span", "other", "other_span"], []
+    low = reduce(DataFrame.unionAll, [held.select("token", F.lit(c == "low_plain").alias("plain"), F.col(f"{c}.id").alias("other"), F.col(f"{c}.span").alias("other_span")).where("other is not null") for c in ("low_plain", "low_other")])
+    # First the smallest holder of each rare token, then, for what is still open, all of them.
+    for holders in (low, each.select("token", "plain", F.col("id").alias("other"), F.col("span").alias("other_span"))):
+        pairs = rare.join(holders.hint("merge"), ["token", "plain"]).where("other < id").select(pair).distinct()
+        pairs = saved(pairs.join(compared.hint("merge"), pair, "left_anti"), "passage-pairs")
+        found.append(saved(verify(pairs, tokens, p), "passages"))
+        compared = compared.union(pairs)
+        rare = saved(outside(rare, found[-1]), "passage-rare")
+    return found
+
+
 def repeated_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, source_id, source_start): passages that an earlier document (by id) holds too.
 
-    Words are split at white space and A-Z lower-cased. Documents with fewer than ``min_words`` words,
-    null or empty texts and null ids have no passages. Of rows that repeat an id one text is compared;
-    an empty table gives an empty result.
+    Words are split at white space and A-Z lower-cased. A passage that an earlier document holds is
+    listed, or shares a word with one that is; it can be listed with more than one source. Documents
+    with fewer than ``min_words`` words, null or empty texts and null ids have no passages. Of rows
+    that repeat an id, the smallest text counts. Other columns are ignored; an empty table gives an
+    empty result.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
+    if not source.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        source = saved(source.groupBy("id").agg(F.min("text").alias("text")), "passage-texts")
     rows = windows(source, p)
-    keys = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    rows = saved(rows.join(keys.hint("merge"), "key").distinct(), "passage-windows")
-    rows = rows.withColumn("open", F.lit(True))
-    found, met_before = [], []
-    unique = source.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            anchors = rows.groupBy("key").agg(F.min("id").alias("other"), F.max(F.when(F.col("open"), F.col("id"))).alias("high")).where("other < high")
-            rows = rows.join(anchors.select("key", "other").hint("merge"), "key").where("id > other")
-            pairs = rows.where("open").select("id", "other").distinct()
-        else:
-            others = rows.select("key", F.col("id").alias("other")).distinct()
-            pairs = rows.where("open").select("key", "id").distinct().join(others.hint("merge"), "key").where("id > other").select("id", "other").distinct()
-        # A pair is compared as a whole, so once.
-        for earlier in met_before:
-            pairs = pairs.join(earlier.hint("merge"), ["id", "other"], "left_anti")
-        pairs = saved(pairs, "passage-pairs")
-        met_before.append(pairs)
-        new = saved(verify(pairs, source, p, unique), "passages")
-        found.append(new)
-        if turn == ROUNDS:
-            break
-        # Rows in a confirmed passage are closed, but later documents are still compared with them.
-        spans = new.groupBy("id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
-        still = F.col("open") & F.expr("spans is null or not exists(spans, s -> s.start_word <= at and at < s.end_word)")
-        rows = saved(rows.drop("other").join(spans, "id", "left").select("key", "id", "at", still.alias("open")), "passage-windows")
-        if rows.where("open").isEmpty():
-            break
-    out = reduce(DataFrame.unionAll, found)
+    rows = saved(agreeing(rows.join(shared_keys(rows).hint("merge"), "key"), p), "passage-windows")
+    tokens = saved(span_tokens(rows, source, p), "passage-tokens")
+    lowest = rows.groupBy("key").agg(F.min(F.struct("id", "span")).alias("lowest"), F.max("id").alias("high")).where("lowest.id < high")
+    lowest = saved(lowest.select("key", F.col("lowest.id").alias("other"), F.col("lowest.span").alias("other_span")), "passage-anchors")
+    met = saved(rows.join(lowest.hint("merge"), "key").where("other < id"), "passage-rows")
+    # Each span is compared with the smallest document of most of its keys.
+    counts = met.groupBy("id", "span", "other", "other_span").agg(F.count(F.lit(1)).alias("n"))
+    pairs = counts.groupBy("id", "span").agg(F.max_by(F.struct("other", "other_span"), F.struct("n", -F.col("other"))).alias("o"))
+    pairs = saved(pairs.select("id", "span", "o.other", "o.other_span"), "passage-pairs")
+    found = saved(verify(pairs, tokens, p), "passages")
+    still = saved(outside(met, found), "passage-open")
+    out = reduce(DataFrame.unionAll, [found, *apart(still, rows, tokens, pairs, p)])
     return out.select(F.col("id").alias(id_col), "start_word", "end_word", F.col("other").alias("source_id"), F.col("other_start").alias("source_start"))
