@@ -9,10 +9,11 @@ holds are dropped; an interval join of the rest, within each document, keeps the
 the windows of enough functions. Rows of different documents with the same key are possible
 passages. Their spans, not their texts, are compared:
 
-1. each with one span of the smallest document of its keys, which settles groups of copies;
-2. for rows outside of confirmed passages, runs with too many tokens that no other span holds are
-   dropped, and spans that share one of the rarest tokens of a run are compared, so that documents
-   with a common line don't meet as pairs.
+1. each with the span of the smallest document of its keys that most of them name, along the lines
+   on which shared keys lie; this settles groups of copies;
+2. what lies outside of confirmed passages, by spans of its own: runs with too many tokens that no
+   other span holds are dropped, and spans that share one of the rarest tokens of a run are compared
+   in full, so that documents with a common line don't meet as pairs.
 """
 
 from __future__ import annotations
@@ -33,14 +34,14 @@ from voxloom.llm.scratch import saved
 class Passages:
     """Words of the shortest passage, words of a shingle, Jaccard similarity, hash functions, how many must agree.
 
-    Two runs at the similarity agree in a function with that probability: of six, three agree with 0.983.
+    Two runs at the similarity agree in a function with that probability: of four, two agree with 0.973.
     """
 
     min_words: int = 50
     width: int = 5
     similarity: float = 0.8
-    functions: int = 6
-    agree: int = 3
+    functions: int = 4
+    agree: int = 2
 
     @property
     def shingles(self) -> int:
@@ -278,12 +279,7 @@ def repeats(a: np.ndarray, b: np.ndarray, p: Passages) -> list[tuple[int, int, i
         t = share.argmax(axis=1)
         good = share[np.arange(len(part)), t] >= p.similarity - 1e-9
         other[part[good]] = t[good]
-    found = np.flatnonzero(other >= 0)
-    if not len(found):
-        return []
-    new = np.flatnonzero(np.diff(found, prepend=-p.min_words - 1) > p.min_words)
-    last = found[np.append(new[1:], len(found)) - 1]
-    return list(zip(found[new].tolist(), (last + p.min_words).tolist(), other[found[new]].tolist()))
+    return merged_runs(other, p)
 
 
 def span_tokens(rows: DataFrame, source: DataFrame, p: Passages) -> DataFrame:
@@ -306,8 +302,47 @@ def span_tokens(rows: DataFrame, source: DataFrame, p: Passages) -> DataFrame:
     return source.join(spans.hint("merge"), "id").select("id", "text", "spans").mapInArrow(run, "id long, span int, tokens binary")
 
 
+def along_lines(a: np.ndarray, b: np.ndarray, lines: np.ndarray, p: Passages) -> np.ndarray:
+    """For each run of a, the start of a run of b that is like it on one of the lines (place in a - place in b), or -1.
+
+    With e unequal places, d distinct tokens lose e at most and gain e at most, so (d - e) / (d + e) is
+    the least similarity.
+    """
+    w, n, m = p.shingles, len(a), len(b)
+    other, own = np.full(max(0, n - w + 1), -1, np.int64), None
+    for line in lines.tolist():
+        low, high = max(0, line), min(n, m + line)
+        if high - low < w:
+            continue
+        unequal = np.concatenate([[0], np.cumsum(a[low:high] != b[low - line : high - line])])
+        unequal = unequal[w:] - unequal[:-w]
+        start = np.flatnonzero(unequal <= w - p.need)
+        if not len(start):
+            continue
+        if own is None:
+            own = holding(np.arange(n), before(*in_order(a)), n, w)
+        e = unequal[start]
+        start = start[own[start + low] * (1 - p.similarity) >= e * (1 + p.similarity) - 1e-9] + low
+        other[start] = start - line
+    return other
+
+
+def merged_runs(other: np.ndarray, p: Passages) -> list[tuple[int, int, int]]:
+    """(first word in a, end word in a, first word in b) of the passages that runs with a match make together."""
+    found = np.flatnonzero(other >= 0)
+    if not len(found):
+        return []
+    new = np.flatnonzero(np.diff(found, prepend=-p.min_words - 1) > p.min_words)
+    last = found[np.append(new[1:], len(found)) - 1]
+    return list(zip(found[new].tolist(), (last + p.min_words).tolist(), other[found[new]].tolist()))
+
+
 def verify(pairs: DataFrame, tokens: DataFrame, p: Passages) -> DataFrame:
-    """(id, other, start_word, end_word, other_start) of pairs of spans (id, span, other, other_span)."""
+    """(id, other, start_word, end_word, other_start) of pairs of spans (id, span, other, other_span).
+
+    With ``lines``, the places of shared keys in the texts, only these are tried.
+    """
+    lined = "lines" in pairs.columns
     theirs = tokens.select(F.col("id").alias("other"), F.col("span").alias("other_span"), F.col("tokens").alias("others"))
     both = pairs.join(tokens.hint("merge"), ["id", "span"]).join(theirs.hint("merge"), ["other", "other_span"])
 
@@ -317,11 +352,16 @@ def verify(pairs: DataFrame, tokens: DataFrame, p: Passages) -> DataFrame:
             ids, span, other, other_span = (batch.column(k).to_pylist() for k in range(4))
             for k in range(len(batch)):
                 a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint32) for c in (4, 5))
-                out += [(ids[k], other[k], span[k] + x, span[k] + y, other_span[k] + z) for x, y, z in repeats(a, b, p)]
+                if lined:
+                    lines = batch.column(6)[k].values.to_numpy() - span[k] + other_span[k]
+                    found = merged_runs(along_lines(a, b, lines, p), p)
+                else:
+                    found = repeats(a, b, p)
+                out += [(ids[k], other[k], span[k] + x, span[k] + y, other_span[k] + z) for x, y, z in found]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "other", "start_word", "end_word", "other_start"])
 
-    rows = both.select("id", "span", "other", "other_span", "tokens", "others")
+    rows = both.select("id", "span", "other", "other_span", "tokens", "others", *["lines"] * lined)
     return rows.mapInArrow(run, "id long, other long, start_word long, end_word long, other_start long")
 
 
@@ -332,26 +372,55 @@ def outside(rows: DataFrame, found: DataFrame) -> DataFrame:
     return free.drop("passages")
 
 
-def distinct_tokens(tokens: DataFrame, p: Passages) -> DataFrame:
-    """(token, plain, id, span) of every span's distinct tokens; ``plain`` if none repeats within a run."""
+def parts_of(rows: DataFrame, tokens: DataFrame, p: Passages) -> DataFrame:
+    """(id, span, tokens, plain, runs): the stretches of each span that rows (id, span, first, last, open) cover.
+
+    ``plain`` tells that no token repeats within a run, ``runs`` are the distinct open (first, last).
+    """
+
+    def run(batches):
+        for batch in batches:
+            ids, begins = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out = [[] for _ in range(5)]
+            for k in range(len(batch)):
+                h = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint32)
+                first, last, is_open = (batch.column(3)[k].values.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+                low, high = runs_of_enough_windows(first, last, 1)
+                part = np.searchsorted(low, first, "right") - 1
+                for q, (x, y) in enumerate(zip(low.tolist(), high.tolist())):
+                    own = h[x - begins[k] : y - 1 + p.shingles - begins[k]]
+                    values, places = in_order(own)
+                    mine = is_open & (part == q)
+                    runs = sorted(set(zip(first[mine].tolist(), last[mine].tolist())))
+                    for col, v in zip(out, (ids[k], x, own.tobytes(), not _repeating(values, places, p), runs)):
+                        col.append(v)
+            runs = pa.array([[{"first": a, "last": b} for a, b in r] for r in out[4]], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.bool_()), runs], names=["id", "span", "tokens", "plain", "runs"])
+
+    lists = rows.groupBy("id", "span").agg(F.collect_list(F.struct("first", "last", "open")).alias("rows"))
+    both = tokens.join(lists.hint("merge"), ["id", "span"]).select("id", "span", "tokens", "rows")
+    return both.mapInArrow(run, "id long, span int, tokens binary, plain boolean, runs array<struct<first:int,last:int>>")
+
+
+def _repeating(values: np.ndarray, places: np.ndarray, p: Passages) -> bool:
+    """Whether a token is twice in a run; values in order, with their places."""
+    return bool(((values[1:] == values[:-1]) & (places[1:] - places[:-1] < p.shingles)).any())
+
+
+def distinct_tokens(parts: DataFrame) -> DataFrame:
+    """(token, plain, id, span) of every part's distinct tokens."""
 
     def run(batches):
         for batch in batches:
-            values, plain = [], []
-            for x in batch.column(2):
-                h = np.frombuffer(x.as_buffer(), np.uint32)
-                order, places = in_order(h)
-                plain.append(not ((order[1:] == order[:-1]) & (places[1:] - places[:-1] < p.shingles)).any())
-                values.append(order[np.concatenate([[True], order[1:] != order[:-1]])[: len(order)]].astype(np.int64))
-            owner = np.repeat(np.arange(len(values)), [len(x) for x in values])
+            values = [np.unique(np.frombuffer(x.as_buffer(), np.uint32)).astype(np.int64) for x in batch.column(2)]
+            owner = pa.array(np.repeat(np.arange(len(values)), [len(x) for x in values]))
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-            owner_column = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.array(plain, bool)[owner]), batch.column(0).take(owner_column), batch.column(1).take(owner_column)], names=["token", "plain", "id", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(3).take(owner), batch.column(0).take(owner), batch.column(1).take(owner)], names=["token", "plain", "id", "span"])
 
-    return tokens.select("id", "span", "tokens").mapInArrow(run, "token long, plain boolean, id long, span int")
+    return parts.select("id", "span", "tokens", "plain").mapInArrow(run, "token long, plain boolean, id long, span int")
 
 
-def placed_tokens(tokens: DataFrame, p: Passages) -> DataFrame:
+def placed_tokens(parts: DataFrame, p: Passages) -> DataFrame:
     """(token, id, span, at) of the places of the runs that start in ``runs``."""
 
     def run(batches):
@@ -367,9 +436,9 @@ def placed_tokens(tokens: DataFrame, p: Passages) -> DataFrame:
                 for col, x in zip(cols, (h[at].astype(np.int64), np.full(len(at), k), (at + spans[k]).astype(np.int32))):
                     col.append(x)
             flat, owner, at = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(at)], names=["token", "id", "span", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(at.astype(np.int32))], names=["token", "id", "span", "at"])
 
-    return tokens.select("id", "span", "tokens", "runs").mapInArrow(run, "token long, id long, span int, at int")
+    return parts.select("id", "span", "tokens", "runs").mapInArrow(run, "token long, id long, span int, at int")
 
 
 def rarest(at: np.ndarray, token: np.ndarray, count: np.ndarray, starts: np.ndarray, plain: bool, p: Passages) -> np.ndarray:
@@ -380,73 +449,82 @@ def rarest(at: np.ndarray, token: np.ndarray, count: np.ndarray, starts: np.ndar
     are all distinct (``plain``). Of one more than it may lack, the rarest, one is in common. If
     nobody else holds these, the run has no match.
     """
-    order = np.lexsort((token, count))
-    rank = np.empty(len(at), np.int64)
-    rank[order] = np.arange(len(at))
+    w, n = p.shingles, len(at)
     same = before(*in_order(token))
-    earlier = np.where(same >= 0, at[same], -1)
-    picked = np.zeros(len(at), bool)
-    step = max(1, PLACES // p.shingles)
-    for part in np.split(starts, range(step, len(starts), step)):
-        x = np.searchsorted(at, part)[:, None] + np.arange(p.shingles)
-        once = earlier[x] < part[:, None]
-        own = once.sum(axis=1)
-        need = p.similarity / (1 + p.similarity) * (own + p.shingles) if plain else p.similarity * own
-        spare = own - np.ceil(need - 1e-9).astype(np.int64)
-        ranks = np.sort(np.where(once, rank[x], len(at)), axis=1)
-        most = np.where(spare >= 0, ranks[np.arange(len(part)), np.maximum(spare, 0)], -1)
-        picked[x[once & (rank[x] <= most[:, None])]] = True
+    index = np.searchsorted(at, starts)
+    own = holding(np.arange(n), same, n, w)[index]
+    alone = np.flatnonzero(count == 0)
+    singles = holding(alone, same[alone], n, w)[index]
+    need = p.similarity / (1 + p.similarity) * (own + w) if plain else p.similarity * own
+    spare = own - np.ceil(need - 1e-9).astype(np.int64)
+    index, spare = index[singles <= spare], spare[singles <= spare]
+    picked = np.zeros(n, bool)
+    if not len(index):
+        return np.flatnonzero(picked)
+    order = np.lexsort((token, count))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    step = max(1, PLACES // w)
+    for a in range(0, len(index), step):
+        first, most = index[a : a + step], spare[a : a + step]
+        x = first[:, None] + np.arange(w)
+        once = same[x] < first[:, None]
+        ranks = np.sort(np.where(once, rank[x], n), axis=1)
+        picked[x[once & (rank[x] <= ranks[np.arange(len(first)), most][:, None])]] = True
     return np.flatnonzero(picked & (count > 0))
 
 
-def rare_tokens(spans: DataFrame, p: Passages) -> DataFrame:
-    """(id, span, token, plain, at) of the rarest tokens of the runs (``runs``), among plain spans and among the others."""
+def rare_tokens(parts: DataFrame, p: Passages) -> DataFrame:
+    """(id, span, token, plain, at) of the rarest tokens of the runs, among plain parts and among the others.
+
+    ``held`` lists (at, token, plain parts that hold it, other parts that do), the part itself among them.
+    """
 
     def run(batches):
         for batch in batches:
-            cols, lists = [[] for _ in range(5)], batch.column(3)
-            ids, span = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, runs in enumerate(batch.column(2).to_pylist()):
+            cols, lists = [[] for _ in range(5)], batch.column(4)
+            ids, span, own_plain = (batch.column(c).to_pylist() for c in range(3))
+            for k, runs in enumerate(batch.column(3).to_pylist()):
                 at, token, *counts = (lists[k].values.field(c).to_numpy(zero_copy_only=False) for c in range(4))
                 order = np.argsort(at)
                 starts = np.unique(np.concatenate([np.arange(x["first"], x["last"] + 1) for x in runs]))
                 for plain, count in zip((True, False), counts):
+                    count = np.maximum(count - (own_plain[k] == plain), 0)
                     i = order[rarest(at[order], token[order], count[order], starts, plain, p)]
                     for col, x in zip(cols, (np.full(len(i), ids[k]), np.full(len(i), span[k], np.int32), token[i], np.full(len(i), plain), at[i])):
                         col.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, kinds)], names=["id", "span", "token", "plain", "at"])
 
-    return spans.select("id", "span", "runs", "held").mapInArrow(run, "id long, span int, token long, plain boolean, at int")
+    return parts.select("id", "span", "plain", "runs", "held").mapInArrow(run, "id long, span int, token long, plain boolean, at int")
 
 
-def apart(still: DataFrame, rows: DataFrame, tokens: DataFrame, compared: DataFrame, p: Passages) -> list[DataFrame]:
+def apart(still: DataFrame, rows: DataFrame, tokens: DataFrame, p: Passages) -> list[DataFrame]:
     """Passages of the rows ``still`` open, against every earlier span that may hold one."""
     keys = saved(still.select("key").distinct(), "passage-open-keys")
-    met = saved(rows.join(keys.hint("merge"), "key").select("id", "span").distinct(), "passage-met")
-    met_tokens = saved(tokens.join(met.hint("merge"), ["id", "span"]), "passage-met-tokens")
-    each = saved(distinct_tokens(met_tokens, p), "passage-each")
+    met = rows.join(keys.hint("merge"), "key").select("id", "span", "first", "last", F.lit(False).alias("open"))
+    met = met.union(still.select("id", "span", "first", "last", F.lit(True).alias("open")))
+    parts = saved(parts_of(met, tokens, p), "passage-parts")
+    each = saved(distinct_tokens(parts), "passage-each")
     count = lambda c: F.count(F.when(c, 1))
     lowest = lambda c: F.min(F.when(c, F.struct("id", "span")))
-    held = each.groupBy("token").agg(count(F.col("plain")).alias("n_plain"), count(~F.col("plain")).alias("n_other"), lowest(F.col("plain")).alias("low_plain"), lowest(~F.col("plain")).alias("low_other"))
+    plain = F.col("plain")
+    held = each.groupBy("token").agg(count(plain).alias("n_plain"), count(~plain).alias("n_other"), lowest(plain).alias("low_plain"), lowest(~plain).alias("low_other"))
     held = saved(held.where("n_plain + n_other > 1"), "passage-held")
-    runs = still.groupBy("id", "span").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    runs = saved(runs, "passage-runs")
-    own = placed_tokens(met_tokens.join(runs.hint("merge"), ["id", "span"]), p)
-    # Without what the span itself adds; a token that only it holds isn't in ``held``.
-    mine = each.select("id", "span", "plain").distinct()
-    own = own.join(held.select("token", "n_plain", "n_other").hint("merge"), "token", "left").join(mine.hint("merge"), ["id", "span"])
-    n = [F.coalesce(F.col(c) - is_own.cast("int"), F.lit(0)).cast("long") for c, is_own in (("n_plain", F.col("plain")), ("n_other", ~F.col("plain")))]
-    own = own.groupBy("id", "span").agg(F.collect_list(F.struct("at", "token", n[0].alias("n_plain"), n[1].alias("n_other"))).alias("held"))
-    rare = saved(rare_tokens(runs.join(own.hint("merge"), ["id", "span"]), p), "passage-rare")
-    pair, found = ["id", "span", "other", "other_span"], []
-    low = reduce(DataFrame.unionAll, [held.select("token", F.lit(c == "low_plain").alias("plain"), F.col(f"{c}.id").alias("other"), F.col(f"{c}.span").alias("other_span")).where("other is not null") for c in ("low_plain", "low_other")])
+    open_parts = parts.where("size(runs) > 0")
+    own = placed_tokens(open_parts, p).join(held.select("token", "n_plain", "n_other").hint("merge"), "token", "left")
+    n = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_plain", "n_other")]
+    own = own.groupBy("id", "span").agg(F.collect_list(F.struct("at", "token", *n)).alias("held"))
+    rare = saved(rare_tokens(open_parts.select("id", "span", "plain", "runs").join(own.hint("merge"), ["id", "span"]), p), "passage-rare")
+    pair, found, compared = ["id", "span", "other", "other_span"], [], None
+    low = [held.select("token", F.lit(c == "low_plain").alias("plain"), F.col(f"{c}.id").alias("other"), F.col(f"{c}.span").alias("other_span")).where("other is not null") for c in ("low_plain", "low_other")]
     # First the smallest holder of each rare token, then, for what is still open, all of them.
-    for holders in (low, each.select("token", "plain", F.col("id").alias("other"), F.col("span").alias("other_span"))):
+    for holders in (low[0].union(low[1]), each.select("token", "plain", F.col("id").alias("other"), F.col("span").alias("other_span"))):
         pairs = rare.join(holders.hint("merge"), ["token", "plain"]).where("other < id").select(pair).distinct()
-        pairs = saved(pairs.join(compared.hint("merge"), pair, "left_anti"), "passage-pairs")
-        found.append(saved(verify(pairs, tokens, p), "passages"))
-        compared = compared.union(pairs)
+        if compared is not None:
+            pairs = pairs.join(compared.hint("merge"), pair, "left_anti")
+        compared = saved(pairs, "passage-pairs")
+        found.append(saved(verify(compared, parts, p), "passages"))
         rare = saved(outside(rare, found[-1]), "passage-rare")
     return found
 
@@ -466,14 +544,14 @@ def repeated_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "
     rows = windows(source, p)
     rows = saved(agreeing(rows.join(shared_keys(rows).hint("merge"), "key"), p), "passage-windows")
     tokens = saved(span_tokens(rows, source, p), "passage-tokens")
-    lowest = rows.groupBy("key").agg(F.min(F.struct("id", "span")).alias("lowest"), F.max("id").alias("high")).where("lowest.id < high")
-    lowest = saved(lowest.select("key", F.col("lowest.id").alias("other"), F.col("lowest.span").alias("other_span")), "passage-anchors")
-    met = saved(rows.join(lowest.hint("merge"), "key").where("other < id"), "passage-rows")
-    # Each span is compared with the smallest document of most of its keys.
-    counts = met.groupBy("id", "span", "other", "other_span").agg(F.count(F.lit(1)).alias("n"))
-    pairs = counts.groupBy("id", "span").agg(F.max_by(F.struct("other", "other_span"), F.struct("n", -F.col("other"))).alias("o"))
-    pairs = saved(pairs.select("id", "span", "o.other", "o.other_span"), "passage-pairs")
-    found = saved(verify(pairs, tokens, p), "passages")
-    still = saved(outside(met, found), "passage-open")
-    out = reduce(DataFrame.unionAll, [found, *apart(still, rows, tokens, pairs, p)])
+    lowest = rows.groupBy("key").agg(F.min(F.struct("id", "span", "at")).alias("lowest"), F.max("id").alias("high")).where("lowest.id < high")
+    lowest = lowest.select("key", F.col("lowest.id").alias("other"), F.col("lowest.span").alias("other_span"), F.col("lowest.at").alias("other_at"))
+    met = saved(rows.join(saved(lowest, "passage-anchors").hint("merge"), "key").where("other < id"), "passage-rows")
+    # Each span is compared with the smallest document that most of its keys name.
+    lines = F.collect_set(F.col("at") - F.col("other_at")).alias("lines")
+    counts = met.groupBy("id", "span", "other", "other_span").agg(F.count(F.lit(1)).alias("n"), lines)
+    pairs = counts.groupBy("id", "span").agg(F.max_by(F.struct("other", "other_span", "lines"), F.struct("n", -F.col("other"))).alias("o"))
+    found = saved(verify(pairs.select("id", "span", "o.*"), tokens, p), "passages")
+    still = saved(outside(met.drop("other", "other_span", "other_at"), found), "passage-open")
+    out = reduce(DataFrame.unionAll, [found, *apart(still, rows, tokens, p)])
     return out.select(F.col("id").alias(id_col), "start_word", "end_word", F.col("other").alias("source_id"), F.col("other_start").alias("source_start"))
