@@ -161,16 +161,18 @@ def runs_of_enough_windows(first: np.ndarray, last: np.ndarray, agree: int) -> t
     return at[change[::2]], at[change[1::2]]
 
 
-def agreeing(rows: DataFrame, p: Passages) -> DataFrame:
+def agreeing(rows: DataFrame, p: Passages, within: tuple[str, ...] = ("id",)) -> DataFrame:
     """Of each document, the rows with a run in the windows of enough functions, cut to such runs.
 
     ``span`` is the first run of the stretch of neighbouring rows that a row belongs to, ``span_end``
-    the end of its last run. A document's rows come together; they are fewer than its words.
+    the end of its last run. A document's rows come together; they are fewer than its words. The
+    functions are counted ``within`` groups of these columns.
     """
+    n = len(within)
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(n)
             owner, flat = pa.compute.list_parent_indices(lists).to_numpy(), lists.flatten()
             key, first, last, at = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             # One line for all documents of the batch; a gap of two keeps them apart.
@@ -186,12 +188,13 @@ def agreeing(rows: DataFrame, p: Passages) -> DataFrame:
             begin, end = runs_of_enough_windows(first, last, 1)
             k = np.searchsorted(begin, first, "right") - 1
             off = base[owner]
-            cols = [pa.array(key), batch.column(0).take(pa.array(owner)), *(pa.array((x - off).astype(np.int32)) for x in (first, last))]
+            cols = [pa.array(key), *(batch.column(c).take(pa.array(owner)) for c in range(n)), *(pa.array((x - off).astype(np.int32)) for x in (first, last))]
             cols += [pa.array(at), *(pa.array((x - off).astype(np.int32)) for x in (begin[k], end[k] - 1 + p.shingles))]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "id", "first", "last", "at", "span", "span_end"])
+            yield pa.RecordBatch.from_arrays(cols, names=["key", *within, "first", "last", "at", "span", "span_end"])
 
-    lists = rows.groupBy("id").agg(F.collect_list(F.struct("key", "first", "last", "at")).alias("rows"))
-    return lists.mapInArrow(run, "key long, id long, first int, last int, at int, span int, span_end int")
+    lists = rows.groupBy(*within).agg(F.collect_list(F.struct("key", "first", "last", "at")).alias("rows"))
+    groups = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in within)
+    return lists.mapInArrow(run, f"key long, {groups}, first int, last int, at int, span int, span_end int")
 
 
 def in_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,10 +242,9 @@ def repeats(a: np.ndarray, b: np.ndarray, p: Passages) -> list[tuple[int, int, i
     (a_values, a_places), (b_values, order) = in_order(a), in_order(b)
     low, high = np.empty(n, np.int64), np.empty(n, np.int64)
     low[a_places], high[a_places] = (np.searchsorted(b_values, a_values, side) for side in ("left", "right"))
-    there = np.concatenate([[0], np.cumsum(high > low)])
-    there = there[w:] - there[:-w]
     before_a = before(a_values, a_places)
-    own = holding(np.arange(n), before_a, n, w)
+    own, shared = holding(np.arange(n), before_a, n, w), np.flatnonzero(high > low)
+    there = holding(shared, before_a[shared], n, w)
     if not (there >= p.similarity * own - 1e-9).any():
         return []
     before_b = before(b_values, order)
@@ -308,7 +310,7 @@ def along_lines(a: np.ndarray, b: np.ndarray, lines: np.ndarray, p: Passages) ->
     With e unequal places, d distinct tokens lose e at most and gain e at most, so (d - e) / (d + e) is
     the least similarity.
     """
-    w, n, m = p.shingles, len(a), len(b)
+    w, n, m, need = p.shingles, len(a), len(b), p.need
     other, own = np.full(max(0, n - w + 1), -1, np.int64), None
     for line in lines.tolist():
         low, high = max(0, line), min(n, m + line)
@@ -316,7 +318,7 @@ def along_lines(a: np.ndarray, b: np.ndarray, lines: np.ndarray, p: Passages) ->
             continue
         unequal = np.concatenate([[0], np.cumsum(a[low:high] != b[low - line : high - line])])
         unequal = unequal[w:] - unequal[:-w]
-        start = np.flatnonzero(unequal <= w - p.need)
+        start = np.flatnonzero(unequal <= w - need)
         if not len(start):
             continue
         if own is None:
@@ -340,7 +342,7 @@ def merged_runs(other: np.ndarray, p: Passages) -> list[tuple[int, int, int]]:
 def verify(pairs: DataFrame, tokens: DataFrame, p: Passages) -> DataFrame:
     """(id, other, start_word, end_word, other_start) of pairs of spans (id, span, other, other_span).
 
-    With ``lines``, the places of shared keys in the texts, only these are tried.
+    With ``lines``, on which shared keys lie in the texts, only these are tried.
     """
     lined = "lines" in pairs.columns
     theirs = tokens.select(F.col("id").alias("other"), F.col("span").alias("other_span"), F.col("tokens").alias("others"))
@@ -380,31 +382,48 @@ def parts_of(rows: DataFrame, tokens: DataFrame, p: Passages) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, begins = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = [[] for _ in range(5)]
-            for k in range(len(batch)):
-                h = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint32)
-                first, last, is_open = (batch.column(3)[k].values.field(c).to_numpy(zero_copy_only=False) for c in range(3))
-                low, high = runs_of_enough_windows(first, last, 1)
-                part = np.searchsorted(low, first, "right") - 1
-                for q, (x, y) in enumerate(zip(low.tolist(), high.tolist())):
-                    own = h[x - begins[k] : y - 1 + p.shingles - begins[k]]
-                    values, places = in_order(own)
-                    mine = is_open & (part == q)
-                    runs = sorted(set(zip(first[mine].tolist(), last[mine].tolist())))
-                    for col, v in zip(out, (ids[k], x, own.tobytes(), not _repeating(values, places, p), runs)):
-                        col.append(v)
-            runs = pa.array([[{"first": a, "last": b} for a, b in r] for r in out[4]], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.bool_()), runs], names=["id", "span", "tokens", "plain", "runs"])
+            h, at = token_buffer(batch.column(2))
+            begin = batch.column(1).to_numpy().astype(np.int64)
+            owner, flat = pa.compute.list_parent_indices(batch.column(3)).to_numpy(), batch.column(3).flatten()
+            first, last, is_open = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+            # All spans of the batch lie in one line; a span's last run ends before the next span, so none touch.
+            first, last = first + (at[:-1] - begin)[owner], last + (at[:-1] - begin)[owner]
+            low, high = runs_of_enough_windows(first, last, 1)
+            span = np.searchsorted(at, low, "right") - 1
+            size = high - 1 + p.shingles - low
+            ends = np.concatenate([[0], np.cumsum(size)])
+            part = np.repeat(np.arange(len(low)), size)
+            tokens = h[np.arange(ends[-1]) - ends[part] + low[part]]
+            # A token twice in a run of its part.
+            keys = (part.astype(A.U64) << A.U64(32)) | tokens
+            order = np.argsort(keys, kind="stable")
+            twice = (keys[order[1:]] == keys[order[:-1]]) & (order[1:] - order[:-1] < p.shingles)
+            plain = np.ones(len(low), bool)
+            plain[part[order[1:][twice]]] = False
+            a, b = runs_of_enough_windows(first[is_open], last[is_open], 1)
+            mine = np.searchsorted(low, a, "right") - 1
+            off = (begin - at[:-1])[span]
+            runs = pa.StructArray.from_arrays([pa.array((x + off[mine]).astype(np.int32)) for x in (a, b - 1)], names=["first", "last"])
+            run_ends = np.searchsorted(mine, np.arange(len(low) + 1)).astype(np.int32)
+            cols = [batch.column(0).take(pa.array(span)), pa.array((low + off).astype(np.int32)), token_column(tokens, ends), pa.array(plain), pa.ListArray.from_arrays(pa.array(run_ends), runs)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "span", "tokens", "plain", "runs"])
 
     lists = rows.groupBy("id", "span").agg(F.collect_list(F.struct("first", "last", "open")).alias("rows"))
     both = tokens.join(lists.hint("merge"), ["id", "span"]).select("id", "span", "tokens", "rows")
     return both.mapInArrow(run, "id long, span int, tokens binary, plain boolean, runs array<struct<first:int,last:int>>")
 
 
-def _repeating(values: np.ndarray, places: np.ndarray, p: Passages) -> bool:
-    """Whether a token is twice in a run; values in order, with their places."""
-    return bool(((values[1:] == values[:-1]) & (places[1:] - places[:-1] < p.shingles)).any())
+def token_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of all rows, place of the first of each row and the end) of a column of token bytes."""
+    _, offsets, data = column.cast(pa.large_binary()).buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    h = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.uint32) if data is not None and data.size else np.zeros(0, np.uint32)
+    return h, (at - at[0]) // 4
+
+
+def token_column(tokens: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A column of token bytes; ``ends`` are the places of the first token of each row, and the end."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(tokens))]).cast(pa.binary())
 
 
 def distinct_tokens(parts: DataFrame) -> DataFrame:
@@ -412,10 +431,12 @@ def distinct_tokens(parts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            values = [np.unique(np.frombuffer(x.as_buffer(), np.uint32)).astype(np.int64) for x in batch.column(2)]
-            owner = pa.array(np.repeat(np.arange(len(values)), [len(x) for x in values]))
-            flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(3).take(owner), batch.column(0).take(owner), batch.column(1).take(owner)], names=["token", "plain", "id", "span"])
+            h, at = token_buffer(batch.column(2))
+            keys = (np.repeat(np.arange(len(batch), dtype=A.U64), np.diff(at)) << A.U64(32)) | h
+            keys = np.unique(keys)
+            owner = pa.array((keys >> A.U64(32)).astype(np.int64))
+            token = pa.array((keys & A.U64(0xFFFFFFFF)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([token, batch.column(3).take(owner), batch.column(0).take(owner), batch.column(1).take(owner)], names=["token", "plain", "id", "span"])
 
     return parts.select("id", "span", "tokens", "plain").mapInArrow(run, "token long, plain boolean, id long, span int")
 
@@ -425,18 +446,16 @@ def placed_tokens(parts: DataFrame, p: Passages) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            spans, cols = batch.column(1).to_pylist(), ([], [], [])
-            for k, runs in enumerate(batch.column(3).to_pylist()):
-                h = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint32)
-                on = np.zeros(len(h) + 1, np.int64)
-                for x in runs:
-                    on[x["first"] - spans[k]] += 1
-                    on[x["last"] - spans[k] + p.shingles] -= 1
-                at = np.flatnonzero(np.cumsum(on)[:-1] > 0)
-                for col, x in zip(cols, (h[at].astype(np.int64), np.full(len(at), k), (at + spans[k]).astype(np.int32))):
-                    col.append(x)
-            flat, owner, at = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(at.astype(np.int32))], names=["token", "id", "span", "at"])
+            h, at = token_buffer(batch.column(2))
+            owner, flat = pa.compute.list_parent_indices(batch.column(3)).to_numpy(), batch.column(3).flatten()
+            first, last = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(2))
+            off = batch.column(1).to_numpy() - at[:-1]
+            low, high = runs_of_enough_windows(first - off[owner], last - off[owner] + p.shingles - 1, 1)
+            size = high - low
+            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - low, size)
+            part = np.searchsorted(at, place, "right") - 1
+            mine = pa.array(part)
+            yield pa.RecordBatch.from_arrays([pa.array(h[place].astype(np.int64)), batch.column(0).take(mine), batch.column(1).take(mine), pa.array((place + off[part]).astype(np.int32))], names=["token", "id", "span", "at"])
 
     return parts.select("id", "span", "tokens", "runs").mapInArrow(run, "token long, id long, span int, at int")
 
@@ -552,6 +571,9 @@ def repeated_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "
     counts = met.groupBy("id", "span", "other", "other_span").agg(F.count(F.lit(1)).alias("n"), lines)
     pairs = counts.groupBy("id", "span").agg(F.max_by(F.struct("other", "other_span", "lines"), F.struct("n", -F.col("other"))).alias("o"))
     found = saved(verify(pairs.select("id", "span", "o.*"), tokens, p), "passages")
-    still = saved(outside(met.drop("other", "other_span", "other_at"), found), "passage-open")
+    still = outside(met.select("key", "id", F.col("span").alias("within"), "first", "last", "at"), found)
+    # A passage without a word of a listed one has all its rows here, so enough of them agree still.
+    still = agreeing(still, p, ("id", "within")).select("key", "id", F.col("within").alias("span"), "first", "last", "at")
+    still = saved(still, "passage-open")
     out = reduce(DataFrame.unionAll, [found, *apart(still, rows, tokens, p)])
     return out.select(F.col("id").alias(id_col), "start_word", "end_word", F.col("other").alias("source_id"), F.col("other_start").alias("source_start"))
