@@ -11,9 +11,10 @@ passages. Their spans, not their texts, are compared:
 
 1. each with the span of the smallest document of its keys that most of them name, along the lines
    on which shared keys lie; this settles groups of copies;
-2. what lies outside of confirmed passages, by spans of its own: runs with too many tokens that no
-   other span holds are dropped, and spans that share one of the rarest tokens of a run are compared
-   in full, so that documents with a common line don't meet as pairs.
+2. what lies outside of confirmed passages, by spans of its own: spans that repeat their tokens meet
+   the smallest one with an equal run; runs with too many tokens that no other span holds are dropped,
+   and spans that share one of the rarest tokens of a run are compared in full, so that documents
+   with a common line don't meet as pairs.
 """
 
 from __future__ import annotations
@@ -460,13 +461,40 @@ def placed_tokens(parts: DataFrame, p: Passages) -> DataFrame:
     return parts.select("id", "span", "tokens", "runs").mapInArrow(run, "token long, id long, span int, at int")
 
 
+def run_sets(parts: DataFrame, p: Passages, only_open: bool) -> DataFrame:
+    """(token, id, span, at): a hash of the set of tokens of each run, for the runs that are open or for all."""
+
+    def run(batches):
+        for batch in batches:
+            cols = [[] for _ in range(3)]
+            for k, runs in enumerate(batch.column(3).to_pylist()):
+                h, begin = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint32), batch.column(1)[k].as_py()
+                same, value = before(*in_order(h)), A.mix(h.astype(A.U64) + A.U64(1))
+                place = np.arange(len(h))
+                # A place counts in the runs that it is in and its token's place before isn't.
+                sums = np.zeros(len(h) + 1, A.U64)
+                np.add.at(sums, np.maximum(np.maximum(place - p.shingles + 1, same + 1), 0), value)
+                np.subtract.at(sums, place + 1, value)
+                sums = np.cumsum(sums)[: max(0, len(h) - p.shingles + 1)]
+                starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in runs]) - begin if only_open else np.arange(len(sums))
+                first = np.unique(sums[starts], return_index=True)[1] if len(starts) else starts
+                for col, x in zip(cols, (sums[starts[first]].view(np.int64), np.full(len(first), k), (starts[first] + begin).astype(np.int32))):
+                    col.append(x)
+            flat, owner, at = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
+            mine = pa.array(owner.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(mine), batch.column(1).take(mine), pa.array(at.astype(np.int32))], names=["token", "id", "span", "at"])
+
+    return parts.select("id", "span", "tokens", "runs").mapInArrow(run, "token long, id long, span int, at int")
+
+
 def rarest(at: np.ndarray, token: np.ndarray, count: np.ndarray, starts: np.ndarray, plain: bool, p: Passages) -> np.ndarray:
     """Indexes of the places whose tokens are among the rarest of a run, of those that another span holds.
 
     ``at`` ascends; ``count`` is the number of other spans that hold the token. A run of d distinct
     tokens needs a share of them in common with any run at the similarity, and more if that one's tokens
     are all distinct (``plain``). Of one more than it may lack, the rarest, one is in common. If
-    nobody else holds these, the run has no match.
+    nobody else holds these, the run has no match. Runs of three distinct tokens or fewer are left
+    out, as only an equal set is like theirs.
     """
     w, n = p.shingles, len(at)
     same = before(*in_order(token))
@@ -476,7 +504,9 @@ def rarest(at: np.ndarray, token: np.ndarray, count: np.ndarray, starts: np.ndar
     singles = holding(alone, same[alone], n, w)[index]
     need = p.similarity / (1 + p.similarity) * (own + w) if plain else p.similarity * own
     spare = own - np.ceil(need - 1e-9).astype(np.int64)
-    index, spare = index[singles <= spare], spare[singles <= spare]
+    # A union with one token more is too large for the smallest sets.
+    on = (singles <= spare) & (own >= p.similarity * (own + 1) - 1e-9)
+    index, spare = index[on], spare[on]
     picked = np.zeros(n, bool)
     if not len(index):
         return np.flatnonzero(picked)
@@ -534,16 +564,22 @@ def apart(still: DataFrame, rows: DataFrame, tokens: DataFrame, p: Passages) ->
     own = placed_tokens(open_parts, p).join(held.select("token", "n_plain", "n_other").hint("merge"), "token", "left")
     n = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_plain", "n_other")]
     own = own.groupBy("id", "span").agg(F.collect_list(F.struct("at", "token", *n)).alias("held"))
-    rare = saved(rare_tokens(open_parts.select("id", "span", "plain", "runs").join(own.hint("merge"), ["id", "span"]), p), "passage-rare")
-    pair, found, compared = ["id", "span", "other", "other_span"], [], None
+    # Runs that repeat their tokens can have few distinct ones, which many texts hold: first equal sets.
+    mixed = parts.where("not plain")
+    lowest = run_sets(mixed, p, False).groupBy("token").agg(F.min(F.struct("id", "span")).alias("low"), F.max("id").alias("high")).where("low.id < high")
+    lowest = saved(lowest.select("token", F.col("low.id").alias("other"), F.col("low.span").alias("other_span")), "passage-sets")
+    equal = run_sets(mixed.where("size(runs) > 0"), p, True).join(lowest.hint("merge"), "token").where("other < id").select("id", "span", "other", "other_span").distinct()
+    compared = saved(equal, "passage-pairs")
+    found = [saved(verify(compared, parts, p), "passages")]
+    rare = outside(rare_tokens(open_parts.select("id", "span", "plain", "runs").join(own.hint("merge"), ["id", "span"]), p), found[0])
+    rare, pair = saved(rare, "passage-rare"), ["id", "span", "other", "other_span"]
     low = [held.select("token", F.lit(c == "low_plain").alias("plain"), F.col(f"{c}.id").alias("other"), F.col(f"{c}.span").alias("other_span")).where("other is not null") for c in ("low_plain", "low_other")]
-    # First the smallest holder of each rare token, then, for what is still open, all of them.
+    # Then the smallest holder of each rare token, then, for what is still open, all of them.
     for holders in (low[0].union(low[1]), each.select("token", "plain", F.col("id").alias("other"), F.col("span").alias("other_span"))):
         pairs = rare.join(holders.hint("merge"), ["token", "plain"]).where("other < id").select(pair).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared.hint("merge"), pair, "left_anti")
-        compared = saved(pairs, "passage-pairs")
-        found.append(saved(verify(compared, parts, p), "passages"))
+        pairs = saved(pairs.join(compared.hint("merge"), pair, "left_anti"), "passage-pairs")
+        compared = compared.union(pairs)
+        found.append(saved(verify(pairs, parts, p), "passages"))
         rare = saved(outside(rare, found[-1]), "passage-rare")
     return found
 
