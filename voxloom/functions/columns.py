@@ -27,16 +27,27 @@ def normalized_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
 
 
+def word_counts(words: Column) -> Column:
+    """The distinct words of a list, sorted, with how often each is there."""
+    sorted_words = F.array_sort(words)
+    last = F.transform(sorted_words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("end")))
+    # A word counts at its last place, up to the last place of the word before.
+    ends = F.filter(last, lambda x, i: (i + 1 == F.size(sorted_words)) | (F.get(sorted_words, i + 1) != x["w"]))
+    return F.map_from_arrays(F.transform(ends, lambda x: x["w"]), F.transform(ends, lambda x, i: x["end"] - F.coalesce(F.get(ends, i - 1)["end"], F.lit(0))))
+
+
 def bag_overlap(a: Column, b: Column) -> Column:
-    """Words that two bags share, counted with their repeats."""
-    count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda total, w: total + F.least(count(a, w), count(b, w)))
+    """Words that two bags (``word_counts``) share, counted with their repeats."""
+    return F.aggregate(F.map_entries(a), F.lit(0), lambda total, x: total + F.least(x["value"], F.coalesce(F.element_at(b, x["key"]), F.lit(0))))
 
 
-def echo_words_match(a: Column, b: Column) -> Column:
-    """Equal, or at least three words each with containment of 80 % and Dice of 72 %."""
-    shared, na, nb = bag_overlap(a, b), F.size(a), F.size(b)
-    close = (F.least(na, nb) >= 3) & (shared * 5 >= F.least(na, nb) * 4) & (shared * 200 >= (na + nb) * 72)
+def echo_words_match(a: Column, b: Column, bag_a: Column | None = None, bag_b: Column | None = None) -> Column:
+    """Equal, or at least three words each with containment of 80 % and Dice of 72 %. Bags may be given, counted before."""
+    na, nb = F.size(a), F.size(b)
+    # Lengths alone rule most pairs out: Dice of 72 % with the shorter list in common.
+    may = (F.least(na, nb) >= 3) & (F.least(na, nb) * 200 >= (na + nb) * 72)
+    shared = bag_overlap(word_counts(a) if bag_a is None else bag_a, word_counts(b) if bag_b is None else bag_b)
+    close = F.when(may, (shared * 5 >= F.least(na, nb) * 4) & (shared * 200 >= (na + nb) * 72)).otherwise(F.lit(False))
     return F.coalesce((na > 0) & (nb > 0) & ((a == b) | close), F.lit(False))
 
 
@@ -67,8 +78,22 @@ def newer_stable_version(candidate: Column, current: Column) -> Column:
 
 
 def ends_sentence(text: Column) -> Column:
-    """Whether the text ends in ``. ! ? …``, closing quotes and brackets aside."""
-    return F.regexp_replace(text, r"""["'»)\]\s]+$""", "").rlike(r"[.!?…]$")
+    """Whether the text ends in ``. ! ? …``, blanks and then closing quotes and brackets aside."""
+    return F.regexp_replace(trimmed_end(text), r"""["'»)\]]+$""", "").rlike(r"[.!?…]$")
+
+
+def trimmed_end(text: Column) -> Column:
+    """Without white space of any script at the end."""
+    return F.regexp_replace(text, r"(?U)\s+$", "")
+
+
+def trimmed_start(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+", "")
+
+
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units: characters beyond the basic plane count twice."""
+    return F.char_length(text) + F.char_length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
 
 
 def speaker_label(speaker: Column, track: Column) -> Column:
@@ -98,6 +123,10 @@ def like_ascii(text: Column, query: str) -> Column:
 def register_sql_functions(spark: SparkSession) -> None:
     """SQL functions of the expressions above, for use in spark.sql()."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION normalized_text(t STRING) RETURNS STRING RETURN regexp_replace(lower(t), '[^\\\\p{IsAlphabetic}\\\\p{N}]+', '')")
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION shared_words(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS INT RETURN "
+        "aggregate(array_distinct(a), 0, (t, w) -> t + least(size(filter(a, x -> x = w)), size(filter(b, x -> x = w))))"
+    )
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION normalized_words(t STRING) RETURNS ARRAY<STRING> RETURN filter(split(lower(t), '[^\\\\p{IsAlphabetic}\\\\p{N}]+'), w -> w <> '')")
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION format_timestamp(s DOUBLE, sep STRING) RETURNS STRING RETURN "
@@ -108,3 +137,8 @@ def register_sql_functions(spark: SparkSession) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION canonical_folder_id(id STRING, device STRING) RETURNS STRING RETURN "
         "CASE WHEN id RLIKE '^drive-folder-[0-9a-f]{64}$' THEN id ELSE concat('drive-folder-', sha2(CAST(concat(device, ':', id) AS BINARY), 256)) END"
     )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION echo_word_lists_match(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS BOOLEAN RETURN "
+        "coalesce(size(a) > 0 AND size(b) > 0 AND (a = b OR (least(size(a), size(b)) >= 3 AND shared_words(a, b) * 5 >= least(size(a), size(b)) * 4 AND shared_words(a, b) * 200 >= (size(a) + size(b)) * 72)), false)"
+    )
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION echo_text_matches(a STRING, b STRING) RETURNS BOOLEAN RETURN echo_word_lists_match(normalized_words(a), normalized_words(b))")

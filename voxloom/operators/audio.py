@@ -25,12 +25,13 @@ def downmix(samples: Column, channels: Column) -> Column:
 
 @F.pandas_udf(FLOATS)
 def resample_linear(samples: pd.Series, rate: pd.Series, target: pd.Series) -> pd.Series:
-    def one(x, r, t):
-        x = np.asarray(x, np.float64)
-        n = len(x) * int(t) // int(r)
-        return np.interp(np.arange(n) * (r / t), np.arange(len(x)), x).astype(np.float32) if n else np.zeros(0, np.float32)
+    return pd.Series([None if x is None else linear_to_16k(np.asarray(x, np.float64), int(r), int(t)) for x, r, t in zip(samples, rate, target)])
 
-    return pd.Series([None if x is None else one(x, r, t) for x, r, t in zip(samples, rate, target)])
+
+def linear_to_16k(x: np.ndarray, rate: int, target: int = 16_000) -> np.ndarray:
+    """Linear interpolation; the output is len * target // rate long."""
+    n = len(x) * target // rate
+    return np.interp(np.arange(n) * (rate / target), np.arange(len(x)), x).astype(np.float32) if n else np.zeros(0, np.float32)
 
 
 def resample_exact(x: np.ndarray, rate: int, target: int, taps: int = 32) -> np.ndarray:
@@ -205,7 +206,7 @@ def log_mel(chunks: DataFrame, kind: str = "asr") -> DataFrame:
             out = []
             for samples in p["samples"]:
                 try:
-                    out.append((fn(np.asarray(samples, np.float64)).tolist(), None))
+                    out.append((list(fn(np.asarray(samples, np.float64))), None))
                 except ValueError as e:
                     out.append((None, str(e)))
             yield pd.DataFrame({"id": p["id"], "features": [o[0] for o in out], "error": [o[1] for o in out]})

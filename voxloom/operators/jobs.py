@@ -17,6 +17,8 @@ TRANSITIONS = (
     ("failed", "queued"), ("cancelled", "queued"), ("interrupted", "queued"), ("completed", "queued"),
 )
 CHUNK_SECONDS = 22
+#: Fixed text of the error of an interrupted job.
+STOPPED = "Application stopped during transcription"
 
 
 def history(jobs: DataFrame) -> DataFrame:
@@ -73,24 +75,63 @@ def acknowledge_cancel(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("status", F.when(F.col("cancel_requested") & F.col("status").isin(*ACTIVE), "cancelled").otherwise(F.col("status")))
 
 
-def complete_or_fail(jobs: DataFrame, results: DataFrame) -> DataFrame:
-    """Results (id, ok, error) end a job that is transcribing and not asked to cancel; ``applied`` says so."""
-    rows = jobs.join(results.select("id", "ok", F.col("error").alias("new_error")), "id", "left")
-    go = F.coalesce((F.col("status") == "transcribing") & ~F.col("cancel_requested") & F.col("ok").isNotNull(), F.lit(False))
-    rows = rows.withColumn("applied", go)
-    return rows.withColumn("status", F.when(go & F.col("ok"), "completed").when(go, "failed").otherwise(F.col("status"))).drop("ok", "new_error")
+def complete_or_fail(jobs: DataFrame, results: DataFrame, now_ms: int) -> DataFrame:
+    """Results (id, ok, error, duration_seconds) end a job that is transcribing and not asked to cancel; ``applied`` says so.
 
+    A completed job takes its duration and loses its error; a failed one takes the error. Of several
+    results of a job, a success counts, else the last error by its text.
+    """
+    one = results.groupBy("id").agg(F.max(F.struct("ok", F.coalesce("error", F.lit("")).alias("error"), "duration_seconds")).alias("r"))
+    rows = jobs.join(one, "id", "left")
+    go = F.coalesce((F.col("status") == "transcribing") & ~F.col("cancel_requested") & F.col("r.ok").isNotNull(), F.lit(False))
+    done, failed = go & F.col("r.ok"), go & ~F.col("r.ok")
+    return rows.withColumns({
+        "applied": go,
+        "status": F.when(done, "completed").when(failed, "failed").otherwise(F.col("status")),
+        "duration_seconds": F.when(done, F.col("r.duration_seconds")).otherwise(F.col("duration_seconds")),
+        "completed_ms": F.when(go, F.lit(now_ms).cast("long")).otherwise(F.col("completed_ms")),
+        "error": F.when(failed, F.col("r.error")).when(~done, F.col("error")),
+    }).drop("r")
 
-def recover_interrupted(jobs: DataFrame, message: str = "interrupted") -> DataFrame:
+
+def recover_interrupted(jobs: DataFrame, now_ms: int, message: str = STOPPED) -> DataFrame:
+    """Jobs that a stop left active are interrupted, with the time and the message; others stay as they are."""
     active = F.col("status").isin(*ACTIVE)
-    return jobs.withColumn("error", F.when(active | (F.col("status") == "finalizing"), message)).withColumn("status", F.when(active, "interrupted").when(F.col("status") == "finalizing", "failed").otherwise(F.col("status")))
+    return jobs.withColumns({
+        "completed_ms": F.when(active, F.lit(now_ms).cast("long")).otherwise(F.col("completed_ms")),
+        "error": F.when(active, message).otherwise(F.col("error")),
+        "status": F.when(active, "interrupted").otherwise(F.col("status")),
+    })
+
+
+def recover_finalizations(finalizations: DataFrame, now_ms: int) -> DataFrame:
+    """Finalizations (id, state, updated_ms) that a stop left open have failed."""
+    cut = F.col("state") == "finalizing"
+    return finalizations.withColumns({"updated_ms": F.when(cut, F.lit(now_ms).cast("long")).otherwise(F.col("updated_ms")), "state": F.when(cut, "failed").otherwise(F.col("state"))})
 
 
 def reset_for_retry(jobs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Terminal jobs of ``ids`` start again; live ones become file jobs on their audio path, without one they stay."""
+    """Terminal jobs of ``ids`` start again: counters, times and flags are cleared; ``reset`` says so.
+
+    Live ones become file jobs on their audio path; without one they stay. Of the columns of a recording,
+    those that the table lacks are passed over.
+    """
     rows = jobs.join(ids.select("id").distinct().withColumn("asked", F.lit(True)), "id", "left")
-    go = F.coalesce(F.col("asked") & F.col("status").isin(*TERMINAL) & ((F.col("kind") == "file") | F.col("audio_path").isNotNull()), F.lit(False))
-    return rows.withColumn("reset", go).withColumn("kind", F.when(go, "file").otherwise(F.col("kind"))).withColumn("status", F.when(go, "queued").otherwise(F.col("status"))).drop("asked")
+    has_audio = F.coalesce(F.col("audio_path") != "", F.lit(False))
+    go = F.coalesce(F.col("asked") & F.col("status").isin(*TERMINAL) & ((F.col("kind") == "file") | has_audio), F.lit(False))
+    kinds = {f.name: f.dataType for f in jobs.schema}
+    put = {"status": "queued", "started_ms": None, "completed_ms": None, "duration_seconds": None, "error": None, "completed_chunks": 0, "total_chunks": None, "cancel_requested": False, "start_requested": False, "queue_visible": True}
+    columns = {c: F.when(F.col("reset"), F.lit(v).cast(kinds[c])).otherwise(F.col(c)) for c, v in put.items() if c in kinds}
+    live = F.col("reset") & (F.col("kind") == "live")
+    columns["kind"] = F.when(F.col("reset"), "file").otherwise(F.col("kind"))
+    if "source_path" in kinds:
+        columns["source_path"] = F.when(live, F.col("audio_path")).otherwise(F.col("source_path"))
+    return rows.withColumn("reset", go).withColumns(columns).drop("asked")
+
+
+def segments_after_reset(segments: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Segments without those of jobs that ``reset_for_retry`` has reset."""
+    return segments.join(jobs.where("reset").select(F.col("id").alias("tid")), "tid", "left_anti")
 
 
 def delete_history(jobs: DataFrame, segments: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,10 +140,15 @@ def delete_history(jobs: DataFrame, segments: DataFrame, ids: DataFrame) -> tupl
     return jobs.join(gone, "id", "left_anti"), segments.join(gone.select(F.col("id").alias("tid")), "tid", "left_anti")
 
 
-def hide_from_queue(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+def hide_from_queue(jobs: DataFrame, ids: DataFrame, now_ms: int | None = None) -> DataFrame:
+    """Terminal jobs of ``ids`` leave the queue view; queued ones are cancelled too, at ``now_ms``."""
     rows = jobs.join(ids.select("id").distinct().withColumn("asked", F.lit(True)), "id", "left")
     go = F.coalesce(F.col("asked") & (F.col("status").isin(*TERMINAL) | (F.col("status") == "queued")), F.lit(False))
-    return rows.withColumn("queue_visible", F.col("queue_visible") & ~go).withColumn("status", F.when(go & (F.col("status") == "queued"), "cancelled").otherwise(F.col("status"))).drop("asked")
+    cancel = go & (F.col("status") == "queued")
+    columns = {"queue_visible": F.col("queue_visible") & ~go, "status": F.when(cancel, "cancelled").otherwise(F.col("status"))}
+    if now_ms is not None:
+        columns["completed_ms"] = F.when(cancel, F.lit(now_ms).cast("long")).otherwise(F.col("completed_ms"))
+    return rows.withColumns(columns).drop("asked")
 
 
 def progress(chunks: DataFrame, durations: DataFrame) -> DataFrame:

@@ -45,17 +45,27 @@ def journal_cursor(changes: DataFrame) -> DataFrame:
 
 
 def conditional_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edits (tid, segment_index, expected, new_text) apply where the text still is the expected one; ``applied`` says so."""
-    out = rows.join(edits, ["tid", "segment_index"], "left")
+    """Edits (tid, segment_index, expected, new_text) apply where the text still is the expected one; ``applied`` says so.
+
+    Of several edits of a segment whose expectation holds, the smallest new text counts.
+    """
+    now = rows.select("tid", "segment_index", F.col("text").alias("now"))
+    holds = edits.where("new_text is not null").join(now, ["tid", "segment_index"]).where(F.col("now").eqNullSafe(F.col("expected")))
+    one = holds.groupBy("tid", "segment_index").agg(F.min_by(F.struct("expected", "new_text"), "new_text").alias("e"))
+    out = rows.join(one.select("tid", "segment_index", "e.*"), ["tid", "segment_index"], "left")
     go = F.coalesce(F.col("new_text").isNotNull() & F.col("text").eqNullSafe(F.col("expected")), F.lit(False))
     return out.withColumn("applied", go).withColumn("text", F.when(go, F.col("new_text")).otherwise(F.col("text"))).drop("expected", "new_text")
 
 
 def group_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """All or nothing by request (request, tid, segment_index, expected, new_text): the first segment takes the text, the others none."""
+    """All or nothing by request (request, tid, segment_index, expected, new_text): the first segment takes the text, the others none.
+
+    Of several requests that hold for a segment, the smallest one counts.
+    """
     met = edits.join(rows.select("tid", "segment_index", F.col("text").alias("now")), ["tid", "segment_index"], "left")
     ok = met.groupBy("request").agg(F.bool_and(F.col("now").isNotNull() & (F.col("now") == F.col("expected"))).alias("ok"), F.min("segment_index").alias("first"))
-    go = edits.join(ok.where("ok"), "request").select("tid", "segment_index", F.when(F.col("segment_index") == F.col("first"), F.col("new_text")).otherwise("").alias("put"))
+    put = F.when(F.col("segment_index") == F.col("first"), F.col("new_text")).otherwise("")
+    go = edits.join(ok.where("ok"), "request").groupBy("tid", "segment_index").agg(F.min_by(put, F.struct("request", "new_text")).alias("put"))
     return rows.join(go, ["tid", "segment_index"], "left").withColumn("applied", F.col("put").isNotNull()).withColumn("text", F.coalesce("put", "text")).drop("put")
 
 
@@ -65,7 +75,7 @@ def set_speakers_if_unchanged(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     met = wanted.join(now, ["tid", "segment_index"], "left")
     same = F.col("t").eqNullSafe(F.col("text")) & F.col("s").eqNullSafe(F.col("start_ms")) & F.col("e").eqNullSafe(F.col("end_ms")) & F.col("sp").eqNullSafe(F.col("old_speaker"))
     ok = met.groupBy("tid").agg(F.bool_and(same).alias("ok")).where("ok").select("tid")
-    go = wanted.join(ok, "tid", "left_semi").select("tid", "segment_index", "new_speaker", F.lit(True).alias("applied"))
+    go = wanted.join(ok, "tid", "left_semi").groupBy("tid", "segment_index").agg(F.min("new_speaker").alias("new_speaker"), F.lit(True).alias("applied"))
     out = rows.join(go, ["tid", "segment_index"], "left")
     return out.withColumn("speaker_id", F.when(F.col("applied"), F.col("new_speaker")).otherwise(F.col("speaker_id"))).withColumn("applied", F.coalesce("applied", F.lit(False))).drop("new_speaker")
 
@@ -105,10 +115,20 @@ def archive_ranges(blocks: DataFrame, files: DataFrame | None = None) -> DataFra
     return rows.withColumn("valid", ok & (F.col("offset") + F.col("bytes") <= F.col("file_bytes")))
 
 
-def finalize_archive(blocks: DataFrame) -> DataFrame:
-    """(session_id, tracks, bytes, duration): sums of the committed blocks (bytes, n); the duration is the longest track's."""
+def finalize_archive(blocks: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(session_id, tracks, bytes, duration): sums of the committed blocks (bytes, n); the duration is the longest track's.
+
+    With the track files (session_id, track_id, content), ``ok`` tells whether every file's size is
+    what its blocks sum to, and content_hash is the digest of the only hashed file, else empty.
+    """
     tracks = blocks.groupBy("session_id", "track_id").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
-    return tracks.groupBy("session_id").agg(F.count(F.lit(1)).alias("tracks"), F.sum("bytes").alias("bytes"), F.max("n").alias("duration"))
+    sums = [F.count(F.lit(1)).alias("tracks"), F.sum("bytes").alias("bytes"), F.max("n").alias("duration")]
+    if files is not None:
+        sizes = files.select("session_id", "track_id", F.octet_length("content").alias("size"))
+        tracks = tracks.join(sizes, ["session_id", "track_id"], "left").join(content_hashes(files), ["session_id", "track_id"], "left")
+        sums.append(F.bool_and(F.coalesce(F.col("size") == F.col("bytes"), F.lit(False))).alias("ok"))
+        sums.append(F.when(F.count("sha256") == 1, F.max("sha256")).otherwise("").alias("content_hash"))
+    return tracks.groupBy("session_id").agg(*sums)
 
 
 def content_hashes(files: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:

@@ -7,24 +7,57 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxloom.functions import columns as C
+from voxloom.sources.stored import removed, saved
 
 QUEUE, LEASE_MS, MOST_DELAY_MS = 1_000, 3_600_000, 900_000
 AUDIO_BYTES, AUDIO_FILES, NAME_CHARS = 512 << 20, 8, 240
 STATES = ("pending", "uploading", "synced", "auth_required")
+#: Fixed texts in an upload error that mean the user has to sign in again; letter case counts.
+AUTH_ERRORS = ("revoked", "expired", "Connect Google", "invalid_client", "invalid_grant")
 
 
-def build_snapshots(jobs: DataFrame, segments: DataFrame, audio: DataFrame) -> DataFrame:
-    """(id, manifest json) of recordings with their ordered segments and audio files (id, name, bytes, sha256)."""
-    segs = segments.groupBy("tid").agg(F.transform(F.sort_array(F.collect_list(F.struct("segment_index", "start_ms", "end_ms", "text", "source_track", "speaker_id"))), lambda s: s).alias("segments"))
-    files = audio.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("name", "bytes", "sha256"))).alias("audio"))
-    rows = jobs.join(segs, F.col("id") == F.col("tid"), "left").join(files, "id", "left")
-    body = F.struct(F.lit(1).alias("version"), F.struct("id", "kind", "source_filename", "status").alias("recording"), F.coalesce("segments", F.array().cast(segs.schema["segments"].dataType)).alias("segments"), F.coalesce("audio", F.array().cast(files.schema["audio"].dataType)).alias("audio"))
+def build_snapshots(jobs: DataFrame, segments: DataFrame, audio: DataFrame, tracks: DataFrame | None = None, tree: DataFrame | None = None, lineage: DataFrame | None = None, device: str = "device") -> DataFrame:
+    """(id, manifest json) of recordings that aren't being recorded or recognised and have audio.
+
+    Segments are in order; ``audio`` is (id, name, bytes, sha256), ``tracks`` (id, file, offset_seconds),
+    ``tree`` the nodes (id, kind, parent_id, name, position) of the folders above each recording
+    (recording_id), ``lineage`` (id, original_id, revision). Folder ids are made canonical for the device.
+    """
+    part = F.struct("segment_index", "start_ms", "end_ms", "text", "source_track", "speaker_id")
+    segs = segments.groupBy("tid").agg(F.sort_array(F.collect_list(part)).alias("segments"))
+    files = audio.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("name").alias("original_filename"), "bytes", "sha256"))).alias("audio"))
+    rows = jobs.where(~F.col("status").isin("preparing", "transcribing")).join(files, "id")
+    rows = rows.join(segs.withColumnRenamed("tid", "id"), "id", "left")
+    spark = jobs.sparkSession
+    if tracks is None:
+        tracks = spark.createDataFrame([], "id string, file string, offset_seconds double")
+    offsets = tracks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("file", "offset_seconds"))).alias("tracks"))
+    if tree is None:
+        tree = spark.createDataFrame([], "recording_id string, id string, kind string, parent_id string, name string, position long")
+    canonical = lambda c: C.canonical_folder_id(F.col(c), F.lit(device))
+    node = F.struct(F.when(F.col("kind") == "folder", canonical("id")).otherwise(F.col("id")).alias("id"), "kind", canonical("parent_id").alias("parent_id"), "name", "position")
+    nodes = tree.groupBy(F.col("recording_id")).agg(F.sort_array(F.collect_list(node)).alias("organization")).withColumnRenamed("recording_id", "id")
+    if lineage is None:
+        lineage = spark.createDataFrame([], "id string, original_id string, revision string")
+    parent = lineage.select("id", F.col("original_id").alias("o"), F.when(F.col("revision") != "", F.col("revision")).alias("parent_revision"))
+    rows = rows.join(offsets, "id", "left").join(nodes, "id", "left").join(parent, "id", "left")
+    none = lambda c, df: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
+    body = F.struct(
+        F.lit(1).alias("version"), F.struct("id", "kind", "source_filename", "status").alias("recording"), none("segments", segs), none("audio", files), none("tracks", offsets),
+        none("organization", nodes), F.coalesce("o", "id").alias("original_recording_id"), F.col("id").alias("organization_recording_id"), "parent_revision",
+    )
     return rows.select("id", F.to_json(body).alias("manifest"))
 
 
 def manifest_hash(manifest: F.Column) -> F.Column:  # type: ignore[name-defined]
-    """A digest of a JSON manifest without its revision."""
-    return F.sha2(F.regexp_replace(manifest, r'"revision"\s*:\s*(?:"[^"]*"|null)\s*,?', "").cast("binary"), 256)
+    """A digest of a JSON manifest without its own revision; the order of keys doesn't count.
+
+    What isn't a JSON object is hashed as text.
+    """
+    fields = F.try_parse_json(manifest).try_cast("map<string, variant>") if hasattr(F.Column, "try_cast") else F.try_parse_json(manifest).cast("map<string, variant>")
+    entries = F.transform(F.map_keys(fields), lambda k: F.struct(k.alias("k"), F.to_json(F.element_at(fields, k)).alias("v")))
+    rest = F.array_sort(F.filter(entries, lambda e: e["k"] != "revision"))
+    return F.sha2(F.coalesce(F.to_json(rest), manifest).cast("binary"), 256)
 
 
 def dedupe_snapshots(candidates: DataFrame, queue: DataFrame) -> DataFrame:
@@ -49,14 +82,27 @@ def due_jobs(queue: DataFrame, now_ms: int, n: int) -> DataFrame:
 
 
 def apply_upload_results(queue: DataFrame, results: DataFrame, now_ms: int) -> DataFrame:
-    """Results (id, ok, error) on queue rows: synced, waiting for sign-in, or pending again after a growing delay."""
-    rows = queue.join(results.select("id", "ok", F.lower(F.coalesce("error", F.lit(""))).alias("err")), "id", "left")
-    auth = F.col("err").rlike("auth|401|invalid_grant|token")
-    failed = F.coalesce(~F.col("ok") & ~auth, F.lit(False))
-    delay = F.least(F.lit(1000) * F.pow(F.lit(2.0), F.least(F.col("attempts"), F.lit(10))), F.lit(MOST_DELAY_MS)).cast("long")
-    out = rows.withColumn("next_ms", F.when(failed, F.lit(now_ms) + delay).otherwise(F.col("next_ms")))
-    state = F.when(F.col("ok").isNull(), F.col("state")).when(F.col("ok"), "synced").when(auth, "auth_required").otherwise("pending")
-    return out.withColumn("state", state).withColumn("attempts", F.when(failed, F.col("attempts") + 1).otherwise(F.col("attempts"))).drop("ok", "err")
+    """Results (id, ok, error) on queue rows: synced, waiting for sign-in, or pending again after a growing delay.
+
+    Of several results of a job, a success counts, else the last error by its text.
+    """
+    one = results.groupBy("id").agg(F.max(F.struct("ok", F.coalesce("error", F.lit("")).alias("error"))).alias("r"))
+    rows = queue.join(one, "id", "left")
+    auth = F.lit(False)
+    for text in AUTH_ERRORS:
+        auth = auth | F.col("r.error").contains(text)
+    ok, failed = F.coalesce(F.col("r.ok"), F.lit(False)), F.coalesce(~F.col("r.ok"), F.lit(False))
+    attempts = F.when(failed, F.col("attempts") + 1).otherwise(F.col("attempts"))
+    delay = F.least(F.lit(1000) * F.pow(F.lit(2.0), F.least(F.col("attempts") + 1, F.lit(10))), F.lit(MOST_DELAY_MS)).cast("long")
+    state = F.when(ok, "synced").when(failed & auth, "auth_required").when(failed, "pending").otherwise(F.col("state"))
+    next_ms = F.when(failed, F.lit(now_ms) + delay).otherwise(F.col("next_ms"))
+    return rows.withColumns({"state": state, "next_ms": next_ms, "attempts": attempts}).drop("r")
+
+
+def recover_uploads(queue: DataFrame) -> DataFrame:
+    """Uploads that a stop interrupted are pending again, at once."""
+    cut = F.col("state") == "uploading"
+    return queue.withColumns({"next_ms": F.when(cut, F.lit(0).cast("long")).otherwise(F.col("next_ms")), "state": F.when(cut, "pending").otherwise(F.col("state"))})
 
 
 def resume_after_sign_in(queue: DataFrame) -> DataFrame:
@@ -119,26 +165,29 @@ def validate_revision_graph(snapshots: DataFrame, content: str = "manifest") ->
     double = snapshots.groupBy("original_id", "revision").agg(F.countDistinct(F.sha2(F.col(content).cast("binary"), 256)).alias("k")).where("k > 1").select("original_id", F.lit("duplicate").alias("reason"))
     known = snapshots.select("original_id", F.col("revision").alias("parent")).distinct()
     edges = parents(snapshots).join(known, ["original_id", "parent"], "left_semi")
-    left = -1
-    rounds = 0
-    while True:
-        edges = edges.checkpoint() if snapshots.sparkSession.sparkContext.getCheckpointDir() else edges.cache()
-        n = edges.count()
-        if n in (0, left):
-            break
-        left, rounds = n, rounds + 1
+    edges = saved(edges, "revision-edges")
+    left = edges.count()
+    while left:
         # A parent that is no child any more has gone; its edges go too.
         open_ = edges.select("original_id", F.col("revision").alias("parent")).distinct()
-        edges = edges.join(open_, ["original_id", "parent"], "left_semi")
+        fewer = saved(edges.join(open_, ["original_id", "parent"], "left_semi"), "revision-edges")
+        removed(edges)
+        edges, before, left = fewer, left, fewer.count()
+        if left == before:
+            break
     return blank.union(double).union(edges.select("original_id", F.lit("cycle").alias("reason"))).distinct()
 
 
-def drive_presence(local: DataFrame, branches: DataFrame) -> DataFrame:
-    """(id, presence) of local recordings (id, status, original_id, revision) against remote branches."""
+def drive_presence(local: DataFrame, branches: DataFrame, complete: bool = True) -> DataFrame:
+    """(id, presence) of local recordings (id, original_id, revision) against remote branches.
+
+    Nothing is known of a recording without a whole lineage, nor if the listing isn't ``complete``.
+    """
     conflict = branches.groupBy("original_id").agg(F.bool_or("concurrent").alias("conflict"))
     found = branches.select("original_id", "revision").distinct().withColumn("found", F.lit(True))
     rows = local.join(conflict, "original_id", "left").join(found, ["original_id", "revision"], "left")
-    unsure = (F.col("status") != "completed") | (F.trim(F.coalesce("revision", F.lit(""))) == "") | (F.col("revision") == "legacy")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    unsure = F.lit(not complete) | blank("original_id") | blank("revision") | F.coalesce(F.col("revision") == "legacy", F.lit(False))
     return rows.select("id", F.when(unsure, "unknown").when(F.coalesce("conflict", F.lit(False)), "conflict").when(F.col("found"), "revision-found").otherwise("unknown").alias("presence"))
 
 
@@ -168,5 +217,7 @@ def restore_snapshots(remote: DataFrame, restored: DataFrame, files: DataFrame)
     match = F.coalesce((F.col("a.original_filename") == F.col("file")) & (F.col("a.bytes") == F.col("fb")) & (F.col("a.sha256") == F.col("fs")), F.lit(False))
     whole = flat.groupBy("remote_id", F.col("a.original_filename").alias("f")).agg(F.bool_or(match).alias("ok")).groupBy("remote_id").agg(F.bool_and("ok").alias("ok")).where("ok")
     good = new.where(~F.coalesce(bad, F.lit(False))).join(whole.select("remote_id"), "remote_id", "left_semi")
-    segments = F.transform(F.array_sort("segments", lambda a, b: F.when(a["start_ms"] < b["start_ms"], -1).when(a["start_ms"] > b["start_ms"], 1).otherwise(a["segment_index"] - b["segment_index"])), lambda s, i: s.withField("segment_index", i.cast("long")))
+    place = lambda s: F.struct(s["start_ms"], s["segment_index"])
+    in_order = F.array_sort("segments", lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0))
+    segments = F.transform(in_order, lambda s, i: s.withField("segment_index", i.cast("long")))
     return good.select("remote_id", F.concat(F.lit("restored-"), F.sha2(F.col("remote_id").cast("binary"), 256)).alias("id"), F.concat(F.col("name"), F.lit(" (Drive)")).alias("name"), F.lit("completed").alias("status"), F.lit(False).alias("queue_visible"), segments.alias("segments"))

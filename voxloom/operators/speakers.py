@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxloom.operators.audio import linear_to_16k
+
 AUTO_SIMILARITY, TWO_SIMILARITY, TWO_MARGIN = 0.58, 0.5, 0.13
 #: Rows of a product of vectors that are held at once.
 ROWS = 256
@@ -34,14 +36,37 @@ def normalize_vectors(rows: DataFrame, name: str = "embedding") -> DataFrame:
 
 
 def embed(windows: DataFrame, model: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
-    """Windows (id, samples) with the vector of an injected model, loaded once a task."""
+    """(id, embedding, error) of windows (id, samples, rate): resampled to 16 kHz, log energies, then an injected model.
+
+    The model is loaded once a task. A window that is too short, or whose vector is empty or not
+    finite, has the error instead.
+    """
+    from voxloom.operators.audio import speaker_log_mel
+
+    def one(fn, samples, rate: int) -> tuple[np.ndarray | None, str | None]:
+        try:
+            x = linear_to_16k(np.asarray(samples, np.float64), rate)
+            vector = np.asarray(fn(speaker_log_mel(x)), np.float32).reshape(-1)
+        except Exception as e:  # noqa: BLE001  any error of the injected model belongs in its row
+            return None, str(e) or type(e).__name__
+        if not len(vector) or not np.isfinite(vector).all():
+            return None, "vector is empty or not finite"
+        return vector, None
 
     def run(batches):
         fn = model()
         for p in batches:
-            yield pd.DataFrame({"id": p["id"], "embedding": [np.asarray(fn(np.asarray(s, np.float32)), np.float32).tolist() for s in p["samples"]]})
+            out = [one(fn, x, int(r)) for x, r in zip(p["samples"], p["rate"])]
+            yield pd.DataFrame({"id": p["id"], "embedding": [o[0] for o in out], "error": [o[1] for o in out]})
+
+    return windows.select("id", "samples", "rate").mapInPandas(run, "id string, embedding array<float>, error string")
 
-    return windows.select("id", "samples").mapInPandas(run, "id string, embedding array<float>")
+
+def window_audio(windows: DataFrame, blocks: DataFrame, rate: int, block: int = 16_384) -> DataFrame:
+    """Windows (tid, track, start, end) with their ``samples``; those with less than half a second are left out."""
+    from voxloom.operators.vad import slice_audio
+
+    return slice_audio(windows, blocks, block).where(F.size("samples") >= rate // 2)
 
 
 def average_linkage(x: np.ndarray, least: float = AUTO_SIMILARITY) -> list[int]:
@@ -105,44 +130,60 @@ def _last_max(x: np.ndarray) -> np.ndarray:
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 50) -> list[int]:
-    """k clusters of centred unit vectors, seeded farthest first; ValueError if one stays empty."""
+    """k clusters of centred unit vectors, seeded farthest first; ValueError if one is empty at the end.
+
+    Of equally far seeds and equally close centres, the last counts. A cluster that is empty in a round
+    keeps its centre.
+    """
     if not 1 <= k <= min(12, len(x)):
         raise ValueError("k is out of range")
     y = x - x.mean(axis=0)
-    norm = np.linalg.norm(y, axis=1, keepdims=True)
-    y = np.where(norm > 1e-9, y / np.maximum(norm, 1e-9), y)
+    y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-8)
     seeds = [0]
     while len(seeds) < k:
-        seeds.append(int(np.argmin((y @ y[seeds].T).max(axis=1))))
+        seeds.append(int(_last_max(-(y @ y[seeds].T).max(axis=1))))
     centres = y[seeds]
     for _ in range(rounds):
         label = _last_max(y @ centres.T)
-        if len(set(label.tolist())) < k:
-            raise ValueError("a cluster is empty")
-        centres = np.stack([y[label == c].sum(axis=0) for c in range(k)])
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        for c in set(label.tolist()):
+            total = y[label == c].sum(axis=0)
+            centres[c] = total / max(float(np.linalg.norm(total)), 1e-8)
     first: dict[int, int] = {}
-    return [first.setdefault(c, len(first)) for c in label.tolist()]
+    labels = [first.setdefault(c, len(first)) for c in label.tolist()]
+    if len(first) < k:
+        raise ValueError("a cluster is empty")
+    return labels
 
 
 def two_speakers(x: np.ndarray) -> list[int] | None:
-    """Two clusters from the least similar pair, or None if they aren't apart."""
-    if len(x) < 4:
+    """Two clusters from the least similar pair, or None if they aren't apart.
+
+    Each needs two vectors, and a mean similarity to its centre well above that of the two centres.
+    Of equally close centres, the first counts.
+    """
+    n = len(x)
+    if n < 2:
         return None
-    lows = [(float(part.min()), a + int(part.argmin()) // len(x), int(part.argmin()) % len(x)) for a in range(0, len(x), ROWS) for part in (x[a : a + ROWS] @ x.T,)]
+    lows = []
+    for a in range(0, n, ROWS):
+        part = x[a : a + ROWS] @ x.T
+        part[np.arange(n)[None, :] <= np.arange(a, a + len(part))[:, None]] = np.inf
+        at = int(part.argmin())
+        lows.append((float(part.flat[at]), a + at // n, at % n))
     centres = x[list(min(lows)[1:])]
     for _ in range(20):
-        label = _last_max(x @ centres.T)
-        if min((label == 0).sum(), (label == 1).sum()) < 2:
+        near = x @ centres.T
+        label = (near[:, 1] > near[:, 0]).astype(int)
+        sums = np.stack([x[label == c].sum(axis=0) for c in (0, 1)])
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        if not 0 < label.sum() < n or (norm < 1e-6).any():
             return None
-        centres = np.stack([x[label == c].mean(axis=0) for c in (0, 1)])
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
-    own = (x @ centres.T)[np.arange(len(x)), label].mean()
-    cross = (x @ centres.T)[np.arange(len(x)), 1 - label].mean()
-    if float(centres[0] @ centres[1]) > TWO_SIMILARITY or own - cross < TWO_MARGIN:
+        centres = sums / norm
+    cross = float(centres[0] @ centres[1])
+    own = [(x[label == c] @ centres[c]).mean() for c in (0, 1)]
+    if min(label.sum(), n - label.sum()) < 2 or cross > TWO_SIMILARITY or min(own) - cross < TWO_MARGIN:
         return None
-    first: dict[int, int] = {}
-    return [first.setdefault(c, len(first)) for c in label.tolist()]
+    return label.tolist()
 
 
 def cluster(vectors: DataFrame, method: str = "auto", k: int = 2) -> DataFrame:
@@ -181,6 +222,12 @@ def dominant_speaker(votes: DataFrame) -> DataFrame:
     return top.select("tid", "segment_index", F.concat(F.lit("Speaker "), (F.col("x.label") + 1).cast("string")).alias("speaker"), F.col("x.n").alias("n"))
 
 
+def label_segments(segments: DataFrame, votes: DataFrame) -> DataFrame:
+    """Segments with the dominant speaker of their windows; those without windows keep their label."""
+    won = dominant_speaker(votes).select("tid", "segment_index", F.col("speaker").alias("won"))
+    return segments.join(won, ["tid", "segment_index"], "left").withColumn("speaker_id", F.coalesce("won", "speaker_id")).drop("won")
+
+
 def match_speakers(segments: DataFrame, turns: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
     """(tid, segment_index, speaker): the turn speaker that covers half of a segment and is well ahead of the next.
 
@@ -209,11 +256,17 @@ def pairwise_cosine(vectors: DataFrame) -> DataFrame:
     return left.join(right, "tid").where("a < b").select("tid", "a", "b", cosine(F.col("x"), F.col("y")).alias("similarity"))
 
 
-def window_experiment(windows: DataFrame, reference: DataFrame) -> DataFrame:
+def window_experiment(windows: DataFrame, reference: DataFrame, bucket: int = 160_000) -> DataFrame:
     """(setting, windows, inside, dominant): of windows (setting, tid, start, end, label), how many lie inside a
-    reference interval (tid, start, end, speaker), and how many of those have their interval's commonest label."""
+    reference interval (tid, start, end, speaker), and how many of those have their speaker's commonest label.
+
+    Intervals are posted in buckets of time; a window meets them in the bucket that it starts in.
+    """
     n = windows.groupBy("setting").agg(F.count(F.lit(1)).alias("windows"))
-    inside = windows.join(reference.select("tid", F.col("start").alias("rs"), F.col("end").alias("re"), "speaker"), "tid").where("start >= rs and end <= re")
+    known = reference.where("end > start").select("tid", F.col("start").alias("rs"), F.col("end").alias("re"), "speaker")
+    known = known.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("rs") / bucket), F.floor((F.col("re") - 1) / bucket))))
+    placed = windows.withColumn("bucket", F.floor(F.col("start") / bucket))
+    inside = placed.join(known, ["tid", "bucket"]).where("start >= rs and end <= re")
     counts = inside.groupBy("setting", "speaker", "label").agg(F.count(F.lit(1)).alias("k"))
     top = counts.groupBy("setting", "speaker").agg(F.sum("k").alias("all"), F.max("k").alias("top")).groupBy("setting").agg(F.sum("all").alias("inside"), F.sum("top").alias("dominant"))
     return n.join(top, "setting", "left")

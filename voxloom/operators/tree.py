@@ -1,4 +1,9 @@
-"""Folder trees. Nodes have tree (optional), id, kind, parent_id, name and position."""
+"""Folder trees. Nodes have id, kind, parent_id, name and position.
+
+With a column ``tree``, a table holds many trees: ids, parents, rows and the limit of nodes count
+within each. Chains of parents are walked by pointer doubling, so depth has no limit: d levels take
+log2(d) rounds.
+"""
 
 from __future__ import annotations
 
@@ -6,73 +11,122 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-NAME_CHARS, TREE_NODES, DEPTH = 256, 100_000, 64
+from voxloom.sources.stored import removed, saved
+
+NAME_CHARS, TREE_NODES = 256, 100_000
+
+
+def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """Adds ``name``, the row number in ``order`` over the whole table, from 1, without one task for all rows.
+
+    Rows are numbered within range partitions; the counts of the partitions before are added, one row each.
+    """
+    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = saved(parts, "numbered")
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_part", before.alias("_before"))  # one row a partition
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_own", own).join(F.broadcast(counts), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def _with_tree(nodes: DataFrame) -> DataFrame:
+    return nodes if "tree" in nodes.columns else nodes.withColumn("tree", F.lit(""))
 
 
 def load_tree(folders: DataFrame, recordings: DataFrame, places: DataFrame) -> DataFrame:
     """Folders and recordings as nodes; a recording without a place gets its rank by newest first, from 0."""
-    rank = (F.row_number().over(W.orderBy(F.col("created_ms").desc(), "id")) - 1).cast("long")
-    ranked = recordings.withColumn("rank", rank).join(places.select("id", "parent_id", F.col("position").alias("stored")), "id", "left")
-    items = ranked.select("id", F.lit("recording").alias("kind"), "parent_id", "name", F.coalesce("stored", "rank").alias("position"))
+    ranked = numbered(recordings, "rank", F.col("created_ms").desc(), F.col("id"))
+    ranked = ranked.join(places.select("id", "parent_id", F.col("position").alias("stored")), "id", "left")
+    items = ranked.select("id", F.lit("recording").alias("kind"), "parent_id", "name", F.coalesce("stored", (F.col("rank") - 1).cast("long")).alias("position"))
     return folders.select("id", F.lit("folder").alias("kind"), "parent_id", "name", "position").unionByName(items)
 
 
-def ancestors_reach(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(id, rooted): whether the chain of parents ends at a root or unknown parent. Pointer doubling, no path lists."""
-    step = nodes.select("id", F.col("parent_id").alias("up"))
-    known = nodes.select(F.col("id").alias("k"))
-    step = step.join(known, F.col("up") == F.col("k"), "left").select("id", F.col("k").alias("up"))
-    for _ in range(max(1, (depth - 1).bit_length() + 1)):
-        over = step.select(F.col("id").alias("mid"), F.col("up").alias("top"))
-        step = step.join(over, F.col("up") == F.col("mid"), "left").select("id", F.when(F.col("up").isNotNull(), F.col("top")).alias("up"))
-    return step.select("id", F.col("up").isNull().alias("rooted"))
+def ancestors_reach(nodes: DataFrame) -> DataFrame:
+    """(tree, id, rooted): whether the chain of parents ends, at a root or an unknown parent.
+
+    Each round doubles the reach of every pointer. A round that ends no more chains leaves only cycles,
+    as a node of some depth has ancestors of every smaller depth.
+    """
+    rows = _with_tree(nodes).select("tree", "id", F.col("parent_id").alias("up")).dropDuplicates(["tree", "id"])
+    known = rows.select(F.col("tree").alias("t"), F.col("id").alias("k"))
+    step = rows.join(known, (F.col("up") == F.col("k")) & F.col("tree").eqNullSafe(F.col("t")), "left").select("tree", "id", F.col("k").alias("up"))
+    step = saved(step, "tree-reach")
+    left = step.where("up is not null").count()
+    while left:
+        over = step.select(F.col("tree").alias("t"), F.col("id").alias("mid"), F.col("up").alias("top"))
+        doubled = step.join(over, (F.col("up") == F.col("mid")) & F.col("tree").eqNullSafe(F.col("t")), "left").select("tree", "id", F.col("top").alias("up"))
+        doubled = saved(doubled, "tree-reach")
+        removed(step)
+        step, before, left = doubled, left, doubled.where("up is not null").count()
+        if left == before:
+            break
+    return step.select("tree", "id", F.col("up").isNull().alias("rooted"))
 
 
 def validate_tree(nodes: DataFrame, name_chars: int = NAME_CHARS, most: int = TREE_NODES) -> DataFrame:
     """(id, reason) of every node that breaks a rule; no row for a valid tree of at most ``most`` nodes."""
-    same = W.partitionBy("id")
-    parents = nodes.select(F.col("id").alias("p"), F.col("kind").alias("parent_kind")).dropDuplicates(["p"])
-    rows = nodes.withColumn("copies", F.count(F.lit(1)).over(same)).join(parents, F.col("parent_id") == F.col("p"), "left").join(ancestors_reach(nodes.dropDuplicates(["id"])), "id", "left")
-    size = nodes.agg(F.count(F.lit(1)).alias("nodes"))
-    rows = rows.crossJoin(F.broadcast(size))  # one row
+    several = "tree" in nodes.columns
+    rows = _with_tree(nodes)
+    same = W.partitionBy("tree", "id")
+    parents = rows.groupBy("tree", F.col("id").alias("p")).agg(F.max(F.struct((F.col("kind") == "folder").alias("f"), "kind"))["kind"].alias("parent_kind"))
+    parents = parents.withColumnRenamed("tree", "t")
+    reach = ancestors_reach(rows).select(F.col("tree").alias("rt"), F.col("id").alias("r"), "rooted")
+    sizes = rows.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes")).withColumnRenamed("tree", "st")
+    rows = rows.withColumn("copies", F.count(F.lit(1)).over(same))
+    rows = rows.join(parents, (F.col("parent_id") == F.col("p")) & F.col("tree").eqNullSafe(F.col("t")), "left")
+    rows = rows.join(reach, F.col("id").eqNullSafe(F.col("r")) & F.col("tree").eqNullSafe(F.col("rt")), "left")
+    rows = rows.join(sizes, F.col("tree").eqNullSafe(F.col("st")), "left")
     reason = (
         F.when(F.coalesce(F.trim("id"), F.lit("")) == "", "id").when(F.col("copies") > 1, "duplicate").when(~F.col("kind").isin("folder", "recording"), "kind")
         .when(F.col("position").isNull() | (F.col("position") < 0), "position")
         .when((F.col("kind") == "folder") & ((F.coalesce(F.trim("name"), F.lit("")) == "") | (F.char_length("name") > name_chars)), "name")
         .when(F.col("parent_id").isNotNull() & (F.coalesce("parent_kind", F.lit("")) != "folder"), "parent").when(~F.col("rooted"), "cycle").when(F.col("nodes") > most, "size")
     )
-    return rows.withColumn("reason", reason).where("reason is not null").select("id", "reason")
+    return rows.withColumn("reason", reason).where("reason is not null").select(*["tree"] * several, "id", "reason")
+
 
+def paths(nodes: DataFrame) -> DataFrame:
+    """(tree, id, depth, sort_key, names, chain) of every node whose chain of parents ends at a root.
 
-def paths(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(id, depth, sort_key, names, chain) of every node under a root, by a recursive query."""
-    spark = nodes.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(id, depth, sort_key, names, chain) AS (
-          SELECT id, 0, array(struct(position, id)), array(name), array(id) FROM {{nodes}} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.id, w.depth + 1, array_append(w.sort_key, struct(n.position, n.id)), array_append(w.names, n.name), array_append(w.chain, n.id)
-          FROM walk w JOIN {{nodes}} n ON n.parent_id = w.id WHERE w.depth < {depth} AND NOT array_contains(w.chain, n.id))
-        SELECT * FROM walk""",
-        nodes=nodes.select("id", "parent_id", "name", F.col("position").cast("long").alias("position")),
-    )
+    Pointer doubling on the rows of chains that end: each round puts the ancestor's path before a node's own.
+    """
+    rows = _with_tree(nodes).select("tree", "id", "parent_id", "name", F.col("position").cast("long").alias("position"))
+    ends = ancestors_reach(rows).where("rooted").select(F.col("tree").alias("t"), F.col("id").alias("r"))
+    rows = rows.join(ends, F.col("id").eqNullSafe(F.col("r")) & F.col("tree").eqNullSafe(F.col("t")), "left_semi")
+    step = saved(rows.select("tree", "id", F.col("parent_id").alias("up"), F.array(F.struct("position", "id")).alias("sort_key"), F.array("name").alias("names")), "tree-paths")
+    while not step.where("up is not null").isEmpty():
+        over = step.select(F.col("tree").alias("t"), F.col("id").alias("mid"), F.col("up").alias("top"), F.col("sort_key").alias("k"), F.col("names").alias("n"))
+        # An unknown parent ends the chain, and the node isn't below a root.
+        both = step.join(over, (F.col("up") == F.col("mid")) & F.col("tree").eqNullSafe(F.col("t")), "left").where("up is null or mid is not null")
+        longer = lambda more, own: F.when(F.col(more).isNull(), F.col(own)).otherwise(F.concat(more, own)).alias(own)
+        doubled = saved(both.select("tree", "id", F.col("top").alias("up"), longer("k", "sort_key"), longer("n", "names")), "tree-paths")
+        removed(step)
+        step = doubled
+    return step.select("tree", "id", (F.size("names") - 1).alias("depth"), "sort_key", "names", F.transform("sort_key", lambda x: x["id"]).alias("chain"))
 
 
 def visible_tree(nodes: DataFrame, collapsed: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """(id, depth, row): depth-first rows, siblings by position and id; nothing below a collapsed folder."""
+    """(id, depth, row): depth-first rows, siblings by position and id; nothing below a collapsed folder.
+
+    With several trees, rows count within each ``tree``.
+    """
     rows = paths(nodes)
     if collapsed:
         rows = rows.where(~F.exists(F.slice("chain", F.lit(1), F.col("depth")), lambda c: c.isin(*collapsed)))
-    return rows.select("id", "depth", F.row_number().over(W.orderBy("sort_key")).alias("row"))
+    if "tree" in nodes.columns:
+        return rows.select("tree", "id", "depth", F.row_number().over(W.partitionBy("tree").orderBy("sort_key")).alias("row"))
+    return numbered(rows.select("id", "depth", "sort_key"), "row", F.col("sort_key")).select("id", "depth", F.col("row").cast("int").alias("row"))
 
 
 def folder_paths(nodes: DataFrame) -> DataFrame:
     """(id, path) of folders, names joined by " / "; a chain with a missing parent starts below it."""
-    known = nodes.select(F.col("id").alias("k"))
-    rooted = nodes.join(known, F.col("parent_id") == F.col("k"), "left").withColumn("parent_id", F.col("k")).drop("k")
-    kinds = nodes.where("kind = 'folder'").select("id")
-    return paths(rooted).join(kinds, "id", "left_semi").select("id", F.array_join("names", " / ").alias("path"))
+    several, nodes = "tree" in nodes.columns, _with_tree(nodes)
+    known = nodes.select(F.col("tree").alias("t"), F.col("id").alias("k"))
+    rooted = nodes.join(known, (F.col("parent_id") == F.col("k")) & F.col("tree").eqNullSafe(F.col("t")), "left").withColumn("parent_id", F.col("k")).drop("k", "t")
+    kinds = nodes.where("kind = 'folder'").select(F.col("tree").alias("t"), F.col("id").alias("f"))
+    found = paths(rooted).join(kinds, (F.col("id") == F.col("f")) & F.col("tree").eqNullSafe(F.col("t")), "left_semi")
+    return found.select(*["tree"] * several, "id", F.array_join("names", " / ").alias("path"))
 
 
 def children(nodes: DataFrame, folder: str | None) -> DataFrame:
@@ -91,8 +145,8 @@ def move_nodes(nodes: DataFrame, ids: list[str], parent: str | None, index: int)
     A move below itself, or to or of an unknown node, raises ValueError.
     """
     known = {r["id"] for r in nodes.where(F.col("id").isin(*ids, *([parent] if parent else []))).select("id").collect()}
-    chain = paths(nodes).where(F.col("id") == parent).select("chain").head() if parent else None
-    if not set(ids) <= known or (parent and parent not in known) or (chain and set(ids) & set(chain[0])):
+    after = nodes.select("id", F.when(F.col("id").isin(*ids), F.lit(parent)).otherwise(F.col("parent_id")).alias("parent_id"))
+    if not set(ids) <= known or (parent and parent not in known) or not ancestors_reach(after).where(F.col("id").isin(*ids) & ~F.col("rooted")).isEmpty():
         raise ValueError("unknown node or cycle")
     moved = F.col("id").isin(*ids)
     rank = F.row_number().over(W.partitionBy("parent_id", moved).orderBy("position", "id")) - 1
@@ -131,29 +185,84 @@ def rename_folder(nodes: DataFrame, folder: str, name: str, most: int = NAME_CHA
 
 
 def place_first(nodes: DataFrame, recording: DataFrame) -> DataFrame:
-    """New recordings (id, name) at the top of the root, others there one further down."""
+    """New recordings (id, name) at the top of the root, others there as many places further down.
+
+    Recordings without a position first get their rank among those, newest (created_ms) first, at the root.
+    """
     n = recording.count()
+    if "created_ms" in nodes.columns:
+        unplaced = nodes.where("position is null and kind = 'recording'")
+        ranked = numbered(unplaced.drop("position"), "rank", F.col("created_ms").desc(), F.col("id"))
+        ranked = ranked.withColumn("position", (F.col("rank") - 1).cast("long")).withColumn("parent_id", F.lit(None).cast("string")).drop("rank")
+        nodes = nodes.where("position is not null or kind <> 'recording'").unionByName(ranked).drop("created_ms")
     moved = nodes.withColumn("position", F.when(F.col("parent_id").isNull(), F.col("position") + n).otherwise(F.col("position")))
-    new = recording.select("id", F.lit("recording").alias("kind"), F.lit(None).cast("string").alias("parent_id"), "name", (F.row_number().over(W.orderBy("id")) - 1).cast("long").alias("position"))
+    new = numbered(recording.select("id", "name"), "rank", F.col("id"))
+    new = new.select("id", F.lit("recording").alias("kind"), F.lit(None).cast("string").alias("parent_id"), "name", (F.col("rank") - 1).cast("long").alias("position"))
     return moved.unionByName(new)
 
 
 def merge_trees(base: DataFrame, mine: DataFrame, latest: DataFrame) -> DataFrame:
-    """Three-way merge by id: (id, node, conflict). My change holds only where latest still equals base."""
+    """Three-way merge by id: (id, node, conflict, broken).
+
+    My change holds only where latest still equals base. ``broken`` marks merged nodes whose chain of
+    parents meets a cycle, or a parent that isn't a folder of the merged tree.
+    """
     side = lambda df, c: df.select("id", F.struct("kind", "parent_id", "name", "position").alias(c))
     rows = side(base, "b").join(side(mine, "m"), "id", "full").join(side(latest, "l"), "id", "full")
     changed, moved = ~F.col("m").eqNullSafe(F.col("b")), ~F.col("l").eqNullSafe(F.col("b"))
     conflict = changed & moved & ~F.col("m").eqNullSafe(F.col("l"))
     node = F.when(changed & ~moved, F.col("m")).otherwise(F.col("l"))
-    return rows.select("id", node.alias("node"), conflict.alias("conflict")).where("node is not null or conflict")
+    merged = saved(rows.select("id", node.alias("node"), conflict.alias("conflict")).where("node is not null or conflict"), "tree-merged")
+    nodes = merged.where("node is not null").select("id", "node.*")
+    whole = below_folders(nodes).withColumn("whole", F.lit(True))
+    broken = F.col("node").isNotNull() & F.col("whole").isNull()
+    return merged.join(whole, "id", "left").select("id", "node", "conflict", broken.alias("broken"))
+
+
+def below_folders(nodes: DataFrame) -> DataFrame:
+    """(id) of the nodes all of whose ancestors are folders of the table, up to a root."""
+    folders = nodes.where("kind = 'folder'").select(F.col("id").alias("f"))
+    linked = nodes.join(folders, F.col("parent_id") == F.col("f"), "left")
+    # A node below something that isn't a folder points to itself, so its chain doesn't end, nor do those below it.
+    up = F.when(F.col("parent_id").isNull(), F.lit(None)).otherwise(F.coalesce("f", "id"))
+    return ancestors_reach(linked.select("id", up.alias("parent_id"))).where("rooted").select("id")
 
 
-def reconcile_restored_folders(local: DataFrame, remote: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Remote names and places of (id, name, parent_id, position), taken where local still equals the baseline or is new."""
+def reconcile_restored_folders(local: DataFrame, remote: DataFrame, baseline: DataFrame, device: str | None = None, mappings: DataFrame | None = None) -> DataFrame:
+    """(id, name, parent_id, position, imported, base_name, base_parent_id, base_position) of the remote folders.
+
+    A remote name is taken if the local one still is the baseline's, a remote place if the local one is,
+    or if the folder is new, and if it makes no cycle with what is local; then the remote values are the
+    new baseline. With a ``device``, remote ids and parents become local ones: a mapping (cloud_id,
+    local_id) wins over the hashed id.
+    """
+    if device is not None:
+        remote = _local_ids(remote, device, mappings)
     side = lambda df, p: df.select("id", *[F.col(c).alias(f"{p}_{c}") for c in ("name", "parent_id", "position")], F.lit(True).alias(f"{p}_here"))
     rows = side(remote, "r").join(side(local, "l"), "id", "left").join(side(baseline, "b"), "id", "left")
     new = F.col("l_here").isNull()
     rename = new | F.col("l_name").eqNullSafe(F.col("b_name"))
-    move = new | (F.col("b_here").isNotNull() & F.col("l_parent_id").eqNullSafe(F.col("b_parent_id")) & F.col("l_position").eqNullSafe(F.col("b_position")))
-    pick = lambda go, c: F.when(go, F.col(f"r_{c}")).otherwise(F.col(f"l_{c}")).alias(c)
-    return rows.select("id", pick(rename, "name"), pick(move, "parent_id"), pick(move, "position"), new.alias("imported"))
+    same_place = F.col("l_parent_id").eqNullSafe(F.col("b_parent_id")) & F.col("l_position").eqNullSafe(F.col("b_position"))
+    rows = saved(rows.withColumns({"new": new, "rename": rename, "move": new | (F.col("b_here").isNotNull() & same_place)}), "tree-restored")
+    # All moves at once on the local tree; those of folders that then lie on or below a cycle aren't made.
+    moves = rows.where("move").select("id", F.col("r_parent_id").alias("to"), F.lit(True).alias("moved"))
+    whole = local.select("id", "parent_id").join(moves, "id", "full").select("id", F.when(F.col("moved"), F.col("to")).otherwise(F.col("parent_id")).alias("parent_id"))
+    safe = ancestors_reach(whole).where("rooted").select("id", F.lit(True).alias("safe"))
+    rows = rows.join(safe, "id", "left").withColumn("move", F.col("move") & F.coalesce("safe", F.lit(False)))
+    name = F.when(F.col("rename"), F.col("r_name")).otherwise(F.col("l_name"))
+    place = lambda c: F.when(F.col("move"), F.col(f"r_{c}")).otherwise(F.col(f"l_{c}")).alias(c)
+    base = [F.col(f"r_{c}").alias(f"base_{c}") for c in ("name", "parent_id", "position")]
+    return rows.select("id", name.alias("name"), place("parent_id"), place("position"), F.col("new").alias("imported"), *base)
+
+
+def _local_ids(remote: DataFrame, device: str, mappings: DataFrame | None) -> DataFrame:
+    from voxloom.functions.columns import canonical_folder_id
+
+    for c in ("id", "parent_id"):
+        hashed = canonical_folder_id(F.col(c), F.lit(device))
+        if mappings is not None:
+            known = mappings.groupBy(F.col("cloud_id").alias(c)).agg(F.min("local_id").alias("_local"))
+            remote = remote.join(known, c, "left").withColumn(c, F.coalesce("_local", hashed)).drop("_local")
+        else:
+            remote = remote.withColumn(c, hashed)
+    return remote

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,12 +75,17 @@ def pad_and_merge_regions(regions: DataFrame, lengths: DataFrame) -> DataFrame:
 def chunk_regions(regions: DataFrame) -> DataFrame:
     """(tid, track, start, end) chunks: a greedy fold over the regions of each track, then repair of short ones."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("start")
-        chunks = repair_short_chunks(chunks_of(list(zip(rows["start"].tolist(), rows["end"].tolist()))))
-        return pd.DataFrame({"tid": rows["tid"].iloc[0], "track": rows["track"].iloc[0], "start": [c[0] for c in chunks], "end": [c[1] for c in chunks]})
+    def run(batches):
+        for batch in batches:
+            chunks = [repair_short_chunks(chunks_of([(r["start"], r["end"]) for r in track])) for track in batch.column(2).to_pylist()]
+            owner = pa.array(np.repeat(np.arange(len(chunks)), [len(c) for c in chunks]))
+            flat = [x for c in chunks for x in c]
+            ends = [pa.array([x[k] for x in flat], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *ends], names=["tid", "track", "start", "end"])
 
-    return regions.groupBy(*KEY).applyInPandas(run, "tid string, track string, start long, end long")
+    # Many tracks come in one batch; a track's regions are some per minute.
+    ordered = F.sort_array(F.collect_list(F.struct("start", "end"))).alias("regions")
+    return regions.groupBy(*KEY).agg(ordered).mapInArrow(run, "tid string, track string, start long, end long")
 
 
 def chunks_of(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -113,6 +119,20 @@ def repair_short_chunks(chunks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def repaired_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks (tid, track, start, end) without short ones, each track's in order of start."""
+
+    def run(batches):
+        for batch in batches:
+            kept = [repair_short_chunks([(r["start"], r["end"]) for r in track]) for track in batch.column(2).to_pylist()]
+            owner = pa.array(np.repeat(np.arange(len(kept)), [len(c) for c in kept]))
+            ends = [pa.array([x[k] for c in kept for x in c], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *ends], names=["tid", "track", "start", "end"])
+
+    ordered = F.sort_array(F.collect_list(F.struct("start", "end"))).alias("chunks")
+    return chunks.groupBy(*KEY).agg(ordered).mapInArrow(run, "tid string, track string, start long, end long")
+
+
 def ready_chunks(chunks: DataFrame, cursors: DataFrame) -> DataFrame:
     """Chunks to emit now: (tid, track, start, end) past the cursor (tid, track, emitted, audio_end, flush)."""
     rows = chunks.join(cursors, list(KEY)).where(F.col("end") > F.coalesce("emitted", F.lit(0)))

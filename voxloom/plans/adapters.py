@@ -30,6 +30,18 @@ SELECT concat('o', o_orderkey) AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'live' E
 FROM orders
 """
 
+# With the other columns of a recording.
+VIEWS["v_recordings"] = f"""
+SELECT x.*, arrival * 3 AS created_ms, CASE WHEN status <> 'queued' THEN arrival + 1 END AS started_ms,
+       CASE WHEN status IN ('completed', 'cancelled', 'failed', 'interrupted') THEN arrival + 2 END AS completed_ms,
+       CASE WHEN status = 'completed' THEN arrival % 90 + 0.5 END AS duration_seconds,
+       CASE WHEN status IN ('failed', 'interrupted') THEN concat('e', arrival) END AS error,
+       CASE arrival % 3 WHEN 0 THEN concat('a', arrival, '.wav') WHEN 1 THEN '' END AS audio_path,
+       concat('/in/', source_filename) AS source_path, arrival % 9 AS completed_chunks,
+       CASE WHEN arrival % 2 = 0 THEN arrival % 9 + 1 END AS total_chunks
+FROM ({VIEWS["v_jobs"]}) x
+"""
+
 _FRAMES = """
 SELECT concat('o', o_orderkey) AS tid, f AS frame, ((o_orderkey*31 + (f {div} 12)*17) % 100) AS p100
 FROM orders {grid} WHERE o_orderkey % 10 = 0
@@ -51,6 +63,12 @@ SELECT concat('r', vec_id % 20) AS tid, vec_id AS window_id, vec_id % 7 AS segme
 FROM embeddings
 """
 
+# Recordings of bounded length, so that their number grows with the table.
+VIEWS["v_recording_vectors"] = """
+SELECT concat('r', CAST(floor(vec_id / 50) AS INT)) AS tid, vec_id AS window_id, vec_id % 7 AS segment_index, embedding, label
+FROM embeddings
+"""
+
 VIEWS["v_nodes"] = """
 SELECT concat('r', r_regionkey) AS id, 'folder' AS kind, CAST(NULL AS STRING) AS parent_id, r_name AS name,
        CAST(r_regionkey AS BIGINT) AS position FROM region
@@ -91,7 +109,7 @@ DUCK = VIEWS | {"v_frames": _FRAMES.format(div="//", grid=", (SELECT unnest(rang
 DUCK["v_all_frames"] = DUCK["v_frames"].replace(_EVERY, "")
 
 TABLES = {
-    "v_segments": ["conversations"], "v_jobs": ["orders"], "v_frames": ["orders"], "v_vad_len": ["orders"], "v_all_frames": ["orders"], "v_all_vad_len": ["orders"], "v_vectors": ["embeddings"],
+    "v_segments": ["conversations"], "v_jobs": ["orders"], "v_frames": ["orders"], "v_vad_len": ["orders"], "v_all_frames": ["orders"], "v_all_vad_len": ["orders"], "v_vectors": ["embeddings"], "v_recording_vectors": ["embeddings"], "v_recordings": ["orders"],
     "v_nodes": ["region", "nation", "supplier", "customer"], "v_changes": ["events"], "v_blocks": ["events"], "v_snapshots": ["orders"],
 }
 

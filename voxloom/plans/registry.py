@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxloom.functions import columns as C
 from voxloom.operators import audio, export, jobs, journal, quality, snapshots, speakers, transcript, tree, vad
-from voxloom.plans.adapters import cte, view
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *views: str):
-    """Registers a function of (spark, sf_dir); ``views`` are the derived tables that its SQL starts with."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = (cte(*views) + (", " if sql.lstrip().startswith("+") else " ") + sql.lstrip().lstrip("+")) if views else sql
-        return f
-
-    return add
+from voxloom.plans.adapters import view
+from voxloom.plans.catalog import ORACLES, QUERIES, query  # noqa: F401
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
@@ -104,27 +88,21 @@ def x2_merge_tracks(spark, d):
 
 
 @query(
-    r"""+ r AS (SELECT *, CASE WHEN regexp_matches(regexp_replace(lag(text) OVER w, '["''»)\]\s]+$', ''), '[.!?…]$') IS FALSE AND lag(source_track) OVER w = source_track
+    r"""+ r AS (SELECT *, CASE WHEN regexp_matches(regexp_replace(regexp_replace(lag(text) OVER w, '\s+$', ''), '["''»)\]]+$', ''), '[.!?…]$') IS FALSE AND lag(source_track) OVER w = source_track
       AND lag(speaker_id) OVER w IS NOT DISTINCT FROM speaker_id AND start_ms - lag(end_ms) OVER w BETWEEN 0 AND 1000 THEN 0 ELSE 1 END AS new
       FROM v_segments WINDOW w AS (PARTITION BY tid ORDER BY segment_index)),
     i AS (SELECT *, sum(new) OVER (PARTITION BY tid ORDER BY segment_index) AS island FROM r)
-    SELECT tid, min(segment_index) AS segment_index, min(start_ms) AS start_ms, arg_max(end_ms, segment_index) AS end_ms, count(*) AS n FROM i GROUP BY tid, island""",
+    SELECT tid, min(segment_index) AS segment_index, min(start_ms) AS start_ms, arg_max(end_ms, segment_index) AS end_ms, string_agg(trim(text), ' ' ORDER BY segment_index) AS text FROM i GROUP BY tid, island""",
     "v_segments",
 )
 def x1_join_phrases(spark, d):
-    s = _segments(spark, d)
-    joined = transcript.join_phrases(s)
-    ends = W.partitionBy("tid").orderBy("segment_index")
-    n = s.groupBy("tid").agg(F.count(F.lit(1)).alias("all"))
-    nxt = F.lead("segment_index").over(ends)
-    spans = joined.select("tid", "segment_index", "start_ms", "end_ms", nxt.alias("next"))
-    members = spans.join(s.select("tid", F.col("segment_index").alias("i")), "tid").where("i >= segment_index and (next is null or i < next)")
-    return members.groupBy("tid", "segment_index", "start_ms", "end_ms").agg(F.count(F.lit(1)).alias("n"))
+    joined = transcript.join_phrases(_segments(spark, d))
+    return joined.select("tid", "segment_index", "start_ms", "end_ms", F.trim("text").alias("text"))
 
 
 @query(
     r"""+ t AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY segment_index) AS k, lag(source_track) OVER w AS pt, lag(speaker_id) OVER w AS ps, lag(end_ms) OVER w AS pe
-      FROM v_segments WHERE trim(text) <> '' WINDOW w AS (PARTITION BY tid ORDER BY segment_index)),
+      FROM (SELECT * REPLACE (regexp_replace(text, '^\s+|\s+$', '', 'g') AS text) FROM v_segments) WHERE text <> '' WINDOW w AS (PARTITION BY tid ORDER BY segment_index)),
     f(tid, k, g, total, ended) AS (
       SELECT tid, k, 1, length(text) + 1, regexp_matches(text, '[.!?…][»”"'')\]]*$') FROM t WHERE k = 1
       UNION ALL
@@ -228,23 +206,51 @@ def q5_apply_cancel(spark, d):
     return jobs.apply_cancel(j, j.where("arrival % 4 = 0").select("id")).select("id", "status", "cancel_requested")
 
 
-@query("""SELECT id, CASE WHEN status = 'transcribing' AND NOT cancel_requested AND arrival % 3 <> 2 THEN CASE WHEN arrival % 3 = 0 THEN 'completed' ELSE 'failed' END ELSE status END AS status,
-  status = 'transcribing' AND NOT cancel_requested AND arrival % 3 <> 2 AS applied FROM v_jobs""", "v_jobs")
+@query("""+ a AS (SELECT *, status = 'transcribing' AND NOT cancel_requested AND arrival % 3 <> 2 AS go, arrival % 3 = 0 AS ok FROM v_recordings)
+  SELECT id, go AS applied, CASE WHEN go AND ok THEN 'completed' WHEN go THEN 'failed' ELSE status END AS status, CASE WHEN go AND ok THEN NULL WHEN go THEN concat('bad ', arrival) ELSE error END AS error,
+  coalesce(CASE WHEN go THEN 777 ELSE completed_ms END, -1) AS completed_ms, coalesce(CASE WHEN go AND ok THEN arrival % 50 + 0.5 ELSE duration_seconds END, -1) AS duration_seconds FROM a""", "v_recordings")
 def q6_complete_or_fail(spark, d):
-    j = view(spark, d, "v_jobs")
-    results = j.where("arrival % 3 <> 2").select("id", (F.col("arrival") % 3 == 0).alias("ok"), F.lit("x").alias("error"))
-    return jobs.complete_or_fail(j, results).select("id", "status", "applied")
+    j = view(spark, d, "v_recordings")
+    result = ["id", (F.col("arrival") % 3 == 0).alias("ok"), F.concat(F.lit("bad "), "arrival").alias("error"), (F.col("arrival") % 50 + 0.5).alias("duration_seconds")]
+    results = j.where("arrival % 3 <> 2").select(*result)
+    # A second result of a job: a success counts, else the last error by its text.
+    second = results.where("ok").select("id", F.lit(False).alias("ok"), F.lit("zz").alias("error"), "duration_seconds")
+    ended = jobs.complete_or_fail(j, results.unionByName(second), 777)
+    return ended.select("id", "applied", "status", "error", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("completed_ms", "duration_seconds")])
 
 
-@query("SELECT id, CASE WHEN status IN ('preparing', 'transcribing') THEN 'interrupted' ELSE status END AS status, CASE WHEN status IN ('preparing', 'transcribing') THEN 'interrupted' END AS error FROM v_jobs", "v_jobs")
+@query("""SELECT id, CASE WHEN status IN ('preparing', 'transcribing') THEN 'interrupted' ELSE status END AS status, CASE WHEN status IN ('preparing', 'transcribing') THEN 'Application stopped during transcription' ELSE error END AS error,
+  coalesce(CASE WHEN status IN ('preparing', 'transcribing') THEN 777 ELSE completed_ms END, -1) AS completed_ms FROM v_recordings""", "v_recordings")
 def q7_recover_interrupted(spark, d):
-    return jobs.recover_interrupted(view(spark, d, "v_jobs")).select("id", "status", "error")
+    return jobs.recover_interrupted(view(spark, d, "v_recordings"), 777).select("id", "status", "error", F.coalesce("completed_ms", F.lit(-1)).alias("completed_ms"))
 
 
-@query("""SELECT id, CASE WHEN g THEN 'file' ELSE kind END AS kind, CASE WHEN g THEN 'queued' ELSE status END AS status, g AS reset FROM (SELECT *, arrival % 2 = 0 AND status IN ('completed', 'cancelled', 'failed', 'interrupted') AND (kind = 'file' OR arrival % 4 = 0) AS g FROM v_jobs)""", "v_jobs")
+@query("SELECT id, CASE WHEN arrival % 3 = 0 THEN 'failed' WHEN arrival % 3 = 1 THEN 'completed' ELSE 'failed' END AS state, CASE WHEN arrival % 3 = 0 THEN 777 ELSE arrival END AS updated_ms FROM v_jobs", "v_jobs")
+def q7_recover_finalizations(spark, d):
+    state = F.element_at(F.array(F.lit("finalizing"), F.lit("completed"), F.lit("failed")), (F.col("arrival") % 3 + 1).cast("int"))
+    open_ = view(spark, d, "v_jobs").select("id", state.alias("state"), F.col("arrival").alias("updated_ms"))
+    return jobs.recover_finalizations(open_, 777)
+
+
+RESET = """+ g AS (SELECT *, arrival % 2 = 0 AND status IN ('completed', 'cancelled', 'failed', 'interrupted') AND (kind = 'file' OR coalesce(audio_path, '') <> '') AS go FROM v_recordings) """
+
+
+@query(RESET + """SELECT id, go AS reset, CASE WHEN go THEN 'file' ELSE kind END AS kind, CASE WHEN go THEN 'queued' ELSE status END AS status, CASE WHEN go AND kind = 'live' THEN audio_path ELSE source_path END AS source_path,
+  CASE WHEN go THEN NULL ELSE error END AS error, coalesce(CASE WHEN go THEN NULL ELSE started_ms END, -1) AS started_ms, coalesce(CASE WHEN go THEN NULL ELSE completed_ms END, -1) AS completed_ms,
+  coalesce(CASE WHEN go THEN NULL ELSE duration_seconds END, -1) AS duration_seconds, CASE WHEN go THEN 0 ELSE completed_chunks END AS completed_chunks, coalesce(CASE WHEN go THEN NULL ELSE total_chunks END, -1) AS total_chunks,
+  cancel_requested AND NOT go AS cancel_requested, start_requested AND NOT go AS start_requested, queue_visible OR go AS queue_visible FROM g""", "v_recordings")
 def q8_reset_for_retry(spark, d):
-    j = view(spark, d, "v_jobs").withColumn("audio_path", F.when(F.col("arrival") % 4 == 0, "a.wav"))
-    return jobs.reset_for_retry(j, j.where("arrival % 2 = 0").select("id")).select("id", "kind", "status", "reset")
+    j = view(spark, d, "v_recordings")
+    out = jobs.reset_for_retry(j, j.where("arrival % 2 = 0").select("id"))
+    numbers = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("started_ms", "completed_ms", "duration_seconds", "total_chunks")]
+    return out.select("id", "reset", "kind", "status", "source_path", "error", *numbers, "completed_chunks", "cancel_requested", "start_requested", "queue_visible")
+
+
+@query(RESET + "SELECT concat('o', l_orderkey) AS tid, l_linenumber AS segment_index FROM lineitem WHERE concat('o', l_orderkey) NOT IN (SELECT id FROM g WHERE go)", "v_recordings")
+def q8_segments_after_reset(spark, d):
+    j = view(spark, d, "v_recordings")
+    s = spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat(F.lit("o"), "l_orderkey").alias("tid"), F.col("l_linenumber").alias("segment_index"))
+    return jobs.segments_after_reset(s, jobs.reset_for_retry(j, j.where("arrival % 2 = 0").select("id")))
 
 
 @query("SELECT id, CASE WHEN arrival % 5 = 1 AND status = 'queued' THEN 'cancelled' ELSE status END AS status, queue_visible AND NOT (arrival % 5 = 1 AND status IN ('completed', 'cancelled', 'failed', 'interrupted', 'queued')) AS queue_visible FROM v_jobs", "v_jobs")
@@ -315,20 +321,25 @@ def o2_validate_tree(spark, d):
     return tree.validate_tree(bad)
 
 
-@query("""SELECT coalesce(m.id, b.id) AS id, CASE WHEN c AND NOT l THEN m.name WHEN l THEN b.name || '!' ELSE b.name END AS name, c AND l AS conflict
-  FROM (SELECT *, position % 3 = 0 AS c, position % 5 = 0 AS l FROM v_nodes) b JOIN (SELECT id, CASE WHEN position % 3 = 0 THEN name || '?' ELSE name END AS name FROM v_nodes) m ON m.id = b.id""", "v_nodes")
+@query("""+ m AS (SELECT id, kind, name, position, CASE WHEN id = 'n2' THEN 'nowhere' ELSE parent_id END AS parent_id, position % 3 = 0 AS c, position % 5 = 0 AS l FROM v_nodes),
+  t AS (SELECT id, kind, parent_id, CASE WHEN c AND NOT l THEN name || '?' WHEN l THEN name || '!' ELSE name END AS name, c AND l AS conflict FROM m),
+  up AS (SELECT id, parent_id FROM t UNION SELECT up.id, t.parent_id FROM up JOIN t ON up.parent_id = t.id)
+  SELECT id, name, conflict, id IN (SELECT up.id FROM up WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM t WHERE kind = 'folder')) AS broken FROM t""", "v_nodes")
 def o10_merge_trees(spark, d):
-    n = view(spark, d, "v_nodes")
+    n = view(spark, d, "v_nodes").withColumn("parent_id", F.when(F.col("id") == "n2", "nowhere").otherwise(F.col("parent_id")))
     mark = lambda k, x: n.withColumn("name", F.when(F.col("position") % k == 0, F.concat("name", F.lit(x))).otherwise(F.col("name")))
-    return tree.merge_trees(n, mark(3, "?"), mark(5, "!")).select("id", "node.name", "conflict")
+    return tree.merge_trees(n, mark(3, "?"), mark(5, "!")).select("id", "node.name", "conflict", "broken")
 
 
-@query("""SELECT id, CASE WHEN position % 4 = 0 THEN name || '~' ELSE name || '+' END AS name, CASE WHEN position % 6 = 0 THEN position + 1 ELSE position + 100 END AS position FROM v_nodes""", "v_nodes")
+@query("""+ x AS (SELECT *, CASE WHEN position % 4 = 0 THEN name || '~' ELSE name END AS ln, CASE WHEN position % 6 = 0 THEN position + 1 ELSE position END AS lp FROM v_nodes)
+  SELECT id, CASE WHEN position % 4 = 0 THEN ln ELSE name || '+' END AS name, CASE WHEN position % 6 = 0 THEN lp ELSE position + 100 END AS position, CASE WHEN position % 6 <> 0 AND id LIKE 's%' THEN 'n0' ELSE parent_id END AS parent_id,
+  false AS imported, name || '+' AS base_name, position + 100 AS base_position FROM x""", "v_nodes")
 def o11_reconcile_folders(spark, d):
     n = view(spark, d, "v_nodes")
-    remote = n.withColumn("name", F.concat("name", F.lit("+"))).withColumn("position", F.col("position") + 100)
+    to = F.when(F.col("id").startswith("s"), "n0").otherwise(F.col("parent_id"))
+    remote = n.withColumn("name", F.concat("name", F.lit("+"))).withColumn("position", F.col("position") + 100).withColumn("parent_id", to)
     local = n.withColumn("name", F.when(F.col("position") % 4 == 0, F.concat("name", F.lit("~"))).otherwise(F.col("name"))).withColumn("position", F.when(F.col("position") % 6 == 0, F.col("position") + 1).otherwise(F.col("position")))
-    return tree.reconcile_restored_folders(local, remote, n).select("id", "name", "position")
+    return tree.reconcile_restored_folders(local, remote, n).select("id", "name", "position", "parent_id", "imported", "base_name", "base_position")
 
 
 @query("SELECT id, 'drive-folder-' || sha256('dev:' || id) AS folder_id FROM v_nodes", "v_nodes")
@@ -336,9 +347,10 @@ def o12_canonical_folder(spark, d):
     return view(spark, d, "v_nodes").select("id", C.canonical_folder_id(F.col("id"), F.lit("dev")).alias("folder_id"))
 
 
-@query("SELECT id, CASE WHEN parent_id = 'n3' THEN 'r' || (SELECT n_regionkey FROM nation WHERE n_nationkey = 3) ELSE parent_id END AS parent_id FROM v_nodes WHERE id <> 'n3'", "v_nodes")
+@query("""+ x AS (SELECT id, position, CASE WHEN parent_id = 'n3' THEN (SELECT parent_id FROM v_nodes WHERE id = 'n3') ELSE parent_id END AS parent_id, coalesce(parent_id = 'n3', false) AS late FROM v_nodes WHERE id <> 'n3')
+  SELECT id, parent_id, CASE WHEN parent_id = (SELECT parent_id FROM v_nodes WHERE id = 'n3') THEN row_number() OVER (PARTITION BY parent_id ORDER BY late, position, id) - 1 ELSE position END AS position FROM x""", "v_nodes")
 def o7_delete_folder(spark, d):
-    return tree.delete_folder(view(spark, d, "v_nodes"), "n3").select("id", "parent_id")
+    return tree.delete_folder(view(spark, d, "v_nodes"), "n3").select("id", "parent_id", "position")
 
 
 @query("SELECT id, parent_id, position + CASE WHEN parent_id IS NULL THEN 1 ELSE 0 END AS position FROM v_nodes UNION ALL SELECT 'new', NULL, 0", "v_nodes")
@@ -496,12 +508,6 @@ def v3_all_padded_regions(spark, d):
     return vad.pad_and_merge_regions(vad.speech_regions(frames, lengths), lengths).select("tid", "start", "end")
 
 
-@query()
-def v4_all_chunks(spark, d):
-    frames, lengths = _frames(spark, d, "v_all")
-    return vad.chunk_regions(vad.pad_and_merge_regions(vad.speech_regions(frames, lengths), lengths))
-
-
 PACKETS = "+ p AS (SELECT session_id AS session, track_id AS track, arrival, n, coalesce(sum(n) OVER (PARTITION BY session_id, track_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS due FROM v_blocks)"
 
 
@@ -551,7 +557,17 @@ def d9_match_speakers(spark, d):
 
 @query()
 def d5_cluster_auto(spark, d):
-    return speakers.cluster(view(spark, d, "v_vectors"), "auto")
+    return speakers.cluster(view(spark, d, "v_recording_vectors"), "auto")
+
+
+@query()
+def d6_cluster_k(spark, d):
+    return speakers.cluster(view(spark, d, "v_recording_vectors"), "k", 3)
+
+
+@query()
+def d7_cluster_two(spark, d):
+    return speakers.cluster(view(spark, d, "v_recording_vectors"), "two")
 
 
 @query("SELECT tid, count(*) * (count(*) - 1) // 2 AS pairs FROM v_vectors GROUP BY tid", "v_vectors")
@@ -559,9 +575,19 @@ def d10_pair_counts(spark, d):
     return speakers.pairwise_cosine(view(spark, d, "v_vectors")).groupBy("tid").agg(F.count("similarity").alias("pairs"))
 
 
-@query("SELECT window_id, true AS ok FROM v_vectors", "v_vectors")
+@query("""SELECT x.tid, x.window_id AS a, y.window_id AS b, CAST(round(1000 * list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))) AS BIGINT) AS permille
+  FROM v_recording_vectors x JOIN v_recording_vectors y ON x.tid = y.tid AND x.window_id < y.window_id""", "v_recording_vectors")
+def d10_pairwise_cosine(spark, d):
+    return speakers.pairwise_cosine(view(spark, d, "v_recording_vectors")).select("tid", "a", "b", F.round(F.col("similarity") * 1000).cast("long").alias("permille"))
+
+
+@query("""+ x AS (SELECT window_id, CASE WHEN window_id % 5 = 0 THEN list_transform(CAST(embedding AS DOUBLE[]), lambda v: 0.0::DOUBLE) ELSE CAST(embedding AS DOUBLE[]) END AS e FROM v_vectors)
+  SELECT window_id, window_id % 5 <> 0 AS ok, CASE WHEN window_id % 5 <> 0 THEN CAST(round(1000 * list_sum(list_transform(e, lambda v: v / sqrt(list_inner_product(e, e))))) AS BIGINT) ELSE 0 END AS total FROM x""", "v_vectors")
 def d4_normalize(spark, d):
-    return speakers.normalize_vectors(view(spark, d, "v_vectors")).select("window_id", "ok")
+    zero = F.transform("embedding", lambda v: F.lit(0.0).cast("float"))
+    rows = view(spark, d, "v_vectors").withColumn("embedding", F.when(F.col("window_id") % 5 == 0, zero).otherwise(F.col("embedding")))
+    total = F.round(F.aggregate("unit", F.lit(0.0), lambda a, v: a + v) * 1000).cast("long")
+    return speakers.normalize_vectors(rows).select("window_id", "ok", F.coalesce(total, F.lit(0)).alias("total"))
 
 
 # --- journal, archives, snapshots --------------------------------------------------------------
@@ -670,23 +696,43 @@ def j23_snapshot_branches(spark, d):
     return snapshots.snapshot_branches(_snapshots(spark, d))
 
 
-@query(USED + """, c AS (SELECT original_id, count(*) > 1 AS conflict FROM heads GROUP BY 1), l AS (SELECT *, CASE WHEN CAST(substr(revision, 2) AS BIGINT) % 3 = 0 THEN 'failed' ELSE 'completed' END AS status FROM v_snapshots)
-  SELECT l.revision AS id, CASE WHEN status <> 'completed' THEN 'unknown' WHEN conflict THEN 'conflict' ELSE 'revision-found' END AS presence FROM l JOIN c ON c.original_id = l.original_id""", "v_snapshots")
+@query(USED + """, c AS (SELECT original_id, count(*) > 1 AS conflict FROM heads GROUP BY 1), l AS (SELECT *, CASE CAST(substr(revision, 2) AS BIGINT) % 5 WHEN 0 THEN ' ' WHEN 1 THEN 'legacy' WHEN 2 THEN 'none' ELSE revision END AS r FROM v_snapshots)
+  SELECT l.revision AS id, CASE WHEN trim(r) = '' OR r = 'legacy' THEN 'unknown' WHEN conflict THEN 'conflict' WHEN r = 'none' THEN 'unknown' ELSE 'revision-found' END AS presence FROM l JOIN c ON c.original_id = l.original_id""", "v_snapshots")
 def j24_drive_presence(spark, d):
     s = _snapshots(spark, d)
-    local = s.select(F.col("revision").alias("id"), F.when(F.substring("revision", 2, 99).cast("long") % 3 == 0, "failed").otherwise("completed").alias("status"), "original_id", "revision")
+    k = F.substring("revision", 2, 99).cast("long") % 5
+    known = F.when(k == 0, " ").when(k == 1, "legacy").when(k == 2, "none").otherwise(F.col("revision"))
+    local = s.select(F.col("revision").alias("id"), "original_id", known.alias("revision"))
     return snapshots.drive_presence(local, snapshots.snapshot_branches(s))
 
 
-@query(USED + "SELECT original_id, count(*) BETWEEN 2 AND 32 AS ok FROM heads GROUP BY original_id", "v_snapshots")
+@query(USED + """, h AS (SELECT original_id, count(*) AS n FROM heads GROUP BY 1)
+  SELECT original_id, CASE CAST(substr(original_id, 2) AS BIGINT) % 3 WHEN 0 THEN n BETWEEN 2 AND 32 WHEN 1 THEN false ELSE (SELECT count(*) FROM v_snapshots s WHERE s.original_id = h.original_id) BETWEEN 2 AND 32 AND n > 1 AND n = (SELECT count(*) FROM v_snapshots s WHERE s.original_id = h.original_id) END AS ok FROM h""", "v_snapshots")
 def j25_merge_selection(spark, d):
+    # By original: all heads, all heads twice, or all revisions.
     s = _snapshots(spark, d)
-    return snapshots.validate_merge_selection(snapshots.conflict_heads(s), snapshots.snapshot_branches(s))
+    k = F.substring("original_id", 2, 99).cast("long") % 3
+    heads = snapshots.conflict_heads(s)
+    chosen = heads.where(k == 0).union(heads.where(k == 1)).union(heads.where(k == 1)).union(s.where(k == 2).select("original_id", "revision"))
+    return snapshots.validate_merge_selection(chosen, snapshots.snapshot_branches(s))
 
 
-@query("SELECT original_id, 'x' AS reason FROM v_snapshots WHERE false", "v_snapshots")
+@query("""SELECT concat('k', o_custkey) AS original_id, 'blank' AS reason FROM orders WHERE o_custkey % 10 = 1 GROUP BY 1
+  UNION ALL SELECT concat('k', o_custkey), 'duplicate' FROM orders WHERE o_custkey % 10 = 2 GROUP BY o_custkey
+  UNION ALL SELECT concat('k', o_custkey), 'cycle' FROM orders WHERE o_custkey % 10 = 3 GROUP BY o_custkey HAVING count(*) > 1""")
 def j21_revision_graph(spark, d):
-    return snapshots.validate_revision_graph(_snapshots(spark, d).withColumn("manifest", F.col("revision")))
+    # By original: a blank revision, one with two contents, the first revision below the last one, or whole.
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey")
+    k, w = F.col("o_custkey") % 10, W.partitionBy("o_custkey")
+    revision = F.concat(F.lit("o"), "o_orderkey")
+    parent = F.concat(F.lit("o"), F.lag("o_orderkey").over(w.orderBy("o_orderkey")))
+    last = F.concat(F.lit("o"), F.max("o_orderkey").over(w))
+    s = o.select(
+        "o_orderkey", k.alias("k"), F.concat(F.lit("k"), "o_custkey").alias("original_id"), F.when(k == 1, " ").otherwise(revision).alias("revision"),
+        F.when((k == 3) & parent.isNull() & (last != revision), last).otherwise(parent).alias("parent_revision"), F.lit(None).cast("string").alias("merge_a"), F.lit(None).cast("string").alias("merge_b"),
+    )
+    again = s.where("k = 2").withColumn("manifest", F.lit("other"))
+    return snapshots.validate_revision_graph(s.withColumn("manifest", F.lit("one")).unionByName(again))
 
 
 @query("""SELECT o_custkey AS owner, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS pending, count(*) FILTER (WHERE o_orderkey % 4 = 1) AS uploading, count(*) FILTER (WHERE o_orderkey % 4 = 2) AS synced, count(*) FILTER (WHERE o_orderkey % 4 = 3) AS auth_required FROM orders GROUP BY o_custkey""")
@@ -704,16 +750,37 @@ def j16_due_jobs(spark, d):
     return snapshots.due_jobs(_outbox(spark, d), 2500, 3).select("owner", "id", "rank")
 
 
-@query("""SELECT concat('o', o_orderkey) AS id, CASE o_orderkey % 5 WHEN 0 THEN 'synced' WHEN 1 THEN 'auth_required' WHEN 2 THEN 'pending' ELSE ['pending', 'uploading', 'synced', 'auth_required'][CAST(o_orderkey % 4 + 1 AS INT)] END AS state,
-  CAST(o_orderkey % 12 + CASE WHEN o_orderkey % 5 = 2 THEN 1 ELSE 0 END AS INT) AS attempts, CASE WHEN o_orderkey % 5 = 2 THEN 1000 + least(1000 * CAST(pow(2, least(o_orderkey % 12, 10)) AS BIGINT), 900000) ELSE (o_orderkey * 31) % 5000 END AS next_ms FROM orders""")
+@query("""+ q AS (SELECT *, o_orderkey % 5 AS k, CAST(o_orderkey % 12 AS INT) AS a, o_orderkey % 7 = 0 AS twice FROM orders), r AS (SELECT *, k = 0 OR (k < 4 AND twice) AS ok, k BETWEEN 1 AND 3 AND NOT twice AS failed FROM q)
+  SELECT concat('o', o_orderkey) AS id, CASE WHEN ok THEN 'synced' WHEN failed AND k < 3 THEN 'auth_required' WHEN failed THEN 'pending' ELSE ['pending', 'uploading', 'synced', 'auth_required'][CAST(o_orderkey % 4 + 1 AS INT)] END AS state,
+  CAST(a + CASE WHEN failed THEN 1 ELSE 0 END AS INT) AS attempts, CASE WHEN failed THEN 1000 + least(1000 * CAST(pow(2, least(a + 1, 10)) AS BIGINT), 900000) ELSE (o_orderkey * 31) % 5000 END AS next_ms FROM r""".replace("+ q", "WITH q", 1))
 def j17_upload_results(spark, d):
     q = _outbox(spark, d)
-    results = q.where("k % 5 < 3").select("id", (F.col("k") % 5 == 0).alias("ok"), F.when(F.col("k") % 5 == 1, "401 auth").otherwise("timeout").alias("error"))
-    return snapshots.apply_upload_results(q, results, 1000).select("id", "state", "attempts", "next_ms")
+    k = F.col("k") % 5
+    error = F.when(k == 1, "token expired").when(k == 2, "Connect Google Drive first").when(k == 3, "Revoked or 401 auth token")
+    results = q.where("k % 5 < 4").select("id", (k == 0).alias("ok"), error.alias("error"))
+    # Seven orders on, a second result: a success counts.
+    second = q.where("k % 5 < 4 and k % 7 = 0").select("id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+    return snapshots.apply_upload_results(q, results.unionByName(second), 1000).select("id", "state", "attempts", "next_ms")
 
 
-@query("SELECT owner, id, payload FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY arrival, id) AS r FROM (SELECT l_suppkey AS owner, concat('p', l_partkey) AS id, arg_min(l_orderkey * 10 + l_linenumber, l_orderkey * 10 + l_linenumber) AS payload, min(l_orderkey * 10 + l_linenumber) AS arrival FROM lineitem GROUP BY 1, 2)) WHERE r <= 100")
+@query("SELECT concat('o', o_orderkey) AS id, CASE o_orderkey % 4 WHEN 2 THEN 'synced' ELSE 'pending' END AS state, CASE o_orderkey % 4 WHEN 1 THEN 0 WHEN 3 THEN 0 ELSE (o_orderkey * 31) % 5000 END AS next_ms FROM orders")
+def j17_resume_and_recover(spark, d):
+    return snapshots.recover_uploads(snapshots.resume_after_sign_in(_outbox(spark, d))).select("id", "state", "next_ms")
+
+
+@query("""WITH n AS (SELECT l_suppkey AS owner, concat('p', l_partkey) AS id, min(l_orderkey * 10 + l_linenumber) AS arrival FROM lineitem GROUP BY 1, 2),
+  old AS (SELECT owner, id, arrival % 3 = 0 AS synced FROM n WHERE arrival % 4 = 0),
+  used AS (SELECT owner, count(*) AS used FROM old WHERE NOT synced GROUP BY owner),
+  fresh AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY arrival, id) AS r FROM n WHERE arrival % 4 <> 0)
+  SELECT f.owner, id, arrival AS payload FROM fresh f LEFT JOIN used u ON u.owner = f.owner WHERE r + coalesce(used, 0) <= 100""")
 def j15_enqueue_outbox(spark, d):
+    # A quarter of the ids is in the queue, a third of those synced.
     at = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     new = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("owner"), F.concat(F.lit("p"), "l_partkey").alias("id"), at.alias("payload"), at.alias("arrival"))
-    return snapshots.enqueue_outbox(new.limit(0).select("owner", "id", F.lit("pending").alias("state")), new, 100).select("owner", "id", "payload")
+    first = new.groupBy("owner", "id").agg(F.min("arrival").alias("arrival"))
+    queue = first.where("arrival % 4 = 0").select("owner", "id", F.when(F.col("arrival") % 3 == 0, "synced").otherwise("pending").alias("state"))
+    return snapshots.enqueue_outbox(queue, new, 100).select("owner", "id", "payload")
+
+
+# The other modules of queries register theirs when they are imported.
+from voxloom.plans import audio_queries, state_queries  # noqa: E402, F401

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.operators import export
+from voxloom.operators.jobs import ACTIVE, TERMINAL
 
 MEDIA = ("wav", "mp3", "flac", "ogg", "opus", "webm", "m4a", "mp4", "aac")
 BLOCK = 16_384
@@ -30,7 +31,11 @@ MANIFEST = (
 
 def inventory_files(spark: SparkSession, path: str, model_version: str) -> DataFrame:
     """One queued job per media file; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    return media_jobs(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime"), model_version)
+
+
+def media_jobs(files: DataFrame, model_version: str) -> DataFrame:
+    """The jobs of files (path, length, modificationTime) with a media extension."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     rows = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*MEDIA))
     return rows.select(F.sha2(F.col("path").cast("binary"), 256).alias("id"), F.lit("file").alias("kind"), name.alias("source_filename"), F.col("path").alias("source_path"), F.col("length").alias("source_size_bytes"), F.unix_millis("modificationTime").alias("source_modified_ms"), F.lit("queued").alias("status"), F.lit(model_version).alias("model_version"))
@@ -74,7 +79,11 @@ def wav_samples(content: bytes) -> tuple[np.ndarray, int]:
 
 def read_wav_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     """(path, rate, block_start, duration, samples, error): mono blocks of each file; a bad file is one row with its error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
+    return wav_blocks(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path).select("path", "content"), block)
+
+
+def wav_blocks(files: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The blocks of WAV files (path, content), as ``read_wav_blocks``."""
 
     def run(batches):
         for p in batches:
@@ -88,21 +97,25 @@ def read_wav_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataF
                 starts = list(range(0, len(mono), block)) or [0]
                 for k in range(0, len(starts), 64):
                     part = starts[k : k + 64]
-                    yield pd.DataFrame({"path": name, "rate": rate, "block_start": part, "duration": len(mono) / rate, "samples": [mono[s : s + block].tolist() for s in part], "error": None})
+                    yield pd.DataFrame({"path": name, "rate": rate, "block_start": part, "duration": len(mono) / rate, "samples": [mono[s : s + block] for s in part], "error": None})
 
     return files.mapInPandas(run, "path string, rate int, block_start long, duration double, samples array<float>, error string")
 
 
 def read_raw_f32(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
     """(path, block_start, samples) of little-endian f32 archives."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return raw_blocks(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"), block)
+
+
+def raw_blocks(files: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The blocks of archives (path, content), as ``read_raw_f32``."""
 
     def run(batches):
         for p in batches:
             for name, content in zip(p["path"], p["content"]):
                 x = np.frombuffer(content, "<f4", len(content) // 4)
                 for s in range(0, len(x), block):
-                    yield pd.DataFrame({"path": [name], "block_start": [s], "samples": [x[s : s + block].tolist()]})
+                    yield pd.DataFrame({"path": [name], "block_start": [s], "samples": [x[s : s + block]]})
 
     return files.mapInPandas(run, "path string, block_start long, samples array<float>")
 
@@ -130,6 +143,49 @@ def write_segments(rows: DataFrame, path: str) -> None:
     checked_segments(rows).where("violation is null").drop("violation").write.mode("overwrite").parquet(path)
 
 
+def checked_transcriptions(rows: DataFrame) -> DataFrame:
+    """Adds ``violation``, null for recordings that keep the table's rules (closed sets, counts, the unique id)."""
+    from pyspark.sql import Window as W
+
+    copies = F.count(F.lit(1)).over(W.partitionBy("id"))
+    missing = F.lit(False)
+    for c in ("id", "source_filename", "source_path", "created_ms", "model_version"):
+        missing = missing | F.col(c).isNull()
+    v = (
+        F.when(missing, "null").when(~F.coalesce("kind", F.lit("")).isin("file", "live"), "kind")
+        .when(~F.coalesce("status", F.lit("")).isin("queued", *ACTIVE, *TERMINAL), "status")
+        .when(F.coalesce("source_size_bytes", F.lit(-1)) < 0, "size").when((F.col("duration_seconds") < 0) | F.isnan("duration_seconds"), "duration")
+        .when((F.col("completed_chunks") < 0) | (F.col("total_chunks") < 0), "chunks").when(copies > 1, "unique")
+    )
+    return rows.withColumn("violation", v)
+
+
+def read_transcriptions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, violations) of a Parquet table of recordings."""
+    rows = checked_transcriptions(spark.read.schema(TRANSCRIPTIONS).parquet(path))
+    return rows.where("violation is null").drop("violation"), rows.where("violation is not null")
+
+
+def write_transcriptions(rows: DataFrame, path: str) -> None:
+    checked_transcriptions(rows).where("violation is null").drop("violation").write.mode("overwrite").parquet(path)
+
+
+def timed(segments: DataFrame) -> DataFrame:
+    """Segments of the table above in the columns that the operators use: tid, segment_index, start_ms, end_ms, ..."""
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    return segments.select(F.col("transcription_id").alias("tid"), "segment_index", ms("start_seconds").alias("start_ms"), ms("end_seconds").alias("end_ms"), "text", "source_track", "speaker_id")
+
+
+def stored_segments(segments: DataFrame, state: str = "final") -> DataFrame:
+    """The operators' segments (tid, segment_index, start_ms, end_ms, text, ...) in the columns of the table."""
+    has = lambda c, other: F.col(c) if c in segments.columns else other
+    return segments.select(
+        F.concat_ws(":", "tid", "segment_index").alias("id"), F.col("tid").alias("transcription_id"), F.col("segment_index").cast("long").alias("segment_index"),
+        (F.col("start_ms") / 1000).alias("start_seconds"), (F.col("end_ms") / 1000).alias("end_seconds"), "text",
+        has("source_track", F.lit("file")).alias("source_track"), has("speaker_id", F.lit(None).cast("string")).alias("speaker_id"), F.lit(state).alias("state"),
+    )
+
+
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Manifests, one a file; those that don't parse have ``reason`` set."""
     text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)

@@ -50,125 +50,207 @@ def dedupe_blocks(blocks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return blocks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["idempotency_key"])
 
 
-def stream_durable_cursor(blocks: DataFrame) -> DataFrame:
-    """(session_id, track_id, durable, waiting) after every batch of (session_id, track_id, seq): state is the next
-    sequence number and the numbers that wait beyond a gap. Arrival order doesn't matter.
+def stream_durable_cursor(blocks: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """(session_id, track_id, durable, waiting, gap) after every batch of (session_id, track_id, seq, ts?).
+
+    State is the next sequence number and the numbers that wait beyond a gap; arrival order doesn't
+    matter. When the watermark passes the newest block of a track that still waits, the first missing
+    number is reported as ``gap`` (else null) and the waiting numbers are dropped, so the state is
+    bounded by what arrives within the delay; the sender replays them from the durable cursor. Blocks
+    without ``ts`` wait without a limit.
     """
+    timed = "ts" in blocks.columns
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
         due, waiting = state.get if state.exists else (0, [])
-        seen = {int(s) for s in waiting}
+        if state.hasTimedOut:
+            state.update((due, []))
+            if waiting:
+                yield pd.DataFrame({"session_id": [key[0]], "track_id": [key[1]], "durable": [due - 1], "waiting": [0], "gap": [due]})
+            return
+        seen, newest = {int(s) for s in waiting}, 0
         for p in frames:
             seen.update(int(s) for s in p["seq"] if s >= due)
+            newest = max(newest, int(p["ts"].max().timestamp() * 1000) if timed else 0)
         while due in seen:
             seen.discard(due)
             due += 1
         state.update((due, sorted(seen)))
-        yield pd.DataFrame({"session_id": [key[0]], "track_id": [key[1]], "durable": [due - 1], "waiting": [len(seen)]})
+        if seen and timed:
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"session_id": [key[0]], "track_id": [key[1]], "durable": [due - 1], "waiting": [len(seen)], "gap": pd.array([None], "Int64")})
 
-    return blocks.groupBy("session_id", "track_id").applyInPandasWithState(run, "session_id string, track_id string, durable long, waiting long", "due long, waiting array<long>", "update", GroupStateTimeout.NoTimeout)
+    rows = (blocks.withWatermark("ts", delay) if timed else blocks).groupBy("session_id", "track_id")
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    schema = "session_id string, track_id string, durable long, waiting long, gap long"
+    return rows.applyInPandasWithState(run, schema, "due long, waiting array<long>", "update", timeout)
 
 
 class Scanner:
     """Incremental regions and chunks of one track; its state is a few numbers.
 
-    ``state``: next frame, start of speech, start of silence, active chunk (start, end), each -1 if there is none.
+    ``state``: next frame, start of speech, start of silence, padded start of the open region, active
+    chunk (start, end), each -1 if there is none.
     """
 
     def __init__(self, state: tuple | None = None):
-        self.frame, self.speech, self.silence, self.start, self.end = state or (0, -1, -1, -1, -1)
+        self.frame, self.speech, self.silence, self.origin, self.start, self.end = state or (0, -1, -1, -1, -1, -1)
 
     def state(self) -> tuple:
-        return self.frame, self.speech, self.silence, self.start, self.end
+        return self.frame, self.speech, self.silence, self.origin, self.start, self.end
+
+    def _split(self) -> list[tuple[int, int]]:
+        """Whole chunks at the beginning of the active one."""
+        done = []
+        while self.start >= 0 and self.end - self.start > vad.PREFERRED_CHUNK:
+            done.append((self.start, self.start + vad.PREFERRED_CHUNK))
+            self.start += vad.PREFERRED_CHUNK
+        return done
 
     def _add(self, start: int, end: int) -> list[tuple[int, int]]:
+        """A closed region: it widens the active chunk if it overlaps or fits, else the active one is done."""
         done = []
-        start = max(0, start - vad.PAD)
-        if self.start >= 0 and (start <= self.end or (self.end - self.start < vad.PREFERRED_SPLIT and end - self.start <= vad.PREFERRED_CHUNK)):
+        fits = self.end - self.start < vad.PREFERRED_SPLIT and end - self.start <= vad.PREFERRED_CHUNK
+        if self.start >= 0 and (start <= self.end or fits):
             self.end = max(self.end, end)
         else:
-            if self.start >= 0:
-                done.append((self.start, self.end))
+            done = [(self.start, self.end)] if self.start >= 0 else []
             self.start, self.end = start, end
-        while self.end - self.start > vad.PREFERRED_CHUNK:
-            done.append((self.start, self.start + vad.PREFERRED_CHUNK))
-            self.start += vad.PREFERRED_CHUNK
-        return done
+        return done + self._split()
 
     def push(self, prob: float) -> list[tuple[int, int]]:
         at, done = self.frame * vad.FRAME, []
         self.frame += 1
+        length = self.frame * vad.FRAME
         if prob >= vad.ON:
-            self.speech = at if self.speech < 0 else self.speech
+            if self.speech < 0:
+                self.speech, self.origin = at, max(0, at - vad.PAD)
             self.silence = -1
         elif prob < vad.OFF and self.speech >= 0:
             self.silence = at if self.silence < 0 else self.silence
             if at - self.silence >= vad.MIN_SILENCE:
                 if self.silence - self.speech >= vad.MIN_SPEECH:
-                    done += self._add(self.speech, self.silence + vad.PAD)
-                self.speech = self.silence = -1
-        if self.speech >= 0 and at + vad.FRAME - max(0, self.speech - vad.PAD) >= vad.PREFERRED_CHUNK:
-            done += self._add(self.speech, at + vad.FRAME)
-            self.speech, self.silence = at + vad.FRAME, -1
-        if self.start >= 0 and self.speech < 0 and self.frame * vad.FRAME - self.start > vad.PREFERRED_CHUNK:
+                    done += self._add(self.origin, self.silence + vad.PAD)
+                self.speech = self.silence = self.origin = -1
+        # Speech without a pause is cut at the preferred length from its padded start.
+        while self.speech >= 0 and length - self.speech >= vad.PREFERRED_CHUNK:
+            cut = self.origin + vad.PREFERRED_CHUNK
+            done += self._add(self.origin, cut)
+            self.speech, self.origin, self.silence = cut, cut, -1
+        # No later region can join a chunk that began so long ago.
+        if self.start >= 0 and length - self.start > vad.PREFERRED_CHUNK:
             done.append((self.start, self.end))
             self.start = self.end = -1
-        return done
+        return self._heard(done, length)
+
+    @staticmethod
+    def _heard(chunks: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+        """Chunks within the audio so far; those too short for a spectrum go."""
+        cut = [(start, min(end, length)) for start, end in chunks]
+        return [(start, end) for start, end in cut if end - start >= vad.FFT]
 
     def finish(self) -> list[tuple[int, int]]:
         length, done = self.frame * vad.FRAME, []
         if self.speech >= 0 and length - self.speech >= vad.MIN_SPEECH:
-            done += self._add(self.speech, length)
+            done += self._add(self.origin, length)
+        done += self._split()
         if self.start >= 0:
-            done.append((self.start, min(self.end, length)))
-        self.speech = self.silence = self.start = self.end = -1
-        return done
+            done.append((self.start, self.end))
+        self.speech = self.silence = self.origin = self.start = self.end = -1
+        return self._heard(done, length)
 
 
-def stream_vad_segments(frames: DataFrame) -> DataFrame:
-    """(tid, track, start, end) chunks from a stream of frames (tid, track, frame, prob, final).
+def stream_vad_segments(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """(tid, track, start, end) chunks from a stream of frames (tid, track, frame, prob, final, ts?).
 
-    Frames may come out of order within a batch; those beyond a gap wait in the state. ``final`` ends a track.
+    Frames may come out of order; those beyond a gap wait in the state. ``final`` ends a track, or the
+    watermark when it passes the newest frame: then what waits is read in order, gaps left out. Frames
+    without ``ts`` wait without a limit.
     """
+    timed = "ts" in frames.columns
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState):
         numbers, held, last = state.get if state.exists else (None, [], -1)
         scanner = Scanner(tuple(numbers) if numbers is not None else None)
         waiting = {int(f): float(p) for f, p in held}
-        for p in parts:
-            waiting.update({int(f): float(x) for f, x in zip(p["frame"], p["prob"]) if f >= scanner.frame})
-            if p["final"].any():
-                last = int(p.loc[p["final"], "frame"].max())
-        out = []
-        while scanner.frame in waiting:
-            out += scanner.push(waiting.pop(scanner.frame))
-        if 0 <= last < scanner.frame:
+        out, newest = [], 0
+        if state.hasTimedOut:
+            for f in sorted(waiting):
+                scanner.frame = f
+                out += scanner.push(waiting[f])
             out += scanner.finish()
-            last = -1
-        state.update((list(scanner.state()), [(float(f), x) for f, x in sorted(waiting.items())], last))
+            state.remove()
+        else:
+            for p in parts:
+                waiting.update({int(f): float(x) for f, x in zip(p["frame"], p["prob"]) if f >= scanner.frame})
+                newest = max(newest, int(p["ts"].max().timestamp() * 1000) if timed else 0)
+                if p["final"].any():
+                    last = int(p.loc[p["final"], "frame"].max())
+            while scanner.frame in waiting:
+                out += scanner.push(waiting.pop(scanner.frame))
+            if 0 <= last < scanner.frame:
+                out += scanner.finish()
+                last = -1
+            state.update((list(scanner.state()), [(float(f), x) for f, x in sorted(waiting.items())], last))
+            if timed:
+                state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"tid": key[0], "track": key[1], "start": np.array([c[0] for c in out], np.int64), "end": np.array([c[1] for c in out], np.int64)})
 
-    return frames.groupBy("tid", "track").applyInPandasWithState(run, "tid string, track string, start long, end long", "numbers array<long>, held array<array<double>>, last long", "append", GroupStateTimeout.NoTimeout)
+    rows = (frames.withWatermark("ts", delay) if timed else frames).groupBy("tid", "track")
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    kept = "numbers array<long>, held array<array<double>>, last long"
+    return rows.applyInPandasWithState(run, "tid string, track string, start long, end long", kept, "append", timeout)
 
 
-def stream_upsert_segments(changes: DataFrame, path: str, checkpoint: str):
-    """Keeps the latest revision of every segment under ``path``: each batch is merged into a new version of the table.
+def stream_upsert_segments(changes: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """Keeps the latest revision of every segment under ``path``: each batch rewrites the buckets that it touches.
 
-    Equal revisions keep the row that is there; ``path``/version=N of the newest batch is the current table.
+    Segments are dealt to ``buckets`` by hash of session and id. A bucket's version of a batch is
+    ``path``/version=N/bucket=B, its newest one is current and the one before stays for a batch that is
+    run again; older ones go. Equal revisions keep the row that is there.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         from voxloom.operators.journal import upsert_segments
 
         spark = batch.sparkSession
-        rows = batch
-        if batch_id > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/version={batch_id - 1}").unionByName(batch)
-        upsert_segments(rows).select(batch.columns).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        columns = batch.columns
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("session_id", "change_id"), F.lit(buckets)).cast("int")).persist()
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # as many as there are buckets
+        old = _bucket_versions(spark, path)
+        before = {b: max((v for v in old.get(b, []) if v < batch_id), default=None) for b in touched}
+        parts = [f"{path}/version={v}/bucket={b}" for b, v in before.items() if v is not None]
+        if parts:
+            current = spark.read.schema(batch.schema).parquet(*parts)
+            rows = current.withColumn("bucket", F.pmod(F.xxhash64("session_id", "change_id"), F.lit(buckets)).cast("int")).unionByName(rows)
+        latest = upsert_segments(rows).select(*columns, "bucket").withColumn("version", F.lit(batch_id))
+        latest.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(path)
+        for b in touched:
+            for v in [v for v in old.get(b, []) if before[b] is not None and v < before[b]]:
+                _fs(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/bucket={b}"), True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_upserted(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The current table of ``stream_upsert_segments``."""
+    parts = [f"{path}/version={max(v)}/bucket={b}" for b, v in sorted(_bucket_versions(spark, path).items())]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def _fs(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _bucket_versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions of each bucket, from the names of folders."""
+    found: dict[int, list[int]] = {}
+    for status in _fs(spark, path).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/bucket=*")) or []:
+        version, bucket = (x.partition("=")[2] for x in status.getPath().toString().split("/")[-2:])
+        found.setdefault(int(bucket), []).append(int(version))
+    return found
+
+
 def stream_levels(packets: DataFrame, delay: str = "1 minute") -> DataFrame:
     """Ten-second levels by track of packets (session_id, track_id, ts, power, n, gap_ms, resync)."""
     grouped = packets.withWatermark("ts", delay).groupBy(F.window("ts", "10 seconds"), "session_id", "track_id")
