@@ -8,6 +8,8 @@ each step is a numpy operation. The benchmark goes to the tasks in blocks of bou
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,11 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.llm import arrow_text as A
+from voxloom.llm.scratch import saved
 
 WINDOW = 10
 #: MB of benchmark text in one broadcast table.
 BLOCK_MB = 16
-TABLE_BITS = 18
+#: Least and most bits of a shift table; it has four times as many places as there are blocks.
+TABLE_BITS = (12, 26)
 #: End positions that one search lane covers.
 LANE = 2048
 
@@ -33,7 +37,8 @@ class Patterns:
         per = np.zeros((len(hashes), length), A.U64)
         flat = np.concatenate([np.zeros(self.block - 1, A.U64), blocks])  # block that ends at each word
         per[:] = flat.reshape(len(hashes), length)
-        self.shift = np.full(1 << TABLE_BITS, length - self.block + 1, np.int64)
+        self.bits = int(min(max(np.ceil(np.log2(4 * per.size + 1)), TABLE_BITS[0]), TABLE_BITS[1]))
+        self.shift = np.full(1 << self.bits, length - self.block + 1, np.int64)
         for j in range(self.block - 1, length):
             np.minimum.at(self.shift, self.slot(per[:, j]), length - 1 - j)
         order = np.argsort(per[:, -1], kind="stable")
@@ -43,9 +48,8 @@ class Patterns:
     def blocks(self, h: np.ndarray) -> np.ndarray:
         return h if self.block == 1 else A.mix(h[:-1] * A.U64(0xD6E8FEB86659FD93) + h[1:])
 
-    @staticmethod
-    def slot(block: np.ndarray) -> np.ndarray:
-        return (block >> A.U64(64 - TABLE_BITS)).astype(np.int64)
+    def slot(self, block: np.ndarray) -> np.ndarray:
+        return (block >> A.U64(64 - self.bits)).astype(np.int64)
 
     def search(self, words: A.Words) -> list[tuple[int, int]]:
         """(first word, pattern) of every occurrence."""
@@ -100,49 +104,63 @@ def compile_patterns(items: pa.Table, window: int = WINDOW) -> list[Patterns]:
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_mb: int = BLOCK_MB) -> DataFrame:
     """``docs`` with n_words, hit_spans (flat first, end word pairs, merged) and hit_items (sorted).
 
-    One narrow pass per benchmark block; documents are never shuffled. Null and empty texts have no
-    words and no hits. Items without words have no window; of repeated items all ids are listed;
-    a null item id marks hits but isn't listed. Columns of these names in ``docs`` are replaced.
+    A benchmark of one block is searched in one narrow pass. A larger one takes a pass a block, one
+    broadcast at a time; each pass writes the hits of the rows that have any, and these are merged by row.
+    Null and empty texts have no words and no hits; long texts are searched whole. Items without words
+    have no window; of repeated items all ids are listed; a null item id marks hits but isn't listed.
+    Rows that repeat an id are searched each. Columns of these names in ``docs`` are replaced.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + total // (block_mb << 20)
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.LongType())), T.StructField("hit_items", T.ArrayType(T.StringType()))]
-    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in {f.name for f in fields}])
-    kept = docs.columns
-    schema = T.StructType([*docs.schema.fields, *fields])
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in {f.name for f in FIELDS}])
+    if n_blocks == 1:
+        return _searched(docs, spark.sparkContext.broadcast(compile_patterns(items.toArrow(), window)), text_col, docs.columns)
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-rows")
+    hits = []
     for b in range(n_blocks):
-        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
         tables = spark.sparkContext.broadcast(compile_patterns(block.toArrow(), window))
-
-        def run(batches, tables=tables):
-            for batch in batches:
-                column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-                n_words, spans, hits = [], [], []
-                for i, j, data, off in A.slices(column(text_col)):
-                    words = A.Words(data, off, A.ALNUM)
-                    n_words += words.counts.tolist()
-                    found: dict[int, list] = {}
-                    for patterns in tables.value:
-                        for at, p in patterns.search(words):
-                            d = int(words.doc[at])
-                            x = found.setdefault(d, [[], set()])
-                            x[0].append((at - int(words.first[d]), at - int(words.first[d]) + patterns.m))
-                            x[1].update(patterns.items[p])
-                    for d in range(j - i):
-                        x = found.get(d, ((), ()))
-                        spans.append(list(x[0]))
-                        hits.append(set(x[1]))
-                if "hit_spans" in batch.schema.names:  # an earlier block's
-                    for k, (s, t) in enumerate(zip(column("hit_spans").to_pylist(), column("hit_items").to_pylist())):
-                        spans[k] += zip(s[::2], s[1::2])
-                        hits[k] |= set(t)
-                new = [pa.array(n_words, pa.int64()), pa.array([merged(s) for s in spans], pa.list_(pa.int64())), pa.array([sorted(t) for t in hits], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*map(column, kept), *new], names=[*kept, *(f.name for f in fields)])
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+        found = _searched(rows.select("_row", text_col), tables, text_col, ["_row"])
+        hits.append(saved(found.where("size(hit_spans) > 0").drop("n_words"), "decontam-hits"))
+        tables.destroy()
+    hits = reduce(DataFrame.unionAll, hits)
+    merge = F.pandas_udf(lambda s: s.map(lambda x: merged(list(zip(x[::2], x[1::2])))), T.ArrayType(T.LongType()))
+    each = hits.groupBy("_row").agg(F.flatten(F.collect_list("hit_spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+    words = _searched(rows, spark.sparkContext.broadcast([]), text_col, rows.columns).drop("hit_spans", "hit_items")
+    out = words.join(each.select("_row", merge("spans").alias("hit_spans"), "hit_items").hint("merge"), "_row", "left").drop("_row")
+    return out.select(*[f"`{c}`" for c in docs.columns], "n_words", *[F.coalesce(f.name, F.array().cast(f.dataType)).alias(f.name) for f in FIELDS[1:]])
+
+
+FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.LongType())), T.StructField("hit_items", T.ArrayType(T.StringType()))]
+
+
+def _searched(docs: DataFrame, tables, text_col: str, kept: list[str]) -> DataFrame:
+    """The ``kept`` columns of ``docs`` with n_words, hit_spans and hit_items by the broadcast tables, in one narrow pass."""
+
+    def run(batches):
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            n_words, spans, hits = [], [], []
+            for i, j, data, off in A.slices(column(text_col)):
+                words = A.Words(data, off, A.ALNUM)
+                n_words += words.counts.tolist()
+                found: dict[int, list] = {}
+                for patterns in tables.value:
+                    for at, p in patterns.search(words):
+                        d = int(words.doc[at])
+                        x = found.setdefault(d, [[], set()])
+                        x[0].append((at - int(words.first[d]), at - int(words.first[d]) + patterns.m))
+                        x[1].update(patterns.items[p])
+                for d in range(j - i):
+                    x = found.get(d, ((), ()))
+                    spans.append(merged(x[0]))
+                    hits.append(sorted(x[1]))
+            new = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(hits, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*map(column, kept), *new], names=[*kept, *(f.name for f in FIELDS)])
+
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *FIELDS]))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:

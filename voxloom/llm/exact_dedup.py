@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.scratch import saved
 
-#: Bytes of the digit in each round; the last one holds for all further rounds.
+#: Bytes of the digit in each round; after the last one it doubles, so a text of n bytes takes about log2(n) rounds.
 DIGIT_BYTES = (64, 1024, 16_384, 262_144)
 
 
@@ -30,7 +30,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     open_rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.lit(0).cast("long").alias("gid"), raw.alias("rest"), F.sha2(raw, 256).alias("text_sha256"))
     closed = []
     for i in range(1 << 30):
-        width = digits[min(i, len(digits) - 1)]
+        width = digits[i] if i < len(digits) else digits[-1] << (i - len(digits) + 1)
         cut = open_rows.select("id", "gid", "text_sha256", F.substring("rest", 1, width).alias("digit"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
         # Partial sums on the map side: a hot group sends one row per task.
         groups = cut.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("largest")).where("n > 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.scratch import saved
+from voxloom.llm.scratch import removed, saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("id").alias("via"), F.col("label").alias("far"))
         new = step.join(jump, F.col("low") == F.col("via"), "left").select("id", F.least("low", "far").alias("new"), "label")
         new = saved(new, "cc-labels")
+        removed(labels)
         labels = new.select("id", F.col("new").alias("label"))
         if new.where("new <> label").isEmpty():
             return labels.select("id", F.col("label").alias("component"))

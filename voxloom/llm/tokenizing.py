@@ -37,6 +37,9 @@ class PieceTokenizer:
         self.place: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.sizes = np.zeros(CACHE * 2, np.int64), np.zeros(CACHE * 2, np.int64)
+        # The bytes of each piece, as equal hashes don't prove equal pieces.
+        self.bytes, self.bytes_used = np.zeros(1 << 20, np.uint8), 0
+        self.byte_starts, self.byte_sizes = np.zeros(CACHE * 2, np.int64), np.zeros(CACHE * 2, np.int64)
 
     def learn(self, keys: list[int], pieces: list[bytes]) -> None:
         plain = [i for i, p in enumerate(pieces) if len(self.newline) == 1 and p[-1] > 32 and p[0] not in b"\t\n\v\f\r" and (len(p) < 2 or p[0] != 32 or p[1] > 32) and b"\n" not in p]
@@ -54,7 +57,15 @@ class PieceTokenizer:
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             if n == len(self.starts):
-                self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+                for name in ("starts", "sizes", "byte_starts", "byte_sizes"):
+                    had = getattr(self, name)
+                    setattr(self, name, np.concatenate([had, np.zeros_like(had)]))
+            size = len(pieces[i])
+            while self.bytes_used + size > len(self.bytes):
+                self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+            self.bytes[self.bytes_used : self.bytes_used + size] = np.frombuffer(pieces[i], np.uint8)
+            self.byte_starts[n], self.byte_sizes[n] = self.bytes_used, size
+            self.bytes_used += size
             self.flat[self.used : self.used + len(ids)] = ids
             self.starts[n], self.sizes[n] = self.used, len(ids)
             self.used += len(ids)
@@ -69,6 +80,18 @@ class PieceTokenizer:
             counts.append(n)
         return np.concatenate(ids), np.concatenate(counts)
 
+    def other_bytes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which pieces have the hash of a known piece, but other bytes."""
+        size = end - begin
+        same = size == self.byte_sizes[at]
+        i = np.flatnonzero(same)
+        n = size[i]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differs = data[np.repeat(begin[i], n) + place] != self.bytes[np.repeat(self.byte_starts[at[i]], n) + place]
+        if differs.any():
+            same[np.repeat(i, n)[differs]] = False
+        return ~same
+
     def _slice(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(off) - 1
         odd = unicode_space(data, off)
@@ -88,6 +111,10 @@ class PieceTokenizer:
         new = [i for i, k in enumerate(keys) if k not in self.place]
         self.learn([keys[i] for i in new], [data[begin[first[i]] : end[first[i]]].tobytes() for i in new])
         at = np.array([self.place[k] for k in keys], np.int64)[inverse] if len(keys) else np.zeros(0, np.int64)
+        clash = np.unique(doc[self.other_bytes(data, begin, end, at)])
+        if len(clash):  # those texts go to the library whole
+            odd[clash] = True
+            at, doc = at[~odd[doc]], doc[~odd[doc]]
         size = self.sizes[at]
         counts = np.bincount(doc, size, n).astype(np.int64)
         ends = np.cumsum(size)

@@ -2,8 +2,9 @@
 
 Terms are the words of the whole text and their four- and five-byte beginnings, hashed into 2^18
 buckets. Score: sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over the distinct terms, so pairs of
-terms (an insult and a group) count beyond their single weights. Terms that the labelled sample
-doesn't support carry no weight.
+terms (an insult and a group) count beyond their single weights. The machine learns on the terms
+whose own share differs between the classes, and on those of pairs that explain what these leave
+over, also if neither term tells anything alone. All other terms carry no weight.
 """
 
 from __future__ import annotations
@@ -18,11 +19,16 @@ from pyspark.sql import types as T
 
 from voxloom.llm import arrow_text as A
 from voxloom.llm import training
+from voxloom.llm.scratch import saved
 
 BITS = 18
 FACTORS = 4
 #: Standard errors by which the share of a term in the two classes must differ.
 SUPPORT = 2.2
+#: Terms whose pairs are searched: the commonest of the sample. Standard errors that a pair must explain.
+PAIR_TERMS, PAIR_SUPPORT = 2_048, 6.0
+#: Most terms of a machine, those with the clearest shares.
+MOST_TERMS = 16_384
 THRESHOLD = 0.3
 
 
@@ -66,6 +72,41 @@ class FactorizationMachine:
         return np.concatenate(out) if out else np.zeros(0)
 
 
+def share_terms(p: np.ndarray, q: np.ndarray, one: float, zero: float) -> np.ndarray:
+    """Terms whose share of the toxic rows (counts p of ``one``) clearly differs from that of the others (q of ``zero``)."""
+    odds = np.log((p + 0.5) / (one + 1)) - np.log((q + 0.5) / (zero + 1))
+    clear = np.abs(odds) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
+    terms = np.flatnonzero((clear > SUPPORT) & (p + q >= 2))
+    return np.sort(terms[np.argsort(-clear[terms], kind="stable")[:MOST_TERMS]])
+
+
+def common_terms(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The terms of most rows, without those of a single row; of equal ones the first."""
+    order = np.argsort(-(p + q), kind="stable")[:PAIR_TERMS]
+    return np.sort(order[(p + q)[order] >= 2])
+
+
+def pair_terms(doc: np.ndarray, term: np.ndarray, left: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Terms of the pairs of ``known`` terms that explain what is ``left`` of each row, by the sum over the rows with both."""
+    k, n = len(known), len(left)
+    if k < 2 or n < 2:
+        return np.zeros(0, np.int64)
+    place = np.searchsorted(known, term)
+    on = (place < k) & (known[np.minimum(place, k - 1)] == term)
+    doc, place = doc[on], place[on]
+    sums, counts = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    for a in range(0, n, 1024):  # rows by rows, as they lie in order
+        low, high = np.searchsorted(doc, [a, a + 1024])
+        x = np.zeros((min(1024, n - a), k), np.float32)
+        x[doc[low:high] - a, place[low:high]] = 1
+        sums += (x * left[a : a + 1024, None].astype(np.float32)).T @ x
+        counts += x.T @ x
+    spread = float(np.sqrt(np.mean(left**2))) + 1e-9
+    clear = np.abs(sums) > PAIR_SUPPORT * spread * np.sqrt(np.maximum(counts, 2))
+    np.fill_diagonal(clear, False)
+    return known[np.flatnonzero(clear.any(axis=0))]
+
+
 def fit_machine(doc: np.ndarray, term: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300, rate: float = 0.05, l2: float = 1e-3, seed: int = 5) -> FactorizationMachine:
     """Fit by Adam on the whole sample. Without rows of both classes, the score is the share of label 1."""
     size, n = 1 << BITS, len(y)
@@ -73,18 +114,27 @@ def fit_machine(doc: np.ndarray, term: np.ndarray, y: np.ndarray, weight: np.nda
     machine = FactorizationMachine(float(np.log((share + 1e-3) / (1 - share + 1e-3))), np.zeros(size), np.zeros((size, FACTORS)))
     if n == 0 or y.min() == y.max():
         return machine
-    one, zero = y.sum(), n - y.sum()
     p, q = np.bincount(term, y[doc], size), np.bincount(term, 1 - y[doc], size)
-    odds = np.log((p + 0.5) / (one + 1)) - np.log((q + 0.5) / (zero + 1))
-    error = np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
-    terms = np.flatnonzero((np.abs(odds) > SUPPORT * error) & (p + q >= 2))
+    terms = share_terms(p, q, y.sum(), n - y.sum())
+    weight = weight / weight.mean()
+    _learn(machine, doc, term, terms, y, weight, steps, rate, l2, seed)
+    score = 1 / (1 + np.exp(-np.clip(machine.logits(doc, term, n), -30, 30)))
+    # What each row leaves over, as if the classes were sampled as they are weighted.
+    pairs = pair_terms(doc, term, (y - score) * weight, common_terms(p, q))
+    if len(np.setdiff1d(pairs, terms)):
+        machine.w[:], machine.v[:] = 0, 0
+        _learn(machine, doc, term, np.union1d(terms, pairs), y, weight, steps, rate, l2, seed)
+    return machine
+
+
+def _learn(machine: FactorizationMachine, doc: np.ndarray, term: np.ndarray, terms: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int, rate: float, l2: float, seed: int) -> None:
     if not len(terms):
-        return machine
-    place = np.full(size, -1)
+        return
+    n = len(y)
+    place = np.full(1 << BITS, -1)
     place[terms] = np.arange(len(terms))
     on = place[term] >= 0
     doc, col, k = doc[on], place[term[on]], len(terms)
-    weight = weight / weight.mean()
     rng = np.random.default_rng(seed)
     theta = [np.array([machine.bias]), np.zeros(k), rng.normal(0, 0.01, (k, FACTORS))]
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
@@ -103,11 +153,14 @@ def fit_machine(doc: np.ndarray, term: np.ndarray, y: np.ndarray, weight: np.nda
             theta[i] = theta[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
     machine.bias = float(theta[0][0])
     machine.w[terms], machine.v[terms] = theta[1], theta[2]
-    return machine
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = training.ROWS_PER_CLASS) -> FactorizationMachine:
-    """Fit on at most ``rows_per_class`` labelled rows of each class that aren't held out."""
+    """Fit on at most ``rows_per_class`` labelled rows of each class that aren't held out.
+
+    Terms are counted by Spark, in as many rows as there are buckets; the driver then gets only those
+    of each row that a machine may use, MOST_TERMS + PAIR_TERMS a row at most.
+    """
     rows, weights = training.sample(docs, labels, "toxic", rows_per_class)
 
     def terms(batches):
@@ -118,7 +171,26 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = training.ROWS_
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.ListArray.from_arrays(pa.array(ends), pa.array(term.astype(np.int32)))], names=["doc_id", "label", "terms"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType()))])
-    table = rows.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(terms, schema).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    sample = saved(rows.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(terms, schema), "toxicity-terms")
+    counts = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).toArrow()
+    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    at = counts["term"].to_numpy()
+    p[at] = counts["p"].to_numpy()
+    q[at] = counts["n"].to_numpy() - p[at]
+    totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    useful = np.zeros(1 << BITS, bool)
+    useful[common_terms(p, q)] = True
+    useful[share_terms(p, q, totals.get(1, 0), totals.get(0, 0))] = True
+
+    def only_useful(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten().to_numpy()
+            on = useful[flat]
+            ends = np.concatenate([[0], np.cumsum(on)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[on]))], names=["doc_id", "label", "terms"])
+
+    table = sample.mapInArrow(only_useful, schema).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     y = table["label"].to_numpy().astype(float)
     lists = table["terms"].combine_chunks()
     counts = lists.value_lengths().to_numpy() if len(lists) else np.zeros(0, np.int64)
@@ -126,13 +198,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = training.ROWS_
 
 
 def with_scores(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text") -> DataFrame:
-    """``docs`` with toxicity_score, in one narrow pass. Null and empty texts get the score of no terms."""
+    """``docs`` with toxicity_score, in one narrow pass.
+
+    Null and empty texts get the score of no terms. Long texts are read whole, a slice at a time. Each
+    row is scored by its own text, so repeated rows have equal scores. A column of that name is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # 2^18 buckets, whatever the input
     return A.annotate(docs, text_col, [T.StructField("toxicity_score", T.DoubleType())], lambda column: [pa.array(shared.value.scores(column))])
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of each document; rows that repeat an id are each scored."""
+    """doc_id, held_out, score, predicted of each document; rows that repeat an id are each scored.
+
+    Rows whose id is null aren't held out and aren't learnt from; a score equal to the threshold counts
+    as toxic. Without labels of both classes every document gets their share of label 1, 0 without any.
+    An empty table gives an empty result; other columns are ignored.
+    """
     machine = fit(docs, labels)
     scored = with_scores(docs.select("doc_id", "text"), machine)
     return scored.select("doc_id", training.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= THRESHOLD).cast("int").alias("predicted"))

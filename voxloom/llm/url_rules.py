@@ -2,12 +2,15 @@
 
 Given rules label the pages they fit. FP-growth over the tokens of labelled URLs finds combinations
 of tokens that go with a label; rules with enough support and confidence, none of whose parts says
-as much already, are kept. They are matched by an inverted index: a URL's tokens are joined with
+as much already, are kept. Of tokens that are on the same labelled URLs, one stands for all, so
+the combinations don't multiply. Rules are matched by an inverted index: a URL's tokens are joined with
 the rules' tokens, and a rule holds if all its tokens are there.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +19,8 @@ from voxloom.llm.scratch import saved
 
 #: (verdict, host, path) of the given rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Least share of labelled URLs, least confidence, most tokens on the left side.
-SUPPORT, CONFIDENCE, TOKENS = 0.005, 0.8, 3
+#: Least share of labelled URLs, least confidence.
+SUPPORT, CONFIDENCE = 0.005, 0.8
 #: Rules up to which their index is broadcast; beyond it, they are joined by a shuffle.
 BROADCAST_RULES = 20_000
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,31 +43,61 @@ def given_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: labels of the host, its suffixes, path segments and their place; numbers are one token."""
+    """Distinct tokens of host and path: the host's labels and suffixes and all path segments; digits in a segment count as 0.
+
+    The query string isn't read.
+    """
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(3))), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))
+    suffixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))
     segments = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("seg:"), F.regexp_replace(x, "[0-9]+", "0")))
     name = F.transform(labels, lambda x: F.concat(F.lit("label:"), x))
-    return F.array_distinct(F.concat(F.when(n > 0, suffixes).otherwise(F.array().cast("array<string>")), name, F.slice(segments, 1, 4)))
+    return F.array_distinct(F.concat(F.when(n > 0, suffixes).otherwise(F.array().cast("array<string>")), name, segments))
+
+
+def one_of_equals(labelled: DataFrame) -> DataFrame:
+    """Rows (tokens, verdict) with one token, the first in code-point order, for all that are on the same rows."""
+    rows = labelled.withColumn("row", F.monotonically_increasing_id())
+    rows = saved(rows, "url-labelled")
+    each = rows.select(F.explode("tokens").alias("token"), F.xxhash64("row").alias("h"), F.xxhash64("row", F.lit(1)).alias("g"))
+    marks = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
+    kept = marks.groupBy("n", "h", "g").agg(F.min("token").alias("token")).select("token")
+    kept = rows.select("row", F.explode("tokens").alias("token")).join(kept.hint("merge"), "token")
+    # A URL's tokens, so no more than its text.
+    tokens = kept.groupBy("row").agg(F.array_sort(F.collect_list("token")).alias("kept"))
+    return rows.join(tokens.hint("merge"), "row", "left").select(F.coalesce("kept", F.array().cast("array<string>")).alias("tokens"), "verdict")
 
 
-def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, tokens: int = TOKENS) -> DataFrame:
+def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(left array<string>, verdict, confidence, support) from rows (tokens, verdict).
 
-    A rule is pruned if a rule for the same verdict on a part of its tokens is at least as confident.
+    All combinations with the support are rules if their confidence is enough. A rule is pruned if a
+    rule for the same verdict on a part of its tokens is at least as confident.
     """
     baskets = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    right = F.col("consequent")[0]
-    rules = model.associationRules.where(right.startswith("verdict:") & (F.size("antecedent") <= tokens)).where("not exists(antecedent, x -> startswith(x, 'verdict:'))")
-    rules = saved(rules.select(F.array_sort("antecedent").alias("left"), F.substring(right, 9, 99).alias("verdict"), "confidence", "support"), "url-rules")
-    # Parts of a rule with up to three tokens: look each up, no pairs of rules.
-    part = rules.select("left", "verdict", F.col("confidence").alias("own"), F.explode(F.transform("left", lambda x: F.array_except("left", F.array(x)))).alias("part"))
-    single = rules.select("left", "verdict", F.col("confidence").alias("own"), F.explode(F.transform("left", lambda x: F.array(x))).alias("part")).where("size(left) > 2")
-    known = rules.select(F.col("left").alias("part"), "verdict", F.col("confidence").alias("theirs"))
-    weak = part.union(single).join(known, ["part", "verdict"]).where("theirs >= own").select("left", "verdict").distinct()
-    return rules.join(weak, ["left", "verdict"], "left_anti")
+    n = baskets.count()
+    found = FPGrowth(itemsCol="items", minSupport=support).fit(baskets).freqItemsets
+    mark = F.filter("items", lambda x: x.startswith("verdict:"))
+    sets = found.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("verdict:"))).alias("left"), F.substring(mark[0], 9, 99).alias("verdict"), "freq").where("size(left) > 0")
+    sets = saved(sets, "url-sets")
+    whole = sets.where("verdict is null").select("left", F.col("freq").alias("all"))
+    rules = sets.where("verdict is not null").join(whole.hint("merge"), "left")
+    rules = saved(rules.select("left", "verdict", (F.col("freq") / F.col("all")).alias("confidence"), (F.col("freq") / F.lit(max(1, n))).alias("support")), "url-rules")
+    # By size: the best confidence among a rule's parts is that of its parts without one token, or of theirs.
+    sizes = [r["k"] for r in rules.select(F.size("left").alias("k")).distinct().orderBy("k").collect()]
+    best, kept = None, []
+    for k in sizes:
+        own = rules.where(F.size("left") == k)
+        if best is not None:
+            part = own.select("left", "verdict", F.explode(F.transform("left", lambda x: F.array_except("left", F.array(x)))).alias("part"))
+            theirs = part.join(best.withColumnRenamed("left", "part").hint("merge"), ["part", "verdict"]).groupBy("left", "verdict").agg(F.max("best").alias("theirs"))
+            own = own.join(theirs.hint("merge"), ["left", "verdict"], "left")
+        else:
+            own = own.withColumn("theirs", F.lit(None).cast("double"))
+        own = saved(own, "url-rules")
+        kept.append(own.where((F.col("confidence") >= confidence) & (F.col("theirs").isNull() | (F.col("theirs") < F.col("confidence")))).drop("theirs"))
+        best = own.select("left", "verdict", F.greatest("confidence", F.coalesce("theirs", F.lit(0.0))).alias("best"))
+    return reduce(DataFrame.unionAll, kept) if kept else rules
 
 
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, default: str = "allow") -> DataFrame:
@@ -72,8 +105,9 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     The verdict is that of the longest given rule; else that of the most confident mined rule, then
     the best supported, then the first by its tokens; else ``default``. Null, empty and malformed
-    URLs have no host and get the default. Rows that repeat an id are judged each. If no page, or
-    pages of one verdict only, are labelled, mined rules say what those pages support.
+    URLs have no host and get the default. Rows that repeat an id are judged each; long URLs are read
+    whole. If no page, or pages of one verdict only, are labelled, mined rules say what those pages
+    support. Other columns are ignored; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col(f"`{url_col}`"))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"))
@@ -81,6 +115,7 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = rows.withColumn("rule", rule).withColumn("given", verdict)
     rows = saved(rows, "url-rows")
     labelled = rows.where("given is not null").select(url_tokens(F.col("host"), F.col("path")).alias("tokens"), F.col("given").alias("verdict"))
+    labelled = one_of_equals(labelled)
     if labelled.isEmpty():
         return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("given", F.lit(default)).alias("verdict"), F.lit(None).cast("array<string>").alias("mined"))
     mined = saved(mine_rules(labelled), "url-mined")
