@@ -78,7 +78,7 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     n = baskets.count()
     found = FPGrowth(itemsCol="items", minSupport=support).fit(baskets).freqItemsets
     mark = F.filter("items", lambda x: x.startswith("verdict:"))
-    sets = found.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("verdict:"))).alias("left"), F.substring(mark[0], 9, 99).alias("verdict"), "freq").where("size(left) > 0")
+    sets = found.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("verdict:"))).alias("left"), F.substring(F.get(mark, F.lit(0)), 9, 99).alias("verdict"), "freq").where("size(left) > 0")
     sets = saved(sets, "url-sets")
     whole = sets.where("verdict is null").select("left", F.col("freq").alias("all"))
     rules = sets.where("verdict is not null").join(whole.hint("merge"), "left")
