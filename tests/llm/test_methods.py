@@ -215,7 +215,7 @@ def test_all_rules_are_found_pruned_and_applied(spark):
     r = random.Random(3)
     # Ten segments, so nothing depends on the first few.
     urls = [f"http://{r.choice('abc')}.{r.choice(['example.com', 'example.net', 'site.org', 'shop.info'])}/" + "/".join(r.choice(["de", "en", "fr"]) if k in (0, 9) else f"d{k}" for k in range(10)) for _ in range(240)]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, None), (5, urls[0])], "page_id long, url string").withColumn("tokens", F.lit(1)).withColumn("verdict", F.lit("x"))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, None), (0, urls[0])], "page_id long, url string").withColumn("tokens", F.lit(1)).withColumn("verdict", F.lit("x"))
     host, path = url_rules.host_and_path(F.col("url"))
     _, verdict = url_rules.given_rule(host, path)
     rows = [(frozenset(x["t"]), x["v"]) for x in pages.select(url_rules.url_tokens(host, path).alias("t"), verdict.alias("v")).collect()]
