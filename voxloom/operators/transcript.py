@@ -46,10 +46,10 @@ def echo_segments(segments: DataFrame, tolerance_ms: int = ECHO_MS) -> DataFrame
     together, in order, do.
     """
     width = 8 * tolerance_ms
-    words = segments.withColumn("words", C.normalized_words(F.col("text"))).withColumn("bag", C.word_counts(F.col("words")))
-    mic = words.where("source_track = 'microphone'").select("tid", F.col("segment_index").alias("m"), F.col("start_ms").alias("ms"), F.col("end_ms").alias("me"), F.col("words").alias("mw"), F.col("bag").alias("mb"))
+    words = segments.withColumn("words", C.normalized_words(F.col("text")))
+    mic = words.where("source_track = 'microphone'").select("tid", F.col("segment_index").alias("m"), F.col("start_ms").alias("ms"), F.col("end_ms").alias("me"), F.col("words").alias("mw"))
     mic = mic.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("ms") / width), F.floor(F.greatest("ms", "me") / width))))
-    system = words.where("source_track = 'system'").select("tid", F.col("segment_index").alias("s"), F.col("start_ms").alias("ss"), F.col("end_ms").alias("se"), F.col("words").alias("sw"), F.col("bag").alias("sb"))
+    system = words.where("source_track = 'system'").select("tid", F.col("segment_index").alias("s"), F.col("start_ms").alias("ss"), F.col("end_ms").alias("se"), F.col("words").alias("sw"))
     low, high = F.floor((F.col("ss") - tolerance_ms) / width), F.floor((F.greatest("ss", "se") + tolerance_ms) / width)
     system = system.withColumn("bucket", F.explode(F.sequence(low, high)))
     near = (F.col("ss") <= F.col("me") + tolerance_ms) & (F.col("se") >= F.col("ms") - tolerance_ms)
@@ -57,11 +57,11 @@ def echo_segments(segments: DataFrame, tolerance_ms: int = ECHO_MS) -> DataFrame
     once = F.col("bucket") == F.greatest(F.floor(F.col("ms") / width), low)
     pairs = mic.join(system, ["tid", "bucket"]).where(near & once)
     heard = pairs.groupBy("tid", "m").agg(
-        F.max(C.echo_words_match(F.col("mw"), F.col("sw"), F.col("mb"), F.col("sb"))).alias("one"), F.first("mw").alias("mw"), F.first("mb").alias("mb"), F.count(F.lit(1)).alias("n"),
+        F.max(C.echo_words_match(F.col("mw"), F.col("sw"))).alias("one"), F.first("mw").alias("mw"), F.count(F.lit(1)).alias("n"),
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ss", "s", "sw"))), lambda x: x["sw"])).alias("all"),
     )
     # One candidate alone has been compared.
-    together = (F.col("n") > 1) & C.echo_words_match(F.col("mw"), F.col("all"), F.col("mb"))
+    together = (F.col("n") > 1) & C.echo_words_match(F.col("mw"), F.col("all"))
     return heard.where(F.col("one") | together).select("tid", F.col("m").alias("segment_index"))
 
 
