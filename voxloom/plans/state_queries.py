@@ -199,13 +199,13 @@ def j26_match_local(spark, d):
     return snapshots.match_local_snapshots(remote, local, restored)
 
 
-@query("""WITH l AS (SELECT l_orderkey AS k, l_returnflag AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, bool_or(l_partkey % 50 = 0) OVER (PARTITION BY l_orderkey) AS bad FROM lineitem)
+@query("""WITH l AS (SELECT l_orderkey AS k, l_returnflag AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, bool_or(l_partkey % 50 = 0) OVER (PARTITION BY l_orderkey) AS bad FROM lineitem)
   SELECT concat('restored-', sha256(concat('m', k))) AS id, concat('n', k, ' (Drive)') AS name, 'completed' AS status, false AS queue_visible, CAST(max(n) AS INT) AS n, string_agg(t, '' ORDER BY i) AS texts FROM l WHERE NOT bad AND k % 5 <> 0 AND k % 7 <> 0 GROUP BY k""")
 def j27_restore_snapshots(spark, d):
     # A fifth is restored already, a seventh has another digest, and an order with a bad line is rejected.
     k = F.col("l_orderkey")
     end = F.col("l_linenumber") * 10 + F.when(F.col("l_partkey") % 50 == 0, 0).otherwise(5)
-    item = F.struct(F.col("l_linenumber").cast("long").alias("segment_index"), (F.col("l_linenumber") * 10).alias("start_ms"), end.alias("end_ms"), F.col("l_returnflag").alias("text"))
+    item = F.struct((F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).cast("long").alias("segment_index"), (F.col("l_linenumber") * 10).alias("start_ms"), end.alias("end_ms"), F.col("l_returnflag").alias("text"))
     remote = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("segments"))
     track = F.struct(F.lit("a.wav").alias("original_filename"), F.lit(5).cast("long").alias("bytes"), F.lit("00").alias("sha256"))
     remote = remote.select(F.concat(F.lit("m"), k).alias("remote_id"), F.concat(F.lit("n"), k).alias("name"), "segments", F.array(track).alias("audio"), k)
