@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import chat, decontam, exact_dedup, mixing, near_dedup, quality, substring, token_files, toxicity, url_rules
+from voxloom.llm import chat, decontam, exact_dedup, lexical, merkle, mixing, near_dedup, quality, sharding, substring, token_files, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,25 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_exact_dedup, op4_preference_chat, op5_source_mix, op6_substring_dedup, op7_decontamination, op8_near_dedup, op9_quality, op10_url_filter)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_token_files, op3_exact_dedup, op4_preference_chat, op5_source_mix, op6_substring_dedup, op7_decontamination, op8_near_dedup,
+        op9_quality, op10_url_filter, op11_ranked_search, op12_ring_sharding, op13_merkle_manifest,
+    )
+}
 
 ORACLES: dict[str, str] = {}
 
@@ -175,3 +193,91 @@ SELECT pairing, chosen_id, rejected_id, CAST(p AS INT) AS n_prompt_turns,
        len(a) + len(b) > 0 AS distinct_pair
 FROM split
 """
+
+ORACLES["op11_ranked_search"] = r"""
+WITH doc_terms AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents) GROUP BY ALL),
+lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM doc_terms GROUP BY doc_id),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS l FROM lengths),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM doc_terms GROUP BY term), whole),
+item_terms AS (
+  SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // l)))) AS BIGINT) AS score
+  FROM item_terms JOIN doc_terms USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), whole GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 20
+""".format(lower=LOWER_SQL.format(x="text"))
+
+CRC_CTE = """
+crc_table AS (
+  SELECT list(c ORDER BY i) AS crcs FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)))
+"""
+#: Of a column of hexadecimal text.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen({h}) // 2), lambda k: CAST('0x' || substr({h}, 2 * k + 1, 2) AS BIGINT))),
+            lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+#: The sequential rule: documents in the order of their second hash, each to the first shard clockwise that has room.
+ORACLES["op12_ring_sharding"] = (
+    "WITH RECURSIVE " + CRC_CTE + """,
+tokens AS (
+  SELECT s, CAST('0x' || substr(md5(s || ':' || v), 1, 4) AS BIGINT) AS token
+  FROM (SELECT unnest(range(8)) AS s), (SELECT unnest(range(256)) AS v)),
+keyed AS (
+  SELECT doc_id, coalesce(text, '') AS x, hex(coalesce(text, '')) AS h, CAST('0x' || substr(md5('at:' || doc_id), 1, 4) AS BIGINT) AS place,
+         CAST('0x' || substr(md5('order:' || doc_id), 1, 15) AS BIGINT) AS k FROM documents),
+reach AS (SELECT doc_id, s, min((token - place + 65536) % 65536) AS d FROM keyed, tokens GROUP BY doc_id, s),
+prefs AS (SELECT doc_id, list(s ORDER BY d, s) AS prefs FROM reach GROUP BY doc_id),
+placed AS (SELECT doc_id, prefs, k, row_number() OVER (ORDER BY k) AS i FROM keyed JOIN prefs USING (doc_id)),
+run AS (
+  SELECT CAST(0 AS BIGINT) AS i, list_transform(range(8), lambda s: n // 8 + CASE WHEN s < n % 8 THEN 1 ELSE 0 END) AS room, CAST(NULL AS BIGINT) AS shard FROM (SELECT count(*) AS n FROM documents)
+  UNION ALL
+  SELECT i, list_transform(range(8), lambda s: room[s + 1] - CASE WHEN s = pick THEN 1 ELSE 0 END), pick
+  FROM (SELECT p.i, r.room, list_filter(p.prefs, lambda s: r.room[s + 1] > 0)[1] AS pick FROM run r JOIN placed p ON p.i = r.i + 1))
+SELECT doc_id, CAST(strlen(x) + 1 AS BIGINT) AS size, CAST(""" + CRC_SQL.format(h="h") + """ AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY k) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, CAST(prefs[1] AS INT) AS home
+FROM run JOIN placed USING (i) JOIN keyed USING (doc_id, k), crc_table
+"""
+)
+
+#: Levels of the tree that the SQL spells out: enough for 16^6 leaves in a source, and as many sources.
+MERKLE_LEVELS = 6
+
+
+def _merkle_sql() -> str:
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    lower = LOWER_SQL.format(x="text")
+    parts = [CRC_CTE, f"""
+leaves AS (
+  SELECT doc_id, source AS tree, {leaf("text")} AS leaf, CASE WHEN {CRC_SQL.format(h="h")} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS cur,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT *, hex(CAST(doc_id AS VARCHAR)) AS h FROM documents), crc_table),
+s0 AS (SELECT tree, i, n, leaf AS d FROM leaves),
+p0 AS (SELECT doc_id, tree, i, leaf, cur, '' AS sib FROM leaves)"""]
+
+    def climb(nodes: str, paths: str, key: str) -> None:
+        for k in range(MERKLE_LEVELS):
+            parts.append(f"""
+{nodes}r{k} AS (SELECT {key}, i // 16 AS i, max(n) AS n, list(d ORDER BY i) AS run FROM {nodes}{k} GROUP BY {key}, i // 16),
+{nodes}{k + 1} AS (SELECT {key}, i, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS d FROM {nodes}r{k}),
+{paths}{k + 1} AS (
+  SELECT p.* EXCLUDE (i, cur, sib), p.i // 16 AS i,
+         CASE WHEN n > 1 THEN sha256(array_to_string(run[1 : p.i % 16], '') || cur || array_to_string(run[p.i % 16 + 2 :], '')) ELSE cur END AS cur,
+         CASE WHEN n > 1 THEN sib || array_to_string(run[1 : p.i % 16], '') || array_to_string(run[p.i % 16 + 2 :], '') ELSE sib END AS sib
+  FROM {paths}{k} p JOIN {nodes}r{k} r ON p.{key} IS NOT DISTINCT FROM r.{key} AND p.i // 16 = r.i)""")
+
+    climb("s", "p", "tree")
+    last = MERKLE_LEVELS
+    parts.append(f"""
+f0 AS (SELECT 0 AS forest, tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n, d FROM s{last}),
+q0 AS (SELECT p.doc_id, p.leaf, p.cur, p.sib, f.d AS subroot, f.i, 0 AS forest FROM p{last} p JOIN f0 f ON p.tree IS NOT DISTINCT FROM f.tree)""")
+    climb("f", "q", "forest")
+    return "WITH " + ",".join(parts) + f"""
+SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM q{last}, (SELECT d AS root FROM f{last})
+"""
+
+
+ORACLES["op13_merkle_manifest"] = _merkle_sql()
