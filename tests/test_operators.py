@@ -165,36 +165,6 @@ def test_clusters():
     assert speakers.two_speakers(np.ones((6, 2)) / 2**0.5) is None
 
 
-def test_linkage_equals_brute_force():
-    r = np.random.default_rng(4)
-    for n, spread in ((1, 1), (2, 1), (60, 0.3), (90, 0.6), (120, 1.2)):
-        x = r.normal(size=(5, 16))[r.integers(0, 5, n)] + spread * r.normal(size=(n, 16))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        sims, groups = x @ x.T, [[i] for i in range(n)]
-        while len(groups) > 1:
-            mean, a, b = max(((sims[np.ix_(groups[a], groups[b])].mean(), -a, -b) for a in range(len(groups)) for b in range(a + 1, len(groups))))
-            if mean < speakers.AUTO_SIMILARITY:
-                break
-            groups[-a] += groups.pop(-b)
-        large = [g for g in groups if len(g) > 1]
-        if large:
-            whole = [list(g) for g in large]
-            for g in groups:
-                if len(g) == 1:
-                    whole[int(np.argmax([sims[g[0], h].mean() for h in large]))] += g
-            groups = whole
-        label = speakers.average_linkage(x)
-        assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(np.array(label) == k).tolist()) for k in set(label)}
-
-
-def test_long_recordings_have_speakers(spark):
-    n = 4_100
-    x = np.eye(3)[np.arange(n) % 3] + 0.01 * np.random.default_rng(5).normal(size=(n, 3))
-    d = spark.createDataFrame([("t", i, v.tolist()) for i, v in enumerate(x)], "tid string, window_id long, embedding array<double>")
-    got = speakers.cluster(d).collect()
-    assert {r["status"] for r in got} == {"ok"} and all(r["speaker"] == r["window_id"] % 3 for r in got) and len(got) == n
-
-
 def test_votes_and_matches(spark):
     votes = spark.createDataFrame([("t", 0, x) for x in (0, 1, 1, 1)] + [("t", 1, 0), ("t", 1, 1)], "tid string, segment_index long, label int")
     assert rows(speakers.dominant_speaker(votes), "segment_index", "speaker") == [(0, "Speaker 2"), (1, "Speaker 2")]

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxloom.operators import linkage
 from voxloom.operators.audio import linear_to_16k
+from voxloom.operators.linkage import average_linkage
+from voxloom.sources.stored import saved
 
-AUTO_SIMILARITY, TWO_SIMILARITY, TWO_MARGIN = 0.58, 0.5, 0.13
+TWO_SIMILARITY, TWO_MARGIN = 0.5, 0.13
 #: Rows of a product of vectors that are held at once.
 ROWS = 256
 
@@ -69,62 +72,6 @@ def window_audio(windows: DataFrame, blocks: DataFrame, rate: int, block: int =
     return slice_audio(windows, blocks, block).where(F.size("samples") >= rate // 2)
 
 
-def average_linkage(x: np.ndarray, least: float = AUTO_SIMILARITY) -> list[int]:
-    """Labels by average-linkage cosine clustering; lone vectors then join their closest larger cluster.
-
-    The best pair merges, the first of equals. The mean similarity of two clusters is that of their sum
-    vectors, so besides those only each cluster's best later one is kept, for recordings of any length.
-    """
-    n = len(x)
-    members = [[i] for i in range(n)]
-    sums, size, alive = x.astype(np.float64).copy(), np.ones(n), np.ones(n, bool)
-    best, mate = np.full(n, -np.inf), np.zeros(n, np.int64)
-
-    def look(rows: np.ndarray) -> None:
-        for a in range(0, len(rows), ROWS):
-            part = rows[a : a + ROWS]
-            mean = sums[part] @ sums.T / np.outer(size[part], size)
-            mean[~alive[None, :] | (np.arange(n)[None, :] <= part[:, None])] = -np.inf
-            mate[part] = mean.argmax(axis=1)
-            best[part] = mean[np.arange(len(part)), mate[part]]
-
-    look(np.arange(n))
-    while n > 1:
-        i = int(np.argmax(best))
-        if best[i] < least:
-            break
-        j = int(mate[i])
-        members[i] += members[j]
-        sums[i] += sums[j]
-        size[i] += size[j]
-        alive[j], best[j] = False, -np.inf
-        stale = alive & np.isin(mate, (i, j))
-        stale[i] = True
-        # A merged cluster is no closer to another than the closer of its parts; equal ones go by place.
-        mean = sums[:i] @ sums[i] / (size[:i] * size[i])
-        closer = alive[:i] & ((mean > best[:i]) | ((mean == best[:i]) & (i < mate[:i])))
-        best[:i][closer], mate[:i][closer] = mean[closer], i
-        look(np.flatnonzero(stale))
-    groups = [members[i] for i in range(n) if alive[i]]
-    large = [g for g in groups if len(g) > 1]
-    if large:
-        whole = [list(g) for g in large]
-        centres = np.stack([x[g].sum(axis=0) / len(g) for g in large])
-        for g in groups:
-            if len(g) == 1:
-                whole[int(np.argmax(centres @ x[g[0]]))].append(g[0])
-        groups = whole
-    return _labels(groups, n)
-
-
-def _labels(groups: list[list[int]], n: int) -> list[int]:
-    out = [0] * n
-    for k, g in enumerate(sorted(groups, key=min)):
-        for i in g:
-            out[i] = k
-    return out
-
-
 def _last_max(x: np.ndarray) -> np.ndarray:
     return x.shape[-1] - 1 - np.argmax(x[..., ::-1], axis=-1)
 
@@ -186,12 +133,38 @@ def two_speakers(x: np.ndarray) -> list[int] | None:
     return label.tolist()
 
 
-def cluster(vectors: DataFrame, method: str = "auto", k: int = 2) -> DataFrame:
-    """(tid, window_id, speaker, status) of (tid, window_id, embedding): one recording is one group.
+def cluster(vectors: DataFrame, method: str = "auto", k: int = 2, in_task: int = linkage.IN_TASK, block: int = linkage.BLOCK) -> DataFrame:
+    """(tid, window_id, speaker, status) of (tid, window_id, embedding). Status tells what went wrong.
 
-    Memory grows with the windows of a recording, time with their square or more. Status tells what went wrong.
+    A recording is one group; with ``auto``, one of more than ``in_task`` windows is clustered by many tasks,
+    with the same result. Windows count in the order of window_id.
     """
-
+    if method != "auto":
+        return _in_groups(vectors, method, k)
+    sizes = saved(vectors.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > in_task), "linkage-long")
+    if sizes.isEmpty():
+        return _in_groups(vectors, method, k)
+    return _in_groups(vectors.join(sizes, "tid", "left_anti"), method, k).unionByName(_long(vectors.join(sizes.select("tid"), "tid", "left_semi"), block))
+
+
+def _long(vectors: DataFrame, block: int) -> DataFrame:
+    """Clusters of the windows of long recordings; a recording with a ragged or bad vector has its status instead."""
+    from voxloom.operators.tree import numbered
+
+    rows = normalize_vectors(vectors.select("tid", "window_id", F.transform("embedding", lambda v: v.cast("double")).alias("embedding")))
+    checks = rows.groupBy("tid").agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), F.bool_and("ok").alias("ok"), F.count(F.lit(1)).alias("n"))
+    status = F.when(F.col("low") != F.col("high"), "ragged").when(~F.col("ok"), "not finite").otherwise("ok")
+    checks = saved(checks.select("tid", "n", status.alias("status")), "linkage-checks")
+    # Numbers over all long recordings in the order of tid and window; within one they start at its first.
+    placed = saved(numbered(rows.select("tid", "window_id", "unit"), "row", F.col("tid"), F.col("window_id")), "linkage-rows")
+    first = placed.groupBy("tid").agg(F.min("row").alias("first"))
+    placed = placed.join(first, "tid").join(checks, "tid").select("tid", "window_id", "unit", "status", (F.col("row") - F.col("first")).cast("long").alias("place"))
+    good = linkage.long_recordings(placed.where("status = 'ok'"), block=block)
+    labelled = placed.join(good, ["tid", "place"], "left")
+    return labelled.select("tid", "window_id", "speaker", "status")
+
+
+def _in_groups(vectors: DataFrame, method: str, k: int) -> DataFrame:
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("window_id")
         labels: list[int] | None = None

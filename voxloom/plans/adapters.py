@@ -69,6 +69,12 @@ SELECT concat('r', CAST(floor(vec_id / 50) AS INT)) AS tid, vec_id AS window_id,
 FROM embeddings
 """
 
+# Recordings of ten windows, short enough for clusters in SQL.
+VIEWS["v_short_recordings"] = """
+SELECT concat('r', CAST(floor(vec_id / 10) AS INT)) AS tid, vec_id AS window_id, embedding
+FROM embeddings
+"""
+
 VIEWS["v_nodes"] = """
 SELECT concat('r', r_regionkey) AS id, 'folder' AS kind, CAST(NULL AS STRING) AS parent_id, r_name AS name,
        CAST(r_regionkey AS BIGINT) AS position FROM region
@@ -109,7 +115,7 @@ DUCK = VIEWS | {"v_frames": _FRAMES.format(div="//", grid=", (SELECT unnest(rang
 DUCK["v_all_frames"] = DUCK["v_frames"].replace(_EVERY, "")
 
 TABLES = {
-    "v_segments": ["conversations"], "v_jobs": ["orders"], "v_frames": ["orders"], "v_vad_len": ["orders"], "v_all_frames": ["orders"], "v_all_vad_len": ["orders"], "v_vectors": ["embeddings"], "v_recording_vectors": ["embeddings"], "v_recordings": ["orders"],
+    "v_segments": ["conversations"], "v_jobs": ["orders"], "v_frames": ["orders"], "v_vad_len": ["orders"], "v_all_frames": ["orders"], "v_all_vad_len": ["orders"], "v_vectors": ["embeddings"], "v_recording_vectors": ["embeddings"], "v_short_recordings": ["embeddings"], "v_recordings": ["orders"],
     "v_nodes": ["region", "nation", "supplier", "customer"], "v_changes": ["events"], "v_blocks": ["events"], "v_snapshots": ["orders"],
 }
 

@@ -560,6 +560,35 @@ def d5_cluster_auto(spark, d):
     return speakers.cluster(view(spark, d, "v_recording_vectors"), "auto")
 
 
+def _linkage_sql(windows: int = 10, least: float = 0.58) -> str:
+    """Clusters of recordings of at most ``windows`` windows: each merger and each lone vector is a step of its own."""
+    steps = ["""+ unit AS MATERIALIZED (SELECT tid, window_id AS a, list_transform(CAST(embedding AS DOUBLE[]), lambda v: v / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS e FROM v_short_recordings),
+  sim AS MATERIALIZED (SELECT x.tid, x.a, y.a AS b, list_inner_product(x.e, y.e) AS s FROM unit x JOIN unit y ON x.tid = y.tid),
+  g0 AS MATERIALIZED (SELECT tid, a, a AS g FROM unit)"""]
+    for k in range(windows - 1):
+        steps.append(f"""
+  m{k} AS MATERIALIZED (SELECT x.tid, x.g, y.g AS h, round(avg(s), 12) AS s FROM g{k} x JOIN g{k} y ON x.tid = y.tid AND x.g < y.g JOIN sim ON sim.tid = x.tid AND sim.a = x.a AND sim.b = y.a GROUP BY ALL),
+  w{k} AS MATERIALIZED (SELECT * FROM m{k} WHERE s >= {least} QUALIFY row_number() OVER (PARTITION BY tid ORDER BY s DESC, g, h) = 1),
+  g{k + 1} AS MATERIALIZED (SELECT x.tid, x.a, coalesce(w.g, x.g) AS g FROM g{k} x LEFT JOIN w{k} w ON w.tid = x.tid AND w.h = x.g)""")
+    last = windows - 1
+    steps.append(f"\n  l0 AS MATERIALIZED (SELECT tid, a, g FROM g{last})")
+    for k in range(windows - 2):
+        steps.append(f"""
+  n{k} AS MATERIALIZED (SELECT tid, g, count(*) AS n FROM l{k} GROUP BY ALL),
+  o{k} AS MATERIALIZED (SELECT tid, min(g) AS lone FROM n{k} WHERE n = 1 GROUP BY tid),
+  t{k} AS MATERIALIZED (
+    SELECT o.tid, o.lone, x.g FROM o{k} o JOIN n{k} n ON n.tid = o.tid AND n.n > 1 JOIN l{k} x ON x.tid = o.tid AND x.g = n.g JOIN sim ON sim.tid = o.tid AND sim.a = o.lone AND sim.b = x.a
+    GROUP BY o.tid, o.lone, x.g QUALIFY row_number() OVER (PARTITION BY o.tid ORDER BY round(avg(s), 12) DESC, x.g DESC) = 1),
+  l{k + 1} AS MATERIALIZED (SELECT x.tid, x.a, coalesce(t.g, x.g) AS g FROM l{k} x LEFT JOIN t{k} t ON t.tid = x.tid AND t.lone = x.g)""")
+    return ",".join(steps) + f"""
+  SELECT tid, a AS window_id, CAST(dense_rank() OVER (PARTITION BY tid ORDER BY first) - 1 AS INT) AS speaker, 'ok' AS status FROM (SELECT *, min(a) OVER (PARTITION BY tid, g) AS first FROM l{windows - 2})"""
+
+
+@query(_linkage_sql(), "v_short_recordings")
+def d5_cluster_short(spark, d):
+    return speakers.cluster(view(spark, d, "v_short_recordings"), "auto")
+
+
 @query()
 def d6_cluster_k(spark, d):
     return speakers.cluster(view(spark, d, "v_recording_vectors"), "k", 3)
