@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxloom.functions.distance import with_distance
 from voxloom.functions.columns import normalized_text
 
 
@@ -15,11 +16,15 @@ def joined_text(segments: DataFrame, name: str) -> DataFrame:
 
 
 def cer(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
-    """(tid, distance, length, cer) of normalised texts; a recording missing on one side counts as empty there."""
+    """(tid, distance, length, cer) of normalised texts; a recording missing on one side counts as empty there.
+
+    Distances are of whole recordings, by words of bits in a band that doubles until it holds the distance.
+    """
     both = joined_text(reference, "ref").join(joined_text(hypothesis, "hyp"), "tid", "full")
     both = both.select("tid", normalized_text(F.coalesce("ref", F.lit(""))).alias("ref"), normalized_text(F.coalesce("hyp", F.lit(""))).alias("hyp"))
     length = F.greatest(F.char_length("ref"), F.lit(1))
-    return both.select("tid", F.levenshtein("ref", "hyp").alias("distance"), length.alias("length")).withColumn("cer", F.col("distance") / F.col("length"))
+    found = with_distance(both.select("tid", "ref", "hyp", length.alias("length")), "ref", "hyp")
+    return found.select("tid", "distance", "length", (F.col("distance") / F.col("length")).alias("cer"))
 
 
 def anchor_counts(segments: DataFrame, phrases: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,25 +159,66 @@ def snapshot_branches(snapshots: DataFrame) -> DataFrame:
 
 
 def validate_revision_graph(snapshots: DataFrame, content: str = "manifest") -> DataFrame:
-    """(original_id, reason) of originals with a blank revision, a revision of two contents, or a cycle.
-
-    Cycles are found by peeling: revisions without a remaining parent go, round by round; what can't go is cyclic.
-    """
+    """(original_id, reason) of originals with a blank revision, a revision of two contents, or a cycle."""
     blank = snapshots.where(F.trim(F.coalesce("revision", F.lit(""))) == "").select("original_id", F.lit("blank").alias("reason"))
     double = snapshots.groupBy("original_id", "revision").agg(F.countDistinct(F.sha2(F.col(content).cast("binary"), 256)).alias("k")).where("k > 1").select("original_id", F.lit("duplicate").alias("reason"))
     known = snapshots.select("original_id", F.col("revision").alias("parent")).distinct()
     edges = parents(snapshots).join(known, ["original_id", "parent"], "left_semi")
-    edges = saved(edges, "revision-edges")
-    left = edges.count()
+    cyclic = cyclic_graphs(edges.select(F.col("original_id").alias("g"), F.col("revision").alias("a"), F.col("parent").alias("b")))
+    return blank.union(double).union(cyclic.select(F.col("g").alias("original_id"), F.lit("cycle").alias("reason"))).distinct()
+
+
+def cyclic_graphs(edges: DataFrame) -> DataFrame:
+    """(g) of the graphs with a cycle, from directed edges (g, a, b).
+
+    Nodes with a single edge out are passed over: pointer doubling leads each to the first node that
+    has none or several, and edges to it end there instead. A chain that never ends is a cycle. What
+    is left are the nodes with several edges, less those that lead nowhere; the edges are then turned
+    round, as a cycle stays one, so nodes with a single edge in go too. A history of any length with
+    few mergers takes rounds in the order of the logarithm of its length.
+    """
+    edges = saved(edges.distinct(), "graph-edges")
+    found = [edges.where("a = b").select("g")]
+    left, stuck = edges.count(), 0
     while left:
-        # A parent that is no child any more has gone; its edges go too.
-        open_ = edges.select("original_id", F.col("revision").alias("parent")).distinct()
-        fewer = saved(edges.join(open_, ["original_id", "parent"], "left_semi"), "revision-edges")
-        removed(edges)
+        out = saved(edges.groupBy("g", "a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("to")), "graph-nodes")
+        ends, endless = chain_ends(out.where("n = 1").select("g", "a", "to"))
+        bad = endless.select("g").distinct()
+        found.append(bad)
+        to = ends.select("g", F.col("a").alias("b"), "to")
+        several = edges.join(out.where("n > 1").select("g", "a"), ["g", "a"], "left_semi").join(bad, "g", "left_anti")
+        several = several.join(to, ["g", "b"], "left").select("g", "a", F.coalesce("to", "b").alias("b")).distinct()
+        # An edge to a node without edges leads nowhere.
+        several = saved(several, "graph-edges")
+        found.append(several.where("a = b").select("g"))
+        live = several.select("g", F.col("a").alias("b")).distinct()
+        fewer = saved(several.where("a <> b").join(live, ["g", "b"], "left_semi").select("g", F.col("b").alias("a"), F.col("a").alias("b")), "graph-edges")
         edges, before, left = fewer, left, fewer.count()
+        stuck = stuck + 1 if left == before else 0
+        if stuck == 2:  # neither way round does an edge go: every node leads on
+            found.append(edges.select("g"))
+            break
+    return reduce(DataFrame.union, found).distinct()
+
+
+def chain_ends(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where chains of single steps (g, a, to) end, and the steps of those that don't, by pointer doubling.
+
+    A round doubles the reach of every pointer. One that ends no more chains leaves only cycles, as a chain
+    of some length has ends at every shorter distance.
+    """
+    live = steps.select("g", F.col("a").alias("to"), F.lit(True).alias("on"))
+    steps = saved(steps.join(live, ["g", "to"], "left").select("g", "a", "to", F.coalesce("on", F.lit(False)).alias("on")), "graph-chains")
+    left = steps.where("on").count()
+    while left:
+        over = steps.select("g", F.col("a").alias("to"), F.col("to").alias("far"), F.col("on").alias("more"))
+        doubled = steps.join(over, ["g", "to"], "left")
+        doubled = saved(doubled.select("g", "a", F.coalesce("far", "to").alias("to"), (F.col("on") & F.coalesce("more", F.lit(False))).alias("on")), "graph-chains")
+        removed(steps)
+        steps, before, left = doubled, left, doubled.where("on").count()
         if left == before:
             break
-    return blank.union(double).union(edges.select("original_id", F.lit("cycle").alias("reason"))).distinct()
+    return steps.where("not on"), steps.where("on")
 
 
 def drive_presence(local: DataFrame, branches: DataFrame, complete: bool = True) -> DataFrame:

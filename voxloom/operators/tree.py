@@ -86,37 +86,91 @@ def validate_tree(nodes: DataFrame, name_chars: int = NAME_CHARS, most: int = TR
     return rows.withColumn("reason", reason).where("reason is not null").select(*["tree"] * several, "id", "reason")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, id, depth, sort_key, names, chain) of every node whose chain of parents ends at a root.
+def running(rows: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over the rows before in the same group, without one task for a group.
 
-    Pointer doubling on the rows of chains that end: each round puts the ancestor's path before a node's own.
+    Groups mustn't hold nulls. Rows are summed within range partitions; sums of the partitions before are added.
     """
-    rows = _with_tree(nodes).select("tree", "id", "parent_id", "name", F.col("position").cast("long").alias("position"))
-    ends = ancestors_reach(rows).where("rooted").select(F.col("tree").alias("t"), F.col("id").alias("r"))
-    rows = rows.join(ends, F.col("id").eqNullSafe(F.col("r")) & F.col("tree").eqNullSafe(F.col("t")), "left_semi")
-    step = saved(rows.select("tree", "id", F.col("parent_id").alias("up"), F.array(F.struct("position", "id")).alias("sort_key"), F.array("name").alias("names")), "tree-paths")
-    while not step.where("up is not null").isEmpty():
-        over = step.select(F.col("tree").alias("t"), F.col("id").alias("mid"), F.col("up").alias("top"), F.col("sort_key").alias("k"), F.col("names").alias("n"))
-        # An unknown parent ends the chain, and the node isn't below a root.
-        both = step.join(over, (F.col("up") == F.col("mid")) & F.col("tree").eqNullSafe(F.col("t")), "left").where("up is null or mid is not null")
-        longer = lambda more, own: F.when(F.col(more).isNull(), F.col(own)).otherwise(F.concat(more, own)).alias(own)
-        doubled = saved(both.select("tree", "id", F.col("top").alias("up"), longer("k", "sort_key"), longer("n", "names")), "tree-paths")
+    parts = saved(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "running")
+    sums = parts.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*group, "_part", before.alias("_before"))
+    own = F.coalesce(F.sum(value).over(W.partitionBy("_part", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("_own", own).join(sums, [*group, "_part"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
+def _below(nodes: DataFrame, collapsed: tuple[str, ...]) -> DataFrame:
+    """(tree, id, parent, position, depth, size, hidden) of every node whose chain of parents ends at a root.
+
+    Each round doubles the distance up to which a node counts its ancestors and its descendants: those
+    of a node at exactly that distance below it are added to its own. Rows don't grow with the depth.
+    """
+    rows = _with_tree(nodes).select("tree", "id", "parent_id", F.col("position").cast("long").alias("position"))
+    known = rows.select(F.col("tree").alias("t"), F.col("id").alias("k"))
+    rows = rows.join(known, (F.col("parent_id") == F.col("k")) & F.col("tree").eqNullSafe(F.col("t")), "left")
+    hidden = F.coalesce(F.col("parent_id").isin(*collapsed), F.lit(False)) if collapsed else F.lit(False)
+    step = rows.select(
+        F.coalesce("tree", F.lit("")).alias("tree"), "id", F.col("k").alias("parent"), "position", F.col("k").alias("up"), F.col("k").isNotNull().cast("long").alias("depth"),
+        F.lit(1).cast("long").alias("size"), hidden.alias("hidden"), (F.col("parent_id").isNotNull() & F.col("k").isNull()).alias("lost"),
+    )
+    step = saved(step, "tree-below")
+    left = step.where("up is not null").count()
+    while left:
+        over = step.select("tree", F.col("id").alias("up"), F.col("up").alias("top"), F.col("depth").alias("d"), F.col("hidden").alias("h"), F.col("lost").alias("l"))
+        more = step.where("up is not null").groupBy("tree", F.col("up").alias("id")).agg(F.sum("size").alias("more"))
+        both = step.join(over, ["tree", "up"], "left").join(more, ["tree", "id"], "left")
+        of = lambda c, x, zero: F.coalesce(F.col(x), F.lit(zero)) if isinstance(zero, bool) else F.col(c) + F.coalesce(F.col(x), F.lit(zero))
+        doubled = both.select(
+            "tree", "id", "parent", "position", F.col("top").alias("up"), of("depth", "d", 0).alias("depth"), of("size", "more", 0).alias("size"),
+            (F.col("hidden") | of("hidden", "h", False)).alias("hidden"), (F.col("lost") | of("lost", "l", False)).alias("lost"),
+        )
+        doubled = saved(doubled, "tree-below")
         removed(step)
-        step = doubled
-    return step.select("tree", "id", (F.size("names") - 1).alias("depth"), "sort_key", "names", F.transform("sort_key", lambda x: x["id"]).alias("chain"))
+        step, before, left = doubled, left, doubled.where("up is not null").count()
+        if left == before:  # only cycles are left
+            break
+    return step.where("up is null and not lost").select("tree", "id", "parent", "position", "depth", "size", "hidden")
 
 
 def visible_tree(nodes: DataFrame, collapsed: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """(id, depth, row): depth-first rows, siblings by position and id; nothing below a collapsed folder.
 
-    With several trees, rows count within each ``tree``.
+    A node comes after its parent and all that is below its earlier siblings; these distances are added
+    up along the chain of parents by pointer doubling. With several trees, rows count within each ``tree``.
+    """
+    rows = _below(nodes, tuple(collapsed)).where("not hidden")
+    if collapsed:  # sizes without what is hidden
+        inside = rows.select("tree", "id", F.col("parent").alias("parent_id"), "position")
+        rows = _below(saved(inside, "tree-visible"), ())
+    rows = running(rows.withColumn("_top", F.coalesce("parent", F.lit(""))).withColumn("_root", F.col("parent").isNull()), ["tree", "_root", "_top"], ["position", "id"], "size", "earlier")
+    step = saved(rows.select("tree", "id", "depth", F.col("parent").alias("up"), (F.col("earlier") + 1).alias("row")), "tree-rows")
+    while not step.where("up is not null").isEmpty():
+        over = step.select("tree", F.col("id").alias("up"), F.col("up").alias("top"), F.col("row").alias("more"))
+        doubled = step.join(over, ["tree", "up"], "left").select("tree", "id", "depth", F.col("top").alias("up"), (F.col("row") + F.coalesce("more", F.lit(0))).alias("row"))
+        doubled = saved(doubled, "tree-rows")
+        removed(step)
+        step = doubled
+    return step.select(*["tree"] * ("tree" in nodes.columns), "id", F.col("depth").cast("int").alias("depth"), F.col("row").cast("int").alias("row"))
+
+
+def names_from_root(nodes: DataFrame) -> DataFrame:
+    """(tree, id, names) of every node whose chain of parents ends at a root: the names along the chain, which are the result.
+
+    Each round puts the names that an ancestor has before a node's own.
     """
-    rows = paths(nodes)
-    if collapsed:
-        rows = rows.where(~F.exists(F.slice("chain", F.lit(1), F.col("depth")), lambda c: c.isin(*collapsed)))
-    if "tree" in nodes.columns:
-        return rows.select("tree", "id", "depth", F.row_number().over(W.partitionBy("tree").orderBy("sort_key")).alias("row"))
-    return numbered(rows.select("id", "depth", "sort_key"), "row", F.col("sort_key")).select("id", "depth", F.col("row").cast("int").alias("row"))
+    rows = _with_tree(nodes).select("tree", "id", "parent_id", "name")
+    ends = ancestors_reach(rows).where("rooted").select(F.col("tree").alias("t"), F.col("id").alias("r"))
+    rows = rows.join(ends, F.col("id").eqNullSafe(F.col("r")) & F.col("tree").eqNullSafe(F.col("t")), "left_semi")
+    step = saved(rows.select("tree", "id", F.col("parent_id").alias("up"), F.array("name").alias("names")), "tree-names")
+    while not step.where("up is not null").isEmpty():
+        over = step.select(F.col("tree").alias("t"), F.col("id").alias("mid"), F.col("up").alias("top"), F.col("names").alias("n"))
+        # An unknown parent ends the chain, and the node isn't below a root.
+        both = step.join(over, (F.col("up") == F.col("mid")) & F.col("tree").eqNullSafe(F.col("t")), "left").where("up is null or mid is not null")
+        longer = F.when(F.col("n").isNull(), F.col("names")).otherwise(F.concat("n", "names"))
+        doubled = saved(both.select("tree", "id", F.col("top").alias("up"), longer.alias("names")), "tree-names")
+        removed(step)
+        step = doubled
+    return step.select("tree", "id", "names")
 
 
 def folder_paths(nodes: DataFrame) -> DataFrame:
@@ -125,7 +179,7 @@ def folder_paths(nodes: DataFrame) -> DataFrame:
     known = nodes.select(F.col("tree").alias("t"), F.col("id").alias("k"))
     rooted = nodes.join(known, (F.col("parent_id") == F.col("k")) & F.col("tree").eqNullSafe(F.col("t")), "left").withColumn("parent_id", F.col("k")).drop("k", "t")
     kinds = nodes.where("kind = 'folder'").select(F.col("tree").alias("t"), F.col("id").alias("f"))
-    found = paths(rooted).join(kinds, (F.col("id") == F.col("f")) & F.col("tree").eqNullSafe(F.col("t")), "left_semi")
+    found = names_from_root(rooted).join(kinds, (F.col("id") == F.col("f")) & F.col("tree").eqNullSafe(F.col("t")), "left_semi")
     return found.select(*["tree"] * several, "id", F.array_join("names", " / ").alias("path"))
 
 
