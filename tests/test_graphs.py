@@ -131,3 +131,72 @@ def test_rows_of_random_trees(spark, collapsed):
     table = spark.createDataFrame([(i, "folder", p, i, k) for i, p, k in nodes], "id string, kind string, parent_id string, name string, position long")
     got = {x["id"]: (x["depth"], x["row"]) for x in tree.visible_tree(table, collapsed).collect()}
     assert got == plain_rows(nodes, set(collapsed))
+
+
+def plain_reconcile(local, remote, base):
+    """Folder by folder, in the manifest's order; rows are id -> (name, parent, position)."""
+    now, new = dict(local), set()
+    for i, (name, _, position) in remote.items():
+        if i not in now:
+            now[i] = (name, None, max(position, 0))
+            new.add(i)
+        elif i in base and now[i][0] == base[i][0]:
+            now[i] = (name, *now[i][1:])
+    for i, (_, parent, position) in remote.items():
+        if i in new or (i in base and base[i][1:] == now[i][1:]):
+            at, seen = parent, set()
+            while at is not None and at != i and at not in seen:
+                seen.add(at)
+                at = now[at][1] if at in now else None
+            if at is None:
+                now[i] = (now[i][0], parent, max(position, 0))
+    return {i: (*now[i], i in new) for i in remote}
+
+
+def test_reconciled_folders_equal_the_plain_rule(spark):
+    r = random.Random(6)
+    tables, want = {"l": [], "r": [], "b": []}, {}
+    for t in range(60):
+        n = r.randint(2, 9)
+        forest = lambda: {f"f{i}": (r.choice("xy"), None if i == 0 or r.random() < 0.3 else f"f{r.randrange(i)}", r.randint(0, 1)) for i in range(n)}  # noqa: B023, E731
+
+        def renamed(x):
+            order = list(range(n))  # noqa: B023
+            r.shuffle(order)
+            to = {f"f{i}": f"f{k}" for i, k in enumerate(order)}
+            return {to[i]: (a, to.get(p), k) for i, (a, p, k) in x.items()}
+
+        base = renamed(forest())
+        local = {i: v if r.random() < 0.6 else (v[0] + "!", *v[1:]) for i, v in base.items() if r.random() < 0.9} if r.random() < 0.5 else renamed(forest())
+        local = {i: (a, p if p in local else None, k) for i, (a, p, k) in local.items()}
+        remote = renamed(forest())
+        base = {i: local.get(i, v) if r.random() < 0.7 else v for i, v in base.items()}
+        items = list(remote.items())
+        r.shuffle(items)
+        want |= {(f"t{t}", i): v for i, v in plain_reconcile(local, dict(items), base).items()}
+        for key, nodes in (("l", local), ("b", base)):
+            tables[key] += [(f"t{t}", i, *v, 0) for i, v in nodes.items()]
+        tables["r"] += [(f"t{t}", i, *v, k) for k, (i, v) in enumerate(items)]
+    frame = {k: spark.createDataFrame(v, "tree string, id string, name string, parent_id string, position long, ordinal int") for k, v in tables.items()}
+    got = tree.reconcile_restored_folders(frame["l"].drop("ordinal"), frame["r"], frame["b"].drop("ordinal")).collect()
+    assert {(x["tree"], x["id"]): (x["name"], x["parent_id"], x["position"], x["imported"]) for x in got} == want
+    kept = sum(want[(t, i)][1] != p for t, i, _, p, _, _ in tables["r"])
+    assert kept > 20
+
+
+def test_a_move_beside_a_cycle_is_made(spark):
+    schema = "id string, name string, parent_id string, position long"
+    base = spark.createDataFrame([("a", "A", None, 0), ("c", "C", None, 0), ("d", "D", None, 0)], schema)
+    local = base.withColumn("parent_id", F.when(F.col("id") == "c", "a").otherwise(F.col("parent_id")))
+    remote = base.withColumn("parent_id", F.when(F.col("id") == "a", "c").when(F.col("id") == "d", "a").otherwise(F.col("parent_id")))
+    got = {x["id"]: x["parent_id"] for x in tree.reconcile_restored_folders(local, remote, base).collect()}
+    assert got == {"a": None, "c": "a", "d": "a"}
+
+
+def test_bad_sources_are_refused_whole(spark):
+    rows = [("cycle", "a", "A", "b"), ("cycle", "b", "B", "a"), ("cycle", "c", "C", None), ("parent", "a", "A", "zz"), ("name", "a", "  ", None), ("long", "a", "é" * 513, None), ("id", "", "A", None), ("good", "a", "é" * 512, None)]
+    rows += [("deep", f"d{i}", "D", f"d{i - 1}" if i else None) for i in range(65)] + [("edge", f"d{i}", "D", f"d{i - 1}" if i else None) for i in range(64)]
+    remote = spark.createDataFrame([(*x, 0) for x in rows], "tree string, id string, name string, parent_id string, position long")
+    assert {tuple(x) for x in tree.rejected_sources(remote).collect()} == {("cycle", "parent"), ("parent", "parent"), ("name", "name"), ("long", "name"), ("id", "id"), ("deep", "depth")}
+    found = tree.reconcile_restored_folders(remote.limit(0), remote, remote.limit(0))
+    assert {x["tree"] for x in found.collect()} == {"good", "edge"}

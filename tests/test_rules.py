@@ -279,3 +279,11 @@ def test_upserts_over_several_runs(spark, tmp_path):
     got = S.read_upserted(spark, table, spark.createDataFrame([], schema).schema)
     assert rows(got, "change_id", "payload") == [("a", "y"), ("b", "b"), ("c", "c")]
     assert json.dumps(sorted(S._bucket_versions(spark, table))) != "[]"
+
+
+def test_cancelled_jobs_have_an_end(spark):
+    j = spark.createDataFrame([("a", "queued", False, None), ("b", "preparing", False, None), ("c", "completed", False, 5), ("d", "transcribing", True, None), ("e", "queued", True, None)], "id string, status string, cancel_requested boolean, completed_ms long")
+    asked = jobs.apply_cancel(j, j.where("id <> 'e'").select("id"), 9)
+    assert rows(asked, "id", "status", "cancel_requested", "completed_ms") == [("a", "cancelled", False, 9), ("b", "preparing", True, None), ("c", "completed", False, 5), ("d", "transcribing", True, None), ("e", "queued", True, None)]
+    done = jobs.acknowledge_cancel(asked, 11)
+    assert rows(done, "id", "status", "cancel_requested", "completed_ms")[1:] == [("b", "cancelled", False, 11), ("c", "completed", False, 5), ("d", "cancelled", False, 11), ("e", "queued", True, None)]

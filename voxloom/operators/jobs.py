@@ -63,16 +63,24 @@ def apply_transitions(jobs: DataFrame, commands: DataFrame) -> DataFrame:
     )
 
 
-def apply_cancel(jobs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Queued jobs of ``ids`` are cancelled; active ones get a request."""
+def apply_cancel(jobs: DataFrame, ids: DataFrame, now_ms: int) -> DataFrame:
+    """Queued jobs of ``ids`` are cancelled and end at ``now_ms``; active ones get a request; others stay as they are."""
     rows = jobs.join(ids.select("id").distinct().withColumn("asked", F.lit(True)), "id", "left")
     asked = F.coalesce("asked", F.lit(False))
-    out = rows.withColumn("cancel_requested", F.col("cancel_requested") | (asked & F.col("status").isin(*ACTIVE)))
-    return out.withColumn("status", F.when(asked & (F.col("status") == "queued"), "cancelled").otherwise(F.col("status"))).drop("asked")
+    queued, active = asked & (F.col("status") == "queued"), asked & F.col("status").isin(*ACTIVE)
+    return rows.withColumns({
+        "cancel_requested": F.col("cancel_requested") | active, "completed_ms": F.when(queued, F.lit(now_ms).cast("long")).otherwise(F.col("completed_ms")),
+        "status": F.when(queued, "cancelled").otherwise(F.col("status")),
+    }).drop("asked")
 
 
-def acknowledge_cancel(jobs: DataFrame) -> DataFrame:
-    return jobs.withColumn("status", F.when(F.col("cancel_requested") & F.col("status").isin(*ACTIVE), "cancelled").otherwise(F.col("status")))
+def acknowledge_cancel(jobs: DataFrame, now_ms: int) -> DataFrame:
+    """Active jobs with a request are cancelled and end at ``now_ms``; their request is cleared."""
+    hit = F.coalesce(F.col("cancel_requested") & F.col("status").isin(*ACTIVE), F.lit(False))
+    return jobs.withColumns({
+        "status": F.when(hit, "cancelled").otherwise(F.col("status")), "completed_ms": F.when(hit, F.lit(now_ms).cast("long")).otherwise(F.col("completed_ms")),
+        "cancel_requested": F.col("cancel_requested") & ~hit,
+    })
 
 
 def complete_or_fail(jobs: DataFrame, results: DataFrame, now_ms: int) -> DataFrame:

@@ -7,6 +7,7 @@ log2(d) rounds.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from voxloom.sources.stored import removed, saved
 
 NAME_CHARS, TREE_NODES = 256, 100_000
+#: Of the folders of a restored snapshot: bytes of a name, folders of a chain.
+NAME_BYTES, CHAIN = 1024, 64
 
 
 def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
@@ -282,31 +285,73 @@ def below_folders(nodes: DataFrame) -> DataFrame:
     return ancestors_reach(linked.select("id", up.alias("parent_id"))).where("rooted").select("id")
 
 
+def rejected_sources(remote: DataFrame) -> DataFrame:
+    """(tree, reason) of the restored folder tables that are refused as a whole, one reason each.
+
+    An id or name that is blank or a name of over 1,024 bytes, an unknown parent or a cycle, or a chain
+    of more than 64 folders.
+    """
+    rows = _with_tree(remote).select(F.coalesce("tree", F.lit("")).alias("tree"), "id", "parent_id", "name", F.coalesce("position", F.lit(0)).alias("position"))
+    blank = rows.groupBy("tree").agg(F.bool_or(F.coalesce("id", F.lit("")) == "").alias("id"), F.bool_or((F.trim(F.coalesce("name", F.lit(""))) == "") | (F.octet_length("name") > NAME_BYTES)).alias("name"), F.count_distinct("id").alias("n"))
+    reached = _below(rows.dropDuplicates(["tree", "id"]), ()).groupBy("tree").agg(F.count(F.lit(1)).alias("reached"), F.max("depth").alias("deepest"))
+    found = blank.join(reached, "tree", "left")
+    reason = F.when(F.col("id"), "id").when(F.col("name"), "name").when(F.coalesce("reached", F.lit(0)) < F.col("n"), "parent").when(F.col("deepest") >= CHAIN, "depth")
+    return found.select("tree", reason.alias("reason")).where("reason is not null")
+
+
 def reconcile_restored_folders(local: DataFrame, remote: DataFrame, baseline: DataFrame, device: str | None = None, mappings: DataFrame | None = None) -> DataFrame:
     """(id, name, parent_id, position, imported, base_name, base_parent_id, base_position) of the remote folders.
 
-    A remote name is taken if the local one still is the baseline's, a remote place if the local one is,
-    or if the folder is new, and if it makes no cycle with what is local; then the remote values are the
-    new baseline. With a ``device``, remote ids and parents become local ones: a mapping (cloud_id,
-    local_id) wins over the hashed id.
+    A remote name is taken if the local one still is the baseline's or the folder is new. A remote place is
+    taken if the local one still is the baseline's or the folder is new, folder by folder in the order
+    of ``ordinal`` (of ids where there is no such column): not if the new parent then lies on or below
+    the folder in the local tree as moved so far. New folders start at the root. Then the remote values
+    are the new baseline. With a ``device``, remote ids and parents become local ones: a mapping
+    (cloud_id, local_id) wins over the hashed id. A refused source (:func:`rejected_sources`) has no rows.
+
+    With a column ``tree`` in all tables, each is reconciled by itself, in a task of its own: moves depend
+    on those before, and a tree holds at most :data:`TREE_NODES` nodes.
     """
+    several = "tree" in remote.columns
+    remote = _with_tree(remote).withColumn("tree", F.coalesce("tree", F.lit("")))
+    remote = remote.join(rejected_sources(remote).select("tree"), "tree", "left_anti")
+    if "ordinal" not in remote.columns:
+        remote = remote.withColumn("ordinal", F.lit(0))
     if device is not None:
         remote = _local_ids(remote, device, mappings)
-    side = lambda df, p: df.select("id", *[F.col(c).alias(f"{p}_{c}") for c in ("name", "parent_id", "position")], F.lit(True).alias(f"{p}_here"))
-    rows = side(remote, "r").join(side(local, "l"), "id", "left").join(side(baseline, "b"), "id", "left")
+    remote = remote.withColumn("position", F.greatest(F.coalesce("position", F.lit(0)), F.lit(0)))
+    side = lambda df, p: _with_tree(df).select(F.coalesce("tree", F.lit("")).alias("tree"), "id", *[F.col(c).alias(f"{p}_{c}") for c in ("name", "parent_id", "position")], F.lit(True).alias(f"{p}_here"), *["ordinal"] * (p == "r"))
+    rows = side(remote, "r").join(side(local, "l"), ["tree", "id"], "left").join(side(baseline, "b"), ["tree", "id"], "left")
     new = F.col("l_here").isNull()
     rename = new | F.col("l_name").eqNullSafe(F.col("b_name"))
     same_place = F.col("l_parent_id").eqNullSafe(F.col("b_parent_id")) & F.col("l_position").eqNullSafe(F.col("b_position"))
     rows = saved(rows.withColumns({"new": new, "rename": rename, "move": new | (F.col("b_here").isNotNull() & same_place)}), "tree-restored")
-    # All moves at once on the local tree; those of folders that then lie on or below a cycle aren't made.
-    moves = rows.where("move").select("id", F.col("r_parent_id").alias("to"), F.lit(True).alias("moved"))
-    whole = local.select("id", "parent_id").join(moves, "id", "full").select("id", F.when(F.col("moved"), F.col("to")).otherwise(F.col("parent_id")).alias("parent_id"))
-    safe = ancestors_reach(whole).where("rooted").select("id", F.lit(True).alias("safe"))
-    rows = rows.join(safe, "id", "left").withColumn("move", F.col("move") & F.coalesce("safe", F.lit(False)))
+    wanted = rows.where("move").select("tree", "id", F.col("r_parent_id").alias("to"), "ordinal", "new", F.lit(True).alias("moves"))
+    whole = _with_tree(local).select(F.coalesce("tree", F.lit("")).alias("tree"), "id", "parent_id").join(wanted, ["tree", "id"], "full")
+    made = whole.groupBy("tree").applyInPandas(_moves_in_turn, "tree string, id string, safe boolean")
+    rows = rows.join(made, ["tree", "id"], "left").withColumn("move", F.col("move") & F.coalesce("safe", F.lit(False)))
     name = F.when(F.col("rename"), F.col("r_name")).otherwise(F.col("l_name"))
-    place = lambda c: F.when(F.col("move"), F.col(f"r_{c}")).otherwise(F.col(f"l_{c}")).alias(c)
+    parent = F.when(F.col("move"), F.col("r_parent_id")).when(F.col("new"), F.lit(None)).otherwise(F.col("l_parent_id"))
+    position = F.when(F.col("move") | F.col("new"), F.col("r_position")).otherwise(F.col("l_position"))
     base = [F.col(f"r_{c}").alias(f"base_{c}") for c in ("name", "parent_id", "position")]
-    return rows.select("id", name.alias("name"), place("parent_id"), place("position"), F.col("new").alias("imported"), *base)
+    return rows.select(*["tree"] * several, "id", name.alias("name"), parent.alias("parent_id"), position.alias("position"), F.col("new").alias("imported"), *base)
+
+
+def _moves_in_turn(nodes: pd.DataFrame) -> pd.DataFrame:
+    """Which of the wanted moves of one tree are made, each on the tree that those before it left."""
+    text = lambda x: x if isinstance(x, str) else None
+    above = {i: text(p) for i, p in zip(nodes["id"], nodes["parent_id"])}
+    wanted = nodes[nodes["moves"].notna()].sort_values(["ordinal", "id"])
+    made = []
+    for i, to in zip(wanted["id"], map(text, wanted["to"])):
+        at, seen = to, set()
+        while at is not None and at != i and at not in seen:
+            seen.add(at)
+            at = above.get(at)
+        made.append(at is None)
+        if made[-1]:
+            above[i] = to
+    return pd.DataFrame({"tree": wanted["tree"], "id": wanted["id"], "safe": pd.array(made, "boolean")})
 
 
 def _local_ids(remote: DataFrame, device: str, mappings: DataFrame | None) -> DataFrame:

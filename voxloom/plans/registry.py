@@ -200,10 +200,11 @@ def q3_validate_transitions(spark, d):
     return jobs.validate_transitions(rows).select(F.col("id").alias("owner"), F.col("seq").alias("arrival"), "allowed")
 
 
-@query("""SELECT id, CASE WHEN arrival % 4 = 0 AND status = 'queued' THEN 'cancelled' ELSE status END AS status, cancel_requested OR (arrival % 4 = 0 AND status IN ('preparing', 'transcribing')) AS cancel_requested FROM v_jobs""", "v_jobs")
+@query("""SELECT id, CASE WHEN arrival % 4 = 0 AND status = 'queued' THEN 'cancelled' ELSE status END AS status, cancel_requested OR (arrival % 4 = 0 AND status IN ('preparing', 'transcribing')) AS cancel_requested,
+  coalesce(CASE WHEN arrival % 4 = 0 AND status = 'queued' THEN 777 ELSE completed_ms END, -1) AS completed_ms FROM v_recordings""", "v_recordings")
 def q5_apply_cancel(spark, d):
-    j = view(spark, d, "v_jobs")
-    return jobs.apply_cancel(j, j.where("arrival % 4 = 0").select("id")).select("id", "status", "cancel_requested")
+    j = view(spark, d, "v_recordings")
+    return jobs.apply_cancel(j, j.where("arrival % 4 = 0").select("id"), 777).select("id", "status", "cancel_requested", F.coalesce("completed_ms", F.lit(-1)).alias("completed_ms"))
 
 
 @query("""+ a AS (SELECT *, status = 'transcribing' AND NOT cancel_requested AND arrival % 3 <> 2 AS go, arrival % 3 = 0 AS ok FROM v_recordings)

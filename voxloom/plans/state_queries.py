@@ -31,9 +31,10 @@ def q4_apply_transitions(spark, d):
     return jobs.apply_transitions(j, latest.union(older)).select("id", "status", F.coalesce("started_ms", F.lit(-1)).alias("started_ms"), F.coalesce("completed_ms", F.lit(-1)).alias("completed_ms"), "error")
 
 
-@query("SELECT id, CASE WHEN cancel_requested AND status IN ('preparing', 'transcribing') THEN 'cancelled' ELSE status END AS status FROM v_jobs", "v_jobs")
+@query("""+ a AS (SELECT *, cancel_requested AND status IN ('preparing', 'transcribing') AS hit FROM v_recordings)
+  SELECT id, CASE WHEN hit THEN 'cancelled' ELSE status END AS status, cancel_requested AND NOT hit AS cancel_requested, coalesce(CASE WHEN hit THEN 778 ELSE completed_ms END, -1) AS completed_ms FROM a""", "v_recordings")
 def q5_acknowledge_cancel(spark, d):
-    return jobs.acknowledge_cancel(view(spark, d, "v_jobs")).select("id", "status")
+    return jobs.acknowledge_cancel(view(spark, d, "v_recordings"), 778).select("id", "status", "cancel_requested", F.coalesce("completed_ms", F.lit(-1)).alias("completed_ms"))
 
 
 @query("""+ g AS (SELECT id FROM v_jobs WHERE arrival % 3 = 0 AND status IN ('completed', 'cancelled', 'failed', 'interrupted'))
