@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ FLOATS = T.ArrayType(T.FloatType())
 TICKS, CAPTURE_RATE, RESYNC = 10_000_000, 48_000, 24_000
 LEVEL_SAMPLES = 4_800
 BLOCK = 16_384
+#: Numbers of blocks that one task gathers into windows.
+SEGMENT = 100_000
+#: Output samples that are filtered at once.
+ROWS = 1024
 
 
 def downmix(samples: Column, channels: Column) -> Column:
@@ -34,35 +39,78 @@ def linear_to_16k(x: np.ndarray, rate: int, target: int = 16_000) -> np.ndarray:
     return np.interp(np.arange(n) * (rate / target), np.arange(len(x)), x).astype(np.float32) if n else np.zeros(0, np.float32)
 
 
-def resample_exact(x: np.ndarray, rate: int, target: int, taps: int = 32) -> np.ndarray:
-    """A windowed-sinc filter whose output is round(n * target / rate) long and begins where the input begins."""
+def reach_of(rate: int, target: int, taps: int = 32) -> int:
+    """Input samples on either side that an output sample depends on."""
+    return 0 if rate == target else int(np.ceil(taps / min(1.0, target / rate)))
+
+
+def resample_part(x: np.ndarray, offset: int, total: int, first: int, last: int, rate: int, target: int) -> np.ndarray:
+    """Output samples ``first`` to ``last`` of a track of ``total`` input samples, of which ``x`` begins at ``offset``.
+
+    A windowed-sinc filter; the track's first and last sample go on beyond its ends.
+    """
     if rate == target:
-        return x.astype(np.float32)
-    n = int(round(len(x) * target / rate))
-    cut = min(1.0, target / rate)
-    half = int(np.ceil(taps / cut))
-    at = np.arange(n) * (rate / target)
-    left = np.floor(at).astype(np.int64)
-    padded = np.concatenate([np.full(half, x[0] if len(x) else 0.0), x, np.full(half + 1, x[-1] if len(x) else 0.0)])
-    out, norm = np.zeros(n), np.zeros(n)
-    for k in range(-half + 1, half + 1):
-        d = at - (left + k)
+        return x[first - offset : last - offset].astype(np.float32)
+    cut, half = min(1.0, target / rate), reach_of(rate, target)
+    out, taps = np.zeros(last - first, np.float32), np.arange(-half + 1, half + 1)
+    for a in range(first, last, ROWS):
+        at = np.arange(a, min(a + ROWS, last)) * (rate / target)
+        left = np.floor(at).astype(np.int64)
+        d = (at - left)[:, None] - taps
         h = cut * np.sinc(cut * d) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / half, -1, 1)))
-        out += h * padded[left + k + half]
-        norm += h
-    return (out / np.where(np.abs(norm) < 1e-9, 1, norm)).astype(np.float32)
+        norm = h.sum(axis=1)
+        mixed = (h * x[np.clip(left[:, None] + taps, 0, total - 1) - offset]).sum(axis=1)
+        out[a - first : a - first + len(at)] = mixed / np.where(np.abs(norm) < 1e-9, 1, norm)
+    return out
 
 
-def resample_tracks(blocks: DataFrame, target: int = 16_000) -> DataFrame:
-    """Whole tracks (tid, track, block_start, samples, rate) resampled; blocks of 16,384 samples come out."""
+def resample_exact(x: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """A whole track, round(n * target / rate) long, that begins where the input begins."""
+    n = len(x) if rate == target else int(round(len(x) * target / rate))
+    return resample_part(x, 0, len(x), 0, n, rate, target) if len(x) else np.zeros(0, np.float32)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block_start")
-        y = resample_exact(np.concatenate([np.asarray(s, np.float64) for s in rows["samples"]]), int(rows["rate"].iloc[0]), target)
-        starts = list(range(0, len(y), BLOCK))
-        return pd.DataFrame({"tid": rows["tid"].iloc[0], "track": rows["track"].iloc[0], "block_start": starts, "samples": [y[s : s + BLOCK].tolist() for s in starts], "rate": target})
 
-    return blocks.groupBy("tid", "track").applyInPandas(run, "tid string, track string, block_start long, samples array<float>, rate int")
+def resample_tracks(blocks: DataFrame, target: int = 16_000, size: int = BLOCK) -> DataFrame:
+    """Tracks (tid, track, block_start, samples, rate) resampled; blocks of ``size`` samples come out.
+
+    Every output block is a group of its own: each input block goes, cut to what is needed, to the
+    output blocks that it reaches. A track's samples follow one another in the order of block_start.
+    """
+    at = W.partitionBy("tid", "track").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
+    rows = blocks.select("tid", "track", "block_start", F.size("samples").cast("long").alias("n"), "rate").where("n > 0")
+    places = rows.select("tid", "track", "block_start", F.coalesce(F.sum("n").over(at), F.lit(0)).alias("from"), "n")
+    totals = rows.groupBy("tid", "track").agg(F.sum("n").alias("total"), F.min_by("rate", "block_start").cast("long").alias("rate"))
+    placed = blocks.drop("rate").join(places, ["tid", "track", "block_start"]).join(totals, ["tid", "track"])
+    scale = F.col("rate") / F.lit(float(target))
+    half = F.when(F.col("rate") == target, F.lit(0)).otherwise(F.ceil(F.lit(32) * F.greatest(F.lit(1.0), scale)) + 1).cast("long")
+    n_out = F.when(F.col("rate") == target, F.col("total")).otherwise(F.bround(F.col("total") * target / F.col("rate")).cast("long"))
+    placed = placed.withColumn("half", half).withColumn("n_out", n_out).where("n_out > 0")
+    last = F.floor((F.col("n_out") - 1) / size)
+    # Rounded outwards by an output block's share of a sample, so that none is missed.
+    low = F.greatest(F.floor((F.col("from") - F.col("half") - 1) / scale / size), F.lit(0))
+    high = F.least(F.floor((F.col("from") + F.col("n") + F.col("half") + 1) / scale / size), last)
+    # The last sample stands for all beyond it, whatever the rounding of the length.
+    high = F.when(F.col("from") + F.col("n") == F.col("total"), last).otherwise(high)
+    parts = placed.withColumn("out", F.explode(F.sequence(F.least(low, high), high)))
+    begin = F.greatest(F.floor(F.col("out") * size * scale).cast("long") - F.col("half"), F.lit(0))
+    end = F.ceil((F.col("out") + 1) * size * scale).cast("long") + F.col("half")
+    skip = F.least(F.greatest(begin - F.col("from"), F.lit(0)), F.col("n") - 1)
+    keep = F.least(F.greatest(end - F.col("from") - skip, F.lit(1)), F.col("n") - skip)
+    parts = parts.select("tid", "track", "out", "total", "rate", "n_out", (F.col("from") + skip).alias("from"), F.slice("samples", (skip + 1).cast("int"), keep.cast("int")).alias("samples"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("from").combine_chunks()
+        tid, track, out, total, rate, n_out = (table[c][0].as_py() for c in ("tid", "track", "out", "total", "rate", "n_out"))
+        begins, pieces = table["from"].to_numpy(), table["samples"].combine_chunks()
+        sizes = np.diff(pieces.offsets.to_numpy())
+        # Pieces leave gaps where nothing is needed.
+        x = np.zeros(int(begins[-1] + sizes[-1] - begins[0]))
+        x[np.repeat(begins - begins[0] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())] = pieces.flatten().to_numpy(zero_copy_only=False)
+        y = resample_part(x, int(begins[0]), total, out * size, min(out * size + size, n_out), rate, target)
+        samples = pa.ListArray.from_arrays(pa.array([0, len(y)], pa.int32()), pa.array(y, pa.float32()))
+        return pa.table({"tid": [tid], "track": [track], "block_start": [out * size], "samples": samples, "rate": pa.array([target], pa.int32())})
+
+    return parts.groupBy("tid", "track", "out").applyInArrow(run, "tid string, track string, block_start long, samples array<float>, rate int")
 
 
 def gain_of(gain: Column) -> Column:
@@ -142,20 +190,67 @@ def mix_tracks(tracks: DataFrame, rate: int = CAPTURE_RATE, mode: str = "sum", b
     return pieces.groupBy("tid", "block_start").applyInPandas(add, "tid string, block_start long, samples array<double>")
 
 
-def fixed_windows(blocks: DataFrame, rate: int = 16_000, seconds: int = 8) -> DataFrame:
-    """(tid, track, window, n): blocks (tid, track, seq, n) gathered until ``seconds`` are there, and the rest."""
+def fixed_windows(blocks: DataFrame, rate: int = 16_000, seconds: int = 8, segment: int = SEGMENT) -> DataFrame:
+    """(tid, track, window, n): blocks (tid, track, seq, n) gathered until ``seconds`` are there, and the rest.
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        out, held = [], 0
-        for n in p.sort_values("seq")["n"]:
-            held += int(n)
-            if held >= rate * seconds:
-                out.append(held)
-                held = 0
-        out += [held] if held else []
-        return pd.DataFrame({"tid": p["tid"].iloc[0], "track": p["track"].iloc[0], "window": np.arange(len(out)), "n": out})
-
-    return blocks.groupBy("tid", "track").applyInPandas(run, "tid string, track string, window long, n long")
+    A track is cut into segments of ``segment`` numbers. A segment's summary says, for what may be held on
+    entry, what is held at its end and how many windows closed; the summaries of a track, of a window's
+    blocks each, are folded in order, and then each segment makes its own windows.
+    """
+    need, key = rate * seconds, ["tid", "track", "part"]
+    rows = blocks.select("tid", "track", F.floor(F.col("seq") / segment).alias("part"), "seq", F.col("n").cast("long").alias("n"))
+
+    def summary(p: pd.DataFrame) -> pd.DataFrame:
+        n = p.sort_values("seq")["n"].to_numpy()
+        sums = np.cumsum(n)
+        held, closed = _from_each(sums, need)
+        # On entry with h, the first window closes at the first block whose sum is need - h at least.
+        some = int(np.searchsorted(sums, need)) + 1
+        some = min(some, len(n))
+        head = p.iloc[0]
+        out = pd.DataFrame({"sum": sums[:some], "held": held[1 : some + 1], "closed": closed[1 : some + 1] + 1})
+        return out.assign(tid=head["tid"], track=head["track"], part=head["part"], total=sums[-1])[[*key, "total", "sum", "held", "closed"]]
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        out, held, number = [], 0, 0
+        for part, s in p.sort_values(["part", "sum"], kind="stable").groupby("part", sort=True):
+            out.append((part, held, number))
+            at = int(np.searchsorted(s["sum"].to_numpy(), max(need - held, 1)))
+            if at < len(s):
+                held, number = int(s["held"].iloc[at]), number + int(s["closed"].iloc[at])
+            else:
+                held += int(s["total"].iloc[0])
+        head = p.iloc[0]
+        last = max(part for part, _, _ in out)
+        return pd.DataFrame([(head["tid"], head["track"], part, h, k, part == last) for part, h, k in out], columns=[*key, "held", "number", "last"])
+
+    def windows(p: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        head = entry.iloc[0]
+        sums = np.cumsum(p.sort_values("seq")["n"].to_numpy())
+        sizes, before = [], -int(head["held"])
+        while (at := int(np.searchsorted(sums, max(before + need, 1)))) < len(sums):
+            sizes.append(int(sums[at]) - before)
+            before = int(sums[at])
+        if head["last"] and sums[-1] > before:
+            sizes.append(int(sums[-1]) - before)
+        return pd.DataFrame({"tid": head["tid"], "track": head["track"], "window": int(head["number"]) + np.arange(len(sizes)), "n": sizes})
+
+    summaries = rows.groupBy(*key).applyInPandas(summary, "tid string, track string, part long, total long, sum long, held long, closed long")
+    entries = summaries.groupBy("tid", "track").applyInPandas(fold, "tid string, track string, part long, held long, number long, last boolean")
+    return rows.groupBy(*key).cogroup(entries.groupBy(*key)).applyInPandas(windows, "tid string, track string, window long, n long")
+
+
+def _from_each(sums: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a window that begins after each block (first: before all), what is held at the end and the windows closed."""
+    before = np.concatenate([[0], sums])
+    close = np.searchsorted(sums, np.maximum(before + need, 1))  # the block at which it closes
+    held, closed = np.zeros(len(before), np.int64), np.zeros(len(before), np.int64)
+    for i in range(len(before) - 1, -1, -1):
+        if close[i] < len(sums):
+            held[i], closed[i] = held[close[i] + 1], closed[close[i] + 1] + 1
+        else:
+            held[i] = sums[-1] - before[i]
+    return held, closed
 
 
 def _mel(hz_to, hz_from, n_mels: int, low: float, high: float, n_fft: int, rate: int) -> np.ndarray:
