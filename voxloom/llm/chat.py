@@ -68,13 +68,16 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 def pairs_by_first_turn(turns: DataFrame) -> DataFrame:
     """Pairs of conversations that begin with the same turn: the one with the most trained turns, then the
-    smallest conv_id, is chosen, and every other is rejected against it. n conversations make n - 1 pairs.
+    smallest conv_id, null last, is chosen, and every other is rejected against it. n conversations make n - 1 pairs.
+
+    Conversations whose first turns are null or empty count as begun alike. An empty table gives no
+    pairs, repeated rows are turns of their own, other columns are ignored, whatever their names.
     """
     convs = conversations(turns.select("conv_id", "turn", "role", "text"))
     trained = F.size(F.filter("turns", lambda t: t["role"] == TRAINED_ROLE))
     convs = convs.select("conv_id", "turns", trained.alias("n_trained"), F.struct(F.col("turns")[0]["role"], F.col("turns")[0]["text"]).alias("opening"))
     # The chosen one of each opening is found with partial aggregates; a hot opening sends one row per task.
-    best = convs.groupBy("opening").agg(F.max_by(F.struct("conv_id", "turns"), F.struct(F.col("n_trained"), -F.coalesce(F.col("conv_id"), F.lit(0)))).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = convs.groupBy("opening").agg(F.max_by(F.struct("conv_id", "turns"), F.struct(F.col("n_trained"), F.col("conv_id").isNotNull(), -F.col("conv_id"))).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = convs.join(best.select("opening", F.col("best.conv_id").alias("chosen_id"), F.col("best.turns").alias("chosen")), "opening")
     return met.where(~F.col("conv_id").eqNullSafe(F.col("chosen_id"))).select("chosen_id", "chosen", F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected"))
 
@@ -97,6 +100,9 @@ def pairs_by_swap(turns: DataFrame) -> DataFrame:
 
 
 def preference_pairs(turns: DataFrame) -> DataFrame:
-    """Formatted pairs of both kinds; ``pairing`` is ``opening`` or ``swap``."""
+    """Formatted pairs of both kinds; ``pairing`` is ``opening`` or ``swap``.
+
+    Long texts are rendered whole. An empty table gives an empty result; other columns are ignored.
+    """
     opening = pairs_by_first_turn(turns).withColumn("pairing", F.lit("opening"))
     return format_pairs(opening.unionByName(pairs_by_swap(turns).withColumn("pairing", F.lit("swap"))))

@@ -113,23 +113,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = 1 + total // (block_mb << 20)
+    n_blocks = 1 + total // int(block_mb * (1 << 20))
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in {f.name for f in FIELDS}])
     if n_blocks == 1:
         return _searched(docs, spark.sparkContext.broadcast(compile_patterns(items.toArrow(), window)), text_col, docs.columns)
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-rows")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
     hits = []
     for b in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
         tables = spark.sparkContext.broadcast(compile_patterns(block.toArrow(), window))
-        found = _searched(rows.select("_row", text_col), tables, text_col, ["_row"])
+        found = _searched(rows.select(row, text_col), tables, text_col, [row])
         hits.append(saved(found.where("size(hit_spans) > 0").drop("n_words"), "decontam-hits"))
         tables.destroy()
     hits = reduce(DataFrame.unionAll, hits)
     merge = F.pandas_udf(lambda s: s.map(lambda x: merged(list(zip(x[::2], x[1::2])))), T.ArrayType(T.LongType()))
-    each = hits.groupBy("_row").agg(F.flatten(F.collect_list("hit_spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+    each = hits.groupBy(row).agg(F.flatten(F.collect_list("hit_spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
     words = _searched(rows, spark.sparkContext.broadcast([]), text_col, rows.columns).drop("hit_spans", "hit_items")
-    out = words.join(each.select("_row", merge("spans").alias("hit_spans"), "hit_items").hint("merge"), "_row", "left").drop("_row")
+    out = words.join(each.select(row, merge("spans").alias("hit_spans"), "hit_items").hint("merge"), row, "left").drop(row)
     return out.select(*[f"`{c}`" for c in docs.columns], "n_words", *[F.coalesce(f.name, F.array().cast(f.dataType)).alias(f.name) for f in FIELDS[1:]])
 
 
