@@ -106,10 +106,17 @@ def parent_revision(parent: Column) -> Column:
     return F.when((F.trim(parent) != "") & (parent != "legacy"), parent)
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(text: Column) -> Column:
+    """``text`` with A-Z lower-cased, all else as it is."""
+    return F.translate(text, UPPER, LOWER)
+
+
 def like_ascii(text: Column, query: str) -> Column:
     """Whether ``text`` contains ``query``, A-Z and a-z alike; no character is a wildcard."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(text, upper, lower).contains(query.translate(str.maketrans(upper, lower)))
+    return ascii_lower(text).contains(query.translate(str.maketrans(UPPER, LOWER)))
 
 
 def register_sql_functions(spark: SparkSession) -> None:

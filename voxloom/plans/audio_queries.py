@@ -14,7 +14,7 @@ from voxloom.functions import columns as C
 from voxloom.operators import audio, decode, speakers, transcript, vad
 from voxloom.plans.adapters import view
 from voxloom.plans.catalog import query, table
-from voxloom.plans.registry import ALL_REGIONS, WORDS, _match
+from voxloom.plans.registry import ALL_REGIONS, LABELLED, WORDS, _match, _ts
 from voxloom.sources import readers
 from voxloom.sources.stored import new_path
 
@@ -230,6 +230,13 @@ def s8_write_transcripts(spark, d):
     return lines.groupBy("tid").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("value")).alias("chars"))
 
 
+@query("+" + LABELLED.format(t="v_segments") + f"SELECT tid, string_agg('[' || {_ts('start_ms', '.')} || '] ' || labelled, chr(10) ORDER BY start_ms, segment_index) AS document FROM lab GROUP BY tid", "v_segments")
+def s8_packed_transcripts(spark, d):
+    path = new_path(spark, "packed")
+    readers.write_packed_transcripts(view(spark, d, "v_segments"), path, pack_bytes=1 << 16)
+    return readers.read_packed_transcripts(spark, path)
+
+
 # --- voice activity ----------------------------------------------------------------------------
 
 def _counting_scorer():

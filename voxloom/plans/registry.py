@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxloom.functions import columns as C
-from voxloom.operators import audio, export, jobs, journal, quality, snapshots, speakers, transcript, tree, vad
+from voxloom.operators import audio, export, jobs, journal, quality, snapshots, speakers, text_index, transcript, tree, vad
 from voxloom.plans.adapters import view
 from voxloom.plans.catalog import ORACLES, QUERIES, query  # noqa: F401
 
@@ -284,6 +284,21 @@ def q12_search(spark, d):
     return by_text.unionByName(jobs.search(names, s.limit(0), "C1")).distinct()
 
 
+# Nine characters out of every segment, and parts of names, are searched for.
+@query("""+ c AS (SELECT DISTINCT tid AS id, 'Talk_' || tid || '_50%.wav' AS source_filename FROM v_segments),
+  q AS (SELECT tid || ':' || segment_index AS query_id, upper(substring(text, 5 + segment_index % 7, 9)) AS query FROM v_segments UNION ALL SELECT DISTINCT 'name:' || tid, tid || '_5' FROM v_segments UNION ALL SELECT 'odd', '_50%' UNION ALL SELECT 'two', 'Zz' UNION ALL SELECT 'no', NULL),
+  t AS (SELECT tid AS id, text AS x FROM v_segments UNION ALL SELECT id, source_filename FROM c),
+  f AS (SELECT id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM t)
+  SELECT DISTINCT query_id, id FROM q JOIN f ON contains(x, translate(query, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))""", "v_segments")
+def q12_search_many(spark, d):
+    s = view(spark, d, "v_segments")
+    names = s.select(F.col("tid").alias("id")).distinct().withColumn("source_filename", F.concat(F.lit("Talk_"), "id", F.lit("_50%.wav")))
+    spoken = s.select(F.concat_ws(":", "tid", "segment_index").alias("query_id"), F.upper(F.expr("substring(text, 5 + segment_index % 7, 9)")).alias("query"))
+    named = names.select(F.concat(F.lit("name:"), "id").alias("query_id"), F.concat("id", F.lit("_5")).alias("query"))
+    fixed = spark.createDataFrame([("odd", "_50%"), ("two", "Zz"), ("no", None)], "query_id string, query string")
+    return text_index.search_many(text_index.build_index(names, s), spoken.unionByName(named).unionByName(fixed))
+
+
 @query("SELECT id FROM v_jobs WHERE contains(lower(source_filename), '-high')", "v_jobs")
 def q13_search_unicode(spark, d):
     return jobs.search_unicode(view(spark, d, "v_jobs"), "-High").select("id")

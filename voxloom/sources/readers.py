@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from voxloom.operators import export
 from voxloom.operators.jobs import ACTIVE, TERMINAL
+from voxloom.sources.stored import removed, saved
 
 MEDIA = ("wav", "mp3", "flac", "ogg", "opus", "webm", "m4a", "mp4", "aac")
 BLOCK = 16_384
@@ -210,12 +211,35 @@ def parse_metric_log(lines: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy("run").pivot("name", names).agg(F.max("number"))
 
 
+KINDS = {"txt": export.export_txt, "srt": export.export_srt, "vtt": export.export_vtt, "json": export.export_json}
+#: Bytes of documents that one packed file holds, about.
+PACK_BYTES = 128 << 20
+
+
 def write_transcripts(segments: DataFrame, path: str, kind: str = "txt") -> None:
     """One document per recording below ``path``/tid=.../; kinds txt, srt, vtt and json."""
-    documents = {"txt": export.export_txt, "srt": export.export_srt, "vtt": export.export_vtt, "json": export.export_json}[kind](segments)
+    documents = KINDS[kind](segments)
     documents.select("tid", F.col("document").alias("value")).write.mode("overwrite").partitionBy("tid").option("lineSep", "\n").text(path)
 
 
+def write_packed_transcripts(segments: DataFrame, path: str, kind: str = "txt", pack_bytes: int = PACK_BYTES) -> None:
+    """The same documents packed into files by ranges of tid, sorted within; a file holds about ``pack_bytes``.
+
+    The files' own statistics are the index: :func:`read_packed_transcripts` skips those that can't hold an id.
+    """
+    documents = saved(KINDS[kind](segments).select("tid", "document"), "transcripts")
+    size = documents.agg(F.sum(F.octet_length("document"))).first()[0] or 0
+    packed = documents.repartitionByRange(1 + size // pack_bytes, "tid").sortWithinPartitions("tid")
+    packed.write.mode("overwrite").option("parquet.block.size", min(pack_bytes, 16 << 20)).parquet(path)
+    removed(documents)
+
+
+def read_packed_transcripts(spark: SparkSession, path: str, tids: list[str] | None = None) -> DataFrame:
+    """(tid, document) of all packed transcripts, or of those of ``tids``."""
+    rows = spark.read.schema("tid string, document string").parquet(path)
+    return rows if tids is None else rows.where(F.col("tid").isin(*tids))
+
+
 def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
     """A 16-bit PCM WAV file of [frames, channels] floats, for tests and fixtures."""
     out = io.BytesIO()

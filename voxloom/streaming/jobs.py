@@ -215,7 +215,8 @@ def stream_upsert_segments(changes: DataFrame, path: str, checkpoint: str, bucke
 
         spark = batch.sparkSession
         columns = batch.columns
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("session_id", "change_id"), F.lit(buckets)).cast("int")).persist()
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64("session_id", "change_id"), F.lit(buckets)).cast("int")).persist()
+        rows = new
         touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # as many as there are buckets
         old = _bucket_versions(spark, path)
         before = {b: max((v for v in old.get(b, []) if v < batch_id), default=None) for b in touched}
@@ -225,6 +226,7 @@ def stream_upsert_segments(changes: DataFrame, path: str, checkpoint: str, bucke
             rows = current.withColumn("bucket", F.pmod(F.xxhash64("session_id", "change_id"), F.lit(buckets)).cast("int")).unionByName(rows)
         latest = upsert_segments(rows).select(*columns, "bucket").withColumn("version", F.lit(batch_id))
         latest.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(path)
+        new.unpersist()
         for b in touched:
             for v in [v for v in old.get(b, []) if before[b] is not None and v < before[b]]:
                 _fs(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/bucket={b}"), True)
