@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import wave
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -42,15 +44,35 @@ def media_jobs(files: DataFrame, model_version: str) -> DataFrame:
     return rows.select(F.sha2(F.col("path").cast("binary"), 256).alias("id"), F.lit("file").alias("kind"), name.alias("source_filename"), F.col("path").alias("source_path"), F.col("length").alias("source_size_bytes"), F.unix_millis("modificationTime").alias("source_modified_ms"), F.lit("queued").alias("status"), F.lit(model_version).alias("model_version"))
 
 
-def wav_samples(content: bytes) -> tuple[np.ndarray, int]:
-    """[frames, channels] floats and the rate of a PCM or 32-bit float WAV file; ValueError if it isn't one."""
+@dataclass(frozen=True)
+class Wav:
+    """What a WAV file's header says; ``data`` and ``size`` are the place of its samples in bytes, in whole frames."""
+
+    kind: int
+    channels: int
+    rate: int
+    bits: int
+    data: int
+    size: int
+
+    @property
+    def frame(self) -> int:
+        return self.bits // 8 * self.channels
+
+
+def wav_header(read: Callable[[int, int], bytes], length: int) -> Wav:
+    """The header of a file of ``length`` bytes by ``read(offset, size)``; ValueError if it isn't PCM or 32-bit float."""
     at, fmt, data = 12, None, None
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+    head = read(0, 12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    while at + 8 <= len(content):
-        tag, size = content[at : at + 4], int.from_bytes(content[at + 4 : at + 8], "little")
-        body = content[at + 8 : at + 8 + size]
-        fmt, data = (body, data) if tag == b"fmt " else (fmt, body) if tag == b"data" else (fmt, data)
+    while at + 8 <= length:
+        chunk = read(at, 8)
+        size = int.from_bytes(chunk[4:8], "little")
+        if chunk[:4] == b"fmt ":
+            fmt = read(at + 8, min(size, 64))
+        elif chunk[:4] == b"data":
+            data = at + 8, min(size, length - at - 8)
         at += 8 + size + size % 2
     if fmt is None or data is None or len(fmt) < 16:
         raise ValueError("no format or data chunk")
@@ -59,23 +81,34 @@ def wav_samples(content: bytes) -> tuple[np.ndarray, int]:
     width = bits // 8
     if channels == 0 or rate == 0 or width == 0:
         raise ValueError("no channels or rate")
-    data = data[: len(data) // (width * channels) * width * channels]
-    if kind == 3 and bits == 32:
+    if not (kind == 3 and bits == 32) and not (kind == 1 and bits in (8, 16, 24, 32)):
+        raise ValueError(f"format {kind} with {bits} bits")
+    return Wav(kind, channels, rate, bits, data[0], data[1] // (width * channels) * width * channels)
+
+
+def wav_values(data: bytes, wav: Wav) -> np.ndarray:
+    """[frames, channels] floats of whole frames; ValueError if one isn't finite."""
+    width = wav.bits // 8
+    if wav.kind == 3:
         x = np.frombuffer(data, "<f4").astype(np.float32)
         if not np.isfinite(x).all():
             raise ValueError("sample is not finite")
         x = np.clip(x, -1, 1)
-    elif kind == 1 and bits in (8, 16, 24, 32):
+    else:
         raw = np.frombuffer(data, np.uint8).reshape(-1, width)
-        if bits == 8:
+        if wav.bits == 8:
             x = (raw[:, 0].astype(np.float32) - 128) / 128
         else:
             wide = np.zeros((len(raw), 4), np.uint8)
             wide[:, 4 - width :] = raw
-            x = ((wide.view("<i4")[:, 0] >> (32 - bits)) / float(1 << (bits - 1))).astype(np.float32)
-    else:
-        raise ValueError(f"format {kind} with {bits} bits")
-    return x.reshape(-1, channels), rate
+            x = ((wide.view("<i4")[:, 0] >> (32 - wav.bits)) / float(1 << (wav.bits - 1))).astype(np.float32)
+    return x.reshape(-1, wav.channels)
+
+
+def wav_samples(content: bytes) -> tuple[np.ndarray, int]:
+    """[frames, channels] floats and the rate of a PCM or 32-bit float WAV file; ValueError if it isn't one."""
+    wav = wav_header(lambda at, size: content[at : at + size], len(content))
+    return wav_values(content[wav.data : wav.data + wav.size], wav), wav.rate
 
 
 def read_wav_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
