@@ -55,9 +55,10 @@ def run_consistency(a: DataFrame, b: DataFrame, tolerance_ms: int = 250) -> Data
 
 
 def codec_sizes(rows: DataFrame, formats: list[str]) -> DataFrame:
-    """Bytes by fixture and format (fixture, format, bytes), with each format's share of wav in per mille."""
-    wide = rows.groupBy("fixture").pivot("format", formats).agg(F.sum("bytes"))
-    return wide.select("fixture", *formats, *[(F.floor(F.col(f) * 1000 / F.col("wav"))).alias(f"{f}_permille") for f in formats if f != "wav"])
+    """Bytes and elapsed time by fixture and format (fixture, format, bytes, elapsed_ms), with each format's share of wav in per mille."""
+    cells = [x for f in formats for x in (F.sum(F.when(F.col("format") == f, F.col("bytes"))).alias(f), F.sum(F.when(F.col("format") == f, F.col("elapsed_ms"))).alias(f"{f}_ms"))]
+    wide = rows.groupBy("fixture").agg(*cells)
+    return wide.select("fixture", *formats, *[f"{f}_ms" for f in formats], *[(F.floor(F.col(f) * 1000 / F.col("wav"))).alias(f"{f}_permille") for f in formats if f != "wav"])
 
 
 def diarization_accuracy(labels: DataFrame) -> DataFrame:

@@ -13,14 +13,23 @@ from voxloom.sources.stored import removed, saved
 
 QUEUE, LEASE_MS, MOST_DELAY_MS = 1_000, 3_600_000, 900_000
 AUDIO_BYTES, AUDIO_FILES, NAME_CHARS = 512 << 20, 8, 240
+#: Columns of a recording that go into its manifest.
+RECORDING = (
+    "id", "kind", "source_filename", "source_path", "source_size_bytes", "source_modified_ms", "created_ms", "started_ms", "completed_ms", "status", "duration_seconds", "model_version",
+    "error", "audio_path", "completed_chunks", "total_chunks", "queue_visible",
+)
+AUDIO_KINDS = ("ogg", "wav", "flac", "mp3", "webm", "m4a")
 STATES = ("pending", "uploading", "synced", "auth_required")
 #: Fixed texts in an upload error that mean the user has to sign in again; letter case counts.
 AUTH_ERRORS = ("revoked", "expired", "Connect Google", "invalid_client", "invalid_grant")
 
 
-def build_snapshots(jobs: DataFrame, segments: DataFrame, audio: DataFrame, tracks: DataFrame | None = None, tree: DataFrame | None = None, lineage: DataFrame | None = None, device: str = "device") -> DataFrame:
+def build_snapshots(jobs: DataFrame, segments: DataFrame, audio: DataFrame, tracks: DataFrame | None = None, tree: DataFrame | None = None, lineage: DataFrame | None = None, device: str = "device", merges: DataFrame | None = None) -> DataFrame:
     """(id, manifest json) of recordings that aren't being recorded or recognised and have audio.
 
+    The recording is in the manifest with all of :data:`RECORDING` that ``jobs`` has. ``merges`` is (id,
+    merge_parents) of those that resolve a conflict.
+
     Segments are in order; ``audio`` is (id, name, bytes, sha256), ``tracks`` (id, file, offset_seconds),
     ``tree`` the nodes (id, kind, parent_id, name, position) of the folders above each recording
     (recording_id), ``lineage`` (id, original_id, revision). Folder ids are made canonical for the device.
@@ -42,11 +51,13 @@ def build_snapshots(jobs: DataFrame, segments: DataFrame, audio: DataFrame, trac
     if lineage is None:
         lineage = spark.createDataFrame([], "id string, original_id string, revision string")
     parent = lineage.select("id", F.col("original_id").alias("o"), F.when(F.col("revision") != "", F.col("revision")).alias("parent_revision"))
-    rows = rows.join(offsets, "id", "left").join(nodes, "id", "left").join(parent, "id", "left")
+    if merges is None:
+        merges = spark.createDataFrame([], "id string, merge_parents array<string>")
+    rows = rows.join(offsets, "id", "left").join(nodes, "id", "left").join(parent, "id", "left").join(merges.select("id", "merge_parents"), "id", "left")
     none = lambda c, df: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
     body = F.struct(
-        F.lit(1).alias("version"), F.struct("id", "kind", "source_filename", "status").alias("recording"), none("segments", segs), none("audio", files), none("tracks", offsets),
-        none("organization", nodes), F.coalesce("o", "id").alias("original_recording_id"), F.col("id").alias("organization_recording_id"), "parent_revision",
+        F.lit(1).alias("version"), F.lit(device).alias("device_id"), F.struct(*[c for c in RECORDING if c in jobs.columns]).alias("recording"), none("segments", segs), none("audio", files), none("tracks", offsets),
+        none("organization", nodes), F.coalesce("o", "id").alias("original_recording_id"), F.col("id").alias("organization_recording_id"), "parent_revision", "merge_parents",
     )
     return rows.select("id", F.to_json(body).alias("manifest"))
 
@@ -248,11 +259,34 @@ def match_local_snapshots(remote: DataFrame, local: DataFrame, restored: DataFra
     return remote.join(restored, "remote_id").select("remote_id", "id").union(by_lineage).distinct()
 
 
+MANIFEST_PARTS = {
+    "tracks": "array<struct<file:string,offset_seconds:double>>", "organization": "array<struct<id:string,kind:string,parent_id:string,name:string,position:bigint>>",
+    "original_recording_id": "string", "organization_recording_id": "string", "device_id": "string", "revision": "string", "local_folder_mappings": "map<string,string>",
+}
+
+
+def restored_folders(remote: DataFrame) -> DataFrame:
+    """(tree, id, parent_id, name, position, ordinal): the folders of each snapshot (remote_id, organization), as ``tree.reconcile_restored_folders`` takes them."""
+    rows = remote.select("remote_id", F.posexplode("organization").alias("ordinal", "n")).where("n.kind = 'folder'")
+    return rows.select(F.col("remote_id").alias("tree"), "n.id", "n.parent_id", "n.name", "n.position", "ordinal")
+
+
 def restore_snapshots(remote: DataFrame, restored: DataFrame, files: DataFrame) -> DataFrame:
     """New recordings of remote snapshots (remote_id, name, segments, audio), each restored once.
 
-    A snapshot with an invalid segment, or whose files (remote_id, name, bytes, sha256) don't match its audio list, is rejected.
+    Result: id, name, status, queue_visible, segments numbered anew, audio_path and tracks by their restored
+    file names, the recording's folder and position, and its lineage (original_id, device_id, revision).
+    What a snapshot has of :data:`MANIFEST_PARTS` is read, what is missing counts as null.
+
+    A snapshot is rejected with an invalid segment; without audio, or if its files (remote_id, name, bytes, sha256)
+    don't match its audio list or a name isn't safe or of a known kind; with an offset that isn't finite, is
+    negative or of no file; with a bad folder tree, or if the recording lies in an unknown folder.
     """
+    from voxloom.operators.tree import rejected_sources
+
+    for c, kind in MANIFEST_PARTS.items():
+        if c not in remote.columns:
+            remote = remote.withColumn(c, F.lit(None).cast(kind))
     new = remote.join(restored.select("remote_id"), "remote_id", "left_anti")
     bad = F.exists("segments", lambda s: (s["end_ms"] <= s["start_ms"]) | (s["start_ms"] < 0) | s["text"].isNull())
     there = files.select("remote_id", F.col("name").alias("file"), F.col("bytes").alias("fb"), F.col("sha256").alias("fs"))
@@ -260,7 +294,27 @@ def restore_snapshots(remote: DataFrame, restored: DataFrame, files: DataFrame)
     match = F.coalesce((F.col("a.original_filename") == F.col("file")) & (F.col("a.bytes") == F.col("fb")) & (F.col("a.sha256") == F.col("fs")), F.lit(False))
     whole = flat.groupBy("remote_id", F.col("a.original_filename").alias("f")).agg(F.bool_or(match).alias("ok")).groupBy("remote_id").agg(F.bool_and("ok").alias("ok")).where("ok")
     good = new.where(~F.coalesce(bad, F.lit(False))).join(whole.select("remote_id"), "remote_id", "left_semi")
+    kind = lambda name: F.regexp_extract(name, r"\.([^.]*)$", 1)
+    names = F.transform("audio", lambda a: a["original_filename"])
+    safe = F.forall(names, lambda n: ~n.contains("/") & ~n.contains("\\") & ~n.contains("..") & (F.octet_length(n) <= NAME_CHARS) & kind(n).isin(*AUDIO_KINDS))
+    offsets = F.forall("tracks", lambda t: F.coalesce((t["offset_seconds"] >= 0) & (t["offset_seconds"] < float("inf")) & F.array_contains(names, t["file"]), F.lit(False)))
+    good = good.where((F.size("audio") <= AUDIO_FILES) & safe & F.coalesce(offsets, F.lit(True)))
+    refused = rejected_sources(restored_folders(good)).select(F.col("tree").alias("remote_id"))
+    good = good.join(refused, "remote_id", "left_anti")
+    own = F.coalesce("organization_recording_id", "original_recording_id")
+    node = F.get(F.filter("organization", lambda n: (n["kind"] == "recording") & (n["id"] == own)), F.lit(0))
+    good = good.withColumn("node", node)
+    known = F.exists("organization", lambda n: (n["kind"] == "folder") & (n["id"] == F.col("node.parent_id")))
+    good = good.where(F.col("node.parent_id").isNull() | F.coalesce(known, F.lit(False)))
     place = lambda s: F.struct(s["start_ms"], s["segment_index"])
     in_order = F.array_sort("segments", lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0))
     segments = F.transform(in_order, lambda s, i: s.withField("segment_index", i.cast("long")))
-    return good.select("remote_id", F.concat(F.lit("restored-"), F.sha2(F.col("remote_id").cast("binary"), 256)).alias("id"), F.concat(F.col("name"), F.lit(" (Drive)")).alias("name"), F.lit("completed").alias("status"), F.lit(False).alias("queue_visible"), segments.alias("segments"))
+    file = lambda i: F.concat(F.lit("restored-"), i.cast("string"), F.lit("."), kind(F.get(names, i)))
+    tracks = F.transform("tracks", lambda t: F.struct(file(F.array_position(names, t["file"]).cast("int") - 1).alias("file"), t["offset_seconds"].alias("offset_seconds")))
+    hashed = C.canonical_folder_id(F.col("node.parent_id"), F.coalesce("device_id", F.lit("legacy")))
+    folder = F.when(F.col("node.parent_id").isNotNull(), F.coalesce(F.try_element_at("local_folder_mappings", F.col("node.parent_id")), hashed))
+    return good.select(
+        "remote_id", F.concat(F.lit("restored-"), F.sha2(F.col("remote_id").cast("binary"), 256)).alias("id"), F.concat(F.col("name"), F.lit(" (Drive)")).alias("name"),
+        F.lit("completed").alias("status"), F.lit(False).alias("queue_visible"), segments.alias("segments"), file(F.lit(0)).alias("audio_path"), tracks.alias("tracks"), folder.alias("folder_id"),
+        F.when(F.col("node").isNotNull(), F.greatest(F.coalesce("node.position", F.lit(0)), F.lit(0))).alias("position"), F.col("original_recording_id").alias("original_id"), "device_id", "revision",
+    )

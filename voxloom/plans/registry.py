@@ -452,13 +452,17 @@ def e4_run_consistency(spark, d):
     return quality.run_consistency(s, other)
 
 
-@query("""+ x AS (SELECT l_suppkey AS fixture, CAST(sum(CASE WHEN l_linenumber % 3 = 0 THEN l_orderkey END) AS BIGINT) AS wav, CAST(sum(CASE WHEN l_linenumber % 3 = 1 THEN l_orderkey END) AS BIGINT) AS flac,
-  CAST(sum(CASE WHEN l_linenumber % 3 = 2 THEN l_orderkey END) AS BIGINT) AS opus FROM lineitem GROUP BY l_suppkey)
-  SELECT *, flac * 1000 // wav AS flac_permille, opus * 1000 // wav AS opus_permille FROM x""".replace("+ x", "WITH x", 1))
+def _codec_sql(name: str, k: int) -> str:
+    return f"CAST(sum(CASE WHEN l_linenumber % 3 = {k} THEN l_orderkey END) AS BIGINT) AS {name}, CAST(sum(CASE WHEN l_linenumber % 3 = {k} THEN l_partkey % 90 END) AS BIGINT) AS {name}_ms"
+
+
+@query(f"""WITH x AS (SELECT l_suppkey AS fixture, {_codec_sql("wav", 0)}, {_codec_sql("flac", 1)}, {_codec_sql("opus", 2)} FROM lineitem GROUP BY l_suppkey)
+  SELECT *, flac * 1000 // wav AS flac_permille, opus * 1000 // wav AS opus_permille FROM x""")
 def e5_codec_sizes(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet")
     kind = F.element_at(F.array(F.lit("wav"), F.lit("flac"), F.lit("opus")), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    return quality.codec_sizes(rows.select(F.col("l_suppkey").alias("fixture"), kind.alias("format"), F.col("l_orderkey").alias("bytes")), ["wav", "flac", "opus"])
+    measured = rows.select(F.col("l_suppkey").alias("fixture"), kind.alias("format"), F.col("l_orderkey").alias("bytes"), (F.col("l_partkey") % 90).alias("elapsed_ms"))
+    return quality.codec_sizes(measured, ["wav", "flac", "opus"])
 
 
 @query("SELECT tid, count(*) AS n, greatest(count(*) FILTER (WHERE label % 2 = window_id % 2), count(*) FILTER (WHERE label % 2 <> window_id % 2)) AS correct FROM v_vectors GROUP BY tid", "v_vectors")

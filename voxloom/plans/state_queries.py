@@ -137,7 +137,7 @@ def j12_finalize_files(spark, d):
 # --- snapshots ---------------------------------------------------------------------------------
 
 @query("""SELECT id, CAST((SELECT count(*) FROM lineitem WHERE l_orderkey = arrival) AS INT) AS segments, CASE WHEN arrival % 3 = 0 THEN concat('z', arrival) ELSE id END AS original, CASE WHEN arrival % 3 = 0 AND arrival % 6 <> 0 THEN 'r1' END AS parent,
-  'a.wav' AS audio, CAST(arrival AS VARCHAR) AS bytes, 'drive-folder-' || sha256('device:f' || (arrival % 5)) AS folder FROM v_recordings WHERE status NOT IN ('preparing', 'transcribing') AND arrival % 2 = 0""", "v_recordings")
+  source_filename AS file, status, 'device' AS device, 'a.wav' AS audio, CAST(arrival AS VARCHAR) AS bytes, 'drive-folder-' || sha256('device:f' || (arrival % 5)) AS folder FROM v_recordings WHERE status NOT IN ('preparing', 'transcribing') AND arrival % 2 = 0""", "v_recordings")
 def j13_build_snapshots(spark, d):
     j = view(spark, d, "v_recordings")
     segments = table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("tid"), F.col("l_linenumber").alias("segment_index"), F.lit(0).alias("start_ms"), F.lit(1).alias("end_ms"), F.col("l_returnflag").alias("text"), F.lit("file").alias("source_track"), F.lit(None).cast("string").alias("speaker_id"))
@@ -146,9 +146,9 @@ def j13_build_snapshots(spark, d):
     nodes = j.select(F.col("id").alias("recording_id"), folder.alias("id"), F.lit("folder").alias("kind"), F.lit(None).cast("string").alias("parent_id"), F.lit("Folder").alias("name"), F.lit(0).cast("long").alias("position"))
     nodes = nodes.union(j.select("id", "id", F.lit("recording"), folder, "source_filename", F.lit(0).cast("long")))
     lineage = j.where("arrival % 3 = 0").select("id", F.concat(F.lit("z"), "arrival").alias("original_id"), F.when(F.col("arrival") % 6 == 0, "").otherwise("r1").alias("revision"))
-    m = snapshots.build_snapshots(j, segments, audio, tree=nodes, lineage=lineage).withColumn("v", F.from_json("manifest", "segments array<struct<text:string>>, original_recording_id string, parent_revision string, audio array<struct<original_filename:string,bytes:string>>, organization array<struct<id:string,kind:string>>"))
+    m = snapshots.build_snapshots(j, segments, audio, tree=nodes, lineage=lineage).withColumn("v", F.from_json("manifest", "recording struct<source_filename:string,status:string>, device_id string, segments array<struct<text:string>>, original_recording_id string, parent_revision string, audio array<struct<original_filename:string,bytes:string>>, organization array<struct<id:string,kind:string>>"))
     folders = F.filter("v.organization", lambda n: n["kind"] == "folder")
-    return m.select("id", F.size("v.segments").alias("segments"), F.col("v.original_recording_id").alias("original"), F.col("v.parent_revision").alias("parent"), F.col("v.audio")[0]["original_filename"].alias("audio"), F.col("v.audio")[0]["bytes"].alias("bytes"), folders[0]["id"].alias("folder"))
+    return m.select("id", F.size("v.segments").alias("segments"), F.col("v.original_recording_id").alias("original"), F.col("v.parent_revision").alias("parent"), F.col("v.recording.source_filename").alias("file"), F.col("v.recording.status").alias("status"), F.col("v.device_id").alias("device"), F.col("v.audio")[0]["original_filename"].alias("audio"), F.col("v.audio")[0]["bytes"].alias("bytes"), folders[0]["id"].alias("folder"))
 
 
 @query("SELECT concat('o', o_orderkey) AS recording_id FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_orderkey % 4 <> 2 AND o_orderkey % 5 <> 0)")
@@ -201,9 +201,11 @@ def j26_match_local(spark, d):
 
 
 @query("""WITH l AS (SELECT l_orderkey AS k, l_returnflag AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, bool_or(l_partkey % 50 = 0) OVER (PARTITION BY l_orderkey) AS bad FROM lineitem)
-  SELECT concat('restored-', sha256(concat('m', k))) AS id, concat('n', k, ' (Drive)') AS name, 'completed' AS status, false AS queue_visible, CAST(max(n) AS INT) AS n, string_agg(t, '' ORDER BY i) AS texts FROM l WHERE NOT bad AND k % 5 <> 0 AND k % 7 <> 0 GROUP BY k""")
+  SELECT concat('restored-', sha256(concat('m', k))) AS id, concat('n', k, ' (Drive)') AS name, 'completed' AS status, false AS queue_visible, CAST(max(n) AS INT) AS n, string_agg(t, '' ORDER BY i) AS texts,
+  'restored-0.wav' AS audio_path, CAST(k % 9 AS DOUBLE) / 2 AS offset_seconds, CASE WHEN k % 3 = 0 THEN 'mine' ELSE 'drive-folder-' || sha256('dev:f') END AS folder_id, k % 4 AS position, concat('z', k) AS original_id, concat('r', k) AS revision
+  FROM l WHERE NOT bad AND k % 5 <> 0 AND k % 7 <> 0 AND k % 11 <> 0 AND k % 13 <> 0 GROUP BY k""")
 def j27_restore_snapshots(spark, d):
-    # A fifth is restored already, a seventh has another digest, and an order with a bad line is rejected.
+    # A fifth is restored already, a seventh has another digest, an eleventh a folder below itself, a thirteenth an offset of no file, and an order with a bad line is rejected.
     k = F.col("l_orderkey")
     end = F.col("l_linenumber") * 10 + F.when(F.col("l_partkey") % 50 == 0, 0).otherwise(5)
     item = F.struct((F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).cast("long").alias("segment_index"), (F.col("l_linenumber") * 10).alias("start_ms"), end.alias("end_ms"), F.col("l_returnflag").alias("text"))
@@ -212,8 +214,18 @@ def j27_restore_snapshots(spark, d):
     remote = remote.select(F.concat(F.lit("m"), k).alias("remote_id"), F.concat(F.lit("n"), k).alias("name"), "segments", F.array(track).alias("audio"), k)
     files = remote.select("remote_id", F.lit("a.wav").alias("name"), F.lit(5).cast("long").alias("bytes"), F.when(k % 7 == 0, "11").otherwise("00").alias("sha256"))
     done = remote.where("l_orderkey % 5 = 0").select("remote_id")
+    track = F.struct(F.when(k % 13 == 0, "b.wav").otherwise("a.wav").alias("file"), ((k % 9) / 2).alias("offset_seconds"))
+    node = lambda i, kind, parent, position: F.struct(F.lit(i).alias("id"), F.lit(kind).alias("kind"), parent.cast("string").alias("parent_id"), F.lit("N").alias("name"), position.cast("long").alias("position"))
+    tree = F.array(node("f", "folder", F.when(k % 11 == 0, "f"), F.lit(0)), node("rec", "recording", F.lit("f"), k % 4))
+    remote = remote.withColumns({
+        "tracks": F.array(track), "organization": tree, "organization_recording_id": F.lit("rec"), "original_recording_id": F.concat(F.lit("z"), k), "device_id": F.lit("dev"),
+        "revision": F.concat(F.lit("r"), k), "local_folder_mappings": F.when(k % 3 == 0, F.create_map(F.lit("f"), F.lit("mine"))),
+    })
     out = snapshots.restore_snapshots(remote.drop("l_orderkey"), done, files)
-    return out.select("id", "name", "status", "queue_visible", F.size("segments").alias("n"), F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("texts"))
+    return out.select(
+        "id", "name", "status", "queue_visible", F.size("segments").alias("n"), F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("texts"), "audio_path",
+        F.col("tracks")[0]["offset_seconds"].alias("offset_seconds"), "folder_id", "position", "original_id", "revision",
+    )
 
 
 # --- streams, run until their input is drained ---------------------------------------------------
