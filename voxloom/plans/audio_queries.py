@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import columns as C
 from voxloom.operators import audio, decode, speakers, transcript, vad
-from voxloom.plans.adapters import view
-from voxloom.plans.catalog import query, table
+from voxloom.plans.adapters import cte, view
+from voxloom.plans.catalog import ORACLES, query, table
 from voxloom.plans.registry import ALL_REGIONS, LABELLED, WORDS, _match, _ts
 from voxloom.sources import readers
 from voxloom.sources.stored import new_path
@@ -222,10 +222,10 @@ def s7_metric_log(spark, d):
     return readers.parse_metric_log(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), line.alias("value")), ["rtf", "load_ms"])
 
 
-@query("""SELECT tid, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines, CAST(sum(length(replace(text, chr(10), '')) + 15) AS BIGINT) AS chars FROM (SELECT tid, text FROM v_segments WHERE source_track = 'system') GROUP BY tid""", "v_segments")
+@query("+" + LABELLED.format(t="v_segments") + """ SELECT tid, CAST(sum(length(labelled) - length(replace(labelled, chr(10), '')) + 1) AS BIGINT) AS lines, CAST(sum(length(replace(labelled, chr(10), '')) + 15) AS BIGINT) AS chars FROM lab GROUP BY tid""", "v_segments")
 def s8_write_transcripts(spark, d):
     path = new_path(spark, "transcripts")
-    readers.write_transcripts(view(spark, d, "v_segments").where("source_track = 'system'"), path)
+    readers.write_transcripts(view(spark, d, "v_segments"), path)
     lines = spark.read.schema("value string, tid string").option("basePath", path).text(path)
     return lines.groupBy("tid").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("value")).alias("chars"))
 
@@ -342,6 +342,9 @@ GREEDY = """, p AS (SELECT g.tid, greatest(start - 1920, 0) AS s, least("end" +
   SELECT tid, 'file' AS track, x.s AS start, x.e AS "end" FROM z WHERE x.e - x.s >= 320"""
 
 
+ORACLES["v4_chunks"] = cte("v_all_frames", "v_all_vad_len") + ", " + (ALL_REGIONS + GREEDY).lstrip("+")
+
+
 @query(ALL_REGIONS + GREEDY, "v_all_frames", "v_all_vad_len")
 def v4_all_chunks(spark, d):
     frames = view(spark, d, "v_all_frames").select("tid", F.lit("file").alias("track"), "frame", (F.col("p100") / 100).alias("prob"))
