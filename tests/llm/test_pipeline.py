@@ -1,9 +1,14 @@
 """The corpus pipeline keeps what a plain version of its stages keeps."""
 
 import re
+import struct
+import zlib
+from collections import Counter
 
 import duckdb
-import pytest
+import public_tokenizers
+import pyarrow as pa
+from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 def test_pipeline_equals_its_stages(spark):
     import corpus_pipeline as P
 
-    from voxloom.llm import near_dedup, toxicity
+    from voxloom.llm import near_dedup, queries, toxicity
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
@@ -35,10 +40,15 @@ def test_pipeline_equals_its_stages(spark):
         if not any(tuple(w[k : k + m]) in windows for m in {len(x) for x in windows} for k in range(len(w) - m + 1)):
             clean.add(i)
     rows = P.run(spark, SF).collect()
-    assert {r["doc_id"] for r in rows} <= clean
-    starts = sorted((r["start"], r["n_tokens"]) for r in rows)
-    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
-    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", text[i])) for i in clean}
-    taken = sum(size[r["doc_id"]] for r in rows)
-    assert taken == pytest.approx(1.5 * sum(size.values()), rel=0.2) and len({source[r["doc_id"]] for r in rows}) > 1
+    con = duckdb.connect()
+    con.register("clean", pa.table({"doc_id": pa.array(sorted(clean), pa.int64()), "text": [text[i] for i in sorted(clean)], "source": [source[i] for i in sorted(clean)]}))
+    copies = dict(con.sql("WITH " + queries.MIX_CTE.format(docs="clean") + "SELECT doc_id, copies FROM mixed WHERE copies > 0").fetchall())
+    assert Counter(r["doc_id"] for r in rows) == Counter(copies)
+    encode = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))).encode
+    at = 0
+    for r in sorted(rows, key=lambda r: r["start"]):
+        ids = [*encode(text[r["doc_id"]], add_special_tokens=False).ids, 0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        at += len(ids)
+    assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])] == sorted(r["doc_id"] for r in rows)
     assert near_dedup.CONTRACT.percent == 85
