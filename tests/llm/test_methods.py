@@ -48,6 +48,63 @@ def test_a_pair_that_tells_only_together_is_learnt():
     assert right > 0.95
 
 
+def pairs_by_brute_force(sets, left):
+    """Terms of the pairs whose rows' left-overs sum to more than Bernstein's bound, of all pairs."""
+    left = np.array(left) - np.mean(left)
+    rows = {}
+    for i, of in enumerate(sets):
+        for t in of:
+            rows.setdefault(t, set()).add(i)
+    rows = {t: of for t, of in rows.items() if len(of) >= 2}
+    least, found = np.log(max(len(rows), 2) ** 2 / toxicity.PAIR_CHANCE), set()
+    for a, b in itertools.combinations(sorted(rows), 2):
+        both = sorted(rows[a] & rows[b])
+        total = abs(left[both].sum())
+        if len(both) >= 2 and total**2 / (2 * (len(both) * np.mean(left**2) + np.abs(left).max() * total / 3)) > least:
+            found |= {a, b}
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pairs_equal_brute_force(seed):
+    r = random.Random(seed)
+    sets = [{r.randrange(40) for _ in range(r.randrange(12))} | {t for t in (50, 51, 52) if r.random() < 0.3} for _ in range(400)]
+    left = [(0.8 if {50, 51} <= of else -0.7 if {51, 52} <= of and seed % 2 else 0.0) + r.gauss(0, 0.1) for of in sets]
+    doc, term = rows_of_terms(sets)
+    want = pairs_by_brute_force(sets, left)
+    assert {50, 51} <= set(want)
+    assert toxicity.pair_terms(doc, term, np.array(left)).tolist() == want
+    search = toxicity.PairSearch.of(doc, term, np.array(left))
+    assert sorted({int(t) for part in range(7) for t in search.clear(part, 7)}) == want
+
+
+def test_pairs_by_tasks_equal_those_of_one_process(spark, monkeypatch):
+    r = random.Random(3)
+    sets = [{r.randrange(200) for _ in range(20)} | ({300, 301} if i % 5 == 0 else set()) for i in range(500)]
+    left = np.array([0.9 if i % 5 == 0 else r.gauss(-0.2, 0.1) for i in range(500)])
+    doc, term = rows_of_terms(sets)
+    want = toxicity.pair_terms(doc, term, left)
+    assert {300, 301} <= set(want.tolist())
+    monkeypatch.setattr(toxicity, "PAIR_ENTRIES", 50)  # rows a few at a time
+    assert toxicity.pair_terms(doc, term, left).tolist() == toxicity.pair_terms_by_tasks(spark, doc, term, left).tolist() == want.tolist()
+
+
+def test_a_pair_of_terms_rarer_than_thousands_of_others_is_learnt():
+    r = np.random.default_rng(2)
+    n, common = 2_000, 2_300
+    a, b = r.random(n) < 0.16, r.random(n) < 0.16
+    # Toxic with both or, as often as keeps either neutral, with neither.
+    y = np.where(a & b, 1.0, (r.random(n) < 0.16 * 0.16 + 0.1)).astype(float)
+    only = (a ^ b) & (r.random(n) < 0.9)
+    y[only] = 0
+    x = r.random((n, common)) < 0.2
+    doc, term = np.nonzero(np.column_stack([x, a, b]))
+    found = toxicity.pair_terms(doc, term, y - y.mean())
+    assert {common, common + 1} <= set(found.tolist()) and len(found) < 20
+    machine = toxicity.fit_machine(doc, term, y, np.ones(n))
+    assert machine.v[common] @ machine.v[common + 1] > 0.5
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None), (None, "c " * 50_000), (3, "")], SCHEMA)
     none = spark.createDataFrame([(9, None), (None, 1)], "doc_id long, toxic int")

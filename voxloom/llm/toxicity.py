@@ -9,11 +9,13 @@ over, also if neither term tells anything alone. All other terms carry no weight
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +27,10 @@ BITS = 18
 FACTORS = 4
 #: Standard errors by which the share of a term in the two classes must differ.
 SUPPORT = 2.2
-#: Terms whose pairs are searched: the commonest of the sample. Standard errors that a pair must explain.
-PAIR_TERMS, PAIR_SUPPORT = 2_048, 6.0
-#: Most terms of a machine, those with the clearest shares.
-MOST_TERMS = 16_384
+#: Chance that a sample whose left-overs are dealt at random has any pair that counts as clear.
+PAIR_CHANCE = 0.01
+#: Tasks of the pair search, and the entries of rows that one of them holds at once.
+PAIR_TASKS, PAIR_ENTRIES = 64, 1 << 20
 THRESHOLD = 0.3
 
 
@@ -76,39 +78,115 @@ def share_terms(p: np.ndarray, q: np.ndarray, one: float, zero: float) -> np.nda
     """Terms whose share of the toxic rows (counts p of ``one``) clearly differs from that of the others (q of ``zero``)."""
     odds = np.log((p + 0.5) / (one + 1)) - np.log((q + 0.5) / (zero + 1))
     clear = np.abs(odds) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
-    terms = np.flatnonzero((clear > SUPPORT) & (p + q >= 2))
-    return np.sort(terms[np.argsort(-clear[terms], kind="stable")[:MOST_TERMS]])
-
-
-def common_terms(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The terms of most rows, without those of a single row; of equal ones the first."""
-    order = np.argsort(-(p + q), kind="stable")[:PAIR_TERMS]
-    return np.sort(order[(p + q)[order] >= 2])
-
-
-def pair_terms(doc: np.ndarray, term: np.ndarray, left: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Terms of the pairs of ``known`` terms that explain what is ``left`` of each row, by the sum over the rows with both."""
-    k, n = len(known), len(left)
-    if k < 2 or n < 2:
-        return np.zeros(0, np.int64)
-    place = np.searchsorted(known, term)
-    on = (place < k) & (known[np.minimum(place, k - 1)] == term)
-    doc, place = doc[on], place[on]
-    sums, counts = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
-    for a in range(0, n, 1024):  # rows by rows, as they lie in order
-        low, high = np.searchsorted(doc, [a, a + 1024])
-        x = np.zeros((min(1024, n - a), k), np.float32)
-        x[doc[low:high] - a, place[low:high]] = 1
-        sums += (x * left[a : a + 1024, None].astype(np.float32)).T @ x
-        counts += x.T @ x
-    spread = float(np.sqrt(np.mean(left**2))) + 1e-9
-    clear = np.abs(sums) > PAIR_SUPPORT * spread * np.sqrt(np.maximum(counts, 2))
-    np.fill_diagonal(clear, False)
-    return known[np.flatnonzero(clear.any(axis=0))]
-
-
-def fit_machine(doc: np.ndarray, term: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300, rate: float = 0.05, l2: float = 1e-3, seed: int = 5) -> FactorizationMachine:
-    """Fit by Adam on the whole sample. Without rows of both classes, the score is the share of label 1."""
+    return np.flatnonzero((clear > SUPPORT) & (p + q >= 2))
+
+
+@dataclass
+class PairSearch:
+    """The rows of a sample as lists of places of ``known`` terms, with what is left over of each row.
+
+    A pair is clear if the left-overs of the rows with both terms sum to more than Bernstein's bound
+    allows in any of the pairs of ``known`` terms, but with PAIR_CHANCE. Every pair is looked at, but
+    those of terms none of whose subsets of rows could reach the bound.
+    """
+
+    known: np.ndarray
+    left: np.ndarray
+    starts: np.ndarray
+    places: np.ndarray
+    least: float
+    spread: float
+    most: float
+
+    @staticmethod
+    def of(doc: np.ndarray, term: np.ndarray, left: np.ndarray) -> PairSearch:
+        """``doc`` ascends; a row has each term once."""
+        n, left = len(left), left - left.mean()
+        known = np.flatnonzero(np.bincount(term, minlength=1 << BITS) >= 2)
+        least = float(np.log(max(len(known), 2) ** 2 / PAIR_CHANCE))
+        search = PairSearch(known, left, np.zeros(n + 1, np.int64), np.zeros(0, np.int32), least, float(np.mean(left**2)) + 1e-12, float(np.abs(left).max()) + 1e-12)
+        known = search.known = known[np.isin(known, search.able(doc, term))]
+        place = np.full(1 << BITS, -1, np.int32)
+        place[known] = np.arange(len(known))
+        on = place[term] >= 0
+        search.starts = np.searchsorted(doc[on], np.arange(n + 1))
+        search.places = place[term[on]]
+        return search
+
+    def evidence(self, total: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Bernstein's exponent of a sum of ``count`` left-overs; grows with the total."""
+        total = np.abs(total)
+        return total * total / (2 * (count * self.spread + self.most * total / 3) + 1e-12)
+
+    def able(self, doc: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Terms with a subset of rows that reaches the bound: the best of each size are the first in order."""
+        found = np.zeros(1 << BITS, bool)
+        for sign in (1, -1):
+            order = np.lexsort((-sign * self.left[doc], term))
+            of, value = term[order], self.left[doc[order]]
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            sizes = np.diff(np.append(first, len(of)))
+            sums = np.cumsum(value)
+            sums -= np.repeat(sums[first] - value[first], sizes)
+            count = np.arange(len(of)) - np.repeat(first, sizes) + 1
+            found[of[(self.evidence(np.maximum(sign * sums, 0), count) > self.least) & (count >= 2)]] = True
+        return np.flatnonzero(found)
+
+    def clear(self, part: int, parts: int) -> np.ndarray:
+        """Terms of clear pairs, of the terms at every ``parts``-th place from ``part`` on with any other."""
+        k, lengths = len(self.known), np.diff(self.starts)
+        rows_of = np.repeat(np.arange(len(lengths)), lengths)
+        mine = np.flatnonzero(self.places % parts == part)
+        mine = mine[np.argsort(self.places[mine], kind="stable")]
+        found = np.zeros(k, bool)
+        bounds = np.searchsorted(self.places[mine], np.arange(part, k + parts, parts))
+        for at, low, high in zip(range(part, k, parts), bounds[:-1], bounds[1:], strict=False):
+            sums, counts = np.zeros(k), np.zeros(k)
+            rows = rows_of[mine[low:high]]
+            cuts = np.cumsum(lengths[rows]) // PAIR_ENTRIES
+            for some in np.split(rows, np.flatnonzero(np.diff(cuts)) + 1):
+                size = lengths[some]
+                entry = np.repeat(self.starts[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                other = self.places[entry]
+                sums += np.bincount(other, np.repeat(self.left[some], size), k)
+                counts += np.bincount(other, minlength=k)
+            pairs = (self.evidence(sums, counts) > self.least) & (counts >= 2)
+            pairs[at] = False
+            if pairs.any():
+                found[at] = True
+                found |= pairs
+        return self.known[found]
+
+
+def pair_terms(doc: np.ndarray, term: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Terms of the clear pairs of a sample, in this process."""
+    return PairSearch.of(doc, term, left).clear(0, 1)
+
+
+def pair_terms_by_tasks(spark: SparkSession, doc: np.ndarray, term: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The same, dealt to PAIR_TASKS tasks by term; each gets the rows of the sample, which is bounded."""
+    search = PairSearch.of(doc, term, left)
+    if len(search.known) < 2:
+        return search.known[:0]
+    shared = spark.sparkContext.broadcast(search)
+
+    def parts(batches):
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.clear(part, PAIR_TASKS).astype(np.int32))], names=["term"])
+
+    found = spark.range(0, PAIR_TASKS, 1, PAIR_TASKS).mapInArrow(parts, "term int").distinct().toArrow()
+    shared.unpersist()
+    return np.sort(found["term"].to_numpy().astype(np.int64))
+
+
+def fit_machine(
+    doc: np.ndarray, term: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300, rate: float = 0.05, l2: float = 1e-3, seed: int = 5, pairs_of: Callable = pair_terms
+) -> FactorizationMachine:
+    """Fit by Adam on the whole sample; ``doc`` ascends. Without rows of both classes, the score is the share of label 1.
+
+    ``pairs_of`` (doc, term, left) finds the terms of pairs that explain what the first fit leaves.
+    """
     size, n = 1 << BITS, len(y)
     share = float((y * weight).sum() / max(weight.sum(), 1e-9)) if n else 0.0
     machine = FactorizationMachine(float(np.log((share + 1e-3) / (1 - share + 1e-3))), np.zeros(size), np.zeros((size, FACTORS)))
@@ -120,7 +198,7 @@ def fit_machine(doc: np.ndarray, term: np.ndarray, y: np.ndarray, weight: np.nda
     _learn(machine, doc, term, terms, y, weight, steps, rate, l2, seed)
     score = 1 / (1 + np.exp(-np.clip(machine.logits(doc, term, n), -30, 30)))
     # What each row leaves over, as if the classes were sampled as they are weighted.
-    pairs = pair_terms(doc, term, (y - score) * weight, common_terms(p, q))
+    pairs = pairs_of(doc, term, (y - score) * weight)
     if len(np.setdiff1d(pairs, terms)):
         machine.w[:], machine.v[:] = 0, 0
         _learn(machine, doc, term, np.union1d(terms, pairs), y, weight, steps, rate, l2, seed)
@@ -158,8 +236,8 @@ def _learn(machine: FactorizationMachine, doc: np.ndarray, term: np.ndarray, ter
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = training.ROWS_PER_CLASS) -> FactorizationMachine:
     """Fit on at most ``rows_per_class`` labelled rows of each class that aren't held out.
 
-    Terms are counted by Spark, in as many rows as there are buckets; the driver then gets only those
-    of each row that a machine may use, MOST_TERMS + PAIR_TERMS a row at most.
+    Terms are counted by Spark, in as many rows as there are buckets; the driver then gets, of these
+    rows alone, the terms that more than one of them has (three a word at most, 2^18 in any text).
     """
     rows, weights = training.sample(docs, labels, "toxic", rows_per_class)
 
@@ -172,15 +250,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = training.ROWS_
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType()))])
     sample = saved(rows.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(terms, schema), "toxicity-terms")
-    counts = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).toArrow()
-    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    at = counts["term"].to_numpy()
-    p[at] = counts["p"].to_numpy()
-    q[at] = counts["n"].to_numpy() - p[at]
-    totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = sample.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
     useful = np.zeros(1 << BITS, bool)
-    useful[common_terms(p, q)] = True
-    useful[share_terms(p, q, totals.get(1, 0), totals.get(0, 0))] = True
+    useful[counts["term"].to_numpy()] = True
 
     def only_useful(batches):
         for batch in batches:
@@ -194,7 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = training.ROWS_
     y = table["label"].to_numpy().astype(float)
     lists = table["terms"].combine_chunks()
     counts = lists.value_lengths().to_numpy() if len(lists) else np.zeros(0, np.int64)
-    return fit_machine(np.repeat(np.arange(len(y)), counts), lists.flatten().to_numpy().astype(np.int64), y, np.array([weights[int(x)] for x in y]))
+    doc, weight = np.repeat(np.arange(len(y)), counts), np.array([weights[int(x)] for x in y])
+    return fit_machine(doc, lists.flatten().to_numpy().astype(np.int64), y, weight, pairs_of=partial(pair_terms_by_tasks, docs.sparkSession))
 
 
 def with_scores(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text") -> DataFrame:
