@@ -29,8 +29,8 @@ FACTORS = 4
 SUPPORT = 2.2
 #: Chance that a sample whose left-overs are dealt at random has any pair that counts as clear.
 PAIR_CHANCE = 0.01
-#: Tasks of the pair search, and the entries of rows that one of them holds at once.
-PAIR_TASKS, PAIR_ENTRIES = 64, 1 << 20
+#: Tasks of the pair search, and the entries of rows that one of them holds at once; parts of the terms whose pairs could be clear.
+PAIR_TASKS, PAIR_ENTRIES, ABLE_PARTS = 64, 1 << 20, 16
 THRESHOLD = 0.3
 
 
@@ -121,15 +121,18 @@ class PairSearch:
     def able(self, doc: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Terms with a subset of rows that reaches the bound: the best of each size are the first in order."""
         found = np.zeros(1 << BITS, bool)
-        for sign in (1, -1):
-            order = np.lexsort((-sign * self.left[doc], term))
-            of, value = term[order], self.left[doc[order]]
-            first = np.flatnonzero(np.diff(of, prepend=-1))
-            sizes = np.diff(np.append(first, len(of)))
-            sums = np.cumsum(value)
-            sums -= np.repeat(sums[first] - value[first], sizes)
-            count = np.arange(len(of)) - np.repeat(first, sizes) + 1
-            found[of[(self.evidence(np.maximum(sign * sums, 0), count) > self.least) & (count >= 2)]] = True
+        for part in range(ABLE_PARTS):  # so that the sorted copies stay small
+            on = term % ABLE_PARTS == part
+            for sign in (1, -1):
+                value = self.left[doc[on]]
+                order = np.lexsort((-sign * value, term[on]))
+                of, value = term[on][order], value[order]
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                sizes = np.diff(np.append(first, len(of)))
+                sums = np.cumsum(value)
+                sums -= np.repeat(sums[first] - value[first], sizes)
+                count = np.arange(len(of)) - np.repeat(first, sizes) + 1
+                found[of[(self.evidence(np.maximum(sign * sums, 0), count) > self.least) & (count >= 2)]] = True
         return np.flatnonzero(found)
 
     def clear(self, part: int, parts: int) -> np.ndarray:
