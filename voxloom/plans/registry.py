@@ -100,17 +100,17 @@ def x1_join_phrases(spark, d):
     return joined.select("tid", "segment_index", "start_ms", "end_ms", F.trim("text").alias("text"))
 
 
-@query(
-    r"""+ t AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY segment_index) AS k, lag(source_track) OVER w AS pt, lag(speaker_id) OVER w AS ps, lag(end_ms) OVER w AS pe
+GROUPS = r"""t AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY segment_index) AS k, lag(source_track) OVER w AS pt, lag(speaker_id) OVER w AS ps, lag(end_ms) OVER w AS pe
       FROM (SELECT * REPLACE (regexp_replace(text, '^\s+|\s+$', '', 'g') AS text) FROM v_segments) WHERE text <> '' WINDOW w AS (PARTITION BY tid ORDER BY segment_index)),
     f(tid, k, g, total, ended) AS (
       SELECT tid, k, 1, length(text) + 1, regexp_matches(text, '[.!?…][»”"'')\]]*$') FROM t WHERE k = 1
       UNION ALL
       SELECT t.tid, t.k, CASE WHEN b THEN f.g + 1 ELSE f.g END, CASE WHEN b THEN length(t.text) + 1 ELSE f.total + length(t.text) + 1 END, regexp_matches(t.text, '[.!?…][»”"'')\]]*$')
-      FROM f JOIN t ON t.tid = f.tid AND t.k = f.k + 1, LATERAL (SELECT (f.total >= 240 AND f.ended) OR t.pt <> t.source_track OR t.ps IS DISTINCT FROM t.speaker_id OR t.start_ms - t.pe > 2000 AS b))
-    SELECT f.tid, CAST(g AS INT) AS group_id, min(segment_index) AS first_index, count(*) AS n, string_agg(text, ' ' ORDER BY segment_index) AS text FROM f JOIN t ON f.tid = t.tid AND f.k = t.k GROUP BY f.tid, g""",
-    "v_segments",
-)
+      FROM f JOIN t ON t.tid = f.tid AND t.k = f.k + 1, LATERAL (SELECT (f.total >= 240 AND f.ended) OR t.pt <> t.source_track OR t.ps IS DISTINCT FROM t.speaker_id OR t.start_ms - t.pe > 2000 AS b)),
+    grouped AS (SELECT f.tid, CAST(g AS INT) AS group_id, min(segment_index) AS first_index, count(*) AS n, string_agg(text, ' ' ORDER BY segment_index) AS text FROM f JOIN t ON f.tid = t.tid AND f.k = t.k GROUP BY f.tid, g)"""
+
+
+@query("+" + GROUPS + " SELECT * FROM grouped", "v_segments")
 def x6_group_sentences(spark, d):
     return transcript.group_sentences(_segments(spark, d))
 
@@ -609,11 +609,14 @@ def _linkage_sql(windows: int = 10, least: float = 0.58) -> str:
     SELECT o.tid, o.lone, x.g FROM o{k} o JOIN n{k} n ON n.tid = o.tid AND n.n > 1 JOIN l{k} x ON x.tid = o.tid AND x.g = n.g JOIN sim ON sim.tid = o.tid AND sim.a = o.lone AND sim.b = x.a
     GROUP BY o.tid, o.lone, x.g QUALIFY row_number() OVER (PARTITION BY o.tid ORDER BY round(avg(s), 12) DESC, x.g DESC) = 1),
   l{k + 1} AS MATERIALIZED (SELECT x.tid, x.a, coalesce(t.g, x.g) AS g FROM l{k} x LEFT JOIN t{k} t ON t.tid = x.tid AND t.lone = x.g)""")
-    return ",".join(steps) + f"""
-  SELECT tid, a AS window_id, CAST(dense_rank() OVER (PARTITION BY tid ORDER BY first) - 1 AS INT) AS speaker, 'ok' AS status FROM (SELECT *, min(a) OVER (PARTITION BY tid, g) AS first FROM l{windows - 2})"""
+    return ",".join(steps) + f""",
+  clusters AS (SELECT tid, a AS window_id, CAST(dense_rank() OVER (PARTITION BY tid ORDER BY first) - 1 AS INT) AS speaker, 'ok' AS status FROM (SELECT *, min(a) OVER (PARTITION BY tid, g) AS first FROM l{windows - 2}))"""
+
+
+LINKAGE = _linkage_sql()
 
 
-@query(_linkage_sql(), "v_short_recordings")
+@query(LINKAGE + " SELECT * FROM clusters", "v_short_recordings")
 def d5_cluster_short(spark, d):
     return speakers.cluster(view(spark, d, "v_short_recordings"), "auto")
 
