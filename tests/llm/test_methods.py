@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -89,6 +90,29 @@ def test_pairs_by_tasks_equal_those_of_one_process(spark, monkeypatch):
     assert toxicity.pair_terms(doc, term, left).tolist() == toxicity.pair_terms_by_tasks(spark, doc, term, left).tolist() == want.tolist()
 
 
+def test_a_fit_holds_little_beyond_its_sample():
+    n, per = 2000, 2000
+    doc = np.repeat(np.arange(n, dtype=np.int32), per)
+    term = np.tile(np.arange(per, dtype=np.int32), n)
+    y = (np.arange(n) % 2).astype(float)
+    term[0::per] = np.where(y > 0, per, per + 1)  # the first term of a row tells its class
+    tracemalloc.start()
+    machine = toxicity.fit_machine(doc, term, y, np.ones(n), steps=30, pairs_of=lambda *of: toxicity.PairSearch.of(*of).known[:0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ((machine.logits(doc, term, n) > 0) == (y > 0)).all()
+    assert peak < 16 * len(doc)  # arrays of all entries in 64 bits would be two already
+
+
+def test_sample_arrays_put_rows_in_order():
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int32()))])
+    batches = [{"doc_id": [9, -2, 9], "label": [1, 0, 0], "terms": [[1, 2], [], [3]]}, {"doc_id": [], "label": [], "terms": []}, {"doc_id": [4], "label": [1], "terms": [[5, 6, 7]]}]
+    table = pa.Table.from_batches([pa.record_batch(b, schema) for b in batches])
+    got = toxicity.sample_arrays(table.slice(1))
+    assert [x.tolist() for x in got] == [[0, 1, 0], [1, 1, 1, 2], [5, 6, 7, 3]]
+    assert [x.tolist() for x in toxicity.sample_arrays(table.slice(0, 0))] == [[], [], []]
+
+
 def test_a_pair_of_terms_rarer_than_thousands_of_others_is_learnt():
     r = np.random.default_rng(2)
     n, common = 2_000, 2_300

@@ -32,6 +32,8 @@ PAIR_CHANCE = 0.01
 #: Tasks of the pair search, and the entries of rows that one of them holds at once; parts of the terms whose pairs could be clear.
 PAIR_TASKS, PAIR_ENTRIES, ABLE_PARTS = 64, 1 << 20, 16
 THRESHOLD = 0.3
+#: Entries (row, term) that a pass over a sample holds at once beyond the sample itself.
+STRETCH = 1 << 19
 
 
 def term_sets(data: np.ndarray, off: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +54,23 @@ def term_sets(data: np.ndarray, off: np.ndarray, known: np.ndarray | None = None
     return (keys >> A.U64(BITS)).astype(np.int64), (keys & A.U64((1 << BITS) - 1)).astype(np.int64)
 
 
+def stretches(doc: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of about STRETCH entries that end with a row; ``doc`` ascends."""
+    cuts = [0]
+    while cuts[-1] < len(doc):
+        last = doc[min(cuts[-1] + STRETCH, len(doc)) - 1]
+        cuts.append(int(np.searchsorted(doc, last, side="right")))
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def term_counts(doc: np.ndarray, term: np.ndarray, size: int, value: np.ndarray | None = None) -> np.ndarray:
+    """Rows of each term, or the sum of their ``value``."""
+    out = np.zeros(size, np.int64 if value is None else float)
+    for a, b in stretches(doc):
+        out += np.bincount(term[a:b], None if value is None else value[doc[a:b]], size)
+    return out
+
+
 @dataclass
 class FactorizationMachine:
     bias: float
@@ -59,10 +78,15 @@ class FactorizationMachine:
     v: np.ndarray
 
     def logits(self, doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        out = self.bias + np.bincount(doc, self.w[term], n)
-        for f in range(self.v.shape[1]):
-            x = self.v[term, f]
-            out += 0.5 * (np.bincount(doc, x, n) ** 2 - np.bincount(doc, x * x, n))
+        """``doc`` ascends."""
+        out = np.full(n, float(self.bias))
+        for a, b in stretches(doc):
+            first, m = int(doc[a]), int(doc[b - 1] - doc[a]) + 1
+            row, of, part = doc[a:b] - first, term[a:b], out[first : first + m]
+            part += np.bincount(row, self.w[of], m)
+            for f in range(self.v.shape[1]):
+                x = self.v[of, f]
+                part += 0.5 * (np.bincount(row, x, m) ** 2 - np.bincount(row, x * x, m))
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -102,15 +126,18 @@ class PairSearch:
     def of(doc: np.ndarray, term: np.ndarray, left: np.ndarray) -> PairSearch:
         """``doc`` ascends; a row has each term once."""
         n, left = len(left), left - left.mean()
-        known = np.flatnonzero(np.bincount(term, minlength=1 << BITS) >= 2)
+        known = np.flatnonzero(term_counts(doc, term, 1 << BITS) >= 2)
         least = float(np.log(max(len(known), 2) ** 2 / PAIR_CHANCE))
         search = PairSearch(known, left, np.zeros(n + 1, np.int64), np.zeros(0, np.int32), least, float(np.mean(left**2)) + 1e-12, float(np.abs(left).max()) + 1e-12)
         known = search.known = known[np.isin(known, search.able(doc, term))]
         place = np.full(1 << BITS, -1, np.int32)
         place[known] = np.arange(len(known))
-        on = place[term] >= 0
-        search.starts = np.searchsorted(doc[on], np.arange(n + 1))
-        search.places = place[term[on]]
+        rows, places = np.zeros(n, np.int64), [search.places]
+        for a, b in stretches(doc):
+            at = place[term[a:b]]
+            rows += np.bincount(doc[a:b][at >= 0], minlength=n)
+            places.append(at[at >= 0])
+        search.starts, search.places = np.concatenate([[0], np.cumsum(rows)]), np.concatenate(places)
         return search
 
     def evidence(self, total: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -122,11 +149,11 @@ class PairSearch:
         """Terms with a subset of rows that reaches the bound: the best of each size are the first in order."""
         found = np.zeros(1 << BITS, bool)
         for part in range(ABLE_PARTS):  # so that the sorted copies stay small
-            on = term % ABLE_PARTS == part
+            on = np.concatenate([a + np.flatnonzero(term[a:b] % ABLE_PARTS == part) for a, b in stretches(doc)] or [np.zeros(0, np.int64)])
             for sign in (1, -1):
-                value = self.left[doc[on]]
-                order = np.lexsort((-sign * value, term[on]))
-                of, value = term[on][order], value[order]
+                of, value = term[on], self.left[doc[on]]
+                order = np.lexsort((-sign * value, of))
+                of, value = of[order], value[order]
                 first = np.flatnonzero(np.diff(of, prepend=-1))
                 sizes = np.diff(np.append(first, len(of)))
                 sums = np.cumsum(value)
@@ -179,7 +206,7 @@ def pair_terms_by_tasks(spark: SparkSession, doc: np.ndarray, term: np.ndarray,
                 yield pa.RecordBatch.from_arrays([pa.array(shared.value.clear(part, PAIR_TASKS).astype(np.int32))], names=["term"])
 
     found = spark.range(0, PAIR_TASKS, 1, PAIR_TASKS).mapInArrow(parts, "term int").distinct().toArrow()
-    shared.unpersist()
+    shared.destroy()
     return np.sort(found["term"].to_numpy().astype(np.int64))
 
 
@@ -195,7 +222,7 @@ def fit_machine(
     machine = FactorizationMachine(float(np.log((share + 1e-3) / (1 - share + 1e-3))), np.zeros(size), np.zeros((size, FACTORS)))
     if n == 0 or y.min() == y.max():
         return machine
-    p, q = np.bincount(term, y[doc], size), np.bincount(term, 1 - y[doc], size)
+    p, q = term_counts(doc, term, size, y), term_counts(doc, term, size, 1 - y)
     terms = share_terms(p, q, y.sum(), n - y.sum())
     weight = weight / weight.mean()
     _learn(machine, doc, term, terms, y, weight, steps, rate, l2, seed)
@@ -212,10 +239,11 @@ def _learn(machine: FactorizationMachine, doc: np.ndarray, term: np.ndarray, ter
     if not len(terms):
         return
     n = len(y)
-    place = np.full(1 << BITS, -1)
-    place[terms] = np.arange(len(terms))
-    on = place[term] >= 0
-    doc, col, k = doc[on], place[term[on]], len(terms)
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[terms] = True
+    on = np.concatenate([a + np.flatnonzero(wanted[term[a:b]]) for a, b in stretches(doc)])
+    doc, col, k = doc[on].astype(np.int64), np.searchsorted(terms, term[on]), len(terms)
+    del on
     rng = np.random.default_rng(seed)
     theta = [np.array([machine.bias]), np.zeros(k), rng.normal(0, 0.01, (k, FACTORS))]
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
@@ -265,12 +293,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = training.ROWS_
             ends = np.concatenate([[0], np.cumsum(on)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[on]))], names=["doc_id", "label", "terms"])
 
-    table = sample.mapInArrow(only_useful, schema).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    y = table["label"].to_numpy().astype(float)
-    lists = table["terms"].combine_chunks()
-    counts = lists.value_lengths().to_numpy() if len(lists) else np.zeros(0, np.int64)
-    doc, weight = np.repeat(np.arange(len(y)), counts), np.array([weights[int(x)] for x in y])
-    return fit_machine(doc, lists.flatten().to_numpy().astype(np.int64), y, weight, pairs_of=partial(pair_terms_by_tasks, docs.sparkSession))
+    y, doc, term = sample_arrays(sample.mapInArrow(only_useful, schema).toArrow())
+    # The driver's arrays are numpy's from here on; Arrow would keep what it has freed.
+    pa.default_memory_pool().release_unused()
+    weight = np.array([weights[int(x)] for x in y])
+    return fit_machine(doc, term, y, weight, pairs_of=partial(pair_terms_by_tasks, docs.sparkSession))
+
+
+def sample_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label of each row, row and term of each entry) of (doc_id, label, terms), rows in order; 32 bits an entry and column."""
+    ids, labels = table["doc_id"].to_numpy(), table["label"].to_numpy()
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in table["terms"].chunks] or [np.zeros(0, np.int32)]).astype(np.int64)
+    order = np.lexsort((labels, ids))
+    sizes_in_order = sizes[order]
+    starts = np.empty(len(order), np.int64)
+    starts[order] = np.cumsum(sizes_in_order) - sizes_in_order
+    term, k = np.empty(int(sizes.sum()), np.int32), 0
+    for chunk in table["terms"].chunks:
+        flat, at = chunk.flatten().to_numpy(), 0
+        for start, n in zip(starts[k : k + len(chunk)].tolist(), sizes[k : k + len(chunk)].tolist()):
+            term[start : start + n] = flat[at : at + n]
+            at += n
+        k += len(chunk)
+    return labels[order].astype(float), np.repeat(np.arange(len(order), dtype=np.int32), sizes_in_order), term
 
 
 def with_scores(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text") -> DataFrame:
