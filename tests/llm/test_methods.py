@@ -141,6 +141,24 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.toxicity_report(clash, one).count() == 5
 
 
+# --- passages ------------------------------------------------------------------------------------
+
+def test_windows_are_found_once_for_their_shared_keys(spark, tmp_path):
+    r = random.Random(2)
+    common = words(60, 1)
+    docs = spark.createDataFrame([(i, " ".join(words(r.randrange(40, 90), i) + common * (i % 3 == 0))) for i in range(60)], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/docs")
+    source = spark.read.parquet(f"{tmp_path}/docs").select(F.col("doc_id").alias("id"), "text")
+    rows = substring.windows(source, substring.Passages())
+    got = substring.of_shared_keys(rows)
+    seen, of = [tuple(x) for x in rows.collect()], {}
+    for x in seen:
+        of.setdefault(x[0], set()).add(x[1])
+    assert sorted(tuple(x) for x in got.select(rows.columns).collect()) == sorted(x for x in seen if len(of[x[0]]) > 1) != []
+    got.collect()
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+
+
 # --- token files: pieces -------------------------------------------------------------------------
 
 def test_pieces_with_equal_hashes_are_told_apart(monkeypatch):

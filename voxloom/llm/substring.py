@@ -108,9 +108,10 @@ def compact_windows(docs: np.ndarray, place: np.ndarray, h: np.ndarray, p: Passa
             start = np.arange(a, a + len(low))
             low = low[docs[start] == docs[start + w - 1]]
             nodes.append(low[np.concatenate([[True], low[1:] != low[:-1]])[: len(low)]])
-        c = np.unique(np.concatenate(nodes)) if nodes else np.zeros(0, np.int64)
+        c = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
         if not len(c):
             continue
+        c = c[np.diff(c, prepend=-1) > 0]  # the leftmost smallest of runs in order never goes back
         # Every ancestor of a node has a larger window, so the nodes know their bounds from each other.
         value = (values[c] >> A.U64(_PLACE_BITS) << A.U64(_PLACE_BITS)) | (c % (1 << _PLACE_BITS)).astype(A.U64)
         edge = np.flatnonzero(np.concatenate([[True], docs[c][1:] != docs[c][:-1]]))
@@ -145,10 +146,17 @@ def windows(source: DataFrame, p: Passages) -> DataFrame:
     return source.mapInArrow(run, "key long, id long, first int, last int, at int")
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """Keys that more than one document holds."""
-    keys = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    return saved(keys, "passage-keys")
+def of_shared_keys(rows: DataFrame) -> DataFrame:
+    """The rows whose key more than one document holds.
+
+    Both sides read one shuffle, so the windows are found once. A key is one row of the side that is
+    built, and the rows of a common one only pass by, so none is sorted or held.
+    """
+    rows = rows.repartition("key")
+    # Places aren't negative; they are asked for so that both sides have the same columns, else Spark would shuffle twice.
+    far = F.max(F.col("first") + F.col("last") + F.col("at")).alias("far")
+    keys = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), far).where("low < high and far >= 0").select("key")
+    return rows.join(keys.hint("shuffle_hash"), "key")
 
 
 def runs_of_enough_windows(first: np.ndarray, last: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
@@ -597,7 +605,7 @@ def repeated_passages(docs: DataFrame, p: Passages = Passages(), id_col: str = "
     if not source.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         source = saved(source.groupBy("id").agg(F.min("text").alias("text")), "passage-texts")
     rows = windows(source, p)
-    rows = saved(agreeing(rows.join(shared_keys(rows).hint("merge"), "key"), p), "passage-windows")
+    rows = saved(agreeing(of_shared_keys(rows), p), "passage-windows")
     tokens = saved(span_tokens(rows, source, p), "passage-tokens")
     lowest = rows.groupBy("key").agg(F.min(F.struct("id", "span", "at")).alias("lowest"), F.max("id").alias("high")).where("lowest.id < high")
     lowest = lowest.select("key", F.col("lowest.id").alias("other"), F.col("lowest.span").alias("other_span"), F.col("lowest.at").alias("other_at"))
