@@ -1,5 +1,6 @@
 """The methods of the training-data operators against plain versions of what they compute."""
 
+import gc
 import itertools
 import random
 import tracemalloc
@@ -170,6 +171,41 @@ def test_pieces_with_equal_hashes_are_told_apart(monkeypatch):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
+def test_a_worker_keeps_few_bytes_a_piece():
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(500)) for _ in range(120)]
+    tokenizer = tokenizing.PieceTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    tracemalloc.start()
+    try:
+        tokenizer.reset()
+        ids, counts = tokenizer.encode(pa.array(texts))
+        want = [tokenizer.ids(texts[0]), tokenizer.ids(texts[-1])]
+        assert [ids[: counts[0]].tolist(), ids[-counts[-1] :].tolist()] == want
+        del ids, counts, want
+        gc.collect()
+        assert tracemalloc.get_traced_memory()[0] < 25e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_pieces_are_cut_behind_letters(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["alpha, alpha. alpha; alpha: (alpha) don't x.'s 'sabc a1b2 é,a éa, ça\x00b", "https://a.example/b?c=d&e=" + "f" * 70 + "/g", "z" * 64 + " " + "z" * 65, "no<|endoftext|>gap,<|endoftext|", None, "ab\u00a0cd, e", "漢字,かな a漢 "]
+    tokenizer = tokenizing.PieceTokenizer(path)
+    want = [tokenizer.ids(t or "") for t in texts]
+    for _ in range(2):
+        ids, counts = tokenizer.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    few = tokenizing.PieceTokenizer(path)
+    calls, real = [], few.learn
+    monkeypatch.setattr(few, "learn", lambda data, begin, size: calls.append(len(begin)) or real(data, begin, size))
+    few.encode(pa.array([" omega, omega. omega; omega: omega! omega? omega"]))
+    assert calls[0] == 7  # the word and six marks
+    monkeypatch.setattr(tokenizing.Pieces, "hashes", lambda self: np.zeros(len(self.begin), A.U64))
+    ids, counts = tokenizing.PieceTokenizer(path).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 # --- exact dedup ---------------------------------------------------------------------------------
 
 def test_radix_digits_grow(spark, monkeypatch):

@@ -105,6 +105,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                 if sum(len(w[2]) for w in waiting) >= GROUP:
                     yield from flush()
         yield from flush()
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(frames, SCHEMA).write.parquet(path)
@@ -132,6 +133,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                         names=["doc_id", "part", "start", "n_tokens", "ids_crc32"],
                     )
                 done = end
+        pa.default_memory_pool().release_unused()
 
     # One row a written file here, however many documents.
     parts = frames.groupBy("part").agg(F.sum("n_tokens").alias("n"))

@@ -1,8 +1,9 @@
 """Token ids of whole texts with the tokenizers library, each distinct piece encoded once.
 
 A byte-level BPE never joins a non-space with a following space, so a text is cut there into pieces
-(white space, then other characters). Frequent pieces are looked up; new ones go to the library,
-many in one call. Texts with Unicode white space go to the library whole.
+(white space, then other characters), and behind ASCII letters, as its pattern takes letters alone. Known pieces are looked up in numpy tables, by all of their
+bytes; new ones go to the library, many in one call. Long pieces, and whole
+texts with Unicode white space or with a token added to the vocabulary, go to the library each time.
 """
 
 from __future__ import annotations
@@ -14,9 +15,68 @@ import pyarrow as pa
 
 from voxloom.llm import arrow_text as A
 
-#: Distinct pieces that a worker keeps before it starts anew.
-CACHE = 800_000
+#: Distinct pieces that a worker keeps before it starts anew (some 50 bytes each), slots for them, and bytes of the longest.
+CACHE, SLOT_BITS, LONGEST = 600_000, 21, 64
+#: New pieces in one call of the library.
+CALL = 256
 SPACE = ~A.NON_SPACE
+LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
+#: What may follow a letter in its run, or isn't known to end it.
+GOES_ON = LETTER | SPACE | (np.arange(256) >= 128)
+#: A space in the letters that byte-level models have for bytes.
+SPACE_CHAR = "\u0120"
+#: Masks for the first 0 to 8 bytes of a little-endian word.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], A.U64)
+
+
+def piece_slots(first: np.ndarray) -> np.ndarray:
+    """The slot of each hash."""
+    return (first >> A.U64(64 - SLOT_BITS)).astype(np.int64)
+
+
+class Pieces:
+    """The pieces of a slice: where they begin, their sizes, and their bytes as words of eight."""
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray):
+        self.begin, self.size = begin, size
+        padded = np.concatenate([data, np.zeros(LONGEST, np.uint8)])
+        self.view = np.ndarray(len(data) + LONGEST - 8, "<u8", padded, strides=(1,))
+
+    def word(self, k: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Word ``k`` of the pieces ``at``; none may be over eight times ``k`` bytes short."""
+        return self.view[self.begin[at] + 8 * k] & MASKS[np.minimum(self.size[at] - 8 * k, 8)]
+
+    def longer(self):
+        """(k, the pieces that have a word k) of all words behind the first."""
+        at, k = np.flatnonzero(self.size > 8), 1
+        while len(at):
+            yield k, at
+            k += 1
+            at = at[self.size[at] > 8 * k]
+
+    def hashes(self) -> np.ndarray:
+        h = A.mix(self.word(0) ^ (self.size.astype(A.U64) * A.U64(0x9E3779B97F4A7C15)))
+        for k, at in self.longer():
+            h[at] = A.mix(h[at] * A.U64(0xD6E8FEB86659FD93) ^ self.word(k, at))
+        return h
+
+    def table(self, at: np.ndarray) -> np.ndarray:
+        """The words of the pieces ``at`` as rows, zeros behind their ends."""
+        out, size = np.zeros((len(at), LONGEST // 8), A.U64), self.size[at]
+        for k in range(LONGEST // 8):
+            has = np.flatnonzero(size > 8 * k)
+            if not len(has):
+                break
+            out[has, k] = self.word(k, at[has])
+        return out
+
+
+def _lines(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
+    """The pieces, each with a line feed behind it."""
+    ends = np.cumsum(size + 1)
+    lines = data[np.minimum(np.arange(int(ends[-1])) + np.repeat(begin - (ends - size - 1), size + 1), len(data) - 1)]
+    lines[ends - 1] = 10
+    return lines.tobytes()
 
 
 class PieceTokenizer:
@@ -28,48 +88,101 @@ class PieceTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.newline = self.ids("\n")
+        whole = lambda word: [t.id for t in self.library.model.tokenize(word.replace(" ", SPACE_CHAR))]
+        self.byte_level = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None and all(whole(x) == self.ids(x) for x in (" the", "word", " Xqzjvk", "q")) and self.ids("ab,cd") == self.ids("ab") + self.ids(",cd")
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.reset()
 
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def reset(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.starts, self.sizes = np.zeros(CACHE * 2, np.int64), np.zeros(CACHE * 2, np.int64)
-        # The bytes of each piece, as equal hashes don't prove equal pieces.
-        self.bytes, self.bytes_used = np.zeros(1 << 20, np.uint8), 0
-        self.byte_starts, self.byte_sizes = np.zeros(CACHE * 2, np.int64), np.zeros(CACHE * 2, np.int64)
-
-    def learn(self, keys: list[int], pieces: list[bytes]) -> None:
-        plain = [i for i, p in enumerate(pieces) if len(self.newline) == 1 and p[-1] > 32 and p[0] not in b"\t\n\v\f\r" and (len(p) < 2 or p[0] != 32 or p[1] > 32) and b"\n" not in p]
-        got: dict[int, np.ndarray] = {}
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            ids = np.array(self.ids("".join(pieces[i].decode() + "\n" for i in part)), np.uint32)
-            ends = np.flatnonzero(ids == self.newline[0])
-            if len(ends) == len(part):
-                begin = np.concatenate([[0], ends[:-1] + 1])
-                got |= {i: ids[a:b] for i, a, b in zip(part, begin, ends)}
-        for i, key in enumerate(keys):
-            ids = got[i] if i in got else np.array(self.ids(pieces[i].decode()), np.uint32)
-            n = len(self.place)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if n == len(self.starts):
-                for name in ("starts", "sizes", "byte_starts", "byte_sizes"):
-                    had = getattr(self, name)
-                    setattr(self, name, np.concatenate([had, np.zeros_like(had)]))
-            size = len(pieces[i])
-            while self.bytes_used + size > len(self.bytes):
-                self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
-            self.bytes[self.bytes_used : self.bytes_used + size] = np.frombuffer(pieces[i], np.uint8)
-            self.byte_starts[n], self.byte_sizes[n] = self.bytes_used, size
-            self.bytes_used += size
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[n], self.sizes[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.place[key] = n
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.n = 0
+        self.sizes, self.starts, self.counts = (np.zeros(1 << 14, np.int32) for _ in range(3))  # of each piece: bytes, where its ids start, ids
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.first, self.more, self.more_starts, self.more_used = np.zeros(1 << 14, A.U64), np.zeros(1 << 14, A.U64), np.zeros(1 << 14, np.int32), 0
+
+    def _room(self, name: str, n: int) -> None:
+        had = getattr(self, name)
+        if n > len(had):
+            new = np.zeros(max(n, len(had) * 3 // 2), had.dtype)
+            new[: len(had)] = had
+            setattr(self, name, new)
+
+    def add(self, sizes: np.ndarray, words: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Places of new pieces."""
+        n, m = self.n, len(sizes)
+        rest = words[:, 1:][np.arange(1, words.shape[1])[None, :] * 8 < sizes[:, None]]
+        behind = np.maximum(sizes - 1, 0) // 8
+        for name, size in (("sizes", n + m), ("starts", n + m), ("counts", n + m), ("first", n + m), ("more_starts", n + m), ("flat", self.used + len(ids)), ("more", self.more_used + len(rest))):
+            self._room(name, size)
+        self.sizes[n : n + m], self.counts[n : n + m], self.first[n : n + m] = sizes, counts, words[:, 0]
+        self.starts[n : n + m] = self.used + np.cumsum(counts) - counts
+        self.more_starts[n : n + m] = self.more_used + np.cumsum(behind) - behind
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.more[self.more_used : self.more_used + len(rest)] = rest
+        self.n, self.used, self.more_used = n + m, self.used + len(ids), self.more_used + len(rest)
+        return np.arange(n, n + m)
+
+    def known(self, pieces: Pieces, at: np.ndarray) -> np.ndarray:
+        """Whether each piece has all the bytes of that at the place ``at``; -1: no."""
+        same = (at >= 0) & (self.sizes[at] == pieces.size) & (self.first[at] == pieces.word(0))
+        for k, i in pieces.longer():
+            i = i[same[i]]
+            same[i[self.more[self.more_starts[at[i]] + k - 1] != pieces.word(k, i)]] = False
+        return same
+
+    def learn(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of pieces that the library encodes."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        # A run of ASCII letters, with a space before it or none, is one word of the model.
+        inner = np.concatenate([[0], np.cumsum(~LETTER[data])])
+        wordy = (inner[begin + size] - inner[begin + 1] == 0) & (LETTER[data[begin]] | (data[begin] == 32) & (size > 1)) if self.byte_level else np.zeros(len(begin), bool)
+        if wordy.any():
+            text, size_w, at = _lines(data, begin[wordy], size[wordy]).decode().replace(" ", SPACE_CHAR), [], []
+            for word in text.split("\n")[:-1]:
+                got = self.library.model.tokenize(word)
+                size_w.append(len(got))
+                at += [t.id for t in got]
+            if wordy.all():
+                return np.array(at, np.uint32), np.array(size_w, np.int64)
+            others, n_others = self.learn(data, begin[~wordy], size[~wordy])
+            n = np.zeros(len(begin), np.int64)
+            n[wordy], n[~wordy] = size_w, n_others
+            own, out = np.repeat(wordy, n), np.empty(int(n.sum()), np.uint32)
+            out[own], out[~own] = at, others
+            return out, n
+        for k in range(0, len(begin), CALL):
+            x, n = self._call(data, begin[k : k + CALL], size[k : k + CALL])
+            ids.append(x)
+            counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _call(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b, z = data[begin], data[np.minimum(begin + 1, len(data) - 1)], data[begin + size - 1]
+        # At most one space at the beginning, so a line feed in between is a token of its own.
+        plain = (z > 32) & ((a < 9) | (a > 13)) & ((size < 2) | (a != 32) | (b > 32))
+        i = np.flatnonzero(plain)
+        got, n = np.zeros(0, np.uint32), np.zeros(len(begin), np.int64)
+        if len(i) and len(self.newline) == 1:
+            ids = np.array(self.library.encode_batch_fast([_lines(data, begin[i], size[i]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            cut = ids == self.newline[0]
+            at = np.flatnonzero(cut)
+            if len(at) == len(i):
+                got, n[i] = ids[~cut], np.diff(at, prepend=-1) - 1
+                if len(i) == len(begin):
+                    return got, n
+            else:
+                i = i[:0]
+        else:
+            i = i[:0]
+        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(begin)
+        for k, x in zip(i.tolist(), np.split(got, np.cumsum(n[i])[:-1]) if len(i) else []):
+            parts[k] = x
+        for k in np.setdiff1d(np.arange(len(begin)), i).tolist():
+            parts[k] = np.array(self.ids(data[begin[k] : begin[k] + size[k]].tobytes().decode()), np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text); null counts as empty."""
@@ -80,57 +193,74 @@ class PieceTokenizer:
             counts.append(n)
         return np.concatenate(ids), np.concatenate(counts)
 
-    def other_bytes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Which pieces have the hash of a known piece, but other bytes."""
-        size = end - begin
-        same = size == self.byte_sizes[at]
-        i = np.flatnonzero(same)
-        n = size[i]
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        differs = data[np.repeat(begin[i], n) + place] != self.bytes[np.repeat(self.byte_starts[at[i]], n) + place]
-        if differs.any():
-            same[np.repeat(i, n)[differs]] = False
-        return ~same
-
     def _slice(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(off) - 1
         odd = unicode_space(data, off)
+        whole = data.tobytes()
+        for token in self.added:  # no piece may cut it
+            at = whole.find(token)
+            while at >= 0:
+                odd[np.searchsorted(off, at, side="right") - 1] = True
+                at = whole.find(token, at + 1)
         space = SPACE[data]
         start = np.zeros(len(data) + 1, bool)
         start[1:-1] = space[1:] & ~space[:-1]
         start[off] = True
-        begin = np.flatnonzero(start[:-1]) if len(data) else np.zeros(0, np.int64)
-        end = np.concatenate([begin[1:], [len(data)]]) if len(begin) else begin
-        doc = np.searchsorted(off, begin, side="right") - 1
-        plain = ~odd[doc]
-        begin, end, doc = begin[plain], end[plain], doc[plain]
-        hashes, first, inverse = np.unique(A.span_hashes(data, begin, end) ^ (end - begin).astype(A.U64), return_index=True, return_inverse=True)
-        if len(self.place) > CACHE:
+        if self.byte_level:
+            start[1:-1] |= LETTER[data[:-1]] & ~GOES_ON[data[1:]]
+        begin = np.flatnonzero(start[:-1])
+        size = np.diff(begin, append=len(data))
+        doc = np.repeat(np.arange(n), np.diff(np.searchsorted(begin, off)))
+        if odd.any():
+            plain = ~odd[doc]
+            begin, size, doc = begin[plain], size[plain], doc[plain]
+        if self.n > CACHE:
             self.reset()
-        keys = hashes.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.place]
-        self.learn([keys[i] for i in new], [data[begin[first[i]] : end[first[i]]].tobytes() for i in new])
-        at = np.array([self.place[k] for k in keys], np.int64)[inverse] if len(keys) else np.zeros(0, np.int64)
-        clash = np.unique(doc[self.other_bytes(data, begin, end, at)])
-        if len(clash):  # those texts go to the library whole
-            odd[clash] = True
-            at, doc = at[~odd[doc]], doc[~odd[doc]]
-        size = self.sizes[at]
-        counts = np.bincount(doc, size, n).astype(np.int64)
-        ends = np.cumsum(size)
-        gather = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - (ends - size), size)
-        ids = self.flat[gather]
+        at, kept = self.places(data, begin, size)
+        counts = self.counts[at].astype(np.int64)
+        ends = np.cumsum(counts)
+        ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - (ends - counts), counts)]
+        self.n, self.used, self.more_used = kept  # pieces that aren't kept go
+        sizes = np.bincount(doc, counts, n).astype(np.int64)
         if not odd.any():
-            return ids, counts
-        parts = np.split(ids, np.cumsum(counts)[:-1])
+            return ids, sizes
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
         for d in np.flatnonzero(odd):
             parts[d] = np.array(self.ids(data[off[d] : off[d + 1]].tobytes().decode()), np.uint32)
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
+    def places(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, tuple[int, int, int]]:
+        """The place of each piece, and what of the tables is kept; the rest holds until the next call."""
+        place, short = np.zeros(len(begin), np.int64), np.flatnonzero(size <= LONGEST)
+        pieces = Pieces(data, begin[short], size[short])
+        hashes = pieces.hashes() if len(short) else np.zeros(0, A.U64)
+        slot = piece_slots(hashes)
+        at = self.slots[slot]
+        miss = np.flatnonzero(~self.known(pieces, at)) if len(short) else short
+        place[short] = at
+        _, one, each = np.unique(hashes[miss], return_index=True, return_inverse=True)
+        words = pieces.table(miss)
+        # Equal hashes don't prove equal pieces.
+        other = (pieces.size[miss] != pieces.size[miss[one[each]]]) | (words != words[one[each]]).any(axis=1)
+        new = miss[one]
+        ids, counts = self.learn(data, pieces.begin[new], pieces.size[new])
+        added = self.add(pieces.size[new], words[one], ids, counts)
+        self.slots[slot[new]] = added
+        place[short[miss]] = added[each]
+        kept = self.n, self.used, self.more_used
+        once = np.concatenate([np.flatnonzero(size > LONGEST), short[miss[other]]])
+        if len(once):
+            ids, counts = self.learn(data, begin[once], size[once])
+            place[once] = self.add(np.zeros(len(once), np.int64), np.zeros((len(once), 1), A.U64), ids, counts)
+        return place, kept
+
 
 @cache
 def worker_tokenizer(path: str) -> PieceTokenizer:
-    """The tokenizer of this Python worker. Spark reuses workers, so later tasks find the pieces of earlier ones."""
+    """The tokenizer of this Python worker. Spark reuses workers, so later tasks find the pieces of earlier ones.
+
+    Workers keep it as long as they live, in other stages too, so its tables are small: 40 MB at most.
+    """
     return PieceTokenizer(path)
 
 
