@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.llm import arrow_text as A
-from voxloom.llm import decontam, exact_dedup, near_dedup, quality, substring, tokenizing, toxicity, url_rules
+from voxloom.llm import decontam, exact_dedup, near_dedup, quality, range_coder, substring, tokenizing, toxicity, url_rules
 
 SCHEMA = "doc_id long, text string"
 
@@ -206,6 +206,21 @@ def test_pieces_are_cut_behind_letters(monkeypatch):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
+def test_coder_counts_what_it_has_seen():
+    r = np.random.default_rng(4)
+    model, steps = range_coder.Model(np.array([9, 7, 7])), 0
+    want = model.counts.copy()
+    for _ in range(40):
+        x = r.integers(0, 7, 3)
+        model.predict()
+        _, _, hit1, hit2 = model.bounds(x)
+        if steps < 32:
+            np.add.at(want, (np.arange(3), x), range_coder.GAIN)
+        model.update(x, hit1, hit2)
+        steps += 1
+    assert (model.counts == want).all() and sum(s.nbytes for s in model.seen) == 8 * 3 * 2  # two bytes a symbol
+
+
 # --- exact dedup ---------------------------------------------------------------------------------
 
 def test_radix_digits_grow(spark, monkeypatch):

@@ -70,9 +70,10 @@ class Model:
 
     def refresh(self) -> None:
         if self.seen:
-            at = np.concatenate([self.row + x for x in self.seen])
-            at, n = np.unique(at, return_counts=True)
-            self.counts.reshape(-1)[at] += (GAIN * n).astype(np.int32)
+            flat = self.counts.reshape(-1)
+            for k in range(0, len(self.seen), 512):
+                at = np.concatenate([self.row + x for x in self.seen[k : k + 512]])
+                flat += (GAIN * np.bincount(at, minlength=len(flat))).astype(np.int32)
             self.seen = []
         # Sums of lane k are from k << 16 on (a lane's total is below 2^16), so all lanes are one sorted array.
         sums = np.zeros((self.w, self.d + 1), np.int32)
@@ -100,8 +101,8 @@ class Model:
         self.s2 = self.lane + (((self.x1 * 0x9E3779B1) ^ (self.x2 * 0x85EBCA77)) >> 9 & mask)
         self.p1, self.p2 = self.tables[0].take(self.s1), self.tables[1].take(self.s2)
         self.has1, self.has2 = self.p1 >= 0, self.p2 >= 0
-        self.w2 = np.clip(self.q2, LEAST, MOST) * self.has2
-        self.w1 = np.clip(self.q1 * (1024 - self.w2) >> WEIGHT_BITS, LEAST, MOST // 2) * self.has1
+        self.w2 = np.minimum(np.maximum(self.q2, LEAST), MOST) * self.has2
+        self.w1 = np.minimum(np.maximum(self.q1 * (1024 - self.w2) >> WEIGHT_BITS, LEAST), MOST // 2) * self.has1
         over = self.w1 + self.w2 > 1000
         if over.any():
             self.w1 = np.where(over, 1000 - self.w2, self.w1)
@@ -113,7 +114,7 @@ class Model:
         self.tables[0][self.s1] = x
         self.tables[1][self.s2] = x
         self.x2, self.x1 = self.x1, x
-        self.seen.append(x)
+        self.seen.append(x.astype(np.int16))
         self.steps += 1
         if self.steps in REFRESH:
             self.refresh()
