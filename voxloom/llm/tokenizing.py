@@ -221,6 +221,8 @@ class PieceTokenizer:
         ends = np.cumsum(counts)
         ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - (ends - counts), counts)]
         self.n, self.used, self.more_used = kept  # pieces that aren't kept go
+        if len(self.flat) > 4 * self.used + (1 << 20):
+            self.flat = self.flat[: self.used + (1 << 16)].copy()
         sizes = np.bincount(doc, counts, n).astype(np.int64)
         if not odd.any():
             return ids, sizes
