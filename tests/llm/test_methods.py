@@ -206,6 +206,22 @@ def test_pieces_are_cut_behind_letters(monkeypatch):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
+def test_accented_words_and_line_starts_need_no_pattern(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["\u00e9t\u00e9 na\u00efve\nStra\u00dfe \u0153uvre\r\n\u017bubr\tok", "a\n\nb\n\n\tc \n d\u00d7e \u00f7 f\n \n", "\n", "\n\n", "x\n\n", "\ny", " \n\t z\r\n1\r\n\r\n.", None, "caf\u00e9, caf\u00e9\u0301 \u00bfqu\u00e9? l'\u00e9t\u00e9 \u0180\u0250 12\u00b2"]
+    tokenizer = tokenizing.PieceTokenizer(path)
+    want = [tokenizer.ids(t or "") for t in texts]
+    for rows in (texts, texts[::-1], [t for t in texts for _ in range(2)]):
+        ids, counts = tokenizing.PieceTokenizer(path).encode(pa.array(rows))
+        of = dict(zip(texts, want))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [of[t] for t in rows]
+    few = tokenizing.PieceTokenizer(path)
+    calls, real = [], few._call
+    monkeypatch.setattr(few, "_call", lambda data, begin, size: calls.extend(data[b : b + n].tobytes() for b, n in zip(begin, size)) or real(data, begin, size))
+    few.encode(pa.array(["\u00e9t\u00e9 na\u00efve\nStra\u00dfe \u0153uvre"]))
+    assert calls == [b"\n"]
+
+
 def test_coder_counts_what_it_has_seen():
     r = np.random.default_rng(4)
     model, steps = range_coder.Model(np.array([9, 7, 7])), 0
@@ -221,6 +237,25 @@ def test_coder_counts_what_it_has_seen():
     assert (model.counts == want).all() and sum(s.nbytes for s in model.seen) == 8 * 3 * 2  # two bytes a symbol
 
 
+def test_blocks_are_coded_apart_and_runs_get_cheap():
+    r = np.random.default_rng(6)
+    blocks = [r.integers(0, n, size).astype(np.uint32) for n, size in ((1, 1), (50, 33), (2000, 4096), (3, 129), (1 << 21, 3073), (40, 4000), (7, 32))]
+    blocks += [np.tile(np.arange(8, dtype=np.uint32), 512)]
+    coded = range_coder.encode_blocks(blocks)
+    assert [range_coder.encode_blocks([b])[0] for b in blocks] == coded
+    for some in (coded, coded[:3], coded[3:]):
+        assert all((a == range_coder.decode_blocks([c])[0]).all() for a, c in zip(range_coder.decode_blocks(some), some))
+    assert all((a == b).all() for a, b in zip(range_coder.decode_blocks(coded), blocks))
+    assert len(coded[-1]) < 120  # 8 ids in turn, 4,096 times
+
+
+def test_carries_pass_over_full_words():
+    # Low ends close to a carry: ids at the upper end of the mixture, again and again.
+    blocks = [np.concatenate([np.full(n, 9), [3] * 40, np.full(4000 - n, 9)]).astype(np.uint32) for n in range(0, 4000, 40)]
+    for a, b in zip(blocks, range_coder.decode_blocks(range_coder.encode_blocks(blocks))):
+        assert (a == b).all()
+
+
 # --- exact dedup ---------------------------------------------------------------------------------
 
 def test_radix_digits_grow(spark, monkeypatch):

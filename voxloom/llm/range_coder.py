@@ -2,11 +2,13 @@
 
 Each block is coded alone: a sorted list of its ids, then its tokens under a mixture of three
 predictions. Orders 2 and 1 each predict the id that last followed the same two or one ids; order 0
-has adaptive counts, brought up to date at the steps in ``REFRESH``. The weights of the orders adapt to their
-hits. A carryless 64-bit range coder takes each token's share of the mixture. All models start
-afresh in every block, and every block ends with a CRC of its ids.
+has adaptive counts. The weights of the orders adapt to their hits, apart for each pair of runs of
+hits that the two predictions come from. Counts and weights are brought up to date at the steps in
+``REFRESH``. A 64-bit range coder with carries takes each token's share of the mixture. All models
+start afresh in every block, and every block ends with a CRC of its ids.
 
-The blocks of a call go in step, one numpy lane each, so the work per token is a few array operations.
+The blocks of a call go in step, one numpy lane each, so the work per token is a few array operations:
+shares are read from tables that each refresh makes, so that a token needs no search.
 """
 
 from __future__ import annotations
@@ -16,14 +18,23 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"VXR1"
-BLOCK = 4096  # below 2^15: tables hold places in the id list
+MAGIC = b"VXR2"
+BLOCK = 4096  # below 2^13: tables hold places in the id list and runs
 LANES = 2048
-#: Steps at which the counts of order 0 are brought up to date, and what a token adds.
+#: Steps at which counts and weights are brought up to date, and what a token adds to the counts of order 0.
 REFRESH, GAIN = frozenset((32, 128, 384, 1024, 2048, 3072)), 8
-WEIGHT_BITS, RATE = 10, 5
-MOST, LEAST = 900, 4
+#: Bits of the weights, of the shares within order 0, and of the whole mixture.
+WEIGHT_BITS, SHARE_BITS = 12, 18
+TOTAL_BITS = WEIGHT_BITS + SHARE_BITS
+#: Least weight of an order that predicts, and of order 0.
+LEAST, LEAST_0 = 4, 24
 SLOT_BITS = 12
+#: Runs of hits that are told apart: nothing predicted, then 1, 2, and 3 or more times the same id.
+RUNS = 4
+#: Hits in 128 that are taken for granted by run, until a lane has its own.
+PRIOR_2, PRIOR_1 = np.array([0, 48, 80, 104]), np.array([0, 20, 40, 56])
+#: Blocks that are turned from rows into lanes, or back, at once.
+TURN = 32
 U = np.uint64
 _HEAD = struct.Struct("<4sIIII")  # magic, tokens, bytes of the id list, coder words, crc of the ids
 
@@ -53,117 +64,144 @@ def from_varints(data: bytes) -> np.ndarray:
 
 
 class Model:
-    """The mixture in every lane. ``predict`` before and ``update`` after each token."""
+    """The mixture in every lane. ``predict`` before and ``bounds`` and ``update`` after each token."""
 
     def __init__(self, sizes: np.ndarray):
-        w, d = len(sizes), int(sizes.max()) + 1
+        w, d = len(sizes), int(sizes.max())
         self.w, self.d = w, d
         self.counts = (np.arange(d)[None, :] < sizes[:, None]).astype(np.int32)
-        self.row = np.arange(w, dtype=np.int64) * d
-        self.tables = np.full((2, w << SLOT_BITS), -1, np.int16)
-        self.lane = np.arange(w, dtype=np.int64) << SLOT_BITS
-        self.q1, self.q2 = np.full(w, 64, np.int64), np.full(w, 128, np.int64)
-        self.x1 = self.x2 = np.zeros(w, np.int64)
+        self.lane = np.arange(w, dtype=np.int64)
+        self.id_row = self.lane * d
+        # Of a lane, a place for the start and each id (order 1), then the slots of order 2: an id and its run, 0: none.
+        stride = d + 1 + (1 << SLOT_BITS)
+        self.table = np.zeros(w * stride, np.int16)
+        self.row1, self.row2 = self.lane * stride + 1, self.lane * stride + d + 1
+        self.tries = np.zeros((w, RUNS * RUNS, 4), np.int32)  # misses, hits of order 1, of order 2, of both
+        self.run_row = self.lane * (RUNS * RUNS)
+        self.x1, self.mix2 = np.full(w, -1, np.int64), np.zeros(w, U)
+        self.slot = np.empty((2, w), np.int64)
         self.seen: list[np.ndarray] = []
+        self.runs_seen: list[np.ndarray] = []
+        self.hits_seen: list[np.ndarray] = []
         self.steps = 0
         self.refresh()
 
     def refresh(self) -> None:
+        w, d = self.w, self.d
         if self.seen:
-            flat = self.counts.reshape(-1)
             for k in range(0, len(self.seen), 512):
-                at = np.concatenate([self.row + x for x in self.seen[k : k + 512]])
-                flat += (GAIN * np.bincount(at, minlength=len(flat))).astype(np.int32)
-            self.seen = []
-        # Sums of lane k are from k << 16 on (a lane's total is below 2^16), so all lanes are one sorted array.
-        sums = np.zeros((self.w, self.d + 1), np.int32)
-        np.cumsum(self.counts, axis=1, dtype=np.int32, out=sums[:, 1:])
-        self.total = sums[:, -1].astype(np.int64)
-        self.from_ = np.arange(self.w, dtype=np.int64) << 16
-        sums += self.from_.astype(np.int32)[:, None]
-        self.sums, self.sum_row = sums.reshape(-1), np.arange(self.w, dtype=np.int64) * (self.d + 1)
+                x = np.stack(self.seen[k : k + 512], axis=1)
+                n = np.bincount((x + self.id_row[:, None]).reshape(-1), minlength=w * d).astype(np.int32)
+                n *= GAIN
+                self.counts += n.reshape(w, d)
+                x = np.stack(self.runs_seen[k : k + 512], axis=1)
+                hits = np.stack(self.hits_seen[k : k + 512], axis=2).view(np.int8)
+                x = x * 4 + hits[0] + 2 * hits[1]
+                n = np.bincount((x + self.run_row[:, None] * 4).reshape(-1), minlength=self.tries.size)
+                self.tries += n.reshape(self.tries.shape).astype(np.int32)
+            self.seen, self.runs_seen, self.hits_seen = [], [], []
+        # Order 0: ids that were seen by their counts, then the others with one share each.
+        fresh = self.counts == 1
+        past = GAIN * self.steps
+        shares = self.counts - (self.counts > 1)
+        begin = np.cumsum(shares, axis=1, dtype=np.int32)
+        ranks = np.cumsum(fresh, axis=1, dtype=np.int32)
+        n_fresh = ranks[:, -1].astype(np.int64)
+        # With the fresh before a seen id left out, its shares begin at begin - ranks; those of a fresh id at past + ranks - 1.
+        begin -= shares
+        begin -= ranks
+        ranks += past - 1
+        np.copyto(begin, ranks, where=fresh)
+        begin <<= 16
+        begin |= shares
+        self.spans, self.fresh, self.ids = begin.reshape(-1), fresh, None
+        n_ids = self.steps + n_fresh
+        self.ids_row, self.last, self.behind = np.cumsum(n_ids) - n_ids, (past + n_fresh - 1).astype(np.int32), np.int32(past - self.steps)
+        # Weights, as sums: where order 1 and order 0 begin, and the size of one share of order 0.
+        tries = self.tries.astype(np.int64)
+        n, hit1, hit2 = tries.sum(axis=2), tries[:, :, 1], tries[:, :, 2] + tries[:, :, 3]
+        run2, run1 = np.divmod(np.arange(RUNS * RUNS), RUNS)
+        most = (1 << WEIGHT_BITS) - LEAST_0 - 2 * LEAST
+        by2 = (hit2 * 128 + PRIOR_2[run2] * 8) * most // (n * 128 + 8 * 128)
+        by1 = (hit1 * 128 + PRIOR_1[run1] * (128 - PRIOR_2[run2]) // 128 * 8) * most // (n * 128 + 8 * 128)
+        begin1 = (by2 + LEAST) * (run2 > 0)
+        begin0 = begin1 + (by1 + LEAST) * (run1 > 0)
+        unit = (1 << SHARE_BITS) // (past + n_fresh)
+        units = ((1 << WEIGHT_BITS) - begin0) * unit[:, None]
+        self.begin1, self.begin0, self.units = ((x.reshape(-1)).astype(np.int32) for x in (begin1 << SHARE_BITS, begin0 << SHARE_BITS, units))
 
     def keep(self, n: int) -> None:
         """Lanes from ``n`` on have ended."""
         if n == self.w:
             return
-        self.counts = np.ascontiguousarray(self.counts[:n])
-        self.seen = [x[:n] for x in self.seen]
-        self.tables = np.ascontiguousarray(self.tables[:, : n << SLOT_BITS])
-        for name in ("row", "lane", "q1", "q2", "x1", "x2", "total", "sum_row", "from_"):
+        self.seen, self.runs_seen, self.hits_seen = [x[:n] for x in self.seen], [x[:n] for x in self.runs_seen], [x[:, :n] for x in self.hits_seen]
+        for name in ("counts", "fresh", "lane", "id_row", "row1", "row2", "tries", "run_row", "x1", "mix2", "ids_row", "last"):
             setattr(self, name, getattr(self, name)[:n])
-        self.sums = self.sums[: n * (self.d + 1)]
+        self.slot = np.empty((2, n), np.int64)
         self.w = n
 
     def predict(self) -> None:
-        mask = (1 << SLOT_BITS) - 1
-        self.s1 = self.lane + ((self.x1 * 0x9E3779B1 >> 7) & mask)
-        self.s2 = self.lane + (((self.x1 * 0x9E3779B1) ^ (self.x2 * 0x85EBCA77)) >> 9 & mask)
-        self.p1, self.p2 = self.tables[0].take(self.s1), self.tables[1].take(self.s2)
-        self.has1, self.has2 = self.p1 >= 0, self.p2 >= 0
-        self.w2 = np.minimum(np.maximum(self.q2, LEAST), MOST) * self.has2
-        self.w1 = np.minimum(np.maximum(self.q1 * (1024 - self.w2) >> WEIGHT_BITS, LEAST), MOST // 2) * self.has1
-        over = self.w1 + self.w2 > 1000
-        if over.any():
-            self.w1 = np.where(over, 1000 - self.w2, self.w1)
-        self.w0 = 1024 - self.w1 - self.w2
+        self.mix1 = self.x1.view(U) * U(0x9E3779B97F4A7C15)
+        mix = self.mix2 * U(5)
+        mix ^= self.mix1
+        mix >>= U(64 - SLOT_BITS)
+        np.add(self.row1, self.x1, out=self.slot[0])
+        np.add(self.row2, mix.view(np.int64), out=self.slot[1])
+        found = self.table.take(self.slot)
+        self.p = (found >> 2) - 1
+        found &= 3
+        self.found = found
+        self.runs = (found[1] << 2) + found[0]
+        at = self.run_row + self.runs
+        self.from1, self.from0, self.unit = self.begin1.take(at), self.begin0.take(at), self.units.take(at)
+
+    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(low, width, hit1, hit2) of ``x`` in a mixture of 2^``TOTAL_BITS``: order 2, order 1, then order 0."""
+        self.small = x.astype(np.int16)
+        self.same = self.p == self.small
+        hit1, hit2 = self.same
+        span = self.spans.take(self.id_row + x)
+        low = span >> 16
+        low *= self.unit
+        low += self.from0
+        span &= 0xFFFF
+        span *= self.unit
+        np.copyto(low, self.from1, where=hit1)
+        np.copyto(span, self.from0 - self.from1, where=hit1)
+        np.copyto(low, 0, where=hit2)
+        np.copyto(span, self.from1, where=hit2)
+        return low, span, hit1, hit2
 
     def update(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        self.q2 += (((hit2 << WEIGHT_BITS) - self.q2) >> RATE) * self.has2
-        self.q1 += (((hit1 << WEIGHT_BITS) - self.q1) >> RATE) * (self.has1 & (hit2 == 0))
-        self.tables[0][self.s1] = x
-        self.tables[1][self.s2] = x
-        self.x2, self.x1 = self.x1, x
-        self.seen.append(x.astype(np.int16))
+        # The id and a run of 1, or one more than the run that was hit.
+        new = np.minimum(self.found, RUNS - 2)
+        new *= self.same
+        new += (self.small << 2) + 5
+        self.table[self.slot] = new
+        self.x1, self.mix2 = x, self.mix1
+        self.seen.append(self.small)
+        self.runs_seen.append(self.runs.astype(np.int8))
+        self.hits_seen.append(self.same)
         self.steps += 1
         if self.steps in REFRESH:
             self.refresh()
 
-    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(low, width, hit1, hit2) of ``x`` in a mixture of ``total << WEIGHT_BITS``: order 2, order 1, then order 0."""
-        hit2 = (self.p2 == x).astype(np.int64)
-        hit1 = (self.p1 == x) & (hit2 == 0)
-        at = self.sum_row + x
-        c = self.sums.take(at)
-        size, c = self.sums.take(at + 1) - c, c - self.from_
-        part2, part1 = self.w2 * self.total, self.w1 * self.total
-        low = np.where(hit1, part2, part2 + part1 + c * self.w0) * (1 - hit2)
-        width = np.where(hit1, part1, size * self.w0)
-        return low, np.where(hit2, part2, width), hit1.astype(np.int64), hit2
-
     def find(self, v: np.ndarray) -> np.ndarray:
         """The id whose share holds ``v``."""
-        part2 = self.w2 * self.total
-        head = part2 + self.w1 * self.total
-        target = np.maximum(v - head, 0) // self.w0
-        key = (self.from_ + target).astype(np.int32)
-        low = self.sums.searchsorted(key, "right") - 1 - self.sum_row
-        return np.where(v < part2, self.p2, np.where(v < head, self.p1, low))
-
-
-def _renormalise(low: np.ndarray, span: np.ndarray):
-    """Yields the lanes that shift out 16 bits, until none is left."""
-    lanes = None
-    while True:
-        a, b = (low, span) if lanes is None else (low[lanes], span[lanes])
-        same = ((a ^ (a + b)) >> U(48)) == 0
-        short = b < U(1 << 32)
-        go = same | short
-        if not go.any():
-            return
-        on = np.flatnonzero(go) if lanes is None else lanes[go]
-        cut = short & ~same
-        if cut.any():
-            at = np.flatnonzero(cut) if lanes is None else lanes[cut]
-            span[at] = (U(0) - low[at]) & U((1 << 32) - 1)
-        yield on
-        low[on] <<= U(16)
-        span[on] <<= U(16)
-        lanes = on
-
-
-def _split(n: int) -> list[int]:
-    return [BLOCK] * (n // BLOCK) + ([n % BLOCK] if n % BLOCK else [])
+        if self.ids is None:  # the id at each share, where those that were seen have a place for every GAIN shares
+            n = np.concatenate([self.counts // GAIN, self.fresh], axis=1)
+            self.ids = np.repeat(np.tile(np.arange(self.d, dtype=np.int16), 2 * self.w), n.reshape(-1))
+        share = v - self.from0
+        np.maximum(share, 0, out=share)
+        share = (share.view(np.uint32) // self.unit.view(np.uint32)).view(np.int32)
+        np.minimum(share, self.last, out=share)
+        at = share // np.int32(GAIN)
+        share -= self.behind
+        np.maximum(at, share, out=at)
+        x = self.ids.take(self.ids_row + at)
+        np.copyto(x, self.p[0], where=v < self.from0)
+        np.copyto(x, self.p[1], where=v < self.from1)
+        return x
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -184,16 +222,23 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     n = np.array([len(b) for b in blocks])
     lists, coded = [], np.zeros((int(n[0]), len(blocks)), np.int16)
-    for k, b in enumerate(blocks):
-        ids, at = np.unique(b, return_inverse=True)
-        lists.append(ids)
-        coded[: len(b), k] = at
+    place = np.zeros(max(int(b.max()) for b in blocks) + 1, np.int16)
+    for k in range(0, len(blocks), TURN):
+        rows = np.zeros((len(blocks[k : k + TURN]), len(coded)), np.int16)
+        for row, b in zip(rows, blocks[k : k + TURN]):
+            ids = np.sort(b)
+            ids = ids[np.flatnonzero(np.diff(ids, prepend=ids[0] + 1))]
+            place[ids] = np.arange(len(ids))
+            row[: len(b)] = place.take(b)
+            lists.append(ids)
+        coded[:, k : k + TURN] = rows.T
     model = Model(np.array([len(x) for x in lists]))
-    low, span = np.zeros(len(n), U), np.full(len(n), (1 << 64) - 1, U)
-    words, at = np.zeros((len(n), 2 * int(n[0]) + 8), np.uint16), np.zeros(len(n), np.int64)
+    lows, spans = np.zeros(len(n), U), np.full(len(n), (1 << 64) - 1, U)
+    words = np.zeros((len(n), int(n[0]) + 2), U)  # of 32 bits, and a carry above them; at most one a token
     flat, base = words.reshape(-1), np.arange(len(n)) * words.shape[1]
+    at = base.copy()
     active = np.searchsorted(-n, -np.arange(int(n[0])), side="left")  # lanes with a token at each step
-    lows, spans = low, span
+    low, span = lows, spans
     for t in range(int(n[0])):
         w = int(active[t])
         if w != model.w:
@@ -202,20 +247,33 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         x = coded[t, :w].astype(np.int64)
         model.predict()
         start, width, hit1, hit2 = model.bounds(x)
-        r = span // (model.total << WEIGHT_BITS).view(U)
-        low += r * start.view(U)
-        np.multiply(r, width.view(U), out=span)
-        for on in _renormalise(low, span):
-            flat[base[on] + at[on]] = (low[on] >> U(48)).astype(np.uint16)
-            at[on] += 1
+        r = span >> U(TOTAL_BITS)
+        step = r * start.astype(U)
+        low += step
+        on = np.flatnonzero(low < step)
+        flat[at[on] - 1] += U(1)
+        np.multiply(r, width.astype(U), out=span)
+        on = np.flatnonzero(span < U(1 << 32))
+        to, high = at[on], low[on]
+        flat[to] = high >> U(32)
+        at[on] = to + 1
+        low[on] = high << U(32)
+        span[on] <<= U(32)
         model.update(x, hit1, hit2)
-    for k in range(4):
-        flat[base + at + k] = (lows >> U(48 - 16 * k)).astype(np.uint16)
-    at += 4
+    # A share holds a number whose last 32 bits are 0.
+    last = lows + U((1 << 32) - 1)
+    flat[at] = last >> U(32)
+    flat[at[last < lows] - 1] += U(1)
+    over = np.flatnonzero(flat >> U(32))
+    while len(over):
+        flat[over] &= U((1 << 32) - 1)
+        flat[over - 1] += U(1)
+        over = over[flat[over - 1] >> U(32) > 0] - 1
+    at += 1 - base
     out = []
     for k, b in enumerate(blocks):
         ids = varints(np.diff(lists[k], prepend=0))
-        out.append(_HEAD.pack(MAGIC, len(b), len(ids), int(at[k]), zlib.crc32(b.astype("<u4").tobytes())) + ids + words[k, : at[k]].astype("<u2").tobytes())
+        out.append(_HEAD.pack(MAGIC, len(b), len(ids), int(at[k]), zlib.crc32(b.astype("<u4").tobytes())) + ids + words[k, : at[k]].astype("<u4").tobytes())
     return out
 
 
@@ -237,38 +295,39 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
 def _decode(blocks: list[bytes], heads: list[tuple]) -> list[np.ndarray]:
     n = np.array([h[1] for h in heads])
     lists = [np.cumsum(from_varints(b[_HEAD.size : _HEAD.size + h[2]])) for b, h in zip(blocks, heads)]
-    words = np.zeros((len(n), max(h[3] for h in heads) + 8), np.uint16)
+    words = np.zeros((len(n), max(h[3] for h in heads) + 2), np.uint32)  # zeros follow the last word
     for k, (b, h) in enumerate(zip(blocks, heads)):
-        words[k, : h[3]] = np.frombuffer(b, "<u2", h[3], _HEAD.size + h[2])
+        words[k, : h[3]] = np.frombuffer(b, "<u4", h[3], _HEAD.size + h[2])
     model = Model(np.array([len(x) for x in lists]))
-    flat, base = words.reshape(-1), np.arange(len(n)) * words.shape[1]
-    lead = words[:, :4].astype(U)
-    code = (lead[:, 0] << U(48)) | (lead[:, 1] << U(32)) | (lead[:, 2] << U(16)) | lead[:, 3]
-    at = np.full(len(n), 4, np.int64)
-    end = words.shape[1] - 1
-    low, span = np.zeros(len(n), U), np.full(len(n), (1 << 64) - 1, U)
+    flat, at = words.reshape(-1), np.arange(len(n)) * words.shape[1] + 2
+    lead = words[:, :2].astype(U)
+    code, span = (lead[:, 0] << U(32)) | lead[:, 1], np.full(len(n), (1 << 64) - 1, U)  # code: above the low end
     coded = np.zeros((int(n[0]), len(n)), np.int16)
     active = np.searchsorted(-n, -np.arange(int(n[0])), side="left")
     for t in range(int(n[0])):
         w = int(active[t])
         if w != model.w:
             model.keep(w)
-            low, span, code = low[:w], span[:w], code[:w]
+            span, code = span[:w], code[:w]
         model.predict()
-        r = span // (model.total << WEIGHT_BITS).view(U)
-        v = np.minimum(((code - low) // r).view(np.int64), (model.total << WEIGHT_BITS) - 1)
-        x = model.find(v).astype(np.int64)
+        r = span >> U(TOTAL_BITS)
+        small = model.find((code // r).astype(np.int32))
+        x = small.astype(np.int64)
         start, width, hit1, hit2 = model.bounds(x)
-        low += r * start.view(U)
-        np.multiply(r, width.view(U), out=span)
-        for on in _renormalise(low, span):
-            code[on] = (code[on] << U(16)) | flat[base[on] + np.minimum(at[on], end)].astype(U)
-            at[on] += 1
+        code -= r * start.astype(U)
+        np.multiply(r, width.astype(U), out=span)
+        on = np.flatnonzero(span < U(1 << 32))
+        to = at[on]
+        code[on] = (code[on] << U(32)) | flat.take(to, mode="clip")
+        at[on] = to + 1
+        span[on] <<= U(32)
         model.update(x, hit1, hit2)
-        coded[t, :w] = x
+        coded[t, :w] = small
     out = []
     for k, h in enumerate(heads):
-        at_k = coded[: n[k], k]
+        if k % TURN == 0:
+            rows = np.ascontiguousarray(coded[:, k : k + TURN].T)
+        at_k = rows[k % TURN, : n[k]]
         if len(at_k) and at_k.max() >= len(lists[k]):
             raise ValueError("damaged token block")
         ids = lists[k][at_k].astype("<u4")

@@ -1,7 +1,7 @@
 """Token ids of whole texts with the tokenizers library, each distinct piece encoded once.
 
 A byte-level BPE never joins a non-space with a following space, so a text is cut there into pieces
-(white space, then other characters), and behind ASCII letters, as its pattern takes letters alone. Known pieces are looked up in numpy tables, by all of their
+(white space, then other characters), around the last white space unless it's a space, and behind ASCII letters, as its pattern takes letters alone. Known pieces are looked up in numpy tables, by all of their
 bytes; new ones go to the library, many in one call. Long pieces, and whole
 texts with Unicode white space or with a token added to the vocabulary, go to the library each time.
 """
@@ -23,8 +23,10 @@ SPACE = ~A.NON_SPACE
 LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
 #: What may follow a letter in its run, or isn't known to end it.
 GOES_ON = LETTER | SPACE | (np.arange(256) >= 128)
-#: A space in the letters that byte-level models have for bytes.
-SPACE_CHAR = "\u0120"
+#: The letters that byte-level models have for bytes; a line feed stays, as it ends a word here.
+OWN = np.isin(np.arange(256), np.r_[33:127, 161:173, 174:256])
+CHARS = np.where(OWN, np.arange(256), 255 + np.cumsum(~OWN)).astype("<u2")
+CHARS[10] = 10
 #: Masks for the first 0 to 8 bytes of a little-endian word.
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], A.U64)
 
@@ -71,12 +73,30 @@ class Pieces:
         return out
 
 
-def _lines(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
+def _lines(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The pieces, each with a line feed behind it."""
     ends = np.cumsum(size + 1)
     lines = data[np.minimum(np.arange(int(ends[-1])) + np.repeat(begin - (ends - size - 1), size + 1), len(data) - 1)]
     lines[ends - 1] = 10
-    return lines.tobytes()
+    return lines
+
+
+def one_word(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each piece is a run of letters of U+0041 to U+017F, with a space before it or none: one word of the model."""
+    lines = _lines(data, begin, size)
+    ends = np.cumsum(size + 1)
+    letter = LETTER[lines]
+    two = (lines[:-1] >= 0xC3) & (lines[:-1] <= 0xC5) & ((lines[:-1] > 0xC3) | (lines[1:] != 0x97) & (lines[1:] != 0xB7))
+    letter[:-1] |= two
+    letter[1:] |= two
+    first = ends - size - 1
+    letter[first] |= (lines[first] == 32) & (size > 1)
+    return np.add.reduceat(~letter, first, dtype=np.int64) == 1  # the line feed
+
+
+def words_of(lines: np.ndarray) -> list[str]:
+    """Lines of bytes in the model's letters."""
+    return CHARS[lines].tobytes().decode("utf-16-le").split("\n")[:-1]
 
 
 class PieceTokenizer:
@@ -88,8 +108,8 @@ class PieceTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.newline = self.ids("\n")
-        whole = lambda word: [t.id for t in self.library.model.tokenize(word.replace(" ", SPACE_CHAR))]
-        self.byte_level = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None and all(whole(x) == self.ids(x) for x in (" the", "word", " Xqzjvk", "q")) and self.ids("ab,cd") == self.ids("ab") + self.ids(",cd")
+        whole = lambda word: [t.id for t in self.library.model.tokenize(words_of(np.frombuffer(word.encode() + b"\n", np.uint8))[0])]
+        self.byte_level = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None and all(whole(x) == self.ids(x) for x in (" the", "word", " Xqzjvk", "q", " \u00e9t\u00e9", "\u017fa\u00df")) and self.ids("ab,cd") == self.ids("ab") + self.ids(",cd")
         self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.reset()
 
@@ -135,24 +155,25 @@ class PieceTokenizer:
 
     def learn(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each) of pieces that the library encodes."""
+        wordy = one_word(data, begin, size) if self.byte_level and len(begin) else np.zeros(len(begin), bool)
+        if not wordy.any():
+            return self._calls(data, begin, size)
+        at, n_words = [], []
+        for word in words_of(_lines(data, begin[wordy], size[wordy])):
+            got = self.library.model.tokenize(word)
+            n_words.append(len(got))
+            at += [t.id for t in got]
+        if wordy.all():
+            return np.array(at, np.uint32), np.array(n_words, np.int64)
+        others, n_others = self._calls(data, begin[~wordy], size[~wordy])
+        n = np.zeros(len(begin), np.int64)
+        n[wordy], n[~wordy] = n_words, n_others
+        own, out = np.repeat(wordy, n), np.empty(int(n.sum()), np.uint32)
+        out[own], out[~own] = at, others
+        return out, n
+
+    def _calls(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        # A run of ASCII letters, with a space before it or none, is one word of the model.
-        inner = np.concatenate([[0], np.cumsum(~LETTER[data])])
-        wordy = (inner[begin + size] - inner[begin + 1] == 0) & (LETTER[data[begin]] | (data[begin] == 32) & (size > 1)) if self.byte_level else np.zeros(len(begin), bool)
-        if wordy.any():
-            text, size_w, at = _lines(data, begin[wordy], size[wordy]).decode().replace(" ", SPACE_CHAR), [], []
-            for word in text.split("\n")[:-1]:
-                got = self.library.model.tokenize(word)
-                size_w.append(len(got))
-                at += [t.id for t in got]
-            if wordy.all():
-                return np.array(at, np.uint32), np.array(size_w, np.int64)
-            others, n_others = self.learn(data, begin[~wordy], size[~wordy])
-            n = np.zeros(len(begin), np.int64)
-            n[wordy], n[~wordy] = size_w, n_others
-            own, out = np.repeat(wordy, n), np.empty(int(n.sum()), np.uint32)
-            out[own], out[~own] = at, others
-            return out, n
         for k in range(0, len(begin), CALL):
             x, n = self._call(data, begin[k : k + CALL], size[k : k + CALL])
             ids.append(x)
@@ -166,7 +187,7 @@ class PieceTokenizer:
         i = np.flatnonzero(plain)
         got, n = np.zeros(0, np.uint32), np.zeros(len(begin), np.int64)
         if len(i) and len(self.newline) == 1:
-            ids = np.array(self.library.encode_batch_fast([_lines(data, begin[i], size[i]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.library.encode_batch_fast([_lines(data, begin[i], size[i]).tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
             cut = ids == self.newline[0]
             at = np.flatnonzero(cut)
             if len(at) == len(i):
@@ -208,6 +229,11 @@ class PieceTokenizer:
         start[off] = True
         if self.byte_level:
             start[1:-1] |= LETTER[data[:-1]] & ~GOES_ON[data[1:]]
+            # The last white space before another character goes to what follows if it's a space, else it's alone.
+            last = space[:-1] & ~space[1:]
+            last[off[(off > 0) & (off < len(data))] - 1] = False
+            start[:-2] |= last
+            start[1:-1] |= last & (data[:-1] != 32)
         begin = np.flatnonzero(start[:-1])
         size = np.diff(begin, append=len(data))
         doc = np.repeat(np.arange(n), np.diff(np.searchsorted(begin, off)))
