@@ -28,7 +28,7 @@ WEIGHT_BITS, SHARE_BITS = 12, 18
 TOTAL_BITS = WEIGHT_BITS + SHARE_BITS
 #: Least weight of an order that predicts, and of order 0.
 LEAST, LEAST_0 = 4, 24
-SLOT_BITS = 12
+SLOT_BITS = 11
 #: Runs of hits that are told apart: nothing predicted, then 1, 2, and 3 or more times the same id.
 RUNS = 4
 #: Hits in 128 that are taken for granted by run, until a lane has its own.
@@ -63,6 +63,25 @@ def from_varints(data: bytes) -> np.ndarray:
     return out
 
 
+def pack_lists(lists: list[np.ndarray]) -> list[bytes]:
+    """Each ascending list as the varints of its first number and its steps, all lists in one go."""
+    v, first = np.concatenate(lists), np.cumsum([0, *(len(x) for x in lists)])
+    steps = np.diff(v, prepend=0)
+    steps[first[:-1]] = v[first[:-1]]
+    data = varints(steps)
+    ends = np.cumsum(np.concatenate([[0], 1 + (steps >= 1 << 7) + (steps >= 1 << 14)]))[first].tolist()
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def unpack_lists(parts: list[bytes]) -> list[np.ndarray]:
+    if not all(x and x[-1] < 128 for x in parts):
+        raise ValueError("damaged token block")
+    data = b"".join(parts)
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) < 128)])[np.cumsum([0, *(len(x) for x in parts)])].tolist()
+    steps = from_varints(data)
+    return [np.cumsum(steps[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
+
 class Model:
     """The mixture in every lane. ``predict`` before and ``bounds`` and ``update`` after each token."""
 
@@ -90,14 +109,14 @@ class Model:
         w, d = self.w, self.d
         if self.seen:
             for k in range(0, len(self.seen), 512):
-                x = np.stack(self.seen[k : k + 512], axis=1)
-                n = np.bincount((x + self.id_row[:, None]).reshape(-1), minlength=w * d).astype(np.int32)
+                n = np.bincount((np.stack(self.seen[k : k + 512]) + self.id_row).reshape(-1), minlength=w * d).astype(np.int32)
                 n *= GAIN
                 self.counts += n.reshape(w, d)
-                x = np.stack(self.runs_seen[k : k + 512], axis=1)
-                hits = np.stack(self.hits_seen[k : k + 512], axis=2).view(np.int8)
-                x = x * 4 + hits[0] + 2 * hits[1]
-                n = np.bincount((x + self.run_row[:, None] * 4).reshape(-1), minlength=self.tries.size)
+                x = np.stack(self.runs_seen[k : k + 512]) << 2
+                hits = np.stack(self.hits_seen[k : k + 512]).view(np.int8)
+                x += hits[:, 0]
+                x += hits[:, 1] << 1
+                n = np.bincount((x + self.run_row * 4).reshape(-1), minlength=self.tries.size)
                 self.tries += n.reshape(self.tries.shape).astype(np.int32)
             self.seen, self.runs_seen, self.hits_seen = [], [], []
         # Order 0: ids that were seen by their counts, then the others with one share each.
@@ -115,8 +134,7 @@ class Model:
         begin <<= 16
         begin |= shares
         self.spans, self.fresh, self.ids = begin.reshape(-1), fresh, None
-        n_ids = self.steps + n_fresh
-        self.ids_row, self.last, self.behind = np.cumsum(n_ids) - n_ids, (past + n_fresh - 1).astype(np.int32), np.int32(past - self.steps)
+        self.listed, self.last, self.behind = self.steps, (past + n_fresh - 1).astype(np.int32), np.int32(past - self.steps)
         # Weights, as sums: where order 1 and order 0 begin, and the size of one share of order 0.
         tries = self.tries.astype(np.int64)
         n, hit1, hit2 = tries.sum(axis=2), tries[:, :, 1], tries[:, :, 2] + tries[:, :, 3]
@@ -135,8 +153,10 @@ class Model:
         if n == self.w:
             return
         self.seen, self.runs_seen, self.hits_seen = [x[:n] for x in self.seen], [x[:n] for x in self.runs_seen], [x[:, :n] for x in self.hits_seen]
-        for name in ("counts", "fresh", "lane", "id_row", "row1", "row2", "tries", "run_row", "x1", "mix2", "ids_row", "last"):
+        for name in ("counts", "fresh", "lane", "id_row", "row1", "row2", "tries", "run_row", "x1", "mix2", "last"):
             setattr(self, name, getattr(self, name)[:n])
+        if self.ids is not None:
+            self.ids_row = self.ids_row[:n]
         self.slot = np.empty((2, n), np.int64)
         self.w = n
 
@@ -159,17 +179,22 @@ class Model:
         """(low, width, hit1, hit2) of ``x`` in a mixture of 2^``TOTAL_BITS``: order 2, order 1, then order 0."""
         self.small = x.astype(np.int16)
         self.same = self.p == self.small
-        hit1, hit2 = self.same
+        hit1, hit2 = self.same[0], self.same[1]
         span = self.spans.take(self.id_row + x)
         low = span >> 16
         low *= self.unit
         low += self.from0
         span &= 0xFFFF
         span *= self.unit
-        np.copyto(low, self.from1, where=hit1)
-        np.copyto(span, self.from0 - self.from1, where=hit1)
-        np.copyto(low, 0, where=hit2)
-        np.copyto(span, self.from1, where=hit2)
+        # Products with 0 or 1 take less time than assignments by a mask.
+        by2 = hit2.astype(np.int32)
+        by1 = (hit1 > hit2).astype(np.int32)
+        by0 = 1 - by1 - by2
+        low *= by0
+        low += self.from1 * by1
+        span *= by0
+        span += (self.from0 - self.from1) * by1
+        span += self.from1 * by2
         return low, span, hit1, hit2
 
     def update(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
@@ -180,7 +205,7 @@ class Model:
         self.table[self.slot] = new
         self.x1, self.mix2 = x, self.mix1
         self.seen.append(self.small)
-        self.runs_seen.append(self.runs.astype(np.int8))
+        self.runs_seen.append(self.runs)
         self.hits_seen.append(self.same)
         self.steps += 1
         if self.steps in REFRESH:
@@ -188,9 +213,8 @@ class Model:
 
     def find(self, v: np.ndarray) -> np.ndarray:
         """The id whose share holds ``v``."""
-        if self.ids is None:  # the id at each share, where those that were seen have a place for every GAIN shares
-            n = np.concatenate([self.counts // GAIN, self.fresh], axis=1)
-            self.ids = np.repeat(np.tile(np.arange(self.d, dtype=np.int16), 2 * self.w), n.reshape(-1))
+        if self.ids is None:  # the id at each share; those that were seen have a place for every GAIN shares
+            self.list_ids()
         share = v - self.from0
         np.maximum(share, 0, out=share)
         share = (share.view(np.uint32) // self.unit.view(np.uint32)).view(np.int32)
@@ -199,10 +223,22 @@ class Model:
         share -= self.behind
         np.maximum(at, share, out=at)
         x = self.ids.take(self.ids_row + at)
-        np.copyto(x, self.p[0], where=v < self.from0)
-        np.copyto(x, self.p[1], where=v < self.from1)
+        x += (self.p[0] - x) * (v < self.from0)
+        x += (self.p[1] - x) * (v < self.from1)
         return x
 
+    def list_ids(self) -> None:
+        steps, d = self.listed, self.d
+        stride = steps + int((self.last + 1).max()) - GAIN * steps
+        ids = np.zeros((self.w, stride), np.int16)
+        at = np.flatnonzero(self.counts > 1)
+        ids[:, :steps] = np.repeat((at % d).astype(np.int16), self.counts.reshape(-1).take(at) // GAIN).reshape(self.w, steps)
+        at = np.flatnonzero(self.fresh)
+        lane = at // d
+        self.ids = ids.reshape(-1)
+        self.ids[lane * stride + ((self.spans.take(at) >> 16) - self.behind)] = at - lane * d
+        self.ids_row = self.lane * stride
+
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of ids as bytes; blocks are independent of one another."""
@@ -223,11 +259,13 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     n = np.array([len(b) for b in blocks])
     lists, coded = [], np.zeros((int(n[0]), len(blocks)), np.int16)
     place = np.zeros(max(int(b.max()) for b in blocks) + 1, np.int16)
+    listed = np.zeros(len(place), bool)
     for k in range(0, len(blocks), TURN):
         rows = np.zeros((len(blocks[k : k + TURN]), len(coded)), np.int16)
         for row, b in zip(rows, blocks[k : k + TURN]):
-            ids = np.sort(b)
-            ids = ids[np.flatnonzero(np.diff(ids, prepend=ids[0] + 1))]
+            listed[b] = True
+            ids = np.flatnonzero(listed)
+            listed[ids] = False
             place[ids] = np.arange(len(ids))
             row[: len(b)] = place.take(b)
             lists.append(ids)
@@ -270,9 +308,9 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         flat[over - 1] += U(1)
         over = over[flat[over - 1] >> U(32) > 0] - 1
     at += 1 - base
-    out = []
+    out, id_lists = [], pack_lists(lists)
     for k, b in enumerate(blocks):
-        ids = varints(np.diff(lists[k], prepend=0))
+        ids = id_lists[k]
         out.append(_HEAD.pack(MAGIC, len(b), len(ids), int(at[k]), zlib.crc32(b.astype("<u4").tobytes())) + ids + words[k, : at[k]].astype("<u4").tobytes())
     return out
 
@@ -294,7 +332,7 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
 
 def _decode(blocks: list[bytes], heads: list[tuple]) -> list[np.ndarray]:
     n = np.array([h[1] for h in heads])
-    lists = [np.cumsum(from_varints(b[_HEAD.size : _HEAD.size + h[2]])) for b, h in zip(blocks, heads)]
+    lists = unpack_lists([b[_HEAD.size : _HEAD.size + h[2]] for b, h in zip(blocks, heads)])
     words = np.zeros((len(n), max(h[3] for h in heads) + 2), np.uint32)  # zeros follow the last word
     for k, (b, h) in enumerate(zip(blocks, heads)):
         words[k, : h[3]] = np.frombuffer(b, "<u4", h[3], _HEAD.size + h[2])

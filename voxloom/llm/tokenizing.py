@@ -1,7 +1,7 @@
 """Token ids of whole texts with the tokenizers library, each distinct piece encoded once.
 
 A byte-level BPE never joins a non-space with a following space, so a text is cut there into pieces
-(white space, then other characters), around the last white space unless it's a space, and behind ASCII letters, as its pattern takes letters alone. Known pieces are looked up in numpy tables, by all of their
+(white space, then other characters), around the last white space unless it's a space, and behind Latin letters, as its pattern takes letters alone. Known pieces are looked up in numpy tables, by all of their
 bytes; new ones go to the library, many in one call. Long pieces, and whole
 texts with Unicode white space or with a token added to the vocabulary, go to the library each time.
 """
@@ -16,13 +16,9 @@ import pyarrow as pa
 from voxloom.llm import arrow_text as A
 
 #: Distinct pieces that a worker keeps before it starts anew (some 50 bytes each), slots for them, and bytes of the longest.
-CACHE, SLOT_BITS, LONGEST = 600_000, 21, 64
+CACHE, SLOT_BITS, LONGEST = 1_000_000, 22, 64
 #: New pieces in one call of the library.
 CALL = 256
-SPACE = ~A.NON_SPACE
-LETTER = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
-#: What may follow a letter in its run, or isn't known to end it.
-GOES_ON = LETTER | SPACE | (np.arange(256) >= 128)
 #: The letters that byte-level models have for bytes; a line feed stays, as it ends a word here.
 OWN = np.isin(np.arange(256), np.r_[33:127, 161:173, 174:256])
 CHARS = np.where(OWN, np.arange(256), 255 + np.cumsum(~OWN)).astype("<u2")
@@ -31,6 +27,21 @@ CHARS[10] = 10
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], A.U64)
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    """ASCII white space, as comparisons of bytes are faster than a table."""
+    return (data == 32) | (data - np.uint8(9) < 5)
+
+
+def is_letter(data: np.ndarray) -> np.ndarray:
+    return (data | np.uint8(32)) - np.uint8(97) < 26
+
+
+def is_latin(data: np.ndarray) -> np.ndarray:
+    """Whether each byte but the last begins a letter of U+00C0 to U+017F, which has two bytes."""
+    a, b = data[:-1], data[1:]
+    return (a - np.uint8(0xC3) < 3) & ((a > 0xC3) | (b != 0x97) & (b != 0xB7))
+
+
 def piece_slots(first: np.ndarray) -> np.ndarray:
     """The slot of each hash."""
     return (first >> A.U64(64 - SLOT_BITS)).astype(np.int64)
@@ -43,6 +54,7 @@ class Pieces:
         self.begin, self.size = begin, size
         padded = np.concatenate([data, np.zeros(LONGEST, np.uint8)])
         self.view = np.ndarray(len(data) + LONGEST - 8, "<u8", padded, strides=(1,))
+        self.first = self.view[begin] & MASKS.take(size, mode="clip")
 
     def word(self, k: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         """Word ``k`` of the pieces ``at``; none may be over eight times ``k`` bytes short."""
@@ -57,7 +69,7 @@ class Pieces:
             at = at[self.size[at] > 8 * k]
 
     def hashes(self) -> np.ndarray:
-        h = A.mix(self.word(0) ^ (self.size.astype(A.U64) * A.U64(0x9E3779B97F4A7C15)))
+        h = A.mix(self.first ^ (self.size.astype(A.U64) * A.U64(0x9E3779B97F4A7C15)))
         for k, at in self.longer():
             h[at] = A.mix(h[at] * A.U64(0xD6E8FEB86659FD93) ^ self.word(k, at))
         return h
@@ -85,8 +97,7 @@ def one_word(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
     """Whether each piece is a run of letters of U+0041 to U+017F, with a space before it or none: one word of the model."""
     lines = _lines(data, begin, size)
     ends = np.cumsum(size + 1)
-    letter = LETTER[lines]
-    two = (lines[:-1] >= 0xC3) & (lines[:-1] <= 0xC5) & ((lines[:-1] > 0xC3) | (lines[1:] != 0x97) & (lines[1:] != 0xB7))
+    letter, two = is_letter(lines), is_latin(lines)
     letter[:-1] |= two
     letter[1:] |= two
     first = ends - size - 1
@@ -147,7 +158,7 @@ class PieceTokenizer:
 
     def known(self, pieces: Pieces, at: np.ndarray) -> np.ndarray:
         """Whether each piece has all the bytes of that at the place ``at``; -1: no."""
-        same = (at >= 0) & (self.sizes[at] == pieces.size) & (self.first[at] == pieces.word(0))
+        same = (at >= 0) & (self.sizes[at] == pieces.size) & (self.first[at] == pieces.first)
         for k, i in pieces.longer():
             i = i[same[i]]
             same[i[self.more[self.more_starts[at[i]] + k - 1] != pieces.word(k, i)]] = False
@@ -215,7 +226,6 @@ class PieceTokenizer:
         return np.concatenate(ids), np.concatenate(counts)
 
     def _slice(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(off) - 1
         odd = unicode_space(data, off)
         whole = data.tobytes()
         for token in self.added:  # no piece may cut it
@@ -223,12 +233,14 @@ class PieceTokenizer:
             while at >= 0:
                 odd[np.searchsorted(off, at, side="right") - 1] = True
                 at = whole.find(token, at + 1)
-        space = SPACE[data]
+        space, letter = is_space(data), is_letter(data)
         start = np.zeros(len(data) + 1, bool)
         start[1:-1] = space[1:] & ~space[:-1]
         start[off] = True
         if self.byte_level:
-            start[1:-1] |= LETTER[data[:-1]] & ~GOES_ON[data[1:]]
+            goes_on = letter | space | (data >= 128)  # or may
+            letter[1:] |= is_latin(data)
+            start[1:-1] |= letter[:-1] & ~goes_on[1:]
             # The last white space before another character goes to what follows if it's a space, else it's alone.
             last = space[:-1] & ~space[1:]
             last[off[(off > 0) & (off < len(data))] - 1] = False
@@ -236,20 +248,23 @@ class PieceTokenizer:
             start[1:-1] |= last & (data[:-1] != 32)
         begin = np.flatnonzero(start[:-1])
         size = np.diff(begin, append=len(data))
-        doc = np.repeat(np.arange(n), np.diff(np.searchsorted(begin, off)))
+        n_pieces = np.diff(np.searchsorted(begin, off))
         if odd.any():
-            plain = ~odd[doc]
-            begin, size, doc = begin[plain], size[plain], doc[plain]
+            plain = np.repeat(~odd, n_pieces)
+            begin, size = begin[plain], size[plain]
+            n_pieces[odd] = 0
         if self.n > CACHE:
             self.reset()
         at, kept = self.places(data, begin, size)
-        counts = self.counts[at].astype(np.int64)
-        ends = np.cumsum(counts)
-        ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - (ends - counts), counts)]
+        counts = self.counts.take(at)
+        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        where = np.repeat(self.starts.take(at) - ends[:-1], counts)
+        where += np.arange(len(where))
+        ids = self.flat.take(where)
         self.n, self.used, self.more_used = kept  # pieces that aren't kept go
         if len(self.flat) > 4 * self.used + (1 << 20):
             self.flat = self.flat[: self.used + (1 << 16)].copy()
-        sizes = np.bincount(doc, counts, n).astype(np.int64)
+        sizes = np.diff(ends[np.concatenate([[0], np.cumsum(n_pieces)])])
         if not odd.any():
             return ids, sizes
         parts = np.split(ids, np.cumsum(sizes)[:-1])
@@ -287,7 +302,7 @@ class PieceTokenizer:
 def worker_tokenizer(path: str) -> PieceTokenizer:
     """The tokenizer of this Python worker. Spark reuses workers, so later tasks find the pieces of earlier ones.
 
-    Workers keep it as long as they live, in other stages too, so its tables are small: 40 MB at most.
+    Workers keep it as long as they live, in other stages too, so its tables are small: some 70 MB at most.
     """
     return PieceTokenizer(path)
 
