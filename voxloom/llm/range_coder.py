@@ -22,7 +22,7 @@ MAGIC = b"VXR2"
 BLOCK = 4096  # below 2^13: tables hold places in the id list and runs
 LANES = 2048
 #: Steps at which counts and weights are brought up to date, and what a token adds to the counts of order 0.
-REFRESH, GAIN = frozenset((32, 128, 384, 1024, 2048, 3072)), 8
+REFRESH, GAIN = frozenset((32, 192, 704, 1536, 2688)), 8
 #: Bits of the weights, of the shares within order 0, and of the whole mixture.
 WEIGHT_BITS, SHARE_BITS = 12, 18
 TOTAL_BITS = WEIGHT_BITS + SHARE_BITS

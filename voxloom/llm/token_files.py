@@ -30,7 +30,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 MAGIC = b"VXF1"
 #: Ids after which a frame is closed, and ids that are coded in one go.
-FRAME, GROUP = 64 * R.BLOCK, R.LANES * R.BLOCK // 2
+FRAME, GROUP = 64 * R.BLOCK, R.LANES * R.BLOCK
 #: Texts of one Arrow batch.
 SCHEMA = "part int, frame int, start_in_part long, n_docs long, n_tokens long, payload binary"
 _HEAD = struct.Struct("<4sII")

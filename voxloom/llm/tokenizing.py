@@ -55,23 +55,30 @@ class Pieces:
         padded = np.concatenate([data, np.zeros(LONGEST, np.uint8)])
         self.view = np.ndarray(len(data) + LONGEST - 8, "<u8", padded, strides=(1,))
         self.first = self.view[begin] & MASKS.take(size, mode="clip")
+        self.longer = []  # (k, the pieces that have a word k, these words) of all words behind the first
+        at, k = np.flatnonzero(size > 8), 1
+        while len(at):
+            self.longer.append((k, at, self.word(k, at)))
+            k += 1
+            at = at[size[at] > 8 * k]
 
     def word(self, k: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         """Word ``k`` of the pieces ``at``; none may be over eight times ``k`` bytes short."""
         return self.view[self.begin[at] + 8 * k] & MASKS[np.minimum(self.size[at] - 8 * k, 8)]
 
-    def longer(self):
-        """(k, the pieces that have a word k) of all words behind the first."""
-        at, k = np.flatnonzero(self.size > 8), 1
-        while len(at):
-            yield k, at
-            k += 1
-            at = at[self.size[at] > 8 * k]
-
     def hashes(self) -> np.ndarray:
-        h = A.mix(self.first ^ (self.size.astype(A.U64) * A.U64(0x9E3779B97F4A7C15)))
-        for k, at in self.longer():
-            h[at] = A.mix(h[at] * A.U64(0xD6E8FEB86659FD93) ^ self.word(k, at))
+        h = self.size.astype(A.U64)
+        h *= A.U64(0x9E3779B97F4A7C15)
+        h ^= self.first
+        h *= A.U64(0xBF58476D1CE4E5B9)
+        for _, at, word in self.longer:
+            x = h[at]
+            x ^= x >> A.U64(29)
+            x ^= word
+            x *= A.U64(0xD6E8FEB86659FD93)
+            h[at] = x
+        h ^= h >> A.U64(32)
+        h *= A.U64(0x94D049BB133111EB)
         return h
 
     def table(self, at: np.ndarray) -> np.ndarray:
@@ -158,10 +165,11 @@ class PieceTokenizer:
 
     def known(self, pieces: Pieces, at: np.ndarray) -> np.ndarray:
         """Whether each piece has all the bytes of that at the place ``at``; -1: no."""
-        same = (at >= 0) & (self.sizes[at] == pieces.size) & (self.first[at] == pieces.first)
-        for k, i in pieces.longer():
-            i = i[same[i]]
-            same[i[self.more[self.more_starts[at[i]] + k - 1] != pieces.word(k, i)]] = False
+        same = (at >= 0) & (self.sizes.take(at) == pieces.size) & (self.first.take(at) == pieces.first)
+        for k, i, word in pieces.longer:
+            on = same[i]
+            i, word = i[on], word[on]
+            same[i[self.more.take(self.more_starts.take(at[i]) + (k - 1)) != word]] = False
         return same
 
     def learn(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +286,7 @@ class PieceTokenizer:
         pieces = Pieces(data, begin[short], size[short])
         hashes = pieces.hashes() if len(short) else np.zeros(0, A.U64)
         slot = piece_slots(hashes)
-        at = self.slots[slot]
+        at = self.slots.take(slot)
         miss = np.flatnonzero(~self.known(pieces, at)) if len(short) else short
         place[short] = at
         _, one, each = np.unique(hashes[miss], return_index=True, return_inverse=True)
