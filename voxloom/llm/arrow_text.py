@@ -6,7 +6,9 @@ text larger than a slice is held whole. All loops over characters and words are
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import types as T
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
+#: Bytes that are hashed at once, so that tables of powers stay small; a longer span is hashed whole.
+HASH_BYTES = 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -51,7 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        p = np.full(max(n, SLICE_BYTES + 1), base, dtype=U64)
+        p = np.full(max(n, HASH_BYTES + 1), base, dtype=U64)
         p[0] = 1
         have = _powers[base] = np.multiply.accumulate(p)
     return have
@@ -62,7 +66,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASH_BYTES, side="right")))
         first, last = int(starts[i]), int(ends[j - 1])
         n = last - first
         sums = np.zeros(n + 1, U64)
@@ -73,6 +77,25 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
+@cache
+def _libc_trim() -> Callable[[int], int] | None:
+    """Only glibc has it."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system, as Python workers live on and their executor's memory is shared.
+
+    Else the C library keeps up to 64 MB at the end of its heap, and all that lies free in between.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := _libc_trim():
+        trim(0)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -167,5 +190,6 @@ def annotate(docs: DataFrame, text: str, fields: list[T.StructField], fn: Callab
         for batch in batches:
             new = fn(batch.column(batch.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + new, names=kept + [f.name for f in fields])
+        release()
 
     return docs.mapInArrow(run, schema)

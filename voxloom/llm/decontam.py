@@ -162,6 +162,7 @@ def _searched(docs: DataFrame, tables, text_col: str, kept: list[str]) -> DataFr
                     hits.append(sorted(x[1]))
             new = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(hits, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*map(column, kept), *new], names=[*kept, *(f.name for f in FIELDS)])
+        A.release()
 
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *FIELDS]))
 

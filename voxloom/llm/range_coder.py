@@ -20,7 +20,7 @@ import numpy as np
 
 MAGIC = b"VXR2"
 BLOCK = 4096  # below 2^13: tables hold places in the id list and runs
-LANES = 2048
+LANES = 1024
 #: Steps at which counts and weights are brought up to date, and what a token adds to the counts of order 0.
 REFRESH, GAIN = frozenset((32, 192, 704, 1536, 2688)), 8
 #: Bits of the weights, of the shares within order 0, and of the whole mixture.
@@ -35,6 +35,8 @@ RUNS = 4
 PRIOR_2, PRIOR_1 = np.array([0, 48, 80, 104]), np.array([0, 20, 40, 56])
 #: Blocks that are turned from rows into lanes, or back, at once.
 TURN = 32
+#: Lanes whose counts are brought up to date at once.
+PART = 256
 U = np.uint64
 _HEAD = struct.Struct("<4sIIII")  # magic, tokens, bytes of the id list, coder words, crc of the ids
 
@@ -64,7 +66,7 @@ def from_varints(data: bytes) -> np.ndarray:
 
 
 def pack_lists(lists: list[np.ndarray]) -> list[bytes]:
-    """Each ascending list as the varints of its first number and its steps, all lists in one go."""
+    """Each ascending list as the varints of its first number and its steps, all lists in one go, so some at a time."""
     v, first = np.concatenate(lists), np.cumsum([0, *(len(x) for x in lists)])
     steps = np.diff(v, prepend=0)
     steps[first[:-1]] = v[first[:-1]]
@@ -88,7 +90,7 @@ class Model:
     def __init__(self, sizes: np.ndarray):
         w, d = len(sizes), int(sizes.max())
         self.w, self.d = w, d
-        self.counts = (np.arange(d)[None, :] < sizes[:, None]).astype(np.int32)
+        self.counts = (np.arange(d)[None, :] < sizes[:, None]).astype(np.uint16)  # below 2^16: GAIN for each token, and one
         self.lane = np.arange(w, dtype=np.int64)
         self.id_row = self.lane * d
         # Of a lane, a place for the start and each id (order 1), then the slots of order 2: an id and its run, 0: none.
@@ -107,33 +109,37 @@ class Model:
 
     def refresh(self) -> None:
         w, d = self.w, self.d
-        if self.seen:
-            for k in range(0, len(self.seen), 512):
-                n = np.bincount((np.stack(self.seen[k : k + 512]) + self.id_row).reshape(-1), minlength=w * d).astype(np.int32)
-                n *= GAIN
-                self.counts += n.reshape(w, d)
-                x = np.stack(self.runs_seen[k : k + 512]) << 2
-                hits = np.stack(self.hits_seen[k : k + 512]).view(np.int8)
-                x += hits[:, 0]
-                x += hits[:, 1] << 1
-                n = np.bincount((x + self.run_row * 4).reshape(-1), minlength=self.tries.size)
-                self.tries += n.reshape(self.tries.shape).astype(np.int32)
-            self.seen, self.runs_seen, self.hits_seen = [], [], []
-        # Order 0: ids that were seen by their counts, then the others with one share each.
-        fresh = self.counts == 1
-        past = GAIN * self.steps
-        shares = self.counts - (self.counts > 1)
-        begin = np.cumsum(shares, axis=1, dtype=np.int32)
-        ranks = np.cumsum(fresh, axis=1, dtype=np.int32)
-        n_fresh = ranks[:, -1].astype(np.int64)
-        # With the fresh before a seen id left out, its shares begin at begin - ranks; those of a fresh id at past + ranks - 1.
-        begin -= shares
-        begin -= ranks
-        ranks += past - 1
-        np.copyto(begin, ranks, where=fresh)
-        begin <<= 16
-        begin |= shares
-        self.spans, self.fresh, self.ids = begin.reshape(-1), fresh, None
+        seen = np.stack(self.seen) if self.seen else np.zeros((0, w), np.int16)
+        for k in range(0, len(self.seen), 512):
+            x = np.stack(self.runs_seen[k : k + 512]) << 2
+            hits = np.stack(self.hits_seen[k : k + 512]).view(np.int8)
+            x += hits[:, 0]
+            x += hits[:, 1] << 1
+            n = np.bincount((x + self.run_row * 4).reshape(-1), minlength=self.tries.size)
+            self.tries += n.reshape(self.tries.shape).astype(np.int32)
+        self.seen, self.runs_seen, self.hits_seen = [], [], []
+        self.spans, self.ids = np.empty(w * d, np.int32), None
+        past, n_fresh = GAIN * self.steps, np.empty(w, np.int64)
+        for a in range(0, w, PART):  # lane by lane; parts, so that what they need in between stays small
+            counts = self.counts[a : a + PART]
+            if len(seen):
+                n = np.bincount((seen[:, a : a + PART] + self.id_row[: len(counts)]).reshape(-1), minlength=counts.size).astype(np.uint16)
+                n *= np.uint16(GAIN)
+                counts += n.reshape(counts.shape)
+            # Order 0: ids that were seen by their counts, then the others with one share each.
+            fresh = counts == 1
+            shares = counts - (counts > 1)
+            begin = np.cumsum(shares, axis=1, dtype=np.int32)
+            ranks = np.cumsum(fresh, axis=1, dtype=np.int32)
+            n_fresh[a : a + PART] = ranks[:, -1]
+            # With the fresh before a seen id left out, its shares begin at begin - ranks; those of a fresh id at past + ranks - 1.
+            begin -= shares
+            begin -= ranks
+            ranks += past - 1
+            np.copyto(begin, ranks, where=fresh)
+            begin <<= 16
+            begin |= shares
+            self.spans[a * d : a * d + begin.size] = begin.reshape(-1)
         self.listed, self.last, self.behind = self.steps, (past + n_fresh - 1).astype(np.int32), np.int32(past - self.steps)
         # Weights, as sums: where order 1 and order 0 begin, and the size of one share of order 0.
         tries = self.tries.astype(np.int64)
@@ -153,7 +159,7 @@ class Model:
         if n == self.w:
             return
         self.seen, self.runs_seen, self.hits_seen = [x[:n] for x in self.seen], [x[:n] for x in self.runs_seen], [x[:, :n] for x in self.hits_seen]
-        for name in ("counts", "fresh", "lane", "id_row", "row1", "row2", "tries", "run_row", "x1", "mix2", "last"):
+        for name in ("counts", "lane", "id_row", "row1", "row2", "tries", "run_row", "x1", "mix2", "last"):
             setattr(self, name, getattr(self, name)[:n])
         if self.ids is not None:
             self.ids_row = self.ids_row[:n]
@@ -231,12 +237,14 @@ class Model:
         steps, d = self.listed, self.d
         stride = steps + int((self.last + 1).max()) - GAIN * steps
         ids = np.zeros((self.w, stride), np.int16)
-        at = np.flatnonzero(self.counts > 1)
-        ids[:, :steps] = np.repeat((at % d).astype(np.int16), self.counts.reshape(-1).take(at) // GAIN).reshape(self.w, steps)
-        at = np.flatnonzero(self.fresh)
-        lane = at // d
+        for a in range(0, self.w, PART):
+            counts, part = self.counts[a : a + PART], ids[a : a + PART]
+            at = np.flatnonzero(counts > 1)
+            part[:, :steps] = np.repeat((at % d).astype(np.int16), counts.reshape(-1).take(at) // GAIN).reshape(len(part), steps)
+            at = np.flatnonzero(counts == 1)
+            lane = at // d
+            part.reshape(-1)[lane * stride + ((self.spans.take(at + a * d) >> 16) - self.behind)] = at - lane * d
         self.ids = ids.reshape(-1)
-        self.ids[lane * stride + ((self.spans.take(at) >> 16) - self.behind)] = at - lane * d
         self.ids_row = self.lane * stride
 
 
@@ -257,11 +265,11 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     n = np.array([len(b) for b in blocks])
-    lists, coded = [], np.zeros((int(n[0]), len(blocks)), np.int16)
+    sizes, id_lists, coded = [], [], np.zeros((int(n[0]), len(blocks)), np.int16)
     place = np.zeros(max(int(b.max()) for b in blocks) + 1, np.int16)
     listed = np.zeros(len(place), bool)
     for k in range(0, len(blocks), TURN):
-        rows = np.zeros((len(blocks[k : k + TURN]), len(coded)), np.int16)
+        rows, lists = np.zeros((len(blocks[k : k + TURN]), len(coded)), np.int16), []
         for row, b in zip(rows, blocks[k : k + TURN]):
             listed[b] = True
             ids = np.flatnonzero(listed)
@@ -270,11 +278,14 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
             row[: len(b)] = place.take(b)
             lists.append(ids)
         coded[:, k : k + TURN] = rows.T
-    model = Model(np.array([len(x) for x in lists]))
+        sizes += [len(x) for x in lists]
+        id_lists += pack_lists(lists)
+    model = Model(np.array(sizes))
     lows, spans = np.zeros(len(n), U), np.full(len(n), (1 << 64) - 1, U)
-    words = np.zeros((len(n), int(n[0]) + 2), U)  # of 32 bits, and a carry above them; at most one a token
-    flat, base = words.reshape(-1), np.arange(len(n)) * words.shape[1]
-    at = base.copy()
+    # Words of 32 bits, and a carry above them; at most one a token. Place by place, as only the first places take up memory then.
+    words = np.zeros((int(n[0]) + 2, len(n)), U)
+    flat, lanes = words.reshape(-1), len(n)
+    at = np.arange(lanes)
     active = np.searchsorted(-n, -np.arange(int(n[0])), side="left")  # lanes with a token at each step
     low, span = lows, spans
     for t in range(int(n[0])):
@@ -289,29 +300,30 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         step = r * start.astype(U)
         low += step
         on = np.flatnonzero(low < step)
-        flat[at[on] - 1] += U(1)
+        flat[at[on] - lanes] += U(1)
         np.multiply(r, width.astype(U), out=span)
         on = np.flatnonzero(span < U(1 << 32))
         to, high = at[on], low[on]
         flat[to] = high >> U(32)
-        at[on] = to + 1
+        at[on] = to + lanes
         low[on] = high << U(32)
         span[on] <<= U(32)
         model.update(x, hit1, hit2)
     # A share holds a number whose last 32 bits are 0.
     last = lows + U((1 << 32) - 1)
     flat[at] = last >> U(32)
-    flat[at[last < lows] - 1] += U(1)
-    over = np.flatnonzero(flat >> U(32))
-    while len(over):
-        flat[over] &= U((1 << 32) - 1)
-        flat[over - 1] += U(1)
-        over = over[flat[over - 1] >> U(32) > 0] - 1
-    at += 1 - base
-    out, id_lists = [], pack_lists(lists)
+    flat[at[last < lows] - lanes] += U(1)
+    n_words = at // lanes + 1
+    for row in range(int(n_words.max()) - 1, 0, -1):
+        over = words[row] >> U(32)
+        if over.any():
+            words[row - 1] += over
+    out = []
     for k, b in enumerate(blocks):
+        if k % TURN == 0:
+            rows = words[: int(n_words.max()), k : k + TURN].T.astype("<u4")  # without the carries
         ids = id_lists[k]
-        out.append(_HEAD.pack(MAGIC, len(b), len(ids), int(at[k]), zlib.crc32(b.astype("<u4").tobytes())) + ids + words[k, : at[k]].astype("<u4").tobytes())
+        out.append(_HEAD.pack(MAGIC, len(b), len(ids), int(n_words[k]), zlib.crc32(b.astype("<u4").tobytes())) + ids + rows[k % TURN, : n_words[k]].tobytes())
     return out
 
 
@@ -332,7 +344,9 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
 
 def _decode(blocks: list[bytes], heads: list[tuple]) -> list[np.ndarray]:
     n = np.array([h[1] for h in heads])
-    lists = unpack_lists([b[_HEAD.size : _HEAD.size + h[2]] for b, h in zip(blocks, heads)])
+    parts, lists = [b[_HEAD.size : _HEAD.size + h[2]] for b, h in zip(blocks, heads)], []
+    for k in range(0, len(parts), TURN):
+        lists += [x.astype(np.int32) for x in unpack_lists(parts[k : k + TURN])]
     words = np.zeros((len(n), max(h[3] for h in heads) + 2), np.uint32)  # zeros follow the last word
     for k, (b, h) in enumerate(zip(blocks, heads)):
         words[k, : h[3]] = np.frombuffer(b, "<u4", h[3], _HEAD.size + h[2])

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxloom.llm import arrow_text as A
 from voxloom.llm import range_coder as R
 from voxloom.llm.scratch import new_path
 from voxloom.llm.tokenizing import worker_tokenizer
@@ -29,8 +30,8 @@ from voxloom.llm.tokenizing import worker_tokenizer
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 MAGIC = b"VXF1"
-#: Ids after which a frame is closed, and ids that are coded in one go.
-FRAME, GROUP = 64 * R.BLOCK, R.LANES * R.BLOCK
+#: Ids after which a frame is closed, and ids that are coded in one go; the other lanes are for the last texts and for blocks that end early.
+FRAME, GROUP = 64 * R.BLOCK, R.LANES * 7 // 8 * R.BLOCK
 #: Texts of one Arrow batch.
 SCHEMA = "part int, frame int, start_in_part long, n_docs long, n_tokens long, payload binary"
 _HEAD = struct.Struct("<4sII")
@@ -72,6 +73,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         state = {"frame": 0, "start": 0}
 
         def flush() -> Iterator[pa.RecordBatch]:
+            A.release()  # what tokenizing has freed, before the coder takes its tables
             cuts = [[ids[i : i + R.BLOCK] for i in range(0, len(ids), R.BLOCK)] for _, _, ids in waiting]
             coded = iter(R.encode_blocks([b for c in cuts for b in c]))
             for (doc_ids, counts, ids), cut in zip(waiting, cuts):
@@ -86,13 +88,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
         for batch in batches:
             done = 0
-            while done < len(batch):  # some MB of text at a time
-                rows = batch.slice(done, 512)
+            while done < len(batch):  # about a MB of text at a time
+                rows = batch.slice(done, 256)
                 done += len(rows)
                 ids, counts = pieces.encode(rows.column(1))
                 counts = counts + 1
                 ends = np.cumsum(counts)
-                out = np.full(int(ends[-1]), end_id, np.uint32)
+                # Two bytes an id while it waits, where that holds it.
+                out = np.full(int(ends[-1]), end_id, np.uint16 if pieces.most < 1 << 16 > end_id else np.uint32)
                 body = np.ones(len(out), bool)
                 body[ends - 1] = False
                 out[body] = ids
@@ -105,7 +108,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                 if sum(len(w[2]) for w in waiting) >= GROUP:
                     yield from flush()
         yield from flush()
-        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
+        A.release()  # the worker goes on to other stages
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(frames, SCHEMA).write.parquet(path)
@@ -133,7 +136,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                         names=["doc_id", "part", "start", "n_tokens", "ids_crc32"],
                     )
                 done = end
-        pa.default_memory_pool().release_unused()
+        A.release()
 
     # One row a written file here, however many documents.
     parts = frames.groupBy("part").agg(F.sum("n_tokens").alias("n"))

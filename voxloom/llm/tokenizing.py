@@ -16,7 +16,7 @@ import pyarrow as pa
 from voxloom.llm import arrow_text as A
 
 #: Distinct pieces that a worker keeps before it starts anew (some 50 bytes each), slots for them, and bytes of the longest.
-CACHE, SLOT_BITS, LONGEST = 1_000_000, 22, 64
+CACHE, SLOT_BITS, LONGEST = 500_000, 21, 64
 #: New pieces in one call of the library.
 CALL = 256
 #: The letters that byte-level models have for bytes; a line feed stays, as it ends a word here.
@@ -125,6 +125,7 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.most = max(self.library.get_vocab(with_added_tokens=True).values(), default=0)
         self.newline = self.ids("\n")
         whole = lambda word: [t.id for t in self.library.model.tokenize(words_of(np.frombuffer(word.encode() + b"\n", np.uint8))[0])]
         self.byte_level = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None and all(whole(x) == self.ids(x) for x in (" the", "word", " Xqzjvk", "q", " \u00e9t\u00e9", "\u017fa\u00df")) and self.ids("ab,cd") == self.ids("ab") + self.ids(",cd")
@@ -310,7 +311,7 @@ class PieceTokenizer:
 def worker_tokenizer(path: str) -> PieceTokenizer:
     """The tokenizer of this Python worker. Spark reuses workers, so later tasks find the pieces of earlier ones.
 
-    Workers keep it as long as they live, in other stages too, so its tables are small: some 70 MB at most.
+    Workers keep it as long as they live, in other stages too, so its tables are small: some 40 MB at most.
     """
     return PieceTokenizer(path)
 
