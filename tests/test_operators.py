@@ -24,6 +24,11 @@ def test_timestamps(spark):
     assert one(spark, C.archive_timestamp(F.lit(0))) == "19700101-000000"
 
 
+def test_late_timestamps(spark):
+    assert one(spark, C.archive_timestamp(F.lit(8_999_999 * 86_399_000))) == "266101116-200001"
+    assert one(spark, C.archive_timestamp(F.lit(-62_000_000_000_000))) == "00050419-094640"
+
+
 @pytest.mark.parametrize(("new", "old", "want"), [("v1.10.0", "1.9.9", True), ("1.2.3-rc1", "1.0.0", False), ("x", "1.0.0", False), ("1.0.0", "1.0.0", False)])
 def test_versions(spark, new, old, want):
     assert one(spark, C.newer_stable_version(F.lit(new), F.lit(old))) is want

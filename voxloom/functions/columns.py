@@ -53,12 +53,14 @@ def canonical_folder_id(folder_id: Column, device: Column) -> Column:
 
 
 def archive_timestamp(ms: Column) -> Column:
-    """UTC yyyyMMdd-HHmmss, whatever the session's time zone."""
+    """UTC yyyyMMdd-HHmmss, whatever the session's time zone; years from 10000 have their digits, without a sign."""
     s = F.floor(ms / 1000).cast("long")
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(s / 86_400).cast("int"))
     rest = F.pmod(s, F.lit(86_400))
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    return F.concat(F.date_format(day, "yyyyMMdd"), F.lit("-"), two(F.floor(rest / 3600)), two(F.floor(rest / 60) % 60), two(rest % 60))
+    # A date format puts a plus before years of five digits.
+    year = F.when(F.year(day).between(0, 9999), F.lpad(F.year(day).cast("string"), 4, "0")).otherwise(F.year(day).cast("string"))
+    return F.concat(year, two(F.month(day)), two(F.dayofmonth(day)), F.lit("-"), two(F.floor(rest / 3600)), two(F.floor(rest / 60) % 60), two(rest % 60))
 
 
 def newer_stable_version(candidate: Column, current: Column) -> Column:
