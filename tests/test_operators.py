@@ -24,6 +24,13 @@ def test_timestamps(spark):
     assert one(spark, C.archive_timestamp(F.lit(0))) == "19700101-000000"
 
 
+def test_upper_letters(spark):
+    for text, want in {"straße é": "STRAẞE É", "ŉa": "ŉA", "": "", "ﬁx ñ": "ﬁX Ñ", "a\nb": "A\nB"}.items():
+        assert one(spark, C.upper_letters(F.lit(text))) == want
+    # As in the SQL of x4_echo_text_matches, a sentence matches itself in upper case.
+    assert one(spark, C.echo_text_matches(F.lit("Pfber heißkeit dem."), C.upper_letters(F.lit("Pfber heißkeit dem."))))
+
+
 def test_late_timestamps(spark):
     assert one(spark, C.archive_timestamp(F.lit(8_999_999 * 86_399_000))) == "266101116-200001"
     assert one(spark, C.archive_timestamp(F.lit(-62_000_000_000_000))) == "00050419-094640"

@@ -63,6 +63,14 @@ def archive_timestamp(ms: Column) -> Column:
     return F.concat(year, two(F.month(day)), two(F.dayofmonth(day)), F.lit("-"), two(F.floor(rest / 3600)), two(F.floor(rest / 60) % 60), two(rest % 60))
 
 
+def upper_letters(text: Column) -> Column:
+    """``text`` in upper case, character by character: ß becomes ẞ, others whose upper case has several characters stay."""
+    upper = lambda c: F.when(c == "ß", "ẞ").when(F.char_length(F.upper(c)) == 1, F.upper(c)).otherwise(c)
+    # Where the length stays, no character has several.
+    each = F.array_join(F.transform(F.split(text, ""), upper), "")
+    return F.when(F.char_length(F.upper(text)) == F.char_length(text), F.upper(text)).otherwise(each)
+
+
 def newer_stable_version(candidate: Column, current: Column) -> Column:
     """Numeric comparison of ``v?a.b.c``; pre-releases and malformed versions are never newer."""
     pattern = r"^v?(\d+)\.(\d+)\.(\d+)$"

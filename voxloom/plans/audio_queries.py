@@ -435,7 +435,7 @@ PAIRS = f"""t AS (SELECT conv_id, turn, text AS a, CASE WHEN turn % 3 = 0 THEN c
 
 def _pairs(spark, d) -> DataFrame:
     last = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
-    b = F.when(F.col("turn") % 3 == 0, F.concat(F.lower("text"), F.lit(" extra words"))).when(F.col("turn") % 3 == 1, last).otherwise(F.upper("text"))
+    b = F.when(F.col("turn") % 3 == 0, F.concat(F.lower("text"), F.lit(" extra words"))).when(F.col("turn") % 3 == 1, last).otherwise(C.upper_letters(F.col("text")))
     return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b"))
 
 
