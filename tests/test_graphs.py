@@ -200,3 +200,14 @@ def test_bad_sources_are_refused_whole(spark):
     assert {tuple(x) for x in tree.rejected_sources(remote).collect()} == {("cycle", "parent"), ("parent", "parent"), ("name", "name"), ("long", "name"), ("id", "id"), ("deep", "depth")}
     found = tree.reconcile_restored_folders(remote.limit(0), remote, remote.limit(0))
     assert {x["tree"] for x in found.collect()} == {"good", "edge"}
+
+
+def test_restored_lines_of_one_number_and_part(spark, tmp_path):
+    from voxloom.plans import registry
+
+    lines = [(1, 7, 2, 9, 1.0, "R"), (1, 7, 2, 3, 2.0, "A"), (1, 7, 2, 3, 1.0, "N"), (1, 8, 1, 1, 1.0, "X"), (1, 12_000_000_001, 1, 5, 1.0, "Y"), (2, 7, 1, 4, 1.0, "B"), (2, 7, 1, 2, 1.0, "C")]
+    schema = "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_quantity double, l_returnflag string"
+    for d, rows in (("a", lines), ("b", lines[::-1])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{d}/lineitem.parquet")
+        restored = registry.QUERIES["j27_restore_snapshots"](spark, f"{tmp_path}/{d}").select("original_id", "texts").collect()
+        assert {tuple(r) for r in restored} == {("z1", "XYNAR"), ("z2", "CB")}

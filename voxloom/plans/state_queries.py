@@ -207,9 +207,11 @@ def j26_match_local(spark, d):
 def j27_restore_snapshots(spark, d):
     # A fifth is restored already, a seventh has another digest, an eleventh a folder below itself, a thirteenth an offset of no file, and an order with a bad line is rejected.
     k = F.col("l_orderkey")
-    end = F.col("l_linenumber") * 10 + F.when(F.col("l_partkey") % 50 == 0, 0).otherwise(5)
-    item = F.struct((F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).cast("long").alias("segment_index"), (F.col("l_linenumber") * 10).alias("start_ms"), end.alias("end_ms"), F.col("l_returnflag").alias("text"))
-    remote = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("segments"))
+    # Lines of one number and part, which the SQL leaves open, come by supplier, quantity and text.
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    end = lambda x: x["l_linenumber"] * 10 + F.when(x["l_partkey"] % 50 == 0, 0).otherwise(5)
+    item = lambda x, i: F.struct(i.cast("long").alias("segment_index"), (x["l_linenumber"] * 10).alias("start_ms"), end(x).alias("end_ms"), x["l_returnflag"].alias("text"))
+    remote = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(line)), item).alias("segments"))
     track = F.struct(F.lit("a.wav").alias("original_filename"), F.lit(5).cast("long").alias("bytes"), F.lit("00").alias("sha256"))
     remote = remote.select(F.concat(F.lit("m"), k).alias("remote_id"), F.concat(F.lit("n"), k).alias("name"), "segments", F.array(track).alias("audio"), k)
     files = remote.select("remote_id", F.lit("a.wav").alias("name"), F.lit(5).cast("long").alias("bytes"), F.when(k % 7 == 0, "11").otherwise("00").alias("sha256"))
