@@ -153,6 +153,8 @@ def test_slice_audio(spark):
     blocks = spark.createDataFrame([("t", "m", 0, [0.0, 1.0, 2.0, 3.0]), ("t", "m", 4, [4.0, 5.0])], "tid string, track string, block_start long, samples array<float>")
     spans = spark.createDataFrame([("t", "m", 2, 5)], "tid string, track string, start long, end long")
     assert vad.slice_audio(spans, blocks, 4).head()["samples"] == [2, 3, 4]
+    # However small its estimate, no side goes through the driver.
+    assert "Broadcast" not in vad.slice_audio(spans, blocks, 4)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_ctc(spark):

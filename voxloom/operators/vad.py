@@ -147,10 +147,11 @@ def advanced_cursors(cursors: DataFrame, emitted: DataFrame) -> DataFrame:
 def slice_audio(spans: DataFrame, blocks: DataFrame, block: int = 16_384) -> DataFrame:
     """Spans (tid, track, start, end) with their ``samples``, from blocks (tid, track, block_start, samples) of ``block`` samples.
 
-    The span side is exploded to the few blocks it meets, so the interval join is an equi-join.
+    The span side is exploded to the few blocks it meets, so the interval join is an equi-join. Both sides
+    grow with the audio, so that neither goes through the driver.
     """
     wide = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.greatest(F.col("end") - 1, F.col("start"))) / block))))
-    parts = wide.join(blocks.withColumn("block", F.floor(F.col("block_start") / block)), [*KEY, "block"])
+    parts = wide.join(blocks.withColumn("block", F.floor(F.col("block_start") / block)).hint("merge"), [*KEY, "block"])
     first = F.greatest(F.col("start") - F.col("block_start"), F.lit(0)).cast("int")
     count = F.greatest(F.least(F.col("end") - F.col("block_start"), F.size("samples")).cast("int") - first, F.lit(0))
     parts = parts.withColumn("part", F.slice("samples", first + 1, count))
