@@ -31,6 +31,14 @@ def test_searches_equal_a_scan(spark):
     assert text_index.search_many(text_index.build_index(jobs.limit(0), segments), spark.createDataFrame(queries, "query_id string, query string")).isEmpty()
 
 
+def test_searches_go_through_no_driver(spark):
+    jobs = spark.createDataFrame([("j1", "a😀b.wav"), ("j2", "xy")], "id string, source_filename string")
+    segments = spark.createDataFrame([("j1", 0, "é" * 50_000 + "😀Z"), ("j2", 0, "zz")], "tid string, segment_index long, text string")
+    found = text_index.search_many(text_index.build_index(jobs, segments), spark.createDataFrame([("a", "A😀B"), ("b", "é😀z"), ("c", "😀"), ("d", "Zz"), ("e", "y")], "query_id string, query string"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in found.collect()} == {("a", "j1"), ("b", "j1"), ("c", "j1"), ("d", "j2"), ("e", "j2")}
+
+
 def test_packed_transcripts_are_few_files(spark, tmp_path):
     segments = spark.range(6_000).select(F.concat(F.lit("t"), (F.col("id") % 3_000)).alias("tid"), F.col("id").alias("segment_index"), (F.col("id") * 1000).alias("start_ms"), (F.col("id") * 1000 + 500).alias("end_ms"), F.concat(F.lit("Line "), "id").alias("text"), F.lit("file").alias("source_track"), F.lit(None).cast("string").alias("speaker_id"))
     path = str(tmp_path / "packed")
