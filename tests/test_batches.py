@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import audio, vad
+from voxloom.operators import audio, speakers, vad
 
 
 def plan(d):
@@ -123,3 +123,16 @@ def test_regions_of_a_long_track(spark):
     d = vad.speech_regions(frames, spark.createDataFrame([("t", "file", n * 512)], "tid string, track string, audio_len long"))
     ends = [(999_990 + k * 1_000_000) * 512 for k in range(n // 1_000_000)]
     assert sorted((x["start"], x["end"]) for x in d.collect()) == list(zip([0, *(e + 10 * 512 for e in ends)], [*ends, n * 512]))
+
+
+def test_pairs_in_blocks(spark, batch_rows):
+    r = np.random.default_rng(2)
+    rows = [(f"r{k % 3}", int(i), (r.normal(size=4) * (k != 7)).astype(np.float32).tolist()) for k, i in enumerate(r.permutation(60))] + [("lone", 1, [1.0, 0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "tid string, window_id long, embedding array<float>")
+    want = {(t, a, b): None if not any(x) or not any(y) else float(np.dot(np.float64(x), y) / np.sqrt(np.dot(np.float64(x), x) * np.dot(np.float64(y), y))) for t, a, x in rows for u, b, y in rows if t == u and a < b}
+    for block in (4, 2048):
+        d = speakers.pairwise_cosine(vectors, block)
+        # A recording is more than one group, and no row a pair is joined.
+        assert plan(d).count("Join") == 1
+        got = [tuple(x) for x in d.collect()]
+        assert len(got) == len(want) and {x[:3]: x[3] for x in got} == {k: v if v is None else pytest.approx(v, abs=1e-12) for k, v in want.items()}

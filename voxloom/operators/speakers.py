@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.operators import linkage
 from voxloom.operators.audio import linear_to_16k
+from voxloom.operators.batches import lists, whole_groups
 from voxloom.operators.linkage import average_linkage
 from voxloom.sources.stored import saved
 
 TWO_SIMILARITY, TWO_MARGIN = 0.5, 0.13
 #: Rows of a product of vectors that are held at once.
 ROWS = 256
+#: Windows of a block of a recording, all pairs of which with another block are one group.
+PAIR_BLOCK = 2048
 
 
 def segment_windows(segments: DataFrame, rate: int, seconds: int = 3) -> DataFrame:
@@ -222,11 +228,55 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def pairwise_cosine(vectors: DataFrame) -> DataFrame:
-    """(tid, a, b, similarity) of all pairs a < b of the windows of a recording: the result is the pairs."""
-    left = vectors.select("tid", F.col("window_id").alias("a"), F.col("embedding").alias("x"))
-    right = vectors.select("tid", F.col("window_id").alias("b"), F.col("embedding").alias("y"))
-    return left.join(right, "tid").where("a < b").select("tid", "a", "b", cosine(F.col("x"), F.col("y")).alias("similarity"))
+def pairwise_cosine(vectors: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """(tid, a, b, similarity) of all pairs a < b of the windows of a recording: the result is the pairs.
+
+    A recording's windows are dealt to blocks of about ``block``; each pair of blocks is a group of its own, which
+    gives the products of :data:`ROWS` rows at once. The similarity to a vector of zeros or another length is null.
+    """
+    rows = vectors.select("tid", "window_id", "embedding")
+    blocks = rows.groupBy("tid").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = rows.join(blocks.hint("merge"), "tid").withColumn("own", F.pmod(F.xxhash64("window_id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = rows.select("tid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "window_id", "embedding")
+    keys, kinds = ["tid", "i", "j"], vectors.schema
+
+    def run(batches):
+        for batch, starts in whole_groups(batches, keys):
+            for a, b in zip(starts, np.append(starts[1:], batch.num_rows)):
+                group = batch.slice(int(a), int(b - a))
+                tid, ids = group.column("tid").slice(0, 1), group.column("window_id")
+                x, size = padded(group.column("embedding"))
+                norms = (x * x).sum(axis=1)
+                alone = group.column("i")[0] == group.column("j")[0]
+                first = len(x) if alone else int((~group.column("second").to_numpy(zero_copy_only=False)).sum())
+                begin = 0 if alone else first
+                for at in range(0, first, ROWS):
+                    left, right = np.divmod(np.arange((min(at + ROWS, first) - at) * (len(x) - begin)), max(len(x) - begin, 1))
+                    left, right = left + at, right + begin
+                    p, q = ids.take(pa.array(left)), ids.take(pa.array(right))
+                    both = norms[left] * norms[right]
+                    known = (both > 0) & (size[left] == size[right])
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        values = (x[at : at + ROWS][: first - at] @ x[begin:].T).reshape(-1) / np.sqrt(both)
+                    out = pa.RecordBatch.from_arrays([tid.take(pa.array(np.zeros(len(left), np.int64))), p, q, pa.array(values, mask=~(known | np.isnan(both)))], names=["tid", "a", "b", "similarity"])
+                    if alone:
+                        yield out.filter(pc.less(p, q))
+                    else:
+                        swap = pc.greater(p, q)
+                        yield pa.RecordBatch.from_arrays([out.column(0), pc.if_else(swap, q, p), pc.if_else(swap, p, q), out.column(3)], names=out.schema.names)
+
+    schema = T.StructType([T.StructField("tid", kinds["tid"].dataType), *(T.StructField(c, kinds["window_id"].dataType) for c in "ab"), T.StructField("similarity", T.DoubleType())])
+    return pairs.repartition(*keys).sortWithinPartitions(*keys, "second").mapInArrow(run, schema)
+
+
+def padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of one matrix, filled up with zeros, and their lengths, -1 for a null."""
+    offsets, values = lists(column)
+    size = np.diff(offsets)
+    x = np.zeros((len(size), int(size.max(initial=0))))
+    x[np.repeat(np.arange(len(size)), size), np.arange(len(values)) - np.repeat(offsets[:-1], size)] = values
+    return x, np.where(column.is_null().to_numpy(zero_copy_only=False), -1, size)
 
 
 def window_experiment(windows: DataFrame, reference: DataFrame, bucket: int = 160_000) -> DataFrame:
