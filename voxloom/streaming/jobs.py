@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxloom.operators import vad
+from voxloom.operators.batches import group_starts
 from voxloom.operators.journal import WIRE_BYTES
 
 BLOCKS = (
@@ -18,6 +20,9 @@ BLOCKS = (
     "duration_samples long, final boolean, payload binary, sha256 string, ts timestamp"
 )
 
+#: Groups of tracks that share a state in :func:`stream_vad_segments`.
+TRACK_BUCKETS = 1024
+
 
 def parse_blocks(lines: DataFrame) -> DataFrame:
     """Blocks of JSON lines with ``reason``, null for valid ones: identity, geometry, size, digest."""
@@ -143,6 +148,30 @@ class Scanner:
             self.start = self.end = -1
         return self._heard(done, length)
 
+    def push_all(self, probs: np.ndarray) -> list[tuple[int, int]]:
+        """All chunks of many frames in order; those that change nothing are passed over."""
+        done, kinds = [], np.where(probs >= vad.ON, 2, np.where(probs < vad.OFF, 0, 1))
+        bounds = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(probs)]
+        for a, b in zip(bounds, bounds[1:]):
+            prob, left = float(probs[a]) if b > a else 0.0, b - a
+            while left:
+                done += self.push(prob)
+                skip = min(self._same(prob), left - 1)
+                self.frame += skip
+                left -= 1 + skip
+        return done
+
+    def _same(self, prob: float) -> int:
+        """How many more frames like the last one only count: before a pause or a cut, or the end of what can be joined."""
+        due = []
+        if self.speech >= 0:
+            due.append(-(-(self.speech + vad.PREFERRED_CHUNK) // vad.FRAME))
+            if prob < vad.OFF:
+                due.append(-(-(self.silence + vad.MIN_SILENCE) // vad.FRAME) + 1)
+        if self.start >= 0:
+            due.append((self.start + vad.PREFERRED_CHUNK) // vad.FRAME + 1)
+        return max(min(due) - self.frame - 1, 0) if due else 1 << 62
+
     @staticmethod
     def _heard(chunks: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
         """Chunks within the audio so far; those too short for a spectrum go."""
@@ -160,46 +189,101 @@ class Scanner:
         return self._heard(done, length)
 
 
+def _frame_runs(frames: DataFrame, timed: bool) -> DataFrame:
+    """(tid, track, first, probs, last, newest, ts?): frames that follow one another in a batch as one row.
+
+    ``last`` is its final frame or -1, ``newest`` its latest time in milliseconds or 0.
+    """
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = batch.column("frame").to_numpy(zero_copy_only=False).astype(np.int64)
+            new = np.zeros(len(number), bool)
+            new[group_starts(batch, ["tid", "track"])] = True
+            new[1:] |= np.diff(number) != 1
+            starts = np.flatnonzero(new)
+            final = np.where(batch.column("final").fill_null(False).to_numpy(zero_copy_only=False), number, -1)
+            probs = pa.array(batch.column("prob").to_numpy(zero_copy_only=False), pa.float64())
+            heads = pa.array(starts)
+            columns = [batch.column("tid").take(heads), batch.column("track").take(heads), pa.array(number[starts]), pa.ListArray.from_arrays(pa.array(np.append(starts, len(number)), pa.int32()), probs), pa.array(np.maximum.reduceat(final, starts))]
+            newest = np.maximum.reduceat(batch.column("ts").cast(pa.int64()).to_numpy(), starts) if timed else np.zeros(len(starts), np.int64)
+            columns.append(pa.array(newest // 1000))
+            if timed:
+                columns.append(pa.array(newest).cast(batch.schema.field("ts").type))
+            yield pa.RecordBatch.from_arrays(columns, names=["tid", "track", "first", "probs", "last", "newest", "ts"][: len(columns)])
+
+    columns = ["tid", "track", "frame", "prob", "final"] + ["ts"] * timed
+    return frames.select(*columns).mapInArrow(run, "tid string, track string, first long, probs array<double>, last long, newest long" + ", ts timestamp" * timed)
+
+
 def stream_vad_segments(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """(tid, track, start, end) chunks from a stream of frames (tid, track, frame, prob, final, ts?).
 
     Frames may come out of order; those beyond a gap wait in the state. ``final`` ends a track, or the
     watermark when it passes the newest frame: then what waits is read in order, gaps left out. Frames
-    without ``ts`` wait without a limit.
+    without ``ts`` wait without a limit. Frames that lie in order are put together before they are dealt,
+    and tracks by their hash, as a call for each track costs far more than its frames.
     """
     timed = "ts" in frames.columns
 
-    def run(key, parts: Iterator[pd.DataFrame], state: GroupState):
-        numbers, held, last = state.get if state.exists else (None, [], -1)
-        scanner = Scanner(tuple(numbers) if numbers is not None else None)
-        waiting = {int(f): float(p) for f, p in held}
-        out, newest = [], 0
-        if state.hasTimedOut:
-            for f in sorted(waiting):
-                scanner.frame = f
-                out += scanner.push(waiting[f])
-            out += scanner.finish()
-            state.remove()
+    def read(track: list, runs: list[tuple[int, np.ndarray]], last: int) -> list[tuple[int, int]]:
+        """The chunks that new runs of frames complete; ``track`` has its scanner's numbers, what waits, its final frame and time."""
+        scanner, waiting = Scanner(tuple(track[0]) if track[0] else None), {int(f): float(p) for f, p in track[1]}
+        out, last = [], last if last >= 0 else track[2]
+        in_order = sorted(runs, key=lambda x: x[0])
+        follow = all(a + len(x) == b for (a, x), (b, _) in zip(in_order, in_order[1:]))
+        if not waiting and follow and in_order[0][0] <= scanner.frame:
+            out += scanner.push_all(np.concatenate([x for _, x in in_order])[scanner.frame - in_order[0][0] :])
         else:
-            for p in parts:
-                waiting.update({int(f): float(x) for f, x in zip(p["frame"], p["prob"]) if f >= scanner.frame})
-                newest = max(newest, int(p["ts"].max().timestamp() * 1000) if timed else 0)
-                if p["final"].any():
-                    last = int(p.loc[p["final"], "frame"].max())
+            # Of frames with the same number, the last one counts.
+            waiting.update({f + k: float(v) for f, x in runs for k, v in enumerate(x) if f + k >= scanner.frame})
             while scanner.frame in waiting:
                 out += scanner.push(waiting.pop(scanner.frame))
-            if 0 <= last < scanner.frame:
-                out += scanner.finish()
-                last = -1
-            state.update((list(scanner.state()), [(float(f), x) for f, x in sorted(waiting.items())], last))
+        if 0 <= last < scanner.frame:
+            out += scanner.finish()
+            last = -1
+        track[:3] = list(scanner.state()), [[float(f), x] for f, x in sorted(waiting.items())], last
+        return out
+
+    def late(track: list) -> list[tuple[int, int]]:
+        scanner, out = Scanner(tuple(track[0])), []
+        for f, p in track[1]:
+            scanner.frame = int(f)
+            out += scanner.push(p)
+        return out + scanner.finish()
+
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState):
+        tracks = {(a, b): list(x) for a, b, *x in zip(*state.get)} if state.exists else {}
+        new: dict[tuple, list] = {}
+        if not state.hasTimedOut:
+            for p in parts:
+                for a, b, first, probs, last, newest in zip(p["tid"], p["track"], p["first"].tolist(), p["probs"], p["last"].tolist(), p["newest"].tolist()):
+                    got = new.setdefault((a, b), [[], -1, 0])
+                    got[0].append((first, np.asarray(probs, np.float64)))
+                    got[1:] = max(got[1], last), max(got[2], newest)
+        passed, found = state.getCurrentWatermarkMs() if timed else 0, []
+        for k, (runs, last, newest) in new.items():
+            track = tracks.setdefault(k, [None, [], -1, 0])
+            found += [(*k, *c) for c in read(track, runs, last)]
+            track[3] = max(newest, passed) + 1
+        for k in [k for k, track in tracks.items() if timed and k not in new and track[3] < passed]:
+            found += [(*k, *c) for c in late(tracks.pop(k))]
+        if tracks:
+            state.update(tuple(list(x) for x in zip(*((*k, *track) for k, track in tracks.items()))))
             if timed:
-                state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"tid": key[0], "track": key[1], "start": np.array([c[0] for c in out], np.int64), "end": np.array([c[1] for c in out], np.int64)})
+                state.setTimeoutTimestamp(max(min(track[3] for track in tracks.values()), passed + 1))
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame(found, columns=["tid", "track", "start", "end"])
 
-    rows = (frames.withWatermark("ts", delay) if timed else frames).groupBy("tid", "track")
+    runs = _frame_runs(frames, timed)
+    runs = (runs.withWatermark("ts", delay) if timed else runs).withColumn("bucket", F.pmod(F.xxhash64("tid", "track"), F.lit(TRACK_BUCKETS)).cast("int"))
     timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
-    kept = "numbers array<long>, held array<array<double>>, last long"
-    return rows.applyInPandasWithState(run, "tid string, track string, start long, end long", kept, "append", timeout)
+    kept = "tids array<string>, tracks array<string>, numbers array<array<long>>, held array<array<array<double>>>, last array<long>, due array<long>"
+    return runs.groupBy("bucket").applyInPandasWithState(run, "tid string, track string, start long, end long", kept, "append", timeout)
 
 
 def stream_upsert_segments(changes: DataFrame, path: str, checkpoint: str, buckets: int = 64):
