@@ -10,7 +10,7 @@ from voxloom.operators import export, jobs, journal, snapshots, tree
 from voxloom.plans.adapters import view
 from voxloom.plans.catalog import query, table
 from voxloom.plans.registry import ALL_REGIONS, _ts
-from voxloom.sources.stored import new_path, saved
+from voxloom.sources.stored import new_path
 from voxloom.streaming import jobs as streams
 
 # --- jobs --------------------------------------------------------------------------------------
@@ -233,9 +233,10 @@ def j27_restore_snapshots(spark, d):
 # --- streams, run until their input is drained ---------------------------------------------------
 
 def _streamed(spark, rows: DataFrame) -> DataFrame:
-    """A stream of the rows, written as files first."""
-    stored = saved(rows, "stream-input")
-    return spark.readStream.schema(stored.schema).parquet(stored.inputFiles()[0].rpartition("/")[0])
+    """A stream of the rows, written as files first, so many that their reading is dealt too: they pack to few bytes."""
+    path = new_path(spark, "stream-input")
+    rows.write.option("maxRecordsPerFile", 1_000_000).parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
 
 
 def _drained(spark, stream: DataFrame, mode: str) -> DataFrame:
